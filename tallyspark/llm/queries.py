@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.common import documents_of
 from tallyspark.llm.exact_dedup import exact_dedup
+from tallyspark.llm.lang_id import identify
+from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.rlz import remove_repeats
 
 
@@ -15,11 +17,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents_of(spark, sf_dir))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents_of(spark, sf_dir))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents_of(spark, sf_dir))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
+    "op5_language_id": op5_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op10_repeated_passages": op10_repeated_passages,
 }
