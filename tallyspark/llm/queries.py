@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.common import documents_of
+from tallyspark.llm.decontam import contaminated
 from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.lang_id import identify
 from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.rlz import remove_repeats
+from tallyspark.llm.secrets_markov import find_secrets
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +31,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents_of(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents_of(spark, sf_dir))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op9_secrets": op9_secrets,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_language_id": op5_language_id,
     "op4_exact_dedup": op4_exact_dedup,
