@@ -11,10 +11,15 @@ from tallyspark.llm.decontam import contaminated
 from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.lang_id import identify
 from tallyspark.llm.minhash import near_duplicates
+from tallyspark.llm.resample import resample
 from tallyspark.llm.rlz import remove_repeats
 from tallyspark.llm.secrets_markov import find_secrets
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -40,6 +45,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
     "op9_secrets": op9_secrets,
     "op3_near_duplicates": op3_near_duplicates,
