@@ -7,14 +7,17 @@ of 4; at a similarity of 0.75 a pair misses all bands with probability 0.684**32
 Links are settled without listing the pairs of a bucket:
 
 1. Documents with equal shingle sets (128-bit set hash and size) collapse to their smallest doc_id.
-2. In every bucket the member met most often over all buckets is the hub; each member is verified against its hubs only,
-   on full shingle sets. A family of copies therefore costs one comparison per member and hub.
-3. Components of these links are computed. What remains are bucket members in different components. Jaccard distance is
-   a metric and every member's exact distance to the hub is known, so a pair can only link if those distances differ by
-   at most 0.25 and the set sizes by a factor of at most 0.75. The pairs left are verified and components are final.
-
-Step 3 leaves nothing out: every pair that shares a bucket is linked, shown to be in one component, excluded by the
-triangle inequality or verified.
+2. Every bucket gets a pivot: the most popular document (met most often over all buckets) that its members meet in any
+   bucket of theirs. Members are compared with the pivots of their buckets only, on full shingle sets, so a family of
+   copies costs about one comparison a member.
+3. Components of these links are computed. A pair (x, y) of one bucket that is still apart needs an overlap of
+   o = 3 (|x| + |y|) / 7, of which the pivot h can supply at most min(|x & h|, |y & h|). Either that is enough, or x and y
+   share shingles outside h, and then, by the prefix filter, one of the |x| / 4 + 1 first shingles of x outside h in a
+   fixed order. Members of two components that share such a shingle meet again: as pairs where up to MEET of them do,
+   as buckets of another round where more do.
+
+This leaves nothing out: every pair that shares a band is linked, shown to be in one component, excluded by its overlap
+with the pivot, compared, or taken to the next round. Rows grow with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ BANDS = 32
 BAND_ROWS = 4
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
+#: Up to so many members that share a shingle outside their pivot are compared in pairs.
+MEET = 64
+#: Members of a hub whose outside shingles one task groups; larger groups are split by shingle.
+OUTSIDE_MEMBERS = 4096
 #: Members that one task compares with the hubs of a group; larger groups are split, hubs repeated.
 GROUP_MEMBERS = 256
 
@@ -119,11 +126,13 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-COMPARED = "a long, b long, common long, size_a long, size_b long"
+COMPARED = "a long, b long, common long, size_a long, size_b long, outside binary"
+COMPARED_TYPES = (pa.int64(),) * 5 + (pa.binary(),)
+COMPARED_NAMES = ("a", "b", "common", "size_a", "size_b", "outside")
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, hubs first: intersection sizes of every member with the hubs it names."""
+    """Rows sorted by group, hubs first: every member's intersection with the hubs it names, and its prefix outside them."""
     group, hubs = None, {}
     for batch in batches:
         for part in slices(batch):
@@ -139,12 +148,64 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for h in named:
                     at = np.searchsorted(hubs[h], own)
                     at[at == len(hubs[h])] = 0
-                    rows.append((doc, h, int((hubs[h][at] == own).sum()), len(own), len(hubs[h])))
+                    inside = hubs[h][at] == own
+                    outside = np.sort((mix(own[~inside]) >> np.uint64(32)).astype(np.uint32))[: len(own) // 4 + 1]
+                    rows.append((doc, h, int(inside.sum()), len(own), len(hubs[h]), outside.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["a", "b", "common", "size_a", "size_b"]
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, COMPARED_TYPES, strict=True)], names=list(COMPARED_NAMES)
             )
 
 
+def split_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deal the outside shingles of the members of large hubs to parts, by value."""
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("hub", "part", "rep", "size", "component", "outside")}
+        for r in batch.to_pylist():
+            values = np.frombuffer(r["outside"], np.uint32)
+            of = values % r["parts"]
+            for p in np.unique(of).tolist():
+                for k, v in (("hub", r["hub"]), ("part", p), ("rep", r["rep"]), ("size", r["size"]), ("component", r["component"]), ("outside", values[of == p].tobytes())):
+                    out[k].append(v)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+
+
+def meet_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, part): the next buckets, one for each set of members of two components with a shingle in common."""
+
+    def buckets(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        values = [np.frombuffer(r[3], np.uint32) for r in rows]
+        owner = np.repeat(np.arange(len(rows)), [len(v) for v in values])
+        flat = np.concatenate(values)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        firsts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        seen = set()
+        for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(flat)], strict=True):
+            if high - low > 1:
+                members = np.unique(owner[low:high])
+                if len({rows[i][2] for i in members}) > 1 and (mark := members.tobytes()) not in seen:
+                    seen.add(mark)
+                    yield from ((int(flat[low]), *rows[i][:3]) for i in members)
+
+    group, rows = None, []
+    for batch in batches:
+        out = []
+        for hub, part, rep, size, component, outside in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (hub, part) != group:
+                if len(rows) > 1:
+                    out += [(group[0], *x) for x in buckets(rows)]
+                group, rows = (hub, part), []
+            rows.append((rep, size, component, outside))
+        yield _members(out)
+    if len(rows) > 1:
+        yield _members([(group[0], *x) for x in buckets(rows)])
+
+
+def _members(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["hub", "value", "rep", "n_shingles", "component"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact set sizes of pairs(a, b, weight): b is the hub side. Members meet under their heaviest hub, in bounded groups."""
     spark = pairs.sparkSession
@@ -162,6 +223,52 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = "100 * common >= 75 * (size_a + size_b - common)"
 
 
+def stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b, weight) of the members of buckets(band, rep, n_shingles, size) with the pivot b of each."""
+    weight = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
+    hubs = buckets.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", "rep")).alias("hub"))
+    best = buckets.join(hubs, "band").groupBy("rep").agg(F.max("hub").alias("hub"))
+    pivots = buckets.join(best, "rep").groupBy("band").agg(F.max("hub").alias("hub"))
+    starred = buckets.join(pivots, "band").filter("rep <> hub.rep")
+    return starred.groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.max("hub.weight").alias("weight"))
+
+
+MAY_LINK = "component <> x_component and 100 * least(size, x_size) >= 75 * greatest(size, x_size)"
+
+
+def still_open(compared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a round leaves open: pairs(a, b, weight) and buckets(band, rep, n_shingles, size)."""
+    spark = compared.sparkSession
+    of = lambda name, out: labels.select(F.col("id").alias(name), F.col("component").alias(out))
+    state = staged(
+        compared.select(F.col("b").alias("hub"), F.col("a").alias("rep"), "common", F.col("size_a").alias("size"), "outside")
+        .join(of("rep", "component"), "rep", "left")
+        .join(of("hub", "hub_component"), "hub", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
+        .withColumn("apart", F.col("component") != F.coalesce("hub_component", "hub")),
+        "state",
+    )
+    hubs = state.groupBy("hub").agg(F.max("apart").alias("open"), F.ceil(F.count(F.lit(1)) / OUTSIDE_MEMBERS).alias("parts")).filter("open")
+    rel = state.drop("hub_component").join(hubs.select("hub", "parts"), "hub")
+    pair = lambda df: df.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b"))
+    named = lambda df, key: df.select(key, *(F.col(k).alias(f"x_{k}") for k in df.columns if k != key))
+    # Pairs that may find all they need inside the pivot: x is apart from it, y smaller than it.
+    inside = rel.filter("common >= 0.75 * size").select("hub", "rep", "common", "size", "component", "apart")
+    x = named(inside.filter("apart").drop("apart"), "hub")
+    enough = pair(x.join(inside, "hub").filter(MAY_LINK + " and 7 * least(common, x_common) >= 3 * (size + x_size)"))
+    split = rel.select("hub", "rep", "size", "component", "outside", "parts").mapInArrow(split_outside, "hub long, part long, rep long, size long, component long, outside binary")
+    dealt = split.repartition(partitions(spark), "hub", "part").sortWithinPartitions("hub", "part")
+    met = dealt.mapInArrow(meet_outside, "hub long, value long, rep long, n_shingles long, component long")
+    met = staged(met.select(F.xxhash64("hub", "value").alias("band"), "rep", F.col("n_shingles").alias("size"), "component").distinct(), "met")
+    count = met.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = met.join(count, "band")
+    few = members.filter(F.col("members") <= MEET).drop("members")
+    close = pair(few.join(named(few, "band"), "band").filter(MAY_LINK + " and rep > x_rep"))
+    pairs = staged(enough.union(close).distinct().withColumn("weight", F.lit(1)), "pairs")
+    many = members.filter(F.col("members") > MEET).select("band", "rep", F.col("size").alias("n_shingles"), F.col("members").alias("size"))
+    return pairs, staged(many, "buckets")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -181,46 +288,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     filed = marked.filter("doc_id = rep and bands is not null").select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    bucketed = staged(filed.join(shared, "band"), "buckets")
-    weight = bucketed.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighed = bucketed.join(weight, "rep")
-    hubs = weighed.groupBy("band").agg(F.max(F.struct("weight", "rep", "n_shingles")).alias("hub"))
-    near = F.expr("100 * least(n_shingles, hub.n_shingles) >= 75 * greatest(n_shingles, hub.n_shingles)")
-    starred = staged(bucketed.join(hubs, "band").filter("rep <> hub.rep"), "stars")
-    pairs = starred.filter(near).groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.max("hub.weight").alias("weight"))
-    texts = staged(source.join(weight.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumn("text", F.col("text")), "texts")
-    compared = verify(pairs, texts)
-    links = compared.filter(LINKED).select("a", "b")
-    first = components(links)
-
-    # Bucket members that are still apart, with the exact distance to the bucket's hub (null: sizes alone exclude a link).
-    distance = compared.select(F.col("a").alias("rep"), F.col("b").alias("hub_rep"), (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("d"))
-    member = starred.select("band", "rep", "n_shingles", F.col("hub.rep").alias("hub_rep")).join(distance, ["rep", "hub_rep"], "left")
-    labelled = member.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    hub_component = first.select(F.col("id").alias("hub_rep"), F.col("component").alias("hub_component"))
-    apart = staged(
-        labelled.join(hub_component, "hub_rep", "left")
-        .filter("component <> coalesce(hub_component, hub_rep)")
-        .select("band", "rep", "n_shingles", "d", "component"),
-        "apart",
-    )
-    everyone = labelled.join(apart.select("band").distinct(), "band", "left_semi").select("band", "rep", "n_shingles", "d", "component")
-    x, y = apart.alias("x"), everyone.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.component") != F.col("y.component"))
-            & F.expr("100 * least(x.n_shingles, y.n_shingles) >= 75 * greatest(x.n_shingles, y.n_shingles)")
-            & F.expr("coalesce(abs(x.d - y.d) <= 0.2500001, true)"),
-        )
-        .select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
-        .distinct()
-        .withColumn("weight", F.lit(1))
-    )
-    rest = staged(rest, "rest")
-    more = verify(rest, texts).filter(LINKED).select("a", "b")
-    final = components(links.union(more))
+    buckets = staged(filed.join(shared, "band"), "buckets")
+    texts = staged(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    links = None
+    while True:
+        compared = verify(stars(buckets), texts)
+        found = compared.filter(LINKED).select("a", "b")
+        links = found if links is None else links.union(found)
+        pairs, buckets = still_open(compared, components(links))
+        links = links.union(verify(pairs, texts).filter(LINKED).select("a", "b"))
+        if buckets.isEmpty():
+            break
+    final = components(links)
     named = final.select(F.col("id").alias("rep"), "component")
     return marked.join(named, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")
