@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import documents_of
+from tallyspark.llm.common import documents_of, shared_dir, tokenizer_file
 from tallyspark.llm.decontam import contaminated
 from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.lang_id import identify
 from tallyspark.llm.minhash import near_duplicates
+from tallyspark.llm.rans import read_tokens, write_tokens
 from tallyspark.llm.resample import resample
 from tallyspark.llm.rlz import remove_repeats
 from tallyspark.llm.secrets_markov import find_secrets
@@ -36,6 +38,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents_of(spark, sf_dir))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(documents_of(spark, sf_dir), path, tokenizer_file("word_bpe_49k.json"))
+    return read_tokens(spark, path)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents_of(spark, sf_dir))
 
@@ -47,6 +55,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
+    "op6_token_files": op6_token_files,
     "op9_secrets": op9_secrets,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_language_id": op5_language_id,
