@@ -16,6 +16,7 @@ from tallyspark.llm.rans import read_tokens, write_tokens
 from tallyspark.llm.resample import resample
 from tallyspark.llm.rlz import remove_repeats
 from tallyspark.llm.secrets_markov import find_secrets
+from tallyspark.llm.sp_suffix import encode as sp_encode
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_encode(documents_of(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents_of(spark, sf_dir))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
     "op6_token_files": op6_token_files,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_secrets": op9_secrets,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_language_id": op5_language_id,

@@ -148,15 +148,15 @@ class Frame:
         return ids
 
 
-class WordIds:
-    """Ids of whole words by the tokenizer, remembered; exact because no pre-token of the tokenizer spans white space."""
+class Remembered:
+    """Ids of distinct strings, computed once by fresh() and kept until CACHED_WORDS are held."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self):
         self.clear()
 
+    def fresh(self, words: list[str]) -> list:
+        raise NotImplementedError
+
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.first, self.count, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
@@ -177,7 +177,7 @@ class WordIds:
             self.clear()
         fresh = [w for w in distinct if w not in self.place]
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            found = self.fresh(fresh)
             sizes = np.array([len(x) for x in found], np.int64)
             base, n = len(self.place), int(sizes.sum())
             flat = self._room("flat", self.used + n)
@@ -193,6 +193,19 @@ class WordIds:
         return self.flat[take], count
 
 
+class WordIds(Remembered):
+    """Ids of whole words by the tokenizers library; exact because no pre-token of the tokenizer spans white space."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def fresh(self, words: list[str]) -> list:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
 _workers: dict[str, WordIds] = {}
 
 
