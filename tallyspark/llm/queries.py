@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.attention_lm import score_texts
 from tallyspark.llm.common import documents_of, shared_dir, tokenizer_file
 from tallyspark.llm.decontam import contaminated
 from tallyspark.llm.exact_dedup import exact_dedup
@@ -45,6 +46,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents_of(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_encode(documents_of(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
     "op6_token_files": op6_token_files,
+    "op7_lm_scores": op7_lm_scores,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secrets": op9_secrets,
     "op3_near_duplicates": op3_near_duplicates,
