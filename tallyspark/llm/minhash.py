@@ -13,8 +13,8 @@ Links are settled without listing the pairs of a bucket:
 3. Components of these links are computed. A pair (x, y) of one bucket that is still apart needs an overlap of
    o = 3 (|x| + |y|) / 7, of which the pivot h can supply at most min(|x & h|, |y & h|). Either that is enough, or x and y
    share shingles outside h, and then, by the prefix filter, one of the |x| / 4 + 1 first shingles of x outside h in a
-   fixed order. Members of two components that share such a shingle meet again: as pairs where up to MEET of them do,
-   as buckets of another round where more do.
+   fixed order. Members of two components that share such a shingle meet again: where up to MEET of them do, the pairs
+   that also share a band are compared; where more do, they are buckets of another round, with a member as the hub.
 
 This leaves nothing out: every pair that shares a band is linked, shown to be in one component, excluded by its overlap
 with the pivot, compared, or taken to the next round. Rows grow with the members, not with their pairs.
@@ -51,8 +51,8 @@ BANDS = 32
 BAND_ROWS = 4
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Up to so many members that share a shingle outside their pivot are compared in pairs.
-MEET = 64
+#: Up to so many members that share a shingle outside their pivot are compared in pairs, if they share a band.
+MEET = 1024
 #: Members of a hub whose outside shingles one task groups; larger groups are split by shingle.
 OUTSIDE_MEMBERS = 4096
 #: Members that one task compares with the hubs of a group; larger groups are split, hubs repeated.
@@ -223,12 +223,13 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = "100 * common >= 75 * (size_a + size_b - common)"
 
 
-def stars(buckets: DataFrame) -> DataFrame:
+def stars(buckets: DataFrame, members_only: bool) -> DataFrame:
     """Pairs (a, b, weight) of the members of buckets(band, rep, n_shingles, size) with the pivot b of each."""
     weight = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
-    hubs = buckets.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", "rep")).alias("hub"))
-    best = buckets.join(hubs, "band").groupBy("rep").agg(F.max("hub").alias("hub"))
-    pivots = buckets.join(best, "rep").groupBy("band").agg(F.max("hub").alias("hub"))
+    pivots = buckets.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", "rep")).alias("hub"))
+    if not members_only:
+        best = buckets.join(pivots, "band").groupBy("rep").agg(F.max("hub").alias("hub"))
+        pivots = buckets.join(best, "rep").groupBy("band").agg(F.max("hub").alias("hub"))
     starred = buckets.join(pivots, "band").filter("rep <> hub.rep")
     return starred.groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.max("hub.weight").alias("weight"))
 
@@ -236,7 +237,7 @@ def stars(buckets: DataFrame) -> DataFrame:
 MAY_LINK = "component <> x_component and 100 * least(size, x_size) >= 75 * greatest(size, x_size)"
 
 
-def still_open(compared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def still_open(compared: DataFrame, labels: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a round leaves open: pairs(a, b, weight) and buckets(band, rep, n_shingles, size)."""
     spark = compared.sparkSession
     of = lambda name, out: labels.select(F.col("id").alias(name), F.col("component").alias(out))
@@ -262,8 +263,8 @@ def still_open(compared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     met = staged(met.select(F.xxhash64("hub", "value").alias("band"), "rep", F.col("n_shingles").alias("size"), "component").distinct(), "met")
     count = met.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = met.join(count, "band")
-    few = members.filter(F.col("members") <= MEET).drop("members")
-    close = pair(few.join(named(few, "band"), "band").filter(MAY_LINK + " and rep > x_rep"))
+    few = members.filter(F.col("members") <= MEET).drop("members").join(bands, "rep")
+    close = pair(few.join(named(few, "band"), "band").filter(MAY_LINK + " and rep > x_rep and arrays_overlap(bands, x_bands)"))
     pairs = staged(enough.union(close).distinct().withColumn("weight", F.lit(1)), "pairs")
     many = members.filter(F.col("members") > MEET).select("band", "rep", F.col("size").alias("n_shingles"), F.col("members").alias("size"))
     return pairs, staged(many, "buckets")
@@ -290,12 +291,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = staged(filed.join(shared, "band"), "buckets")
     texts = staged(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    bands = marked.filter("doc_id = rep and bands is not null").select("rep", "bands")
     links = None
     while True:
-        compared = verify(stars(buckets), texts)
+        compared = verify(stars(buckets, links is not None), texts)
         found = compared.filter(LINKED).select("a", "b")
         links = found if links is None else links.union(found)
-        pairs, buckets = still_open(compared, components(links))
+        pairs, buckets = still_open(compared, components(links), bands)
         links = links.union(verify(pairs, texts).filter(LINKED).select("a", "b"))
         if buckets.isEmpty():
             break
