@@ -36,7 +36,9 @@ SCALE = 16
 LOW = np.uint64(1 << 16)
 END_ID = 1
 #: Distinct words that a worker keeps with their ids before it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
+#: Words that one call of the tokenizer takes, joined by a special token.
+JOINED_WORDS = 200
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -161,6 +163,19 @@ class Remembered:
         self.place: dict[str, int] = {}
         self.flat, self.first, self.count, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
+    def renew(self, words: list[str]) -> None:
+        """Start afresh with the given words, as far as they are known."""
+        known = [w for w in words if w in self.place]
+        at = np.fromiter((self.place[w] for w in known), np.int64, len(known))
+        first, count, flat = self.first[at], self.count[at], self.flat
+        self.clear()
+        self.used = int(count.sum())
+        ends = np.cumsum(count)
+        self._room("flat", self.used)[: self.used] = flat[np.arange(self.used) + np.repeat(first - (ends - count), count)]
+        self._room("first", len(known))[: len(known)] = ends - count
+        self._room("count", len(known))[: len(known)] = count
+        self.place = dict(zip(known, range(len(known)), strict=True))
+
     def _room(self, name: str, n: int) -> np.ndarray:
         old = getattr(self, name)
         if n > len(old):
@@ -174,7 +189,7 @@ class Remembered:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.place) + len(distinct) > CACHED_WORDS:
-            self.clear()
+            self.renew(distinct)
         fresh = [w for w in distinct if w not in self.place]
         if fresh:
             found = self.fresh(fresh)
@@ -193,17 +208,59 @@ class Remembered:
         return self.flat[take], count
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_POINT[[x for x in range(33, 127) if not _ALNUM[x] and x != ord("'")]] = True
+
+
 class WordIds(Remembered):
-    """Ids of whole words by the tokenizers library; exact because no pre-token of the tokenizer spans white space."""
+    """Ids of texts by the tokenizers library, word by word.
+
+    Exact for a tokenizer that lower-cases, drops white space and whose pre-tokens hold letters, or digits, or other
+    characters (apostrophes aside): none spans white space or the step between an ASCII letter or digit and ASCII
+    punctuation, so the parts between such places are encoded once and remembered. Texts that spell a special token are
+    left whole between spaces.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in special.values()]
+        self.joint = min(special) if special else None
+        self.glue = special[self.joint].content if special else ""
+        self.whole = False
 
     def fresh(self, words: list[str]) -> list:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if self.whole or self.joint is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        joined = [self.glue.join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        out: list = []
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, np.int64)
+            cuts = np.flatnonzero(ids == self.joint).tolist()
+            ids = ids.tolist()
+            out += [ids[a + 1 : b] for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+        return out
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows in order, and the number of ids before each row (rows + 1 entries)."""
+        raw = data.tobytes()
+        self.whole = any(s in raw for s in self.special)
+        if not self.whole and len(data):
+            data = _LOWER[data]
+            letter, point = _ALNUM[data], _POINT[data]
+            turn = np.flatnonzero((letter[:-1] & point[1:]) | (point[:-1] & letter[1:])) + 1
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offsets] = True
+            turn = turn[~edge[turn]]
+            starts, ends = np.sort(np.concatenate((starts, turn))), np.sort(np.concatenate((ends, turn)))
+        ids, count = self.encode(word_array(data, starts, ends))
+        return ids, np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, offsets)]
 
 
 _workers: dict[str, WordIds] = {}
@@ -219,9 +276,8 @@ def word_ids(path: str) -> WordIds:
 def document_ids(part: pa.RecordBatch, tokenizer: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows' texts, each followed by END_ID, and the number of ids of each row."""
     data, offsets = raw_bytes(part.column("text"))
-    starts, ends, counts = word_bounds(data, offsets)
-    ids, per_word = tokenizer.encode(word_array(data, starts, ends))
-    total = np.concatenate(([0], np.cumsum(per_word)))[counts]
+    starts, ends, _ = word_bounds(data, offsets)
+    ids, total = tokenizer.rows(data, offsets, starts, ends)
     sizes = np.diff(total) + 1
     out = np.full(int(sizes.sum()), END_ID, np.uint32)
     body = np.ones(len(out), bool)
