@@ -55,8 +55,15 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, null text as empty; other columns never reach the scan."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """doc_id and text alone, null text as empty; other columns never reach the scan. Rows without a doc_id take no part."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.filter(F.col("doc_id").isNotNull())
+
+
+def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id is in ids (not in, for left_anti), with all columns, whatever their names."""
+    key = f"k{uuid.uuid4().hex}"
+    return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), how)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:

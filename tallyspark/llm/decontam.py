@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACE_CLASS, id_and_text, staged
+from tallyspark.llm.common import SPACE_CLASS, id_and_text, keep_rows, staged
 
 WINDOW = 8
 #: Benchmark items below this many template tokens say too little to be looked for; items below WINDOW are one window.
@@ -130,5 +130,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__drop"), "left_anti")
+    return keep_rows(docs, contaminated(docs, benchmark), "left_anti")

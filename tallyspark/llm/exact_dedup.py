@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACE_CLASS, id_and_text, staged
+from tallyspark.llm.common import SPACE_CLASS, id_and_text, keep_rows, staged
 
 #: Bits of the slice number that one round consumes: each merge takes 2**4 runs.
 ROUND_BITS = 4
@@ -71,5 +71,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept.distinct(), docs["doc_id"] == F.col("__keep"), "left_semi")
+    return keep_rows(docs, exact_dedup(docs).filter("kept"))

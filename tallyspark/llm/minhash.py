@@ -34,6 +34,7 @@ from tallyspark.llm.common import (
     WORD_PATTERN,
     gram_hashes,
     id_and_text,
+    keep_rows,
     mix,
     partitions,
     raw_bytes,
@@ -310,8 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one document of each component, with all its columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs["doc_id"] == F.col("__keep"), "left_semi")
+    return keep_rows(docs, near_duplicates(docs).filter("kept"))
 
 
 def components_by_brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int, bool]]:

@@ -146,12 +146,14 @@ def settle(window: int, gram: int):
                     for i in known:
                         lo, hi = np.searchsorted(of, [i, i + 1])
                         low_i, high_i, a = low[lo:hi], high[lo:hi], int(counts[i])
-                        whole_at = _runs(low_i, high_i, sorted(whole[i] or ()))
+                        for found in (whole, opened, shown):  # a doc_id that stands for other texts too lends their blocks
+                            found[i] = [k for k in found[i] or () if k < hi - lo]
+                        whole_at = _runs(low_i, high_i, sorted(whole[i]))
                         mark(gone, whole_at, window)
-                        blocks = [*(opened[i] or ()), *(shown[i] or ())]
+                        blocks = [*opened[i], *shown[i]]
                         if blocks:
                             at = _runs(low_i, high_i, blocks)
-                            mine = sum(int(high_i[k] - low_i[k] + 1) for k in opened[i] or ())
+                            mine = sum(int(high_i[k] - low_i[k] + 1) for k in opened[i])
                             extra["w_anchor"][i] = signed(np.concatenate([np.full(high_i[k] - low_i[k] + 1, anchor[lo + k]) for k in blocks]))
                             extra["w_hash"][i] = signed(span_sums(words[a : int(counts[i + 1])], at - a, at - a + window))
                             extra["w_at"][i] = np.where(np.arange(len(at)) < mine, at - a, -1).astype(np.int32)
