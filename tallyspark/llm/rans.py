@@ -36,7 +36,7 @@ SCALE = 16
 LOW = np.uint64(1 << 16)
 END_ID = 1
 #: Distinct words that a worker keeps with their ids before it starts afresh.
-CACHED_WORDS = 900_000
+CACHED_WORDS = 700_000
 #: Words that one call of the tokenizer takes, joined by a special token.
 JOINED_WORDS = 200
 

@@ -110,8 +110,8 @@ def test_lm_base_is_exact_and_model_learns(spark):
 
 
 def test_lm_windows_score_every_token_once():
-    begin, row = attention_lm.windows(np.array([1, 16, 17, 40]))
-    assert begin.tolist() == [0, 1, 17, 33, 34, 50, 66] and row.tolist() == [0, 1, 2, 2, 3, 3, 3]
+    begin, row = attention_lm.windows(np.array([1, 32, 33, 80]))
+    assert begin.tolist() == [0, 1, 33, 65, 66, 98, 130] and row.tolist() == [0, 1, 2, 2, 3, 3, 3]
 
 
 def test_lm_empty(empty, lone):
