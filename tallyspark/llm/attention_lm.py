@@ -2,8 +2,10 @@
 
 The model predicts the class of the next subword from the last CONTEXT to CONTEXT + STRIDE - 1 subwords by one causal
 attention head with relative position biases, and the subword within its class by its smoothed share:
-p(id | past) = p(class(id) | past) * p(id | class(id)). It is fitted in numpy on a bounded sample of the training documents
-(SAMPLE_DOCS documents of at most SAMPLE_CHARS characters, by a hash of doc_id); the word counts cover all of them. Texts are scored in
+p(id | past) = p(class(id) | past) * p(id | class(id)). Subword counts, classes and weights come from all training documents,
+whole: each text is tokenized once and its ids are staged; counts are vectors summed over the partitions; the weights are
+fitted in ROUNDS rounds, in each of which every partition takes its gradient steps over its own share of the windows and the
+results are averaged by windows. After the last round every window of the corpus has been used. Texts are scored in
 windows of CONTEXT + STRIDE positions that overlap by CONTEXT, so every token is scored once, in masked batches.
 
 Word counts of the base are exact. The most frequent words (at most HEAVY_WORDS) are broadcast; the rest of each
@@ -12,15 +14,17 @@ document's words meet their counts in a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import id_and_text, raw_bytes, signed, slices, staged, word_bounds, word_hashes
-from tallyspark.llm.rans import WordIds, word_ids
+from tallyspark.llm.rans import document_ids, word_ids
 
 CONTEXT = 16
 STRIDE = 32
@@ -28,14 +32,17 @@ WIDTH = 16
 #: Subwords with an embedding of their own (the most frequent), and classes: single subwords, then clusters.
 EMBEDDED = 4096
 SINGLES, CLUSTERS = 64, 32
-SAMPLE_DOCS = 1_500
-SAMPLE_CHARS = 20_000
-TRAIN_WINDOWS = 40_000
+ROUNDS = 8
+#: A corpus with fewer training windows than this is gone through several times.
+LEAST_WINDOWS = 40_000
 BATCH_WINDOWS = 256
 SCORE_WINDOWS = 512
 HEAVY_WORDS = 1 << 18
 #: Bytes of text that one pass counts; a larger pass sends fewer partial counts.
 COUNT_BYTES = 4 << 20
+#: Entries of a vector that travel in one row, and the fixed point of averaged weights (sums then do not depend on order).
+CHUNK = 4096
+FIXED = float(1 << 48)
 BEGIN_ID, END_ID = 49406, 49407
 VOCABULARY = 49408
 _WORD, _TEXTS = 0, 1
@@ -45,17 +52,67 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 10 == 0
 
 
-def sequences(part: pa.RecordBatch, tokenizer: WordIds):
-    """Word hashes with the words before each row, and subword ids of all rows (each with its end) with the ids of each row."""
-    data, offsets = raw_bytes(part.column("text"))
-    starts, ends, counts = word_bounds(data, offsets)
-    ids, total = tokenizer.rows(data, offsets, starts, ends)
-    sizes = np.diff(total) + 1
-    out = np.full(int(sizes.sum()), END_ID, np.int64)
-    body = np.ones(len(out), bool)
-    body[np.cumsum(sizes) - 1] = False
-    out[body] = ids
-    return word_hashes(data, starts, ends, lower=True), counts, out, sizes
+def _tokenized(path: str):
+    """Subword ids of every text and its end, two bytes each, beside the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = word_ids(path)
+        for batch in batches:
+            for part in slices(batch):
+                ids, sizes = document_ids(part, tokenizer)
+                ids[np.cumsum(sizes) - 1] = END_ID
+                offsets = np.concatenate(([0], np.cumsum(sizes * 2))).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), packed], names=["doc_id", "text", "ids"])
+
+    return run
+
+
+def sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The staged ids of all rows (each with its end), and the number of ids of each row."""
+    data, offsets = raw_bytes(part.column("ids"))
+    return np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), np.diff(offsets) // 2
+
+
+def _chunks(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cuts = [vector[i : i + CHUNK].tobytes() for i in range(0, len(vector), CHUNK)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.binary())], names=["chunk", "v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            x = np.frombuffer(v, np.int64)
+            total[chunk] = total[chunk] + x if chunk in total else x
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "v"])
+
+
+def vector_sum(rows: DataFrame, of: Callable, size: int) -> np.ndarray:
+    """The sum over all partitions of the integer vector that of() makes of a partition's rows; only the sum reaches the driver."""
+    made = rows.mapInArrow(of, "chunk int, v binary").repartition("chunk").mapInArrow(_added, "chunk int, v binary")
+    out = np.zeros(size, np.int64)
+    for batch in made.toArrow().to_batches():
+        for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(v, np.int64)
+    return out
+
+
+def _subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(VOCABULARY + 1, np.int64)
+    for batch in batches:
+        for part in slices(batch, "ids"):
+            ids, sizes = sequences(part)
+            n[:VOCABULARY] += np.bincount(ids, minlength=VOCABULARY)
+            n[VOCABULARY] += (-(-sizes // STRIDE)).sum()
+    yield from _chunks(n)
+
+
+def subword_counts(tokens: DataFrame) -> tuple[np.ndarray, int]:
+    """How often every subword id (ends included) stands in the rows of tokens, and the number of their windows."""
+    n = vector_sum(tokens.select("ids"), _subwords, VOCABULARY + 1)
+    return n[:VOCABULARY], int(n[VOCABULARY])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,19 +128,41 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(_TEXTS, np.zeros(1, np.int64), np.array([texts]))
 
 
-def _classes(n: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """Class of every id: the SINGLES most frequent stand alone, others are clustered by what precedes them in the sample."""
-    order = np.argsort(-n, kind="stable")
-    out = np.full(VOCABULARY, SINGLES, np.int64)
-    out[order[:SINGLES]] = np.arange(SINGLES)
+def _order(n: np.ndarray) -> np.ndarray:
+    return np.argsort(-n, kind="stable")
+
+
+def _preceded(n: np.ndarray):
+    """Counts of (clustered subword, class of the subword before it); the first of a text comes after an end."""
+    order = _order(n)
     before = np.full(VOCABULARY, SINGLES, np.int64)
     before[order[:SINGLES]] = np.arange(SINGLES)
-    members = order[SINGLES:EMBEDDED]
     place = np.full(VOCABULARY, -1, np.int64)
-    place[members] = np.arange(len(members))
-    at = place[sample[1:]]
-    ok = at >= 0
-    profile = np.bincount(at[ok] * (SINGLES + 1) + before[sample[:-1]][ok], minlength=len(members) * (SINGLES + 1)).reshape(len(members), -1).astype(float)
+    place[order[SINGLES:EMBEDDED]] = np.arange(EMBEDDED - SINGLES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((EMBEDDED - SINGLES) * (SINGLES + 1), np.int64)
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                ids, sizes = sequences(part)
+                past = np.empty(len(ids), np.int64)
+                past[1:] = ids[:-1]
+                past[np.cumsum(sizes) - sizes] = END_ID
+                at = place[ids]
+                ok = at >= 0
+                total += np.bincount(at[ok] * (SINGLES + 1) + before[past[ok]], minlength=len(total))
+        yield from _chunks(total)
+
+    return run
+
+
+def _classes(n: np.ndarray, preceded: np.ndarray) -> np.ndarray:
+    """Class of every id: the SINGLES most frequent stand alone, others are clustered by what precedes them in the corpus."""
+    order = _order(n)
+    out = np.full(VOCABULARY, SINGLES, np.int64)
+    out[order[:SINGLES]] = np.arange(SINGLES)
+    members = order[SINGLES:EMBEDDED]
+    profile = preceded.reshape(len(members), -1).astype(float)
     profile = np.sqrt(profile / np.maximum(profile.sum(axis=1, keepdims=True), 1))
     centres = profile[:CLUSTERS].copy()
     for _ in range(8):
@@ -107,12 +186,12 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Embeddings and head; score() gives the natural log-probability of every id of concatenated sequences."""
 
-    def __init__(self, n: np.ndarray, sample: np.ndarray, sizes: np.ndarray):
-        self.classes = _classes(n, sample)
+    def __init__(self, n: np.ndarray, preceded: np.ndarray):
+        self.classes = _classes(n, preceded)
         weight = n + 0.5
         self.within = np.log(weight / np.bincount(self.classes, weights=weight)[self.classes]).astype(np.float32)
         self.row = np.zeros(VOCABULARY, np.int64)  # 0: no embedding of its own
-        self.row[np.argsort(-n, kind="stable")[: EMBEDDED - 2]] = np.arange(1, EMBEDDED - 1)
+        self.row[_order(n)[: EMBEDDED - 2]] = np.arange(1, EMBEDDED - 1)
         self.row[BEGIN_ID] = EMBEDDED - 1
         rng = np.random.default_rng(5)
         shape = {"E": (EMBEDDED, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "U": (WIDTH, SINGLES + CLUSTERS), "b": (SINGLES + CLUSTERS,), "near": (CONTEXT + STRIDE,)}
@@ -120,9 +199,23 @@ class Model:
         query, key = np.arange(STRIDE)[:, None] + CONTEXT, np.arange(CONTEXT + STRIDE)[None, :]
         self.gap = np.clip(query - key, 0, CONTEXT + STRIDE - 1)
         self.causal = np.where(key <= query, 0, -1e9).astype(np.float32)
-        if len(sample):
-            self.train(sample, sizes, rng)
-        self.fold()
+        self.m, self.w = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        self.steps = 0.0
+
+    def state(self) -> np.ndarray:
+        """Weights, moments and the number of steps as one vector."""
+        return np.concatenate([x.ravel() for d in (self.p, self.m, self.w) for x in d.values()] + [np.array([self.steps])]).astype(float)
+
+    def restored(self, state: np.ndarray) -> Model:
+        """A copy with the weights, moments and steps of a state."""
+        out, at = copy(self), 0
+        out.p, out.m, out.w = {}, {}, {}
+        for d in (out.p, out.m, out.w):
+            for name, x in self.p.items():
+                d[name] = state[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+        out.steps = float(state[at])
+        return out
 
     def inputs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Embedding rows of what precedes every id; a sequence begins with the begin mark."""
@@ -137,15 +230,13 @@ class Model:
         key_ok = (at >= first[:, None]) & (at < last[:, None])
         return past[np.clip(at, 0, len(past) - 1)], key_ok, at[:, CONTEXT:]
 
-    def train(self, ids: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> None:
+    def train(self, ids: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, rate: float) -> None:
+        """Gradient steps over the chosen windows, BATCH_WINDOWS at most in each."""
         past, target = self.inputs(ids, sizes), self.classes[ids]
         begin, row = windows(sizes)
         low = np.cumsum(sizes) - sizes
         p = self.p
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-        total = -(-TRAIN_WINDOWS // BATCH_WINDOWS)
-        for step in range(1, total + 1):
-            pick = rng.integers(0, len(begin), BATCH_WINDOWS)
+        for pick in np.array_split(chosen, -(-len(chosen) // BATCH_WINDOWS)) if len(chosen) else []:
             first, last = low[row[pick]], (low + sizes)[row[pick]]
             x, key_ok, at = self.gathered(begin[pick], first, last, past)
             ok = at < last[:, None]
@@ -175,13 +266,15 @@ class Model:
                 "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv), "near": np.bincount(self.gap.ravel(), weights=ds.sum(axis=0).ravel(), minlength=CONTEXT + STRIDE),
                 "E": np.zeros_like(p["E"]),
             }
-            np.add.at(grad["E"], x.ravel(), flat(dh))
-            rate = 0.02 * min(1.0, 4 * (1 - step / (total + 1)))
+            at_row = np.argsort(x.ravel(), kind="stable")
+            rows, first_of = np.unique(x.ravel()[at_row], return_index=True)
+            grad["E"][rows] = np.add.reduceat(flat(dh)[at_row], first_of, axis=0)
+            self.steps += 1
             for name, g in grad.items():
-                m, w = moments[name]
+                m, w = self.m[name], self.w[name]
                 m += 0.1 * (g - m)
                 w += 0.01 * (g * g - w)
-                p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(w / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                p[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(w / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
 
     def fold(self) -> None:
         """Tables by embedding row: what a subword asks, offers and adds; a last row of zeros stands for no subword."""
@@ -218,13 +311,53 @@ class Model:
         return out + self.within[ids]
 
 
-def _scored(model, heavy, norm: float, path: str):
+def _trained(model, turn: int, repeats: int, total: int):
+    """What a partition makes of the model in one round, times its share of all windows; the share itself is the last entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value.restored(model.value.state())
+        rng = np.random.default_rng((5, turn, TaskContext.get().partitionId()))
+        rate = 0.02 * min(1.0, 4 * (1 - turn / ROUNDS))
+        seen = used = 0
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                ids, sizes = sequences(part)
+                n = int((-(-sizes // STRIDE)).sum())
+                mine = np.arange((turn - seen) % ROUNDS, n, ROUNDS)
+                seen, used = seen + n, used + len(mine)
+                m.train(ids, sizes, np.concatenate([rng.permutation(mine) for _ in range(repeats)]), rate)
+        if used:
+            share = used / total
+            yield from _chunks(np.rint(np.append(m.state(), 1.0) * share * FIXED).astype(np.int64))
+
+    return run
+
+
+def fitted(tokens: DataFrame) -> Model:
+    """The model of the rows of tokens, all of them."""
+    n, total = subword_counts(tokens)
+    size = (EMBEDDED - SINGLES) * (SINGLES + 1)
+    model = Model(n.astype(float), vector_sum(tokens.select("ids"), _preceded(n), size) if total else np.zeros(size, np.int64))
+    for turn in range(ROUNDS if total else 0):
+        sent = tokens.sparkSession.sparkContext.broadcast(model)  # EMBEDDED rows
+        state = vector_sum(tokens.select("ids"), _trained(sent, turn, -(-LEAST_WINDOWS // total), total), len(model.state()) + 1)
+        if state[-1]:
+            model = model.restored(state[:-1] / state[-1])
+        sent.unpersist()
+    model.fold()
+    return model
+
+
+def _scored(model, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (keys, counts), tokenizer = model.value, heavy.value, word_ids(path)
+        m, (keys, counts) = model.value, heavy.value
         logs = np.log10(counts + 0.1)
         for batch in batches:
             for part in slices(batch):
-                words, before, ids, sizes = sequences(part, tokenizer)
+                data, offsets = raw_bytes(part.column("text"))
+                starts, ends, before = word_bounds(data, offsets)
+                words = word_hashes(data, starts, ends, lower=True)
+                ids, sizes = sequences(part)
                 at = np.searchsorted(keys, words)
                 at[at == len(keys)] = 0
                 known = keys[at] == words if len(keys) else np.zeros(len(words), bool)
@@ -258,18 +391,8 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     texts = counts.filter(F.col("kind") == _TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     train_tokens, distinct = n_words + texts, kinds + (texts > 0)
     norm = float(np.log10(train_tokens + 0.1 * (distinct + 1)))
-    share = min(1.0, SAMPLE_DOCS / texts) if texts else 0.0
-    drawn = source.filter(~held_out() & (F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))))
-    table = drawn.orderBy("doc_id").toArrow()
-    ids, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for batch in table.to_batches():
-        for part in slices(batch):
-            _, _, i, s = sequences(part, word_ids(tokenizer_path))
-            ids.append(i)
-            sizes.append(s)
-    sample = np.concatenate(ids)
-    subwords = np.bincount(sample, minlength=VOCABULARY).astype(float)
-    model = spark.sparkContext.broadcast(Model(subwords, sample, np.concatenate(sizes)))  # EMBEDDED rows
+    tokens = staged(source.mapInArrow(_tokenized(tokenizer_path), "doc_id long, text string, ids binary"), "subwords")
+    model = spark.sparkContext.broadcast(fitted(tokens.filter(~held_out())))  # EMBEDDED rows
     # The most frequent words, by a histogram of quarter powers of two.
     level = F.floor(F.log2("n") * 4)
     room, floor = HEAVY_WORDS, None
@@ -282,7 +405,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     order = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[order], amounts[order]))
     scored = staged(
-        source.mapInArrow(_scored(model, heavy, norm, tokenizer_path), "doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
+        tokens.mapInArrow(_scored(model, heavy), "doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
     )
     tail = scored.select("doc_id", F.explode("tail").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     rare = words.filter(level < floor) if floor is not None else words

@@ -109,6 +109,21 @@ def test_lm_base_is_exact_and_model_learns(spark):
     assert sum(r.score for r in outside) > 0.5 * uniform * sum(len(_ids(dict(rows)[r.doc_id])) for r in outside)
 
 
+def test_lm_learns_from_long_documents_and_counts_all(spark):
+    long = " ".join(["red green blue"] * 2000)
+    rows = spark.createDataFrame([(i, long) for i in range(12)], "doc_id long, text string").repartition(3)
+    got = attention_lm.score_texts(rows, WORDS).collect()
+    assert len(long) > 20_000 and all(r.score / len(_ids(long)) > -0.5 for r in got)
+
+
+def test_lm_subword_counts_are_whole(spark, docs, pairs):
+    tokens = docs.selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(attention_lm._tokenized(WORDS), "doc_id long, text string, ids binary")
+    n, windows = attention_lm.subword_counts(tokens)
+    want = [np.append(_ids(t or "")[:-1], attention_lm.END_ID) for _, t in pairs]
+    assert (n == np.bincount(np.concatenate(want), minlength=attention_lm.VOCABULARY)).all()
+    assert windows == sum(-(-len(w) // attention_lm.STRIDE) for w in want)
+
+
 def test_lm_windows_score_every_token_once():
     begin, row = attention_lm.windows(np.array([1, 32, 33, 80]))
     assert begin.tolist() == [0, 1, 33, 65, 66, 98, 130] and row.tolist() == [0, 1, 2, 2, 3, 3, 3]
