@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,6 +190,20 @@ def squeeze(codes: np.ndarray) -> np.ndarray:
     return codes[keep]
 
 
+def _named(m: Model, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether there is a letter, for every text."""
+    costs, has_letter = m.costs(text)
+    if not m.names:
+        return [UNDETERMINED] * len(text), np.zeros(len(text)), has_letter
+    best = costs.argmin(axis=1)
+    ranked = np.sort(costs, axis=1)
+    second = ranked[:, 1] if len(m.names) > 1 else np.full(len(ranked), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        margin = 1 - ranked[:, 0] / second
+    scores = np.where(has_letter, np.clip(np.nan_to_num(margin), 0, 1), 0.0)
+    return [m.names[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), has_letter.tolist(), strict=True)], scores, has_letter
+
+
 def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """doc_id, lang_pred and score of every row, by the automata of samples."""
     model = docs.sparkSession.sparkContext.broadcast(Model(samples))  # at most TOTAL_CHARS of sample text
@@ -197,16 +212,7 @@ def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
         m = model.value
         for batch in batches:
             for part in slices(batch):
-                costs, has_letter = m.costs(part.column("text"))
-                names, scores = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
-                if m.names:
-                    best = costs.argmin(axis=1)
-                    ranked = np.sort(costs, axis=1)
-                    second = ranked[:, 1] if len(m.names) > 1 else np.full(len(ranked), np.inf)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        margin = 1 - ranked[:, 0] / second
-                    scores = np.where(has_letter, np.clip(np.nan_to_num(margin), 0, 1), 0.0)
-                    names = [m.names[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), has_letter.tolist(), strict=True)]
+                names, scores, _ = _named(m, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -223,15 +229,17 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told, with all their columns; no shuffle."""
-    samples = training_sample(docs)
-    names = bool(Model(samples).names)
+    """The rows of docs that the automata do not call `und`, with all their columns; no shuffle.
+
+    Every text is parsed as in predict(). If nothing is labelled no language can be named, and rows with letters stay.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(Model(training_sample(docs)))  # at most TOTAL_CHARS of sample text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter = _is_letter()
+        m = model.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            told = [names and bool(t) and bool(letter[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)].any()) for t in texts]
-            yield batch.filter(pa.array(told, pa.bool_()))
+            for part in slices(batch):
+                names, _, has_letter = _named(m, pc.fill_null(part.column("text"), ""))
+                yield part.filter(pa.array([name != UNDETERMINED for name in names] if m.names else has_letter.tolist(), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

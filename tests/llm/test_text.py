@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from tallyspark.llm import attention_lm, decontam, lang_id, rans, resample, secrets_markov, sp_suffix
 from tallyspark.llm.common import tokenizer_file
@@ -29,6 +31,20 @@ def test_language_edge_rows(docs, empty, lone):
     assert lang_id.drop_undetermined(docs).columns == docs.columns and lang_id.drop_undetermined(empty).count() == 0
 
 
+def test_language_stage_parses_every_document(spark, docs, monkeypatch):
+    want = sorted(r.doc_id for r in lang_id.identify(docs).filter("lang_pred <> 'und'").collect())
+    assert sorted(r.doc_id for r in lang_id.drop_undetermined(docs).collect()) == want
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in lang_id.drop_undetermined(bare).collect()) == want
+    # A table that tells no language apart: the stage follows the automata, not the letters.
+    monkeypatch.setattr(lang_id, "_named", lambda m, text: (["und"] * len(text), None, None))
+    cloudpickle.register_pickle_by_value(lang_id)
+    try:
+        assert lang_id.drop_undetermined(docs).count() == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(lang_id)
+
+
 def test_automaton_counts_phrases():
     model = lang_id.Model({"x": ["abcabd"]})
     import pyarrow as pa
