@@ -4,12 +4,13 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 placeholders, the rest is lower-cased and stripped of punctuation. Windows of WINDOW template tokens are joined by hash
 with those of the benchmark, so a question asked again with other numbers or names still meets its template. For pairs
 whose shared windows hold placeholders, the values that fill them must be consistent: one value of the benchmark stands
-for one value of the document throughout.
+for one value of the document throughout an occurrence. Windows of one document and item whose positions differ by about
+the same shift are one occurrence, so a document may hold an item several times with different values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import SPACE_CLASS, id_and_text, keep_rows, staged
@@ -22,6 +23,8 @@ LEAST_LITERALS = 4
 #: A document holds an item if it has this share of the item's distinct windows, and fills slots consistently in this share.
 COVERAGE = 0.3
 CONSISTENCY = 0.5
+#: Words put in or left out at one place that do not split an occurrence; copies of an item are at least LEAST_TOKENS apart.
+SHIFT = 3
 #: Benchmark windows up to this count (about 40 bytes each) are broadcast; a larger benchmark is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
 
@@ -81,7 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows, n_shared, n_slots, n_consistent.
 
     n_windows: distinct windows of the item; n_shared: those the document has; n_slots: benchmark slot values in them, of
-    which n_consistent are filled by one document value. Null or empty texts hold nothing and items of fewer than
+    which n_consistent are filled by one document value. A pair is reported if the occurrences that fill their slots
+    consistently have its share of windows (slots are then counted in these), or if all its windows together are filled
+    consistently. Null or empty texts hold nothing and items of fewer than
     LEAST_TOKENS tokens are not looked for. Repeated items are reported each. Empty tables give an empty result.
     """
     source = id_and_text(docs)
@@ -105,27 +110,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .filter(F.col("n_shared") >= COVERAGE * F.col("n_windows"))
     )
     pairs = staged(pairs, "pairs")
+    # Windows of about the same shift are one occurrence.
+    pair = ["doc_id", "item_id"]
+    by_shift = Window.partitionBy(*pair).orderBy("shift")
+    near = matches.join(pairs.select(*pair), pair, "left_semi").withColumn("shift", F.col("d_at") - F.col("b_at"))
+    jump = near.withColumn("jump", F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) > SHIFT).cast("int"), F.lit(0)))
+    held = staged(jump.withColumn("occurrence", F.sum("jump").over(by_shift)).select(*pair, "occurrence", "h", "d_at", "b_at", "slots"), "held")
     # Slot values are looked up only where shared windows hold placeholders.
-    open_at = matches.filter("slots").join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "d_at", "b_at")
-    open_at = staged(open_at, "slots")
+    open_at = held.filter("slots").select(*pair, "occurrence", "d_at", "b_at")
     mine = _slot_values("doc_id", source.join(open_at.select("doc_id").distinct(), "doc_id", "left_semi"))
     theirs = _slot_values("item_id", benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")))
     window = lambda z, at: F.slice(F.col(z), F.col(at) + 1, WINDOW)
-    doc_side = open_at.join(mine, "doc_id").select("doc_id", "item_id", "b_at", window("z", "d_at").alias("d"))
-    both = doc_side.join(F.broadcast(theirs) if small else theirs, "item_id").select("doc_id", "item_id", "d", window("z", "b_at").alias("b"))
+    doc_side = open_at.join(mine, "doc_id").select(*pair, "occurrence", "b_at", window("z", "d_at").alias("d"))
+    both = doc_side.join(F.broadcast(theirs) if small else theirs, "item_id").select(*pair, "occurrence", "d", window("z", "b_at").alias("b"))
     slots = both.select(
-        "doc_id", "item_id", F.explode(F.filter(F.arrays_zip("d", "b"), lambda x: x["b"]["token"].isin(NUMBER, NAME, UNIT))).alias("x")
-    ).select("doc_id", "item_id", F.col("x.b.word").alias("b_word"), F.col("x.d.word").alias("d_word"))
-    consistency = (
-        slots.groupBy("doc_id", "item_id", "b_word")
-        .agg(F.countDistinct("d_word").alias("values"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("values") == 1).alias("n_consistent"))
+        *pair, "occurrence", F.explode(F.filter(F.arrays_zip("d", "b"), lambda x: x["b"]["token"].isin(NUMBER, NAME, UNIT))).alias("x")
+    ).select(*pair, "occurrence", F.col("x.b.word").alias("b_word"), F.col("x.d.word").alias("d_word"))
+    slots = staged(slots.distinct(), "slots")
+
+    def consistency(*within: str) -> DataFrame:
+        values = slots.groupBy(*within, "b_word").agg(F.countDistinct("d_word").alias("values"))
+        return values.groupBy(*within).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("values") == 1).alias("n_consistent"))
+
+    found = (
+        held.groupBy(*pair, "occurrence")
+        .agg(F.collect_set("h").alias("hs"))
+        .join(consistency(*pair, "occurrence"), [*pair, "occurrence"], "left")
+        .na.fill(0, ["n_slots", "n_consistent"])
+        .filter(F.col("n_consistent") >= CONSISTENCY * F.col("n_slots"))
+        .groupBy(*pair)
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n_found"), F.sum("n_slots").alias("found_slots"), F.sum("n_consistent").alias("found_consistent"))
     )
-    out = pairs.join(consistency, ["doc_id", "item_id"], "left").select(
-        "doc_id", "item_id", "n_windows", "n_shared", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent")
-    )
-    return out.filter(F.col("n_consistent") >= CONSISTENCY * F.col("n_slots"))
+    out = pairs.join(consistency(*pair), pair, "left").join(found, pair, "left").na.fill(0, ["n_slots", "n_consistent", "n_found"])
+    apart = F.col("n_found") >= COVERAGE * F.col("n_windows")
+    return out.filter(apart | (F.col("n_consistent") >= CONSISTENCY * F.col("n_slots"))).select(
+        *pair, "n_windows", "n_shared", F.when(apart, F.col("found_slots")).otherwise(F.col("n_slots")).alias("n_slots"),
+        F.when(apart, F.col("found_consistent")).otherwise(F.col("n_consistent")).alias("n_consistent"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -185,6 +185,14 @@ def test_decontamination_templates(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_items(spark):
+    bench = spark.createDataFrame([(1, _question("Anna", 12, "kg"))], "item_id long, text string")
+    asked = [_question("Anna", 12, "kg"), _question("Bertil", 3.5, "pounds"), _question("Cecilia", 40, "tons")]
+    texts = {10: ". ".join(asked[:2]), 11: ". ".join(asked[1:]), 12: ". so ".join(asked), 13: ". ".join(asked[:1] * 3)}
+    got = {r.doc_id: r for r in decontam.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+    assert got.keys() == texts.keys() and all(r.n_consistent == r.n_slots > 0 for r in got.values())
+
+
 def test_decontamination_matches_plain_windows(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     clean = lambda t: [x for x in (re.sub(r"[^\w]", "", y.lower()) for y in (t or "").split()) if x]
