@@ -6,6 +6,9 @@ with those of the benchmark, so a question asked again with other numbers or nam
 whose shared windows hold placeholders, the values that fill them must be consistent: one value of the benchmark stands
 for one value of the document throughout an occurrence. Windows of one document and item whose positions differ by about
 the same shift are one occurrence, so a document may hold an item several times with different values.
+
+Items none of whose windows has LEAST_LITERALS literal tokens would meet too much as templates; they are looked for with
+numbers and names left in place, by windows of their words in lower case without outer punctuation.
 """
 
 from __future__ import annotations
@@ -55,6 +58,12 @@ def _tokens(text: F.Column) -> F.Column:
     return F.filter(F.split(_template(_spaced(text)), " "), lambda t: t != "")
 
 
+def _words(text: F.Column) -> F.Column:
+    """The words of a text as they stand, in lower case and without punctuation at their ends."""
+    bare = F.regexp_replace(_spaced(text), r"(?<![\p{L}\p{N}])[^\p{L}\p{N}\x20]+|[^\p{L}\p{N}\x20]+(?![\p{L}\p{N}])", "")
+    return F.filter(F.split(F.lower(bare), " "), lambda t: t != "")
+
+
 def _windows(tokens: F.Column, n: int) -> F.Column:
     """Hashes of all n-token windows; tokens is bound once, through a one-element array, and not computed per window."""
     bound = F.transform(
@@ -65,12 +74,24 @@ def _windows(tokens: F.Column, n: int) -> F.Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (tokens a window), at (position), h (hash) and slots (whether the window holds placeholders)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    items = items.filter(F.size("w") >= LEAST_TOKENS).withColumn("n", F.least(F.size("w"), F.lit(WINDOW)))
-    cut = items.select("item_id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("at", "win"))
+    """item_id, n (tokens a window), at (position), h (hash), slots (whether the window holds placeholders) and exact.
+
+    exact windows are of the words as they stand, for items that have too few literal tokens in every template window.
+    """
+    text = F.coalesce("text", F.lit(""))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _tokens(text).alias("w"), _words(text).alias("raw"))
+    items = items.filter(F.size("w") >= LEAST_TOKENS)
+
+    def cut(words: str) -> DataFrame:
+        sized = items.withColumn("n", F.least(F.size(words), F.lit(WINDOW))).filter("n > 0")
+        starts = F.sequence(F.lit(1), F.size(words) - F.col("n") + 1)
+        return sized.select("item_id", "n", F.posexplode(F.transform(starts, lambda i: F.slice(words, i, F.col("n")))).alias("at", "win"))
+
     held = F.size(F.filter("win", lambda t: t.isin(NUMBER, NAME, UNIT)))
-    return cut.filter(F.col("n") - held >= LEAST_LITERALS).select("item_id", "n", "at", F.xxhash64("win").alias("h"), (held > 0).alias("slots"))
+    made = lambda rows, slots, exact: rows.select("item_id", "n", "at", F.xxhash64("win").alias("h"), slots.alias("slots"), F.lit(exact).alias("exact"))
+    open_ = made(cut("w").filter(F.col("n") - held >= LEAST_LITERALS), held > 0, False)
+    rest = cut("raw").join(open_.select("item_id").distinct(), "item_id", "left_anti")
+    return open_.unionByName(made(rest, F.lit(False), True))
 
 
 def _slot_values(id_column: str, rows: DataFrame) -> DataFrame:
@@ -87,19 +108,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     which n_consistent are filled by one document value. A pair is reported if the occurrences that fill their slots
     consistently have its share of windows (slots are then counted in these), or if all its windows together are filled
     consistently. Null or empty texts hold nothing and items of fewer than
-    LEAST_TOKENS tokens are not looked for. Repeated items are reported each. Empty tables give an empty result.
+    LEAST_TOKENS tokens are not looked for; items with too few literal tokens for a template are found as they stand, with
+    their own numbers and names, and have no slots. Repeated items are reported each. Empty tables give an empty result.
     """
     source = id_and_text(docs)
     marks = staged(benchmark_windows(benchmark), "windows")
     n_marks = marks.count()
-    lengths = sorted(r[0] for r in marks.select("n").distinct().collect())  # at most WINDOW values
+    lengths = sorted(tuple(r) for r in marks.select("exact", "n").distinct().collect())  # at most 2 * WINDOW rows
     by_item = marks.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"), F.max("slots").alias("has_slots"))
-    keyed = marks.select("h", "n", "item_id", F.col("at").alias("b_at"), "slots")
+    keyed = marks.select("h", "exact", "n", "item_id", F.col("at").alias("b_at"), "slots")
     small = n_marks <= BROADCAST_WINDOWS
     matches = None
-    for n in lengths or [WINDOW]:
-        rows = source.select("doc_id", F.posexplode(_windows(_tokens(F.col("text")), n)).alias("d_at", "h"))
-        mine = keyed.filter(F.col("n") == n).drop("n")
+    for exact, n in lengths or [(False, WINDOW)]:
+        words = _words if exact else _tokens
+        rows = source.select("doc_id", F.posexplode(_windows(words(F.col("text")), n)).alias("d_at", "h"))
+        mine = keyed.filter((F.col("n") == n) & (F.col("exact") == exact)).drop("n", "exact")
         part = rows.join(F.broadcast(mine) if small else mine, "h")
         matches = part if matches is None else matches.unionByName(part)
     matches = staged(matches, "matches")

@@ -193,6 +193,14 @@ def test_decontamination_of_repeated_items(spark):
     assert got.keys() == texts.keys() and all(r.n_consistent == r.n_slots > 0 for r in got.values())
 
 
+def test_decontamination_of_items_with_few_literals(spark):
+    items = [(1, "What is 7 times 8?"), (2, "Add 12 and 30 then 45, 60 and 75: take 81 from 99 3.5 7 4 11 for Anna 12 5"), (3, "Is 5 more than 4?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = {10: "so what is 7 times 8, they asked", 11: "And what is 7 times 9? Nobody knew", 12: "Well. " + items[1][1] + ". Then on.", 13: "Is 5 more than 4?", 14: "is 5 more"}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+    assert got == {(10, 1), (12, 2), (13, 3)}
+
+
 def test_decontamination_matches_plain_windows(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     clean = lambda t: [x for x in (re.sub(r"[^\w]", "", y.lower()) for y in (t or "").split()) if x]
