@@ -24,7 +24,7 @@ ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1  # 0 stands for the edge of a token
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 #: A candidate counts if it is a thousand times likelier under the model of random strings.
 THRESHOLD = math.log(1000)
 #: The training sample: about this many documents, chosen by a hash of doc_id, and this many digests.
@@ -110,7 +110,11 @@ def _hits(text: F.Column, pattern: str, kind: int, group: int, least: int, score
 
 
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """One row per span: doc_id, kind, start, end (code points, end exclusive); every document has a row, spans may be null."""
+    """One row per span: row (a number of the input row), doc_id, kind, start, end (code points, end exclusive).
+
+    Every document has a row, spans may be null. Candidates of the model are runs of at least 12 characters: shorter ones
+    hold too few character pairs to pass THRESHOLD reliably.
+    """
     text = F.col("text")
     hits = F.array(
         _hits(text, ASSIGN, 0, 2, ASSIGN_MIN),
@@ -119,18 +123,18 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
         _hits(text, CANDIDATE, 3, 0, 0),
     )
     some = F.filter(F.col("found"), lambda k: F.size(k["hits"]) > 0)
-    by_kind = id_and_text(docs).select("doc_id", hits.alias("found")).select("doc_id", F.explode_outer(some).alias("k"))
-    by_hit = by_kind.select("doc_id", "k.kind", F.posexplode_outer("k.hits").alias("at", "h")).select("doc_id", "kind", "at", "h.*")
-    order = Window.partitionBy("doc_id", "kind").orderBy("at")
+    by_kind = id_and_text(docs).select("doc_id", hits.alias("found"), F.monotonically_increasing_id().alias("row")).select("row", "doc_id", F.explode_outer(some).alias("k"))
+    by_hit = by_kind.select("row", "doc_id", "k.kind", F.posexplode_outer("k.hits").alias("at", "h")).select("row", "doc_id", "kind", "at", "h.*")
+    order = Window.partitionBy("row", "kind").orderBy("at")
     end = F.sum(F.col("gap") + F.col("size")).over(order)
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # a constant of SIDE * SIDE numbers
     score = F.aggregate(_pairs(F.col("token")), F.lit(0.0), lambda acc, cell: acc + F.element_at(weights, cell + 1))
-    found = by_hit.select("doc_id", "kind", (end - F.col("size")).alias("start"), end.alias("end"), F.when(F.col("kind") == 3, score > THRESHOLD).otherwise(F.col("ok")).alias("ok"))
+    found = by_hit.select("row", "doc_id", "kind", (end - F.col("size")).alias("start"), end.alias("end"), F.when(F.col("kind") == 3, score > THRESHOLD).otherwise(F.col("ok")).alias("ok"))
     # The model adds spans only where no base span is.
     base_end = F.when(F.col("ok") & (F.col("kind") < 3), F.col("end"))
     base_start = F.when(F.col("ok") & (F.col("kind") < 3), F.col("start"))
-    before = Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("row").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     clash = F.coalesce(F.max(base_end).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(base_start).over(after) < F.col("end"), F.lit(False))
     return found.withColumn("ok", F.col("ok") & ((F.col("kind") < 3) | ~clash))
 
@@ -138,15 +142,15 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model.
 
-    Null text has no spans; the digest of no spans is that of the empty string. doc_id has to be unique (rows that repeat
-    one share a row of the result). An empty table gives an empty result; other columns are not read.
+    Null text has no spans; the digest of no spans is that of the empty string. Rows that repeat a doc_id are
+    scanned each for itself; rows without one take no part. An empty table gives an empty result; other columns are not read.
     """
     spans = scan(docs, train(docs))
     names = F.array(*(F.lit(k) for k in KINDS))
     listed = lambda keep: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("start", "kind", "end")))), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
     ok = F.coalesce(F.col("ok"), F.lit(False))
     count = lambda k: F.sum((ok & (F.col("kind") == k)).cast("long"))
-    grouped = spans.groupBy("doc_id").agg(
+    grouped = spans.groupBy("row", "doc_id").agg(
         *(F.coalesce(count(i), F.lit(0)).alias(f"n_{k}") for i, k in enumerate(KINDS)),
         listed(ok & (F.col("kind") < 3)).alias("base"),
         listed(ok).alias("spans"),
