@@ -1,12 +1,17 @@
 """Log-probabilities of texts: a causal self-attention model over subword ids, beside a smoothed word unigram base.
 
-The model predicts the class of the next subword from the last CONTEXT to CONTEXT + STRIDE - 1 subwords by one causal
-attention head with relative position biases, and the subword within its class by its smoothed share:
-p(id | past) = p(class(id) | past) * p(id | class(id)). Subword counts, classes and weights come from all training documents,
-whole: each text is tokenized once and its ids are staged; counts are vectors summed over the partitions; the weights are
-fitted in ROUNDS rounds, in each of which every partition takes its gradient steps over its own share of the windows and the
-results are averaged by windows. After the last round every window of the corpus has been used. Texts are scored in
-windows of CONTEXT + STRIDE positions that overlap by CONTEXT, so every token is scored once, in masked batches.
+The model predicts the next subword from the last CONTEXT to CONTEXT + QUERIES - 1 subwords by one causal attention head.
+What a subword offers as its value is a distribution over classes of subwords: how often each class comes next, next but
+one, or a little later, by counts. The head weighs these distributions, and that of all text, by a bilinear form of the
+embeddings of the last subword and the key, a bias of the key and a bias of the distance; p(id | past) is the weighted
+mean times the smoothed share of the subword within its class.
+
+Subword counts, classes, embeddings (the main directions of the counts), distributions and weights come from all training
+documents, whole: each text is tokenized once and its ids are staged; counts are vectors summed over the partitions; the
+weights are fitted in ROUNDS rounds, in each of which every partition takes its gradient steps over its own share of the
+windows and the results are averaged by windows. After the last round every window of the corpus has been used. Texts are
+scored in windows of STRIDE positions that see CONTEXT positions before them, so windows overlap and every token is scored
+once, in masked batches.
 
 Word counts of the base are exact. The most frequent words (at most HEAVY_WORDS) are broadcast; the rest of each
 document's words meet their counts in a join.
@@ -14,6 +19,7 @@ document's words meet their counts in a join.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from copy import copy
 
@@ -28,15 +34,30 @@ from tallyspark.llm.rans import document_ids, word_ids
 
 CONTEXT = 16
 STRIDE = 32
+#: Queries that attend together; a window is cut into such blocks, so that fewer keys lie after a query.
+QUERIES = 16
 WIDTH = 16
 #: Subwords with an embedding of their own (the most frequent), and classes: single subwords, then clusters.
 EMBEDDED = 4096
-SINGLES, CLUSTERS = 64, 32
+SINGLES, CLUSTERS = 960, 64
+CLASSES = SINGLES + CLUSTERS
+#: The most frequent subwords, by which the others are told apart when they are clustered.
+PROFILE = 64
+#: Distances that count as next, next but one, and later.
+LATER = (2, 3, 4, 5)
+TABLES = 3
+#: How many observations the share in all text counts for in a distribution.
+PRIOR = 4.0
+#: What is added to the count of every subword.
+RARE = 0.1
+#: Bounds of exponents and of weights.
+MOST = np.float32(60)
+REACH = 8.0
 ROUNDS = 8
 #: A corpus with fewer training windows than this is gone through several times.
 LEAST_WINDOWS = 40_000
-BATCH_WINDOWS = 256
-SCORE_WINDOWS = 512
+BATCH_WINDOWS = 128
+SCORE_WINDOWS = 64
 HEAVY_WORDS = 1 << 18
 #: Bytes of text that one pass counts; a larger pass sends fewer partial counts.
 COUNT_BYTES = 4 << 20
@@ -75,18 +96,27 @@ def sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
-    cuts = [vector[i : i + CHUNK].tobytes() for i in range(0, len(vector), CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.binary())], names=["chunk", "v"])
+    """The chunks of a vector that are not all zero, packed."""
+    cuts = ((i // CHUNK, vector[i : i + CHUNK]) for i in range(0, len(vector), CHUNK))
+    yield _packed({i: x for i, x in cuts if x.any()})
+
+
+def _packed(chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1) for x in chunks.values()], pa.binary())], names=["chunk", "v"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist(), strict=True):
+        yield chunk, np.frombuffer(zlib.decompress(v), np.int64)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            x = np.frombuffer(v, np.int64)
+        for chunk, x in _unpacked(batch):
             total[chunk] = total[chunk] + x if chunk in total else x
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "v"])
+        yield _packed(total)
 
 
 def vector_sum(rows: DataFrame, of: Callable, size: int) -> np.ndarray:
@@ -94,8 +124,8 @@ def vector_sum(rows: DataFrame, of: Callable, size: int) -> np.ndarray:
     made = rows.mapInArrow(of, "chunk int, v binary").repartition("chunk").mapInArrow(_added, "chunk int, v binary")
     out = np.zeros(size, np.int64)
     for batch in made.toArrow().to_batches():
-        for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(v, np.int64)
+        for chunk, x in _unpacked(batch):
+            out[chunk * CHUNK : (chunk + 1) * CHUNK] = x
     return out
 
 
@@ -133,15 +163,15 @@ def _order(n: np.ndarray) -> np.ndarray:
 
 
 def _preceded(n: np.ndarray):
-    """Counts of (clustered subword, class of the subword before it); the first of a text comes after an end."""
+    """Counts of (clustered subword, frequent subword before it or none of them); the first of a text comes after an end."""
     order = _order(n)
-    before = np.full(VOCABULARY, SINGLES, np.int64)
-    before[order[:SINGLES]] = np.arange(SINGLES)
+    before = np.full(VOCABULARY, PROFILE, np.int64)
+    before[order[:PROFILE]] = np.arange(PROFILE)
     place = np.full(VOCABULARY, -1, np.int64)
     place[order[SINGLES:EMBEDDED]] = np.arange(EMBEDDED - SINGLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((EMBEDDED - SINGLES) * (SINGLES + 1), np.int64)
+        total = np.zeros((EMBEDDED - SINGLES) * (PROFILE + 1), np.int64)
         for batch in batches:
             for part in slices(batch, "ids"):
                 ids, sizes = sequences(part)
@@ -150,7 +180,7 @@ def _preceded(n: np.ndarray):
                 past[np.cumsum(sizes) - sizes] = END_ID
                 at = place[ids]
                 ok = at >= 0
-                total += np.bincount(at[ok] * (SINGLES + 1) + before[past[ok]], minlength=len(total))
+                total += np.bincount(at[ok] * (PROFILE + 1) + before[past[ok]], minlength=len(total))
         yield from _chunks(total)
 
     return run
@@ -175,6 +205,40 @@ def _classes(n: np.ndarray, preceded: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rows(n: np.ndarray) -> np.ndarray:
+    """Embedding row of every id: the most frequent have their own, all others share row 0."""
+    out = np.zeros(VOCABULARY, np.int64)
+    out[_order(n)[: EMBEDDED - 2]] = np.arange(1, EMBEDDED - 1)
+    out[BEGIN_ID] = EMBEDDED - 1
+    return out
+
+
+def inputs(rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Embedding rows of what precedes every id; a sequence begins with the begin mark."""
+    past = np.empty(len(ids), np.int64)
+    past[1:] = rows[ids[:-1]]
+    past[np.cumsum(sizes) - sizes] = EMBEDDED - 1
+    return past
+
+
+def _followed(rows: np.ndarray, classes: np.ndarray):
+    """Counts of (how much later, embedding row, class): TABLES * EMBEDDED * CLASSES of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((TABLES, EMBEDDED * CLASSES), np.int32)
+        for batch in batches:
+            for part in slices(batch, "ids"):
+                ids, sizes = sequences(part)
+                cell, target = inputs(rows, ids, sizes) * CLASSES, classes[ids]
+                left = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # ids of the same text before
+                for distance in (0, 1, *LATER):
+                    ok = np.flatnonzero(left >= distance)
+                    total[min(distance, TABLES - 1)] += np.bincount(cell[ok - distance] + target[ok], minlength=EMBEDDED * CLASSES)
+        yield from _chunks(total.ravel())
+
+    return run
+
+
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First query position and sequence of every window over concatenated sequences."""
     per = -(-sizes // STRIDE)
@@ -184,23 +248,35 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Embeddings and head; score() gives the natural log-probability of every id of concatenated sequences."""
+    """Distributions, embeddings and head; score() gives the natural log-probability of every id of concatenated sequences."""
 
     def __init__(self, n: np.ndarray, preceded: np.ndarray):
-        self.classes = _classes(n, preceded)
-        weight = n + 0.5
-        self.within = np.log(weight / np.bincount(self.classes, weights=weight)[self.classes]).astype(np.float32)
-        self.row = np.zeros(VOCABULARY, np.int64)  # 0: no embedding of its own
-        self.row[_order(n)[: EMBEDDED - 2]] = np.arange(1, EMBEDDED - 1)
-        self.row[BEGIN_ID] = EMBEDDED - 1
-        rng = np.random.default_rng(5)
-        shape = {"E": (EMBEDDED, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "U": (WIDTH, SINGLES + CLUSTERS), "b": (SINGLES + CLUSTERS,), "near": (CONTEXT + STRIDE,)}
-        self.p = {k: (rng.standard_normal(s) * (0.3 if k == "E" else 0.25) * (k not in ("b", "near"))).astype(np.float32) for k, s in shape.items()}
-        query, key = np.arange(STRIDE)[:, None] + CONTEXT, np.arange(CONTEXT + STRIDE)[None, :]
-        self.gap = np.clip(query - key, 0, CONTEXT + STRIDE - 1)
-        self.causal = np.where(key <= query, 0, -1e9).astype(np.float32)
+        self.classes, self.row = _classes(n, preceded), _rows(n)
+        weight = n + RARE
+        share = np.bincount(self.classes, weights=weight, minlength=CLASSES)
+        self.within = np.log(weight / np.maximum(share, 1e-12)[self.classes]).astype(np.float32)
+        self.share = share / share.sum()
+        # The key after the last stands for all text; it has a place of its own among the distances.
+        query, key = np.arange(QUERIES)[:, None] + CONTEXT, np.arange(CONTEXT + QUERIES + 1)[None, :]
+        self.gap = np.where(key < CONTEXT + QUERIES, np.clip(query - key, 0, None), CONTEXT + QUERIES)
+        self.causal = np.where((key <= query) | (key == CONTEXT + QUERIES), 0, -1e9).astype(np.float32)
+        self.table = (np.minimum(self.gap, TABLES - 1) * (EMBEDDED + 1) * CLASSES).astype(np.int32)
+        self.p = {"bilinear": np.zeros((WIDTH, WIDTH), np.float32), "key": np.zeros(EMBEDDED + 1, np.float32), "near": -np.log1p(np.arange(CONTEXT + QUERIES + 1)).astype(np.float32)}
         self.m, self.w = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.steps = 0.0
+        self.learn(np.zeros((TABLES, EMBEDDED, CLASSES), np.int8))
+
+    def learn(self, followed: np.ndarray) -> None:
+        """Take the counts of classes after each embedding row: distributions and embeddings. The last row is all text."""
+        self.value = np.empty((TABLES, EMBEDDED + 1, CLASSES), np.float32)
+        for counts, value in zip(followed, self.value, strict=True):
+            value[:EMBEDDED] = (counts + PRIOR * self.share) / (counts.sum(axis=1, keepdims=True) + PRIOR)
+        self.value[:, EMBEDDED] = self.share
+        profile = np.sqrt(self.value[0]) - np.sqrt(self.share)
+        self.value = self.value.ravel()
+        main = np.linalg.eigh(profile.T @ profile)[1][:, -WIDTH:]
+        spread = profile @ main
+        self.embedding = (spread / np.maximum(spread.std(axis=0), 1e-9)).clip(-4, 4).astype(np.float32)
 
     def state(self) -> np.ndarray:
         """Weights, moments and the number of steps as one vector."""
@@ -217,97 +293,64 @@ class Model:
         out.steps = float(state[at])
         return out
 
-    def inputs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Embedding rows of what precedes every id; a sequence begins with the begin mark."""
-        past = np.empty(len(ids), np.int64)
-        past[1:] = self.row[ids[:-1]]
-        past[np.cumsum(sizes) - sizes] = EMBEDDED - 1
-        return past
-
-    def gathered(self, begin: np.ndarray, first: np.ndarray, last: np.ndarray, past: np.ndarray):
-        """Rows (windows, CONTEXT + STRIDE) of the windows and the masks of keys and queries that exist."""
-        at = begin[:, None] + np.arange(-CONTEXT, STRIDE)
-        key_ok = (at >= first[:, None]) & (at < last[:, None])
-        return past[np.clip(at, 0, len(past) - 1)], key_ok, at[:, CONTEXT:]
+    def attended(self, begin: np.ndarray, first: np.ndarray, last: np.ndarray, past: np.ndarray, target: np.ndarray):
+        """Of windows' blocks: key rows, queries that exist, keys and last subwords as vectors, weights, values at the targets."""
+        begin = begin[:, None] + np.arange(0, STRIDE, QUERIES)
+        some = begin < last[:, None]
+        first, last, begin = (np.broadcast_to(x, some.shape)[some][:, None] for x in (first[:, None], last[:, None], begin))
+        at = begin + np.arange(-CONTEXT, QUERIES)
+        exists = (at >= first) & (at < last)
+        x = np.full((len(begin), CONTEXT + QUERIES + 1), EMBEDDED, np.int32)  # what does not exist offers what all text does
+        near = np.clip(at, 0, len(past) - 1)
+        x[:, :-1] = np.where(exists, past[near], EMBEDDED)
+        keys = self.embedding.take(x, axis=0)
+        ask = np.ascontiguousarray(keys[:, CONTEXT:-1])
+        weight = (ask.reshape(-1, WIDTH) @ self.p["bilinear"]).reshape(ask.shape) @ keys.transpose(0, 2, 1)
+        weight += self.p["near"][self.gap] + self.causal
+        weight += self.p["key"][x][:, None, :]
+        np.minimum(weight, MOST, out=weight)
+        np.exp(weight, out=weight)
+        cell = (x * np.int32(CLASSES))[:, None, :] + self.table
+        cell += target[near[:, CONTEXT:]].astype(np.int32)[:, :, None]
+        return x, exists[:, CONTEXT:], keys, ask, weight, self.value.take(cell), at[:, CONTEXT:]
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, rate: float) -> None:
         """Gradient steps over the chosen windows, BATCH_WINDOWS at most in each."""
-        past, target = self.inputs(ids, sizes), self.classes[ids]
+        past, target = inputs(self.row, ids, sizes), self.classes[ids]
         begin, row = windows(sizes)
         low = np.cumsum(sizes) - sizes
-        p = self.p
         for pick in np.array_split(chosen, -(-len(chosen) // BATCH_WINDOWS)) if len(chosen) else []:
-            first, last = low[row[pick]], (low + sizes)[row[pick]]
-            x, key_ok, at = self.gathered(begin[pick], first, last, past)
-            ok = at < last[:, None]
-            h = p["E"][x]
-            hq = h[:, CONTEXT:]
-            q, k, v = hq @ p["q"], h @ p["k"], h @ p["v"]
-            s = q @ k.transpose(0, 2, 1) / np.float32(WIDTH**0.5) + p["near"][self.gap] + self.causal + np.where(key_ok, 0, np.float32(-1e9))[:, None, :]
-            a = np.exp(s - s.max(axis=2, keepdims=True))
-            a /= a.sum(axis=2, keepdims=True)
-            z = a @ v + hq @ p["r"]
-            logits = z @ p["U"] + p["b"]
-            prob = np.exp(logits - logits.max(axis=2, keepdims=True))
-            prob /= prob.sum(axis=2, keepdims=True)
-            d = prob
-            want = target[np.minimum(at, len(target) - 1)]
-            np.put_along_axis(d, want[:, :, None], np.take_along_axis(d, want[:, :, None], 2) - 1, 2)
-            d = d * (ok[:, :, None] / np.float32(max(ok.sum(), 1)))
-            flat = lambda m: m.reshape(-1, m.shape[-1])
-            dz = d @ p["U"].T
-            da = dz @ v.transpose(0, 2, 1)
-            ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-            dq, dk, dv = ds @ k / np.float32(WIDTH**0.5), ds.transpose(0, 2, 1) @ q / np.float32(WIDTH**0.5), a.transpose(0, 2, 1) @ dz
-            dh = dk @ p["k"].T + dv @ p["v"].T
-            dh[:, CONTEXT:] += dq @ p["q"].T + dz @ p["r"].T
+            x, exists, keys, ask, weight, value, _ = self.attended(begin[pick], low[row[pick]], (low + sizes)[row[pick]], past, target)
+            share = exists / np.float32(max(exists.sum(), 1))
+            # The derivative of -log(sum(weight * value) / sum(weight)) by the exponents.
+            value *= weight
+            value *= (share / value.sum(axis=2))[:, :, None]
+            weight *= (share / weight.sum(axis=2))[:, :, None]
+            weight -= value
             grad = {
-                "U": flat(z).T @ flat(d), "b": flat(d).sum(axis=0), "r": flat(hq).T @ flat(dz), "q": flat(hq).T @ flat(dq),
-                "k": flat(h).T @ flat(dk), "v": flat(h).T @ flat(dv), "near": np.bincount(self.gap.ravel(), weights=ds.sum(axis=0).ravel(), minlength=CONTEXT + STRIDE),
-                "E": np.zeros_like(p["E"]),
-            }
-            at_row = np.argsort(x.ravel(), kind="stable")
-            rows, first_of = np.unique(x.ravel()[at_row], return_index=True)
-            grad["E"][rows] = np.add.reduceat(flat(dh)[at_row], first_of, axis=0)
+                "bilinear": ask.reshape(-1, WIDTH).T @ (weight @ keys).reshape(-1, WIDTH),
+                "key": np.bincount(x.ravel(), weights=weight.sum(axis=1).ravel(), minlength=EMBEDDED + 1),
+                "near": np.bincount(self.gap.ravel(), weights=weight.sum(axis=0).ravel(), minlength=CONTEXT + QUERIES + 1),
+            }
             self.steps += 1
             for name, g in grad.items():
                 m, w = self.m[name], self.w[name]
                 m += 0.1 * (g - m)
                 w += 0.01 * (g * g - w)
-                p[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(w / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-
-    def fold(self) -> None:
-        """Tables by embedding row: what a subword asks, offers and adds; a last row of zeros stands for no subword."""
-        p = self.p
-        padded = lambda m: np.ascontiguousarray(np.vstack((m, np.zeros((1, m.shape[1]), np.float32))))
-        self.ask, self.offer = padded(p["E"] @ p["q"] / np.float32(WIDTH**0.5)), padded(p["E"] @ p["k"])
-        self.value = padded(np.hstack((p["E"] @ p["v"], np.ones((EMBEDDED, 1), np.float32))))  # the ones sum the weights
-        self.own = padded(p["E"] @ p["r"] @ p["U"] + p["b"])
-        self.bias = p["near"][self.gap] + self.causal
+                step = rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(w / (1 - 0.99**self.steps)) + 1e-8)
+                self.p[name] = np.clip(self.p[name] - step, -REACH, REACH).astype(np.float32)
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        past, target = self.inputs(ids, sizes), self.classes[ids]
+        past, target = inputs(self.row, ids, sizes), self.classes[ids]
         begin, row = windows(sizes)
         low = np.cumsum(sizes) - sizes
         first, last = low[row], (low + sizes)[row]
         out = np.zeros(len(ids), np.float32)
-        most, ones = np.float32(60), np.ones(SINGLES + CLUSTERS, np.float32)
         for i in range(0, len(begin), SCORE_WINDOWS):
             take = slice(i, i + SCORE_WINDOWS)
-            x, key_ok, at = self.gathered(begin[take], first[take], last[take], past)
-            x = np.where(key_ok, x, EMBEDDED)
-            weight = self.ask[x[:, CONTEXT:]] @ self.offer[x].transpose(0, 2, 1)
-            weight += self.bias
-            np.minimum(weight, most, out=weight)
-            np.exp(weight, out=weight)
-            z = (weight @ self.value[x]).reshape(-1, WIDTH + 1)
-            ok = key_ok[:, CONTEXT:].ravel()
-            z, here, query = z[ok], at.ravel()[ok], x[:, CONTEXT:].ravel()[ok]
-            logits = (z[:, :WIDTH] / z[:, WIDTH:]) @ self.p["U"]
-            logits += self.own[query]
-            np.minimum(logits, most, out=logits)
-            chosen = logits[np.arange(len(here)), target[here]]
-            out[here] = chosen - np.log(np.exp(logits, out=logits) @ ones)
+            _, exists, _, _, weight, value, at = self.attended(begin[take], first[take], last[take], past, target)
+            value *= weight
+            out[at[exists]] = np.log(value.sum(axis=2) / weight.sum(axis=2))[exists]
         return out + self.within[ids]
 
 
@@ -317,7 +360,7 @@ def _trained(model, turn: int, repeats: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value.restored(model.value.state())
         rng = np.random.default_rng((5, turn, TaskContext.get().partitionId()))
-        rate = 0.02 * min(1.0, 4 * (1 - turn / ROUNDS))
+        rate = 0.01 * min(1.0, 4 * (1 - turn / ROUNDS))
         seen = used = 0
         for batch in batches:
             for part in slices(batch, "ids"):
@@ -336,15 +379,16 @@ def _trained(model, turn: int, repeats: int, total: int):
 def fitted(tokens: DataFrame) -> Model:
     """The model of the rows of tokens, all of them."""
     n, total = subword_counts(tokens)
-    size = (EMBEDDED - SINGLES) * (SINGLES + 1)
+    size = (EMBEDDED - SINGLES) * (PROFILE + 1)
     model = Model(n.astype(float), vector_sum(tokens.select("ids"), _preceded(n), size) if total else np.zeros(size, np.int64))
+    if total:
+        model.learn(vector_sum(tokens.select("ids"), _followed(model.row, model.classes), TABLES * EMBEDDED * CLASSES).reshape(TABLES, EMBEDDED, CLASSES))
     for turn in range(ROUNDS if total else 0):
-        sent = tokens.sparkSession.sparkContext.broadcast(model)  # EMBEDDED rows
+        sent = tokens.sparkSession.sparkContext.broadcast(model)  # TABLES * EMBEDDED * CLASSES numbers
         state = vector_sum(tokens.select("ids"), _trained(sent, turn, -(-LEAST_WINDOWS // total), total), len(model.state()) + 1)
         if state[-1]:
             model = model.restored(state[:-1] / state[-1])
         sent.unpersist()
-    model.fold()
     return model
 
 
@@ -392,7 +436,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     train_tokens, distinct = n_words + texts, kinds + (texts > 0)
     norm = float(np.log10(train_tokens + 0.1 * (distinct + 1)))
     tokens = staged(source.mapInArrow(_tokenized(tokenizer_path), "doc_id long, text string, ids binary"), "subwords")
-    model = spark.sparkContext.broadcast(fitted(tokens.filter(~held_out())))  # EMBEDDED rows
+    model = spark.sparkContext.broadcast(fitted(tokens.filter(~held_out())))  # TABLES * EMBEDDED * CLASSES numbers
     # The most frequent words, by a histogram of quarter powers of two.
     level = F.floor(F.log2("n") * 4)
     room, floor = HEAVY_WORDS, None
