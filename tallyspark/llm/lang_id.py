@@ -6,6 +6,9 @@ by the bits that point into its sample (log2 of the sample length) and divided b
 
 Characters are lower-cased, runs of anything but letters are one gap character, and documents are parsed in blocks of
 BLOCK characters so that numpy can advance all blocks of a batch together; whole texts are parsed.
+
+Letters have classes of one byte. The FREQUENT most frequent letters of the samples have one each; every other letter is
+spelled by two classes, from its code point, so scripts with thousands of letters keep them apart.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ SAMPLE_ROWS = 200
 LONG_ROW = 4_000
 BLOCK = 256
 UNDETERMINED = "und"
+#: Letters with a class of their own; the rest is spelled by one of HIGHS first and one of LOWS second classes.
+FREQUENT = 61
+HIGHS, LOWS = 128, 64
 
-_OTHER, _GAP, _PAD = 0, 1, 2
+_NONE, _GAP, _PAD, _FIRST = 0, 1, 2, 3
+_HIGH, _LOW = _FIRST + FREQUENT, _FIRST + FREQUENT + HIGHS
 _COUNT_SHIFT, _STATE_MASK = np.uint32(30), np.uint32((1 << 30) - 1)
 _letters: dict[str, np.ndarray] = {}
 
@@ -68,20 +75,43 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def _codes_table(samples: dict[str, list[str]]) -> np.ndarray:
-    """Class of every code point: gap for what is no letter, one class a frequent letter (both cases), other for the rest."""
+def _codes_tables(samples: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """First and second class of every code point: gap for what is no letter, one class a frequent letter (both cases).
+
+    Other letters have two classes, by the bits of their code point in lower case; where there is no second class it is 0.
+    """
     seen: dict[str, int] = {}
     for texts in samples.values():
         for ch in "".join(texts).lower():
             if ch.isalpha():
                 seen[ch] = seen.get(ch, 0) + 1
-    frequent = sorted(seen, key=lambda ch: (-seen[ch], ch))[:253]
-    table = np.where(_is_letter(), _OTHER, _GAP).astype(np.uint8)
-    for i, ch in enumerate(frequent):
+    points = np.arange(0x110000)
+    rest = _is_letter()
+    for ch in map(chr, np.flatnonzero(rest & (points < 0x20000))):
+        low = ch.lower()
+        if low != ch and len(low) == 1:
+            points[ord(ch)] = ord(low)
+    first = np.where(rest, _HIGH + points // LOWS % HIGHS, _GAP).astype(np.uint8)
+    second = np.where(rest, _LOW + points % LOWS, _NONE).astype(np.uint8)
+    for i, ch in enumerate(sorted(seen, key=lambda ch: (-seen[ch], ch))[:FREQUENT]):
         for form in {ch, ch.upper()}:
             if len(form) == 1:
-                table[ord(form)] = i + 3
-    return table
+                first[ord(form)], second[ord(form)] = _FIRST + i, _NONE
+    return first, second
+
+
+def spelled(points: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of code points in order, and how many classes stand before each (points + 1 entries)."""
+    head, tail = first[points], second[points]
+    two = tail != _NONE
+    before = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + two, out=before[1:])
+    if not two.any():
+        return head, before
+    out = np.empty(int(before[-1]), np.uint8)
+    out[before[:-1]] = head
+    out[before[1:][two] - 1] = tail[two]
+    return out, before
 
 
 def automaton(codes: list[int], width: int) -> np.ndarray:
@@ -129,13 +159,12 @@ class Model:
     """Parse tables by language, in the order of the names."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.codes = _codes_table(samples)
-        self.width = int(self.codes.max()) + 1 if samples else 3
-        self.width = max(self.width, 3)
+        self.first, self.second = _codes_tables(samples)
+        self.width = _LOW + LOWS
         self.names, self.tables, self.bits = [], [], []
         for name in sorted(samples):
             points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in samples[name]]
-            codes = [c for t in points for c in [*squeeze(self.codes[t]).tolist(), _GAP]]
+            codes = [c for t in points for c in [*squeeze(spelled(t, self.first, self.second)[0]).tolist(), _GAP]]
             if len(codes) > 1:
                 self.names.append(name)
                 self.tables.append(automaton(codes, self.width))
@@ -151,7 +180,8 @@ class Model:
         letters = np.zeros(len(points) + 1, np.int64)
         np.cumsum(_is_letter()[points], out=letters[1:])
         has_letter = letters[bounds[1:]] > letters[bounds[:-1]]
-        codes = self.codes[points]
+        codes, before = spelled(points, self.first, self.second)
+        bounds = before[bounds]
         fresh = np.ones(len(codes), bool)
         fresh[1:] = (codes[1:] != _GAP) | (codes[:-1] != _GAP)
         inner = bounds[1:-1]
