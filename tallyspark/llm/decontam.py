@@ -4,7 +4,7 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 placeholders, the rest is lower-cased and stripped of punctuation. Windows of WINDOW template tokens are joined by hash
 with those of the benchmark, so a question asked again with other numbers or names still meets its template. For pairs
 whose shared windows hold placeholders, the values that fill them must be consistent: one value of the benchmark stands
-for one value of the document throughout an occurrence. Windows of one document and item whose positions differ by about
+for one value of the document throughout an occurrence, and the other way round. Windows of one document and item whose positions differ by about
 the same shift are one occurrence, so a document may hold an item several times with different values.
 
 Items none of whose windows has LEAST_LITERALS literal tokens would meet too much as templates; they are looked for with
@@ -20,7 +20,7 @@ from tallyspark.llm.common import SPACE_CLASS, id_and_text, keep_rows, staged
 
 WINDOW = 8
 #: Benchmark items below this many template tokens say too little to be looked for; items below WINDOW are one window.
-LEAST_TOKENS = 5
+LEAST_TOKENS = 3
 #: Literal (not placeholder) tokens that a window needs.
 LEAST_LITERALS = 4
 #: A document holds an item if it has this share of the item's distinct windows, and fills slots consistently in this share.
@@ -64,13 +64,20 @@ def _words(text: F.Column) -> F.Column:
     return F.filter(F.split(F.lower(bare), " "), lambda t: t != "")
 
 
-def _windows(tokens: F.Column, n: int) -> F.Column:
-    """Hashes of all n-token windows; tokens is bound once, through a one-element array, and not computed per window."""
-    bound = F.transform(
-        F.array(tokens),
-        lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>")),
-    )
-    return F.element_at(bound, 1)
+def _hash(tokens: F.Column, exact: bool) -> F.Column:
+    """Template windows and windows of words as they stand hash apart; windows of different lengths do anyway."""
+    return F.xxhash64(F.lit(exact), tokens)
+
+
+def _windows(tokens: F.Column, lengths: list[int], exact: bool) -> F.Column:
+    """Position, length and hash of all windows of the given lengths; tokens is bound once, through a one-element array."""
+
+    def cut(w: F.Column, n: int) -> F.Column:
+        made = lambda i: F.struct((i - 1).alias("d_at"), _hash(F.slice(w, i, n), exact).alias("h"))
+        none = F.array().cast("array<struct<d_at:int,h:bigint>>")
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), made)).otherwise(none)
+
+    return F.flatten(F.transform(F.array(tokens), lambda w: F.concat(*(cut(w, n) for n in lengths))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         return sized.select("item_id", "n", F.posexplode(F.transform(starts, lambda i: F.slice(words, i, F.col("n")))).alias("at", "win"))
 
     held = F.size(F.filter("win", lambda t: t.isin(NUMBER, NAME, UNIT)))
-    made = lambda rows, slots, exact: rows.select("item_id", "n", "at", F.xxhash64("win").alias("h"), slots.alias("slots"), F.lit(exact).alias("exact"))
+    made = lambda rows, slots, exact: rows.select("item_id", "n", "at", _hash(F.col("win"), exact).alias("h"), slots.alias("slots"), F.lit(exact).alias("exact"))
     open_ = made(cut("w").filter(F.col("n") - held >= LEAST_LITERALS), held > 0, False)
     rest = cut("raw").join(open_.select("item_id").distinct(), "item_id", "left_anti")
     return open_.unionByName(made(rest, F.lit(False), True))
@@ -105,10 +112,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows, n_shared, n_slots, n_consistent.
 
     n_windows: distinct windows of the item; n_shared: those the document has; n_slots: benchmark slot values in them, of
-    which n_consistent are filled by one document value. A pair is reported if the occurrences that fill their slots
-    consistently have its share of windows (slots are then counted in these), or if all its windows together are filled
-    consistently. Null or empty texts hold nothing and items of fewer than
-    LEAST_TOKENS tokens are not looked for; items with too few literal tokens for a template are found as they stand, with
+    which n_consistent are filled by one document value that fills no other. A pair is reported if the occurrences that
+    fill their slots consistently have its share of windows (slots are then counted in these), or if all its windows
+    together are filled consistently. Null or empty texts hold nothing and items of fewer than LEAST_TOKENS tokens are not
+    looked for; items with too few literal tokens for a template are found as they stand, with
     their own numbers and names, and have no slots. Repeated items are reported each. Empty tables give an empty result.
     """
     source = id_and_text(docs)
@@ -116,15 +123,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_marks = marks.count()
     lengths = sorted(tuple(r) for r in marks.select("exact", "n").distinct().collect())  # at most 2 * WINDOW rows
     by_item = marks.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"), F.max("slots").alias("has_slots"))
-    keyed = marks.select("h", "exact", "n", "item_id", F.col("at").alias("b_at"), "slots")
+    keyed = marks.select("h", "item_id", F.col("at").alias("b_at"), "slots")
     small = n_marks <= BROADCAST_WINDOWS
-    matches = None
-    for exact, n in lengths or [(False, WINDOW)]:
-        words = _words if exact else _tokens
-        rows = source.select("doc_id", F.posexplode(_windows(words(F.col("text")), n)).alias("d_at", "h"))
-        mine = keyed.filter((F.col("n") == n) & (F.col("exact") == exact)).drop("n", "exact")
-        part = rows.join(F.broadcast(mine) if small else mine, "h")
-        matches = part if matches is None else matches.unionByName(part)
+    # Every text is cut once into template tokens and, where the benchmark has exact windows, once into words.
+    kinds = {exact: [n for e, n in lengths if e == exact] for exact in (False, True)}
+    cuts = [_windows((_words if exact else _tokens)(F.col("text")), of, exact) for exact, of in kinds.items() if of]
+    found_at = F.concat(*cuts) if cuts else F.array().cast("array<struct<d_at:int,h:bigint>>")
+    rows = source.select("doc_id", F.explode(found_at).alias("d")).select("doc_id", "d.*")
+    matches = rows.join(F.broadcast(keyed) if small else keyed, "h")
     matches = staged(matches, "matches")
     pairs = (
         matches.groupBy("doc_id", "item_id")
@@ -142,7 +148,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Slot values are looked up only where shared windows hold placeholders.
     open_at = held.filter("slots").select(*pair, "occurrence", "d_at", "b_at")
     mine = _slot_values("doc_id", source.join(open_at.select("doc_id").distinct(), "doc_id", "left_semi"))
-    theirs = _slot_values("item_id", benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")))
+    # Items without windows stay out, so what is broadcast has a bounded number of rows and of tokens.
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    theirs = _slot_values("item_id", named.join(by_item.select("item_id"), "item_id", "left_semi"))
     window = lambda z, at: F.slice(F.col(z), F.col(at) + 1, WINDOW)
     doc_side = open_at.join(mine, "doc_id").select(*pair, "occurrence", "b_at", window("z", "d_at").alias("d"))
     both = doc_side.join(F.broadcast(theirs) if small else theirs, "item_id").select(*pair, "occurrence", "d", window("z", "b_at").alias("b"))
@@ -152,8 +160,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = staged(slots.distinct(), "slots")
 
     def consistency(*within: str) -> DataFrame:
-        values = slots.groupBy(*within, "b_word").agg(F.countDistinct("d_word").alias("values"))
-        return values.groupBy(*within).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("values") == 1).alias("n_consistent"))
+        filled = slots.select(*within, "b_word", "d_word").distinct()
+        back = filled.groupBy(*within, "d_word").agg(F.count(F.lit(1)).alias("sources"))
+        values = filled.join(back, [*within, "d_word"]).groupBy(*within, "b_word").agg(F.count(F.lit(1)).alias("values"), F.max("sources").alias("sources"))
+        return values.groupBy(*within).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if((F.col("values") == 1) & (F.col("sources") == 1)).alias("n_consistent"))
 
     found = (
         held.groupBy(*pair, "occurrence")
