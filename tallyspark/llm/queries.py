@@ -14,14 +14,14 @@ from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.lang_id import identify
 from tallyspark.llm.minhash import near_duplicates
 from tallyspark.llm.rans import read_tokens, write_tokens
-from tallyspark.llm.resample import resample
+from tallyspark.llm.resample import SHARE, resample
 from tallyspark.llm.rlz import remove_repeats
 from tallyspark.llm.secrets_markov import find_secrets
 from tallyspark.llm.sp_suffix import encode as sp_encode
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return resample(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), share=SHARE)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

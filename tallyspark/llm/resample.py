@@ -1,11 +1,15 @@
 """Quality selection by importance resampling.
 
-Documents are sets of hashed word uni- and bigrams (and one bucket for the share of words that repeat the word before). Generative models (smoothed multinomials over the hash buckets) are
-fitted to target text (labelled good and not toxic), to all raw text, and to two raw components that labels name: low
+Documents are sets of hashed word uni- and bigrams (and one bucket for the share of words that repeat the word before).
+Generative models (smoothed multinomials over the hash buckets) are fitted to target text (labelled good and not toxic), to all raw text, and to two raw components that labels name: low
 quality and toxic text. A document's importance is the log-ratio of target to raw. Where the n-grams that only a rejected
 component explains (CONTRAST times likelier there, with support) add up to EVIDENCE, the ratio to that component is added,
-so a few telling words are not drowned by a long ordinary text; for the same reason long texts count by their mean. Documents are then sampled without replacement by
-Gumbel top-k: k documents of the largest importance plus Gumbel noise, which is a fixed function of doc_id.
+so a few telling words are not drowned by a long ordinary text; for the same reason long texts count by their mean.
+Documents are then sampled without replacement by Gumbel top-k: k documents of the largest importance plus Gumbel noise,
+which is a fixed function of doc_id.
+
+Two things decide who stays: evidence for a rejected component costs a document its place, and of the others a share is
+drawn by importance, so that ratio and noise choose among them.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ EVIDENCE = 3.0
 #: Long documents count as so many features (their mean ratio times this), and rejection costs this much at least.
 LENGTH = 100
 REJECTED = 50.0
+#: The share of the documents without such evidence that the registered query draws.
+SHARE = 0.95
 RAW, TARGET, LOW, TOXIC = range(4)
 #: The last buckets hold the share of words that repeat the word before.
 SHARES = 8
@@ -171,16 +177,21 @@ def top_k(keyed: DataFrame, k: int, bins: int = 4096) -> DataFrame:
     return keyed.withColumn("kept", (F.col("key") > high) | ((F.col("key") == high) & (F.col("doc_id") <= last)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+def gumbel(doc_id: F.Column) -> F.Column:
+    """Standard Gumbel noise as a fixed function of doc_id."""
+    uniform = (F.pmod(F.xxhash64(doc_id, F.lit(41)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
+    return -F.log(-F.log(uniform))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float = 1.0) -> DataFrame:
     """One row per document: doc_id, log_weight, gumbel_key, kept.
 
-    kept marks the k documents that are sampled; k defaults to the number of documents that no rejected component
-    explains better than the target does. Null and empty texts weigh 0. Without labels every weight is 0 and everything
+    kept marks the k documents that are sampled; k defaults to a share of the number of documents that no rejected
+    component explains better than the target does. Null and empty texts weigh 0. Without labels every weight is 0 and everything
     is kept. doc_id has to be unique. An empty table gives an empty result; other columns are not read.
     """
     weighed = staged(importance(docs, ratios(docs, labels)), "weights")
     if k is None:
-        k = weighed.filter(F.col("evidence") > -EVIDENCE).count()
-    uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(41)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-    keyed = weighed.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key"))
+        k = round(share * weighed.filter(F.col("evidence") > -EVIDENCE).count())
+    keyed = weighed.select("doc_id", "log_weight", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("key"))
     return top_k(staged(keyed, "keys"), k).withColumnRenamed("key", "gumbel_key")
