@@ -73,6 +73,12 @@ def test_repeated_ids_and_texts(spark):
     assert {r.group_size for r in exact_dedup.exact_dedup(rows).filter("doc_id = 1").collect()} == {1, 2}
 
 
+def test_one_row_of_equal_rows_stays(spark):
+    rows = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (1, "c d", "z"), (0, "c  d", "w"), (3, None, "n"), (4, "", "m")], "doc_id long, text string, keep_row string")
+    got = exact_dedup.drop_copies(rows)
+    assert got.columns == rows.columns and sorted((r.doc_id, (r.text or "").split()) for r in got.collect()) == [(0, ["c", "d"]), (1, ["a", "b"]), (3, [])]
+
+
 def test_empty_and_lone_rows(empty, lone):
     for op in (exact_dedup.exact_dedup, minhash.near_duplicates, rlz.remove_repeats, exact_dedup.drop_copies, minhash.drop_near_copies):
         assert op(empty).count() == 0

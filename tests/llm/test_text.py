@@ -45,6 +45,18 @@ def test_language_stage_parses_every_document(spark, docs, monkeypatch):
         cloudpickle.unregister_pickle_by_value(lang_id)
 
 
+def test_letters_beyond_the_frequent_ones_are_kept_apart(spark):
+    a, b = ("".join(chr(c) for c in range(lo, lo + 400)) for lo in (0x4E00, 0x5E00))
+    latin = "".join(chr(c) for c in range(0x61, 0x7B)) * 40
+    model = lang_id.Model({"a": [a], "b": [b], "l": [latin]})
+    import pyarrow as pa
+
+    costs, _ = model.costs(pa.array([a[100:140], b[300:330], "abcd", "ABCDEF" + a[:3]]))
+    assert costs.argmin(axis=1).tolist() == [0, 1, 2, 2]
+    head, before = lang_id.spelled(np.array([ord("a"), 0x4E05, ord("!")]), model.first, model.second)
+    assert before.tolist() == [0, 1, 3, 4] and head[3] == lang_id._GAP
+
+
 def test_automaton_counts_phrases():
     model = lang_id.Model({"x": ["abcabd"]})
     import pyarrow as pa
@@ -125,6 +137,12 @@ def test_lm_base_is_exact_and_model_learns(spark):
     assert sum(r.score for r in outside) > 0.5 * uniform * sum(len(_ids(dict(rows)[r.doc_id])) for r in outside)
 
 
+def test_lm_beats_the_base_on_held_out_text(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = attention_lm.score_texts(table, WORDS).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_lm_learns_from_long_documents_and_counts_all(spark):
     long = " ".join(["red green blue"] * 2000)
     rows = spark.createDataFrame([(i, long) for i in range(12)], "doc_id long, text string").repartition(3)
@@ -163,6 +181,14 @@ def test_secrets_base_spans(docs, pairs, empty, lone):
     assert secrets_markov.find_secrets(empty).count() == 0 and secrets_markov.find_secrets(lone).first().spans == ""
 
 
+def test_secrets_of_repeated_ids_and_short_tokens(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [(90_001, "password: hunter22"), (90_001, "password: hunter22"), (None, "password: hunter22"), (90_002, "the x7Kq9ZbW2mVt4RpL8 key")]
+    rows = table.union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.n_assign, r.spans, r.n_model) for r in secrets_markov.find_secrets(rows).filter("doc_id > 90000").collect())
+    assert got == [(90_001, 1, "assign:0:18", 0)] * 2 + [(90_002, 0, "model:4:21", 1)]
+
+
 def test_secrets_model_tells_random_from_ordinary(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     more = spark.createDataFrame([(90_001, "key Zx8Kq2LmW9vT4rYb7NpC3dFg6HjS1aQe end"), (90_002, "a thoroughly_ordinary_identifier_name here")], "doc_id long, text string")
@@ -201,6 +227,14 @@ def test_decontamination_of_items_with_few_literals(spark):
     assert got == {(10, 1), (12, 2), (13, 3)}
 
 
+def test_decontamination_slots_agree_both_ways(spark):
+    ask = "Then {} walked {} miles with {} who had walked {} miles along the river, and who was faster of them"
+    bench = spark.createDataFrame([(1, ask.format("Anna", 12, "Bert", 7)), (2, "Capital of France?")], "item_id long, text string")
+    texts = {10: ask.format("Zoe", 5, "Yann", 9), 11: ask.format("Zoe", 5, "Zoe", 5), 12: "He asked: capital of France? Paris", 13: "capital of Spain"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(rows, bench).collect()} == {(10, 1), (12, 2)}
+
+
 def test_decontamination_matches_plain_windows(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     clean = lambda t: [x for x in (re.sub(r"[^\w]", "", y.lower()) for y in (t or "").split()) if x]
@@ -221,6 +255,36 @@ def test_resampling_prefers_the_target(spark):
     assert sum(r.kept for r in resample.resample(docs, labels, k=17).collect()) == 17
 
 
+def test_resampling_weights_are_log_ratios(spark):
+    from tests.llm.conftest import prose
+
+    texts = {i: prose(i, 12) + (" good" if i % 2 else " plain") for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in resample.resample(docs, labels, share=0.5).collect()}
+    # The target over all text, by counts of distinct words, pairs and the share of repeated words.
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        repeats = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        sets[i] = {*w, *((a, b) for a, b in zip(w, w[1:], strict=False) if a != b), ("share", min(repeats * resample.SHARES // len(w), resample.SHARES - 1))}
+    raw, target = Counter(x for s in sets.values() for x in s), Counter(x for i, s in sets.items() if i < 60 and i % 2 for x in s)
+    room = resample.SMOOTHING * resample.BUCKETS
+    log = lambda c, x: math.log((c[x] + resample.SMOOTHING) / (sum(c.values()) + room))
+    close = [abs(got[i].log_weight - sum(log(target, x) - log(raw, x) for x in s)) < 1e-3 for i, s in sets.items() if got[i].log_weight > -resample.REJECTED]
+    assert sum(close) >= 0.9 * len(close) > 0  # a few documents hold words that share a bucket
+    kept = sorted(got.values(), key=lambda r: (-r.gumbel_key, r.doc_id))[: sum(r.kept for r in got.values())]
+    assert all(r.kept for r in kept) and 0 < len(kept) < len(got)
+
+
+def test_gumbel_noise_draws_in_proportion(spark):
+    weight = {0: 0.0, 1: math.log(3.0)}
+    drawn = spark.range(40_000).select((F.col("id") % 2).alias("kind"), (F.floor(F.col("id") / 2)).alias("pair"), resample.gumbel(F.col("id")).alias("g"))
+    keyed = drawn.withColumn("key", F.col("g") + F.when(F.col("kind") == 1, weight[1]).otherwise(weight[0]))
+    share = keyed.groupBy("pair").agg(F.max_by("kind", "key").alias("won")).agg(F.avg("won")).first()[0]
+    assert abs(share - 0.75) < 0.01
+
+
 def test_top_k_with_ties(spark):
     keyed = spark.createDataFrame([(i, float(i // 10)) for i in range(100)], "doc_id long, key double")
     for k in (0, 1, 15, 99, 100):
