@@ -264,20 +264,36 @@ class Model:
         self.p = {"bilinear": np.zeros((WIDTH, WIDTH), np.float32), "key": np.zeros(EMBEDDED + 1, np.float32), "near": -np.log1p(np.arange(CONTEXT + QUERIES + 1)).astype(np.float32)}
         self.m, self.w = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.steps = 0.0
-        self.learn(np.zeros((TABLES, EMBEDDED, CLASSES), np.int8))
-
-    def learn(self, followed: np.ndarray) -> None:
-        """Take the counts of classes after each embedding row: distributions and embeddings. The last row is all text."""
-        self.value = np.empty((TABLES, EMBEDDED + 1, CLASSES), np.float32)
-        for counts, value in zip(followed, self.value, strict=True):
-            value[:EMBEDDED] = (counts + PRIOR * self.share) / (counts.sum(axis=1, keepdims=True) + PRIOR)
-        self.value[:, EMBEDDED] = self.share
-        profile = np.sqrt(self.value[0]) - np.sqrt(self.share)
-        self.value = self.value.ravel()
+        self.learn(np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def learn(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        """Take the counts (all that are not 0) of classes after each embedding row: distributions and embeddings."""
+        self.cells, self.counts = cells.astype(np.int32), counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)
+        self._spread()
+        profile = np.sqrt(self.value[: (EMBEDDED + 1) * CLASSES].reshape(-1, CLASSES)) - np.sqrt(self.share)
         main = np.linalg.eigh(profile.T @ profile)[1][:, -WIDTH:]
         spread = profile @ main
         self.embedding = (spread / np.maximum(spread.std(axis=0), 1e-9)).clip(-4, 4).astype(np.float32)
 
+    def _spread(self) -> None:
+        """The distributions from the counts; the last row of each table is all text."""
+        value = np.zeros((TABLES, EMBEDDED + 1, CLASSES), np.float32)
+        table, cell = np.divmod(self.cells, EMBEDDED * CLASSES)
+        value.ravel()[table * (EMBEDDED + 1) * CLASSES + cell] = self.counts
+        total = value.sum(axis=2, keepdims=True) + np.float32(PRIOR)
+        value += (PRIOR * self.share).astype(np.float32)
+        value /= total
+        value[:, EMBEDDED] = self.share
+        self.value = value.ravel()
+
+    def __getstate__(self) -> dict:
+        """Counts travel, distributions are made of them where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k != "value"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._spread()
+
     def state(self) -> np.ndarray:
         """Weights, moments and the number of steps as one vector."""
         return np.concatenate([x.ravel() for d in (self.p, self.m, self.w) for x in d.values()] + [np.array([self.steps])]).astype(float)
@@ -354,11 +370,11 @@ class Model:
         return out + self.within[ids]
 
 
-def _trained(model, turn: int, repeats: int, total: int):
+def _trained(model, state: np.ndarray, turn: int, repeats: int, total: int):
     """What a partition makes of the model in one round, times its share of all windows; the share itself is the last entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value.restored(model.value.state())
+        m = model.value.restored(state)
         rng = np.random.default_rng((5, turn, TaskContext.get().partitionId()))
         rate = 0.01 * min(1.0, 4 * (1 - turn / ROUNDS))
         seen = used = 0
@@ -376,25 +392,26 @@ def _trained(model, turn: int, repeats: int, total: int):
     return run
 
 
-def fitted(tokens: DataFrame) -> Model:
-    """The model of the rows of tokens, all of them."""
+def fitted(tokens: DataFrame):
+    """The model of the rows of tokens, all of them: a broadcast of what was counted, and the weights as a state of it."""
     n, total = subword_counts(tokens)
-    size = (EMBEDDED - SINGLES) * (PROFILE + 1)
-    model = Model(n.astype(float), vector_sum(tokens.select("ids"), _preceded(n), size) if total else np.zeros(size, np.int64))
+    rows, size = tokens.select("ids"), (EMBEDDED - SINGLES) * (PROFILE + 1)
+    model = Model(n.astype(float), vector_sum(rows, _preceded(n), size) if total else np.zeros(size, np.int64))
     if total:
-        model.learn(vector_sum(tokens.select("ids"), _followed(model.row, model.classes), TABLES * EMBEDDED * CLASSES).reshape(TABLES, EMBEDDED, CLASSES))
+        followed = vector_sum(rows, _followed(model.row, model.classes), TABLES * EMBEDDED * CLASSES)
+        cells = np.flatnonzero(followed)
+        model.learn(cells, followed[cells])
+    sent, state = tokens.sparkSession.sparkContext.broadcast(model), model.state()  # at most TABLES * EMBEDDED * CLASSES counts
     for turn in range(ROUNDS if total else 0):
-        sent = tokens.sparkSession.sparkContext.broadcast(model)  # TABLES * EMBEDDED * CLASSES numbers
-        state = vector_sum(tokens.select("ids"), _trained(sent, turn, -(-LEAST_WINDOWS // total), total), len(model.state()) + 1)
-        if state[-1]:
-            model = model.restored(state[:-1] / state[-1])
-        sent.unpersist()
-    return model
+        new = vector_sum(rows, _trained(sent, state, turn, -(-LEAST_WINDOWS // total), total), len(state) + 1)
+        if new[-1]:
+            state = new[:-1] / new[-1]
+    return sent, state
 
 
-def _scored(model, heavy):
+def _scored(model, state: np.ndarray, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (keys, counts) = model.value, heavy.value
+        m, (keys, counts) = model.value.restored(state), heavy.value
         logs = np.log10(counts + 0.1)
         for batch in batches:
             for part in slices(batch):
@@ -436,7 +453,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     train_tokens, distinct = n_words + texts, kinds + (texts > 0)
     norm = float(np.log10(train_tokens + 0.1 * (distinct + 1)))
     tokens = staged(source.mapInArrow(_tokenized(tokenizer_path), "doc_id long, text string, ids binary"), "subwords")
-    model = spark.sparkContext.broadcast(fitted(tokens.filter(~held_out())))  # TABLES * EMBEDDED * CLASSES numbers
+    model, state = fitted(tokens.filter(~held_out()))
     # The most frequent words, by a histogram of quarter powers of two.
     level = F.floor(F.log2("n") * 4)
     room, floor = HEAVY_WORDS, None
@@ -449,7 +466,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     order = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[order], amounts[order]))
     scored = staged(
-        tokens.mapInArrow(_scored(model, heavy), "doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
+        tokens.mapInArrow(_scored(model, state, heavy), "doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
     )
     tail = scored.select("doc_id", F.explode("tail").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
     rare = words.filter(level < floor) if floor is not None else words
