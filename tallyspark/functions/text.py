@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(20,2)"
-# The marker of the reversible cell encoding and the columns that never need it.
-SAFE_PREFIX = "'hm1:"
-FORMULA_START = r"^\s*[=+\-@]"
+#: The marker of the reversible cell encoding, and what a spreadsheet would run: signs at the start, a tab or return before.
+SAFE_PREFIX = "'safe1:"
+FORMULA_START = r"^\s*[=+\-@]|^\s*[\t\r]"
 
 
 def clean_cell(cell: Column) -> Column:
@@ -81,6 +81,16 @@ def add_reason(reason: Column, more: Column) -> Column:
     return F.when(F.contains(F.coalesce(reason, F.lit("")), more), reason).otherwise(F.concat_ws("; ", F.nullif(reason, F.lit("")), more))
 
 
+def remove_reason(reason: Column, gone: str) -> Column:
+    """The reasons without one of them."""
+    return F.array_join(F.filter(F.split(F.coalesce(reason, F.lit("")), "; "), lambda x: (x != "") & (x != gone)), "; ")
+
+
+def thousands(amount: Column) -> Column:
+    """Two places, half to even, with commas between thousands."""
+    return F.format_number(F.bround(amount, 2), 2)
+
+
 def _sized(value: Column) -> Column:
     raw = F.encode(F.coalesce(value, F.lit("")), "UTF-8")
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw)), 16, "0")), raw)

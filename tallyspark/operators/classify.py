@@ -92,10 +92,10 @@ def structural(text: Column, amount: Column, account_type: Column) -> Column:
     """category>flow of cashback, interest, cash withdrawals and card payments; null if none fits."""
     t = F.lower(text)
     return (
-        F.when(t.rlike(r"\bcash\s?back\b") & (amount > 0), "Other>refund")
+        F.when(t.rlike(r"\b(cashback|cash[- ]rebate)\b") & (amount > 0), "Other>refund")
         .when(t.rlike(r"\binterest\b") & (amount > 0), "Income>income")
-        .when(t.rlike(r"\batm\b") & (amount < 0), "Cash>expense")
-        .when(t.rlike(r"\bcard payment\b|\bpayment received\b") & (amount > 0) & (account_type == "credit_card"), "Credit Card Payment>credit_card_payment")
+        .when(t.rlike(r"\b(atm|cash) withdrawal\b") & (amount < 0), "Cash>expense")
+        .when(t.rlike(r"\b(credit card payment|card payment|card settlement)\b") & (amount > 0) & (account_type == "credit_card"), "Credit Card Payment>credit_card_payment")
     )
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,12 @@ EXTERNAL = ("income", "expense", "refund")
 TRANSFERS = ("internal_transfer", "credit_card_payment", "investment_transfer")
 
 
-def flow_type(category: Column, amount: Column, account_type: Column, trusted: Column, refund_text: Column, source: Column, given: Column) -> Column:
-    """The first rule that applies: explicit, category with trusted origin, unresolved, refund, expense, unresolved."""
+def flow_type(category: Column, amount: Column, account_type: Column, trusted: Column, refund_text: Column, source: Column, given: Column, posted: Column | None = None) -> Column:
+    """The first rule that applies: explicit, category with trusted origin, unresolved, refund, expense, unresolved.
+
+    Where the amount is missing the posted amount tells the direction.
+    """
+    amount = amount if posted is None else F.coalesce(amount, posted)
     by_category = F.lit(None).cast("string")
     for name, flow in CATEGORY_FLOWS.items():
         by_category = F.when(category == name, flow).otherwise(by_category)
@@ -82,11 +85,14 @@ def transfer_status(ledger: DataFrame, candidates: DataFrame, pairs: DataFrame)
 
 
 def manual_pairs(ledger: DataFrame) -> DataFrame:
-    """Marked rows by marker: valid if exactly two of one account and currency, opposite and equal, with compatible owners."""
+    """Markers with the ids of their rows if there are two (else null) and whether they are valid.
+
+    Valid are exactly two rows of one account and currency, opposite and equal, with compatible owners.
+    """
     loose = F.coalesce("owner", F.lit("")).isin("", "Unknown", "Household")
     strict = F.collect_set(F.when(~loose, F.col("owner")))
     return ledger.filter("marker is not null").groupBy("marker").agg(
-        F.array_sort(F.collect_list("id")).alias("ids"),
+        F.when(F.count(F.lit(1)) == 2, F.array(F.min("id"), F.max("id"))).alias("ids"),
         (
             (F.count(F.lit(1)) == 2) & (F.countDistinct("account_id") == 1) & (F.countDistinct("posted_currency") == 1)
             & (F.sum("posted_amount") == 0) & (F.max("posted_amount") > 0) & (F.size(strict) <= 1)
@@ -99,7 +105,7 @@ def exchange_pairs(legs: DataFrame, tolerance: float = 0.10) -> DataFrame:
 
     Per day and institution base outflows meet as many foreign inflows of one currency. Where no reference rate is given
     the mean of the institution's events in that currency serves, if there are two or more within the tolerance. The
-    perfect matching within the tolerance has to be the only one. A day and institution is a bounded group by nature.
+    perfect matching within the tolerance has to be the only one. One task has the legs of a day and institution.
     """
     cell = legs.groupBy("date", "institution").agg(
         F.count_if(F.col("is_base")).alias("n_out"), F.count_if(~F.col("is_base")).alias("n_in"), F.countDistinct(F.when(~F.col("is_base"), F.col("currency"))).alias("kinds"),
@@ -112,26 +118,41 @@ def exchange_pairs(legs: DataFrame, tolerance: float = 0.10) -> DataFrame:
     rows = legs.join(known.select("date", "institution", "rate_ref"), ["date", "institution"]).select("date", "institution", F.col("id").cast("string").alias("id"), F.abs("amount").cast("double").alias("amount"), "is_base", F.col("rate_ref").cast("double").alias("rate"))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        out, inn = group[group.is_base], group[~group.is_base]
+        out, inn = group[group.is_base], group[~group.is_base].sort_values("amount", kind="stable")
         rate = group.rate.iloc[0]
-        edges = [[j for j, b in enumerate(inn.amount) if abs(a / b - rate) <= tolerance * rate] for a in out.amount]
-        found = list(_matchings(edges, 0, frozenset(), 2))
-        pairs = [(out.id.iloc[i], inn.id.iloc[j]) for i, j in enumerate(found[0])] if len(found) == 1 else []
+        # What an outflow may have bought is a range of the sorted inflows.
+        low = np.searchsorted(inn.amount, out.amount / (rate * (1 + tolerance)) * (1 - 1e-12))
+        high = np.searchsorted(inn.amount, out.amount / (rate * (1 - tolerance)) * (1 + 1e-12), side="right") if tolerance < 1 else np.full(len(out), len(inn))
+        amounts = inn.amount.to_numpy()
+        edges = [{j for j in range(a, b) if abs(x / amounts[j] - rate) <= tolerance * rate} for x, a, b in zip(out.amount, low, high, strict=True)]
+        found = only_matching(edges, len(inn))
+        pairs = [(out.id.iloc[i], inn.id.iloc[j]) for i, j in enumerate(found)] if found is not None else []
         return pd.DataFrame(pairs, columns=["out_id", "in_id"])
 
     return rows.groupBy("date", "institution").applyInPandas(match, "out_id string, in_id string")
 
 
-def _matchings(edges: list[list[int]], i: int, used: frozenset[int], most: int) -> Iterator[list[int]]:
-    """Perfect matchings, at most `most` of them; rows with the fewest choices left are taken as they come."""
-    if i == len(edges):
-        yield []
-        return
-    found = 0
-    for j in edges[i]:
-        if j not in used:
-            for rest in _matchings(edges, i + 1, used | {j}, most - found):
-                yield [j, *rest]
-                found += 1
-                if found >= most:
-                    return
+def only_matching(edges: list[set[int]], n: int) -> list[int] | None:
+    """The partner of every row if there is exactly one perfect matching with the n others, else None.
+
+    A bipartite graph with a single perfect matching has a row with one choice left; taking that choice leaves a graph with
+    a single perfect matching again. So the choices are forced one after the other, or there is none or more than one.
+    """
+    back: list[set[int]] = [set() for _ in range(n)]
+    for i, js in enumerate(edges):
+        for j in js:
+            back[j].add(i)
+    left, partner = [set(js) for js in edges], [-1] * len(edges)
+    forced = [i for i, js in enumerate(left) if len(js) == 1]
+    while forced:
+        i = forced.pop()
+        if partner[i] >= 0 or len(left[i]) != 1:
+            continue
+        j = next(iter(left[i]))
+        partner[i] = j
+        for other in back[j]:
+            if other != i:
+                left[other].discard(j)
+                if partner[other] < 0 and len(left[other]) == 1:
+                    forced.append(other)
+    return partner if n == len(edges) and all(j >= 0 for j in partner) and len(set(partner)) == n else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATEMENT_KEY = ["account_id", "source_id", "section", "currency"]
@@ -110,3 +110,8 @@ def in_period(rows: DataFrame, start: str | None, end: str | None, column: str =
 
 def owned_by(rows: DataFrame, owners: list[str]) -> DataFrame:
     return rows.filter(F.col("owner").isin(*owners)) if owners else rows
+
+
+def ranked_by_size(totals: DataFrame, amount: str, name: str) -> DataFrame:
+    """Totals (one row a category, so few) with their place by absolute amount, largest first."""
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.abs(amount).desc(), name)))

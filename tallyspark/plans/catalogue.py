@@ -152,10 +152,10 @@ def reconciliation_summary(spark, sf_dir):
 
 @query(f"""WITH {LEDGER_SQL} SELECT id, CASE WHEN flow_source = 'rule' THEN flow_type WHEN category = 'Income' THEN CASE WHEN id % 2 = 0 THEN 'income' ELSE 'unresolved' END
     WHEN category = 'Internal Transfer' THEN CASE WHEN id % 2 = 0 THEN 'internal_transfer' ELSE 'unresolved' END
-    WHEN amount_base IS NULL OR amount_base = 0 OR category = 'Unknown' THEN 'unresolved'
-    WHEN amount_base > 0 AND (account_type = 'credit_card' OR (account_type = 'bank' AND status = 'F')) THEN 'refund' WHEN amount_base < 0 THEN 'expense' ELSE 'unresolved' END AS flow FROM ledger""")
+    WHEN coalesce(amount_base, posted_amount) = 0 OR category = 'Unknown' THEN 'unresolved'
+    WHEN coalesce(amount_base, posted_amount) > 0 AND (account_type = 'credit_card' OR (account_type = 'bank' AND status = 'F')) THEN 'refund' WHEN coalesce(amount_base, posted_amount) < 0 THEN 'expense' ELSE 'unresolved' END AS flow FROM ledger""")
 def derive_flow(spark, sf_dir):
-    flow = flows.flow_type(F.col("category"), F.col("amount_base"), F.col("account_type"), F.col("id") % 2 == 0, F.col("status") == "F", F.col("flow_source"), F.col("flow_type"))
+    flow = flows.flow_type(F.col("category"), F.col("amount_base"), F.col("account_type"), F.col("id") % 2 == 0, F.col("status") == "F", F.col("flow_source"), F.col("flow_type"), F.col("posted_amount"))
     return ledger(spark, sf_dir).select("id", flow.alias("flow"))
 
 
@@ -224,15 +224,24 @@ def overlap_slot_support(spark, sf_dir):
     return overlap.overlap_slots(_counts(spark, sf_dir)).select("l_partkey", "slot", "support")
 
 
-@query("SELECT c_custkey, 'fp_' || sha256(lower(c_name) || '|' || CAST(c_nationkey AS VARCHAR) || '|' || lower(c_mktsegment)) AS fingerprint FROM customer")
+def _frame_sql(*parts: str) -> str:
+    """The bytes of a frame in hexadecimal: magic, sized domain, count, sized parts."""
+    head = (b"tally1\0" + len(b"record").to_bytes(4, "big") + b"record" + len(parts).to_bytes(4, "big")).hex().upper()
+    return " || ".join([f"'{head}'", *(f"lpad(hex(octet_length(encode({p}))), 16, '0') || hex(encode({p}))" for p in parts)])
+
+
+_FINGERPRINT = f"'fp_' || sha256(unhex({_frame_sql('lower(c_name)', 'CAST(c_nationkey AS VARCHAR)', 'lower(c_mktsegment)')}))"
+
+
+@query(f"SELECT c_custkey, {_FINGERPRINT} AS fingerprint FROM customer")
 def record_fingerprint(spark, sf_dir):
-    plain = F.concat_ws("|", F.lower("c_name"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("fp_"), F.sha2(plain, 256)).alias("fingerprint"))
+    return table(spark, sf_dir, "customer").select("c_custkey", overlap.record_fingerprint(F.lower("c_name"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment")).alias("fingerprint"))
 
 
-@query()
+@query(f"SELECT fingerprint, count(*) AS n FROM (SELECT {_FINGERPRINT.replace('c_name', 'c_mktsegment')} AS fingerprint FROM customer) GROUP BY 1")
 def record_fingerprint_framed(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", overlap.record_fingerprint(F.lower("c_name"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment")).alias("fingerprint"))
+    made = overlap.record_fingerprint(F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lower("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select(made.alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
 RULES = [
@@ -258,14 +267,16 @@ def rule_hit_counts(spark, sf_dir):
     return classify.apply_rules(table(spark, sf_dir, "part"), RULES).filter("rule_id is not null").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EVENT_TEXT = "CASE event_type WHEN 'signup' THEN 'Cash back reward' WHEN 'error' THEN 'ATM withdrawal' WHEN 'view' THEN 'Interest earned' WHEN 'click' THEN 'Card payment thanks' ELSE 'Shop' END"
-_EVENT_SIGN = "CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END"
+_EVENT_TEXT = """CASE event_id % 12 WHEN 0 THEN 'Monthly CASHBACK' WHEN 1 THEN 'cash-rebate on card' WHEN 2 THEN 'cash rebate' WHEN 3 THEN 'Interest earned' WHEN 4 THEN 'interesting shop' WHEN 5 THEN 'ATM withdrawal 12'
+    WHEN 6 THEN 'Cash withdrawal' WHEN 7 THEN 'ATM fee' WHEN 8 THEN 'Card payment thanks' WHEN 9 THEN 'card settlement' WHEN 10 THEN 'payment received' ELSE 'cash back reward' END"""
+_EVENT_SIGN = "CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END"
 
 
-@query(f"""SELECT event_id, CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'Other>refund' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'Income>income' WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'Cash>expense'
-    WHEN event_type = 'click' AND event_id % 2 = 0 AND user_id % 2 = 0 THEN 'Credit Card Payment>credit_card_payment' END AS found FROM events""")
+@query(rf"""WITH e AS (SELECT event_id, lower({_EVENT_TEXT}) AS t, {_EVENT_SIGN} AS amount, event_type IN ('view', 'click') AS card FROM events)
+    SELECT event_id, CASE WHEN amount > 0 AND regexp_matches(t, '\b(cashback|cash[- ]rebate)\b') THEN 'Other>refund' WHEN amount > 0 AND regexp_matches(t, '\binterest\b') THEN 'Income>income'
+    WHEN amount < 0 AND regexp_matches(t, '\b(atm withdrawal|cash withdrawal)\b') THEN 'Cash>expense' WHEN amount > 0 AND card AND regexp_matches(t, '\b(credit card payment|card payment|card settlement)\b') THEN 'Credit Card Payment>credit_card_payment' END AS found FROM e""")
 def structural_classification(spark, sf_dir):
-    found = classify.structural(F.expr(_EVENT_TEXT), F.expr(_EVENT_SIGN), F.when(F.col("user_id") % 2 == 0, "credit_card").otherwise("bank"))
+    found = classify.structural(F.expr(_EVENT_TEXT), F.expr(_EVENT_SIGN), F.when(F.col("event_type").isin("view", "click"), "credit_card").otherwise("bank"))
     return table(spark, sf_dir, "events").select("event_id", found.alias("found"))
 
 
@@ -371,7 +382,7 @@ def direction_filter(spark, sf_dir):
     return ledger(spark, sf_dir).filter(direction(F.col("amount_base"), F.col("posted_amount")) == "inflow").select("id")
 
 
-_PATCHES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'Travel' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN 'owner_b' END AS owner FROM orders WHERE o_orderkey % 10 = 0"
+_PATCHES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'Travel' END AS category, CASE WHEN o_orderkey % 3 = 0 THEN 'owner_b' END AS owner FROM orders"
 
 
 @query(f"WITH {LEDGER_SQL}, p AS ({_PATCHES}) SELECT l.id, coalesce(p.category, l.category) AS category, coalesce(p.owner, l.owner) AS owner FROM ledger l LEFT JOIN p ON p.id = l.id")
@@ -380,22 +391,22 @@ def correction_apply(spark, sf_dir):
     return review.apply_patches(ledger(spark, sf_dir), spark.sql(_PATCHES), "id", ["category", "owner"]).select("id", "category", "owner")
 
 
-@query(f"""WITH a AS ({_PATCHES}), b AS (SELECT o_orderkey AS id, 'Fees' AS category, CAST(NULL AS VARCHAR) AS owner FROM orders WHERE o_orderkey % 15 = 0)
-    SELECT coalesce(a.id, b.id) AS id, coalesce(b.category, a.category) AS category, coalesce(b.owner, a.owner) AS owner FROM a FULL JOIN b ON a.id = b.id WHERE coalesce(a.id, b.id) % 70 <> 0""")
+@query(f"""WITH a AS ({_PATCHES}), b AS (SELECT o_orderkey * 3 AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'Fees' END AS category, CAST(NULL AS VARCHAR) AS owner FROM orders)
+    SELECT coalesce(a.id, b.id) AS id, coalesce(b.category, a.category) AS category, coalesce(b.owner, a.owner) AS owner FROM a FULL JOIN b ON a.id = b.id WHERE coalesce(a.id, b.id) NOT IN (SELECT o_orderkey * 7 FROM orders)""")
 def correction_merge(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     orders.createOrReplaceTempView("orders")
-    new = orders.filter("o_orderkey % 15 = 0").select(F.col("o_orderkey").alias("id"), F.lit("Fees").alias("category"), F.lit(None).cast("string").alias("owner"))
-    removed = orders.filter("o_orderkey % 70 = 0").select(F.col("o_orderkey").alias("id"))
+    new = orders.select((F.col("o_orderkey") * 3).alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "Fees").alias("category"), F.lit(None).cast("string").alias("owner"))
+    removed = orders.select((F.col("o_orderkey") * 7).alias("id"))
     return review.merge_patches(spark.sql(_PATCHES), new, removed, "id", ["category", "owner"])
 
 
-_MARKED = """SELECT o_orderkey * 2 AS id, concat('m', CAST(o_orderkey AS VARCHAR(20))) AS marker, 'a' AS account_id, 'HKD' AS posted_currency, CAST(o_totalprice AS DECIMAL(18,2)) AS posted_amount, 'owner_a' AS owner FROM orders WHERE o_orderkey % 20 = 0
-    UNION ALL SELECT o_orderkey * 2 + 1, concat('m', CAST(o_orderkey AS VARCHAR(20))), CASE WHEN o_orderkey % 100 = 0 THEN 'b' ELSE 'a' END, 'HKD', CAST(-o_totalprice AS DECIMAL(18,2)), CASE WHEN o_orderkey % 60 = 0 THEN 'owner_b' ELSE 'Household' END FROM orders WHERE o_orderkey % 20 = 0"""
+_MARKED = """SELECT o_orderkey * 2 AS id, CASE WHEN o_orderkey % 4 > 0 THEN concat('m', CAST(o_orderkey AS VARCHAR(20))) END AS marker, 'a' AS account_id, 'HKD' AS posted_currency, CAST(o_totalprice AS DECIMAL(18,2)) AS posted_amount, 'owner_a' AS owner FROM orders
+    UNION ALL SELECT o_orderkey * 2 + 1, CASE WHEN o_orderkey % 4 > 0 THEN concat('m', CAST(o_orderkey AS VARCHAR(20))) END, CASE WHEN o_orderkey % 5 = 0 THEN 'b' ELSE 'a' END, 'HKD', CAST(-o_totalprice AS DECIMAL(18,2)), CASE WHEN o_orderkey % 3 = 0 THEN 'owner_b' ELSE 'Household' END FROM orders"""
 
 
 @query(f"""WITH x AS ({_MARKED}) SELECT marker, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) = 2 AND count(DISTINCT account_id) = 1 AND sum(posted_amount) = 0 AND max(posted_amount) > 0
-    AND count(DISTINCT owner) FILTER (WHERE owner NOT IN ('', 'Unknown', 'Household')) <= 1 AS valid FROM x GROUP BY marker""")
+    AND count(DISTINCT owner) FILTER (WHERE owner NOT IN ('', 'Unknown', 'Household')) <= 1 AS valid FROM x WHERE marker IS NOT NULL GROUP BY marker""")
 def manual_pairs(spark, sf_dir):
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     return flows.manual_pairs(spark.sql(_MARKED)).withColumn("ids", F.array_join("ids", ","))
@@ -500,10 +511,10 @@ def provenance_evidence(spark, sf_dir):
     return review.provenance(canonical, evidence, "p_partkey")
 
 
-_CELLS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat('=', p_name) WHEN 1 THEN concat(' -', p_name) WHEN 2 THEN concat('@', p_name) ELSE p_name END AS cell FROM part"
+_CELLS = "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN concat('=', p_name) WHEN 1 THEN concat(' -', p_name) WHEN 2 THEN concat('@', p_name) WHEN 3 THEN concat(chr(9), p_name) WHEN 4 THEN concat(' ', chr(13), p_name) ELSE p_name END AS cell FROM part"
 
 
-@query(f"SELECT p_partkey, CASE WHEN regexp_matches(cell, '^\\s*[=+\\-@]') THEN '''hm1:' || cell ELSE cell END AS cell FROM ({_CELLS})")
+@query(rf"SELECT p_partkey, CASE WHEN regexp_matches(cell, '^\s*[=+\-@]') OR regexp_matches(cell, '^\s*[\t\r]') THEN '''safe1:' || cell ELSE cell END AS cell FROM ({_CELLS})")
 def csv_safe_cells(spark, sf_dir):
     table(spark, sf_dir, "part").createOrReplaceTempView("part")
     return spark.sql(_CELLS).select("p_partkey", csv_safe(F.col("cell")).alias("cell"))
