@@ -11,17 +11,24 @@ Links are settled without listing the pairs of a bucket:
    bucket of theirs. Members are compared with the pivots of their buckets only, on full shingle sets, so a family of
    copies costs about one comparison a member.
 3. Components of these links are computed. A pair (x, y) of one bucket that is still apart needs an overlap of
-   o = 3 (|x| + |y|) / 7, of which the pivot h can supply at most min(|x & h|, |y & h|). Either that is enough, or x and y
-   share shingles outside h, and then, by the prefix filter, one of the |x| / 4 + 1 first shingles of x outside h in a
-   fixed order. Members of two components that share such a shingle meet again: where up to MEET of them do, the pairs
-   that also share a band are compared; where more do, they are buckets of another round, with a member as the hub.
+   o = 3 (|x| + |y|) / 7, of which the pivot h can supply at most min(|x & h|, |y & h|).
+   a. Where that is not enough, x and y share shingles outside h and then, by the prefix filter, one of the |x| / 4 + 1
+      first shingles of x outside h in a fixed order. Members of two components that share such a shingle meet again: sets
+      of up to MEET of them are compared in pairs that also share a band; larger sets are buckets of another round, with a
+      member as the hub.
+   b. Where it may be enough, what is left of the bucket is settled in turns: members outside its largest component serve
+      as pivots, at most PIVOTS in the first turn and four times as many in each further one, the same ones in all buckets as
+      far as they go. They are compared with the members of other components that they may link with, and leave the bucket.
+      Components are computed anew before every turn, so a family whose members link in chains is settled after a few.
 
 This leaves nothing out: every pair that shares a band is linked, shown to be in one component, excluded by its overlap
-with the pivot, compared, or taken to the next round. Rows grow with the members, not with their pairs.
+with the pivot, compared, or taken to the next round. Compared rows grow with the members as long as the members of a
+bucket link with each other; members that share a band, are alike enough, and still do not link have to be compared.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +41,6 @@ from tallyspark.llm.common import (
     WORD_PATTERN,
     gram_hashes,
     id_and_text,
-    keep_rows,
     mix,
     partitions,
     raw_bytes,
@@ -53,9 +59,9 @@ BAND_ROWS = 4
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
 #: Up to so many members that share a shingle outside their pivot are compared in pairs, if they share a band.
-MEET = 1024
-#: Members of a hub whose outside shingles one task groups; larger groups are split by shingle.
-OUTSIDE_MEMBERS = 4096
+MEET = 32
+#: Pivots that what is left of a bucket has in its first turn.
+PIVOTS = 4
 #: Members that one task compares with the hubs of a group; larger groups are split, hubs repeated.
 GROUP_MEMBERS = 256
 
@@ -127,8 +133,8 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-COMPARED = "a long, b long, common long, size_a long, size_b long, outside binary"
-COMPARED_TYPES = (pa.int64(),) * 5 + (pa.binary(),)
+COMPARED = "a long, b long, common long, size_a long, size_b long, outside array<int>"
+COMPARED_TYPES = (pa.int64(),) * 5 + (pa.list_(pa.int32()),)
 COMPARED_NAMES = ("a", "b", "common", "size_a", "size_b", "outside")
 
 
@@ -151,62 +157,12 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at[at == len(hubs[h])] = 0
                     inside = hubs[h][at] == own
                     outside = np.sort((mix(own[~inside]) >> np.uint64(32)).astype(np.uint32))[: len(own) // 4 + 1]
-                    rows.append((doc, h, int(inside.sum()), len(own), len(hubs[h]), outside.tobytes()))
+                    rows.append((doc, h, int(inside.sum()), len(own), len(hubs[h]), outside.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, COMPARED_TYPES, strict=True)], names=list(COMPARED_NAMES)
             )
 
 
-def split_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deal the outside shingles of the members of large hubs to parts, by value."""
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("hub", "part", "rep", "size", "component", "outside")}
-        for r in batch.to_pylist():
-            values = np.frombuffer(r["outside"], np.uint32)
-            of = values % r["parts"]
-            for p in np.unique(of).tolist():
-                for k, v in (("hub", r["hub"]), ("part", p), ("rep", r["rep"]), ("size", r["size"]), ("component", r["component"]), ("outside", values[of == p].tobytes())):
-                    out[k].append(v)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
-
-
-def meet_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, part): the next buckets, one for each set of members of two components with a shingle in common."""
-
-    def buckets(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        values = [np.frombuffer(r[3], np.uint32) for r in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(v) for v in values])
-        flat = np.concatenate(values)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        firsts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        seen = set()
-        for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(flat)], strict=True):
-            if high - low > 1:
-                members = np.unique(owner[low:high])
-                if len({rows[i][2] for i in members}) > 1 and (mark := members.tobytes()) not in seen:
-                    seen.add(mark)
-                    yield from ((int(flat[low]), *rows[i][:3]) for i in members)
-
-    group, rows = None, []
-    for batch in batches:
-        out = []
-        for hub, part, rep, size, component, outside in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if (hub, part) != group:
-                if len(rows) > 1:
-                    out += [(group[0], *x) for x in buckets(rows)]
-                group, rows = (hub, part), []
-            rows.append((rep, size, component, outside))
-        yield _members(out)
-    if len(rows) > 1:
-        yield _members([(group[0], *x) for x in buckets(rows)])
-
-
-def _members(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["hub", "value", "rep", "n_shingles", "component"])
-
-
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact set sizes of pairs(a, b, weight): b is the hub side. Members meet under their heaviest hub, in bounded groups."""
     spark = pairs.sparkSession
@@ -224,23 +180,33 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = "100 * common >= 75 * (size_a + size_b - common)"
 
 
-def stars(buckets: DataFrame, members_only: bool) -> DataFrame:
-    """Pairs (a, b, weight) of the members of buckets(band, rep, n_shingles, size) with the pivot b of each."""
+def stars(buckets: DataFrame, members_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, weight) of the members of buckets(band, rep, n_shingles, size) with the pivot b of each; the pivots by band."""
     weight = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
     pivots = buckets.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", "rep")).alias("hub"))
     if not members_only:
         best = buckets.join(pivots, "band").groupBy("rep").agg(F.max("hub").alias("hub"))
         pivots = buckets.join(best, "rep").groupBy("band").agg(F.max("hub").alias("hub"))
     starred = buckets.join(pivots, "band").filter("rep <> hub.rep")
-    return starred.groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.max("hub.weight").alias("weight"))
+    return starred.groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.max("hub.weight").alias("weight")), pivots.select("band", F.col("hub.rep").alias("hub"))
 
 
 MAY_LINK = "component <> x_component and 100 * least(size, x_size) >= 75 * greatest(size, x_size)"
 
 
-def still_open(compared: DataFrame, labels: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a round leaves open: pairs(a, b, weight) and buckets(band, rep, n_shingles, size)."""
-    spark = compared.sparkSession
+def _named(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, *(F.col(k).alias(f"x_{k}") for k in rows.columns if k != key))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows(band, component, ...) of bands with two components or more."""
+    kinds = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(kinds.filter("low <> high").select("band"), "band")
+
+
+def still_open(compared: DataFrame, labels: DataFrame, bands: DataFrame, buckets: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a round leaves open: pairs(a, b, weight), buckets(band, rep, n_shingles, size) of another round, and what is left
+    of the buckets, left(band, rep, size, inner), whose members may find all they need inside their pivot."""
     of = lambda name, out: labels.select(F.col("id").alias(name), F.col("component").alias(out))
     state = staged(
         compared.select(F.col("b").alias("hub"), F.col("a").alias("rep"), "common", F.col("size_a").alias("size"), "outside")
@@ -250,37 +216,50 @@ def still_open(compared: DataFrame, labels: DataFrame, bands: DataFrame) -> tupl
         .withColumn("apart", F.col("component") != F.coalesce("hub_component", "hub")),
         "state",
     )
-    hubs = state.groupBy("hub").agg(F.max("apart").alias("open"), F.ceil(F.count(F.lit(1)) / OUTSIDE_MEMBERS).alias("parts")).filter("open")
-    rel = state.drop("hub_component").join(hubs.select("hub", "parts"), "hub")
-    pair = lambda df: df.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b"))
-    named = lambda df, key: df.select(key, *(F.col(k).alias(f"x_{k}") for k in df.columns if k != key))
-    # Pairs that may find all they need inside the pivot: x is apart from it, y smaller than it.
-    inside = rel.filter("common >= 0.75 * size").select("hub", "rep", "common", "size", "component", "apart")
-    x = named(inside.filter("apart").drop("apart"), "hub")
-    enough = pair(x.join(inside, "hub").filter(MAY_LINK + " and 7 * least(common, x_common) >= 3 * (size + x_size)"))
-    split = rel.select("hub", "rep", "size", "component", "outside", "parts").mapInArrow(split_outside, "hub long, part long, rep long, size long, component long, outside binary")
-    dealt = split.repartition(partitions(spark), "hub", "part").sortWithinPartitions("hub", "part")
-    met = dealt.mapInArrow(meet_outside, "hub long, value long, rep long, n_shingles long, component long")
-    met = staged(met.select(F.xxhash64("hub", "value").alias("band"), "rep", F.col("n_shingles").alias("size"), "component").distinct(), "met")
-    count = met.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = met.join(count, "band")
-    few = members.filter(F.col("members") <= MEET).drop("members").join(bands, "rep")
-    close = pair(few.join(named(few, "band"), "band").filter(MAY_LINK + " and rep > x_rep and arrays_overlap(bands, x_bands)"))
-    pairs = staged(enough.union(close).distinct().withColumn("weight", F.lit(1)), "pairs")
-    many = members.filter(F.col("members") > MEET).select("band", "rep", F.col("size").alias("n_shingles"), F.col("members").alias("size"))
-    return pairs, staged(many, "buckets")
+    hubs = state.groupBy("hub").agg(F.max("apart").alias("open")).filter("open")
+    rel = staged(state.join(hubs.select("hub"), "hub", "left_semi").drop("hub_component"), "open")
+    # Members of two components with a shingle in common outside their hub. Counts meet before members do, and equal sets once.
+    values = rel.select("hub", "rep", "size", "component", F.explode("outside").alias("value"))
+    sets = values.groupBy("hub", "value").agg(
+        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("rep")).alias("mark"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("mark2"),
+    )
+    once = sets.filter("low <> high").groupBy("members", "mark", "mark2").agg(F.min(F.struct("hub", "value")).alias("k")).select("k.*", "members")
+    met = staged(values.join(once, ["hub", "value"]).select(F.xxhash64("hub", "value").alias("band"), "rep", "size", "component", "members"), "met")
+    few = met.filter(F.col("members") <= MEET).drop("members").join(bands, "rep")
+    close = few.join(_named(few, "band"), "band").filter(MAY_LINK + " and rep > x_rep and arrays_overlap(bands, x_bands)")
+    pairs = staged(close.select(F.col("rep").alias("a"), F.col("x_rep").alias("b")).distinct().withColumn("weight", F.lit(1)), "pairs")
+    many = met.filter(F.col("members") > MEET).select("band", "rep", F.col("size").alias("n_shingles"), F.col("members").alias("size"))
+    inside = rel.filter("common >= 0.75 * size").select("hub", "rep", "size", "component", F.col("common").alias("inner"))
+    left = _mixed(buckets.select("band", "rep").join(pivots, "band").join(inside, ["hub", "rep"]).drop("hub"))
+    return pairs, staged(many, "buckets"), staged(left.select("band", "rep", "size", "inner"), "left")
+
+
+def settle(left: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """links and those among the members of left(band, rep, size, inner), which is settled in turns."""
+    turn = 0
+    while not left.isEmpty():
+        labels = components(links).select(F.col("id").alias("rep"), "component")
+        rows = staged(_mixed(left.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))), "left")
+        sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("others"))
+        # One order for all bands, so that a few members serve as pivots in most of them; the first of a band always does.
+        place = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 31))
+        others = rows.join(largest, "band").filter("component <> largest").withColumn("place", place)
+        first = others.groupBy("band").agg(F.min("place").alias("first"))
+        chosen = others.join(first, "band").filter((F.col("place") == F.col("first")) | (F.col("place") * F.col("others") < F.lit((PIVOTS * 4**turn) << 31)))
+        chosen = staged(chosen.select("band", "rep", "size", "inner", "component"), "pivots")
+        open_ = rows.join(_named(chosen, "band"), "band").filter(MAY_LINK + " and 7 * least(inner, x_inner) >= 3 * (size + x_size)")
+        pairs = staged(open_.select(F.col("rep").alias("a"), F.col("x_rep").alias("b")).distinct().withColumn("weight", F.lit(1)), "pairs")
+        links = links.union(verify(pairs, texts).filter(LINKED).select("a", "b"))
+        left = staged(rows.drop("component").join(chosen.select("band", "rep"), ["band", "rep"], "left_anti"), "left")
+        turn += 1
+    return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    A-Z count as a-z. Shingles are five consecutive words; a text of one to four words is one shingle; null or wordless
-    texts have none and are linked with nothing. Documents with equal sets always link. doc_id has to be unique. An empty
-    table gives an empty result; other columns are not read.
-    """
-    source = id_and_text(docs)
-    spark = docs.sparkSession
-    scan = staged(source.mapInArrow(sign, SIGNED).withColumn("slice", F.spark_partition_id()), "signatures")
+def grouped(rows: DataFrame) -> DataFrame:
+    """rows(row, doc_id, text), row unique and not negative: row, doc_id, n_shingles and component, a row of the group."""
+    scan = staged(rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(sign, SIGNED).withColumn("slice", F.spark_partition_id()), "signatures")
     key = ["n_shingles", "sum_hash", "xor_hash"]
     # Equal sets, by slice first: a group of copies adds one row per slice to either side of the join.
     runs = scan.filter("n_shingles > 0").groupBy("slice", *key).agg(F.min("doc_id").alias("low"))
@@ -291,27 +270,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filed = marked.filter("doc_id = rep and bands is not null").select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = staged(filed.join(shared, "band"), "buckets")
-    texts = staged(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = staged(rows.select(F.col("row").alias("doc_id"), "text").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     bands = marked.filter("doc_id = rep and bands is not null").select("rep", "bands")
     links = None
     while True:
-        compared = verify(stars(buckets, links is not None), texts)
+        pairs, pivots = stars(buckets, links is not None)
+        pivots = staged(pivots, "hubs")
+        compared = verify(pairs, texts)
         found = compared.filter(LINKED).select("a", "b")
         links = found if links is None else links.union(found)
-        pairs, buckets = still_open(compared, components(links), bands)
-        links = links.union(verify(pairs, texts).filter(LINKED).select("a", "b"))
+        pairs, buckets, left = still_open(compared, components(links), bands, buckets, pivots)
+        links = settle(left, links.union(verify(pairs, texts).filter(LINKED).select("a", "b")), texts)
         if buckets.isEmpty():
             break
-    final = components(links)
-    named = final.select(F.col("id").alias("rep"), "component")
-    return marked.join(named, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")
-    )
+    named = components(links).select(F.col("id").alias("rep"), "component")
+    out = marked.join(named, "rep", "left").select(F.col("doc_id").alias("row"), "n_shingles", F.coalesce("component", "rep").alias("component"))
+    return rows.select("row", "doc_id").join(out, "row")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    A-Z count as a-z. Shingles are five consecutive words; a text of one to four words is one shingle; null or wordless
+    texts have none and are linked with nothing. Documents with equal sets always link. Rows that repeat a doc_id are
+    documents of their own; rows without one take no part. An empty table gives an empty result; other columns are not read.
+    """
+    rows = staged(grouped(staged(id_and_text(docs).withColumn("row", F.monotonically_increasing_id()), "rows")), "grouped")
+    lowest = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "component").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each component, with all its columns."""
-    return keep_rows(docs, near_duplicates(docs).filter("kept"))
+    """The rows of docs that stay: of each component one row, of the smallest doc_id, with all its columns."""
+    key = f"k{uuid.uuid4().hex}"
+    rows = staged(docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = grouped(rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias(key))
+    return rows.join(best, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def components_by_brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int, bool]]:
