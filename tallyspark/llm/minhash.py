@@ -17,7 +17,7 @@ Links are settled without listing the pairs of a bucket:
       of up to MEET of them are compared in pairs that also share a band; larger sets are buckets of another round, with a
       member as the hub.
    b. Where it may be enough, what is left of the bucket is settled in turns: members outside its largest component serve
-      as pivots, at most PIVOTS in the first turn and four times as many in each further one, the same ones in all buckets as
+      as pivots, about PIVOTS in the first turn and MORE_PIVOTS times as many in each further one, the same ones in all buckets as
       far as they go. They are compared with the members of other components that they may link with, and leave the bucket.
       Components are computed anew before every turn, so a family whose members link in chains is settled after a few.
 
@@ -59,9 +59,10 @@ BAND_ROWS = 4
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
 #: Up to so many members that share a shingle outside their pivot are compared in pairs, if they share a band.
-MEET = 32
-#: Pivots that what is left of a bucket has in its first turn.
-PIVOTS = 4
+MEET = 1024
+#: Pivots that what is left of a bucket has in its first turn, and how many times as many in each further one.
+PIVOTS = 16
+MORE_PIVOTS = 8
 #: Members that one task compares with the hubs of a group; larger groups are split, hubs repeated.
 GROUP_MEMBERS = 256
 
@@ -247,11 +248,11 @@ def settle(left: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
         place = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 31))
         others = rows.join(largest, "band").filter("component <> largest").withColumn("place", place)
         first = others.groupBy("band").agg(F.min("place").alias("first"))
-        chosen = others.join(first, "band").filter((F.col("place") == F.col("first")) | (F.col("place") * F.col("others") < F.lit((PIVOTS * 4**turn) << 31)))
+        chosen = others.join(first, "band").filter((F.col("place") == F.col("first")) | (F.col("place") * F.col("others") < F.lit((PIVOTS * MORE_PIVOTS**turn) << 31)))
         chosen = staged(chosen.select("band", "rep", "size", "inner", "component"), "pivots")
         open_ = rows.join(_named(chosen, "band"), "band").filter(MAY_LINK + " and 7 * least(inner, x_inner) >= 3 * (size + x_size)")
         pairs = staged(open_.select(F.col("rep").alias("a"), F.col("x_rep").alias("b")).distinct().withColumn("weight", F.lit(1)), "pairs")
-        links = links.union(verify(pairs, texts).filter(LINKED).select("a", "b"))
+        links = staged(links.union(verify(pairs, texts).filter(LINKED).select("a", "b")), "links")
         left = staged(rows.drop("component").join(chosen.select("band", "rep"), ["band", "rep"], "left_anti"), "left")
         turn += 1
     return links
@@ -278,9 +279,10 @@ def grouped(rows: DataFrame) -> DataFrame:
         pivots = staged(pivots, "hubs")
         compared = verify(pairs, texts)
         found = compared.filter(LINKED).select("a", "b")
-        links = found if links is None else links.union(found)
+        links = staged(found if links is None else links.union(found), "links")
         pairs, buckets, left = still_open(compared, components(links), bands, buckets, pivots)
-        links = settle(left, links.union(verify(pairs, texts).filter(LINKED).select("a", "b")), texts)
+        links = staged(links.union(verify(pairs, texts).filter(LINKED).select("a", "b")), "links")
+        links = settle(left, links, texts)
         if buckets.isEmpty():
             break
     named = components(links).select(F.col("id").alias("rep"), "component")
