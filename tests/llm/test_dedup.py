@@ -43,41 +43,6 @@ def test_families_without_a_common_pivot(spark):
     assert got == sorted(minhash.components_by_brute_force(rows))
 
 
-def test_extracts_of_one_text_cost_rows_in_proportion(spark, monkeypatch):
-    import random
-
-    from tests.llm.conftest import prose
-
-    words, counted = prose(8, 600).split(), []
-    verify = minhash.verify
-
-    def counting(pairs, texts):
-        out = verify(pairs, texts)
-        counted.append(out.count())
-        return out
-
-    monkeypatch.setattr(minhash, "verify", counting)
-    r = random.Random(3)
-    rows = [(0, " ".join(words))]
-    for i in range(200):
-        n = r.randint(60, 420)
-        at = r.randint(0, 600 - n)
-        rows.append((i + 1, " ".join(words[at : at + n])))
-    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == sorted(minhash.components_by_brute_force(rows))
-    assert sum(counted) < 30 * len(rows)  # of 20,100 pairs
-
-
-def test_near_copies_of_repeated_ids(spark):
-    from tests.llm.conftest import edited, prose
-
-    base = prose(4, 150)
-    rows = spark.createDataFrame([(5, base, "a"), (5, edited(base, 1, 0.01), "b"), (5, "quite another text of its own here", "c"), (7, base + " end", "d")], "doc_id long, text string, component string")
-    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(rows).collect()) == [(5, 5), (5, 5), (5, 5), (7, 5)]
-    kept = minhash.drop_near_copies(rows)
-    assert kept.columns == rows.columns and sorted(r.component for r in kept.collect()) in (["a", "c"], ["b", "c"])
-
-
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "a long, b long")
     found = dict(map(tuple, components(edges).collect()))
