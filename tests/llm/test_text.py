@@ -53,7 +53,7 @@ def test_letters_beyond_the_frequent_ones_are_kept_apart(spark):
 
     costs, _ = model.costs(pa.array([a[100:140], b[300:330], "abcd", "ABCDEF" + a[:3]]))
     assert costs.argmin(axis=1).tolist() == [0, 1, 2, 2]
-    head, before = lang_id.spelled(np.array([ord("a"), 0x4E05, ord("!")]), model.first, model.second)
+    head, before = lang_id.spelled(np.array([ord("a"), 0x4F05, ord("!")]), model.first, model.second)
     assert before.tolist() == [0, 1, 3, 4] and head[3] == lang_id._GAP
 
 
