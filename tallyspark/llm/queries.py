@@ -84,4 +84,16 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op10_repeated_passages": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 34, 0) + 1)) AS i FROM w)),
+        r AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+        s AS (SELECT DISTINCT doc_id, i FROM k WHERE h IN (SELECT h FROM r)),
+        t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+        c AS (SELECT t.doc_id, t.i, word, max(s.i) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+              FROM t LEFT JOIN s ON s.doc_id = t.doc_id AND s.i = t.i),
+        g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY 1)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+    """,
 }

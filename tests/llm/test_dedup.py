@@ -61,6 +61,10 @@ def test_repeats_match_brute_force_on_tables(spark):
         assert got == sorted(rlz.repeats_by_brute_force([(r.doc_id, r.text) for r in table.collect()], window))
 
 
+def test_repeats_match_sql(spark):
+    same_rows(queries.QUERIES["op10_repeated_passages"](spark, SF), duck(SF), queries.ORACLE_SQL["op10_repeated_passages"])
+
+
 def test_kept_text(docs):
     for r in rlz.remove_repeats(docs, texts=True).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
