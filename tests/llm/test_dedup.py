@@ -61,6 +61,34 @@ def test_repeats_match_brute_force_on_tables(spark):
         assert got == sorted(rlz.repeats_by_brute_force([(r.doc_id, r.text) for r in table.collect()], window))
 
 
+def test_anchors_of_many_versions(spark, docs, pairs):
+    got = sorted(tuple(r) for r in rlz.remove_repeats(docs, 12, 4, group=1).collect())
+    assert got == sorted(rlz.repeats_by_brute_force(pairs, 12))
+
+
+def test_factor_is_the_longest_match():
+    """Three blocks of one group: the first holds words 2 to 8 of the second, words 2 to 6 of the third."""
+    import numpy as np
+
+    bodies = [[90, 91, 3, 4, 5, 6, 7, 8, 9, 92], [80, 81, 3, 4, 5, 6, 7, 8, 9, 82], [70, 71, 3, 4, 5, 6, 7, 72, 73, 74]]
+    words = np.array(sum(bodies, []), np.uint64)
+    firsts, n = np.array([0, 10, 20]), np.array([7, 7, 7])
+    starts = np.concatenate([f + np.arange(7) for f in firsts])
+    matched, factor = rlz.parse_factors(words, firsts, n, starts, np.array([0, 0, 0]), np.array([True, True, True]), 4)
+    assert {int(starts[i]): int(factor[i]) for i in np.flatnonzero(factor)} == {2: 7, 12: 7, 22: 5}
+    assert starts[matched].tolist() == [2, 3, 4, 5, 12, 13, 14, 15, 22, 23]
+    apart, none = rlz.parse_factors(words, firsts, n, starts, np.array([0, 1, 2]), np.array([True, True, True]), 4)
+    assert not apart.any() and not none.any()
+
+
+def test_texts_that_share_an_id(spark):
+    from tests.llm.conftest import prose
+
+    rows = [(1, prose(1, 80)), (1, prose(2, 90)), (2, "more " + prose(2, 60)), (3, prose(3, 70))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in rlz.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 80, 0), (1, 90, 60), (2, 61, 60), (3, 70, 0)]
+
+
 def test_repeats_match_sql(spark):
     same_rows(queries.QUERIES["op10_repeated_passages"](spark, SF), duck(SF), queries.ORACLE_SQL["op10_repeated_passages"])
 
