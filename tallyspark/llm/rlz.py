@@ -50,7 +50,7 @@ WINDOW = 35
 #: Words of an anchor; WINDOW - GRAM + 1 k-grams compete for each window.
 GRAM = 8
 #: Versions of an anchor that one task parses against each other; larger anchors are counted by window.
-GROUP = 4096
+GROUP = 1024
 #: Bytes of block words that one parsing pass handles.
 PARSE_BYTES = 8 << 20
 #: Rows of an Arrow batch of blocks.
