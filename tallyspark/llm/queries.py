@@ -84,6 +84,32 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op3_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ),
+        g AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 3, 2) END)) AS i FROM w)
+        ),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(h, chr(10) ORDER BY h)) AS whole FROM g GROUP BY 1),
+        r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS rep FROM n),
+        u AS (SELECT g.doc_id, n, h FROM g JOIN r ON g.doc_id = r.doc_id AND r.doc_id = r.rep),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id
+            GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        c AS (
+            SELECT rep AS id, rep AS low FROM r
+            UNION
+            SELECT e.b, c.low FROM c JOIN e ON e.a = c.id AND e.b > c.low
+        ),
+        m AS (SELECT id, min(low) AS low FROM c GROUP BY 1)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, w.doc_id) AS component_id, w.doc_id = coalesce(low, w.doc_id) AS kept
+        FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN m ON m.id = r.rep
+    """,
     "op10_repeated_passages": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         k AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 34, 0) + 1)) AS i FROM w)),

@@ -34,6 +34,10 @@ def test_near_duplicates_match_brute_force(docs, pairs):
     assert got == sorted(minhash.components_by_brute_force(pairs))
 
 
+def test_near_duplicates_match_sql(spark):
+    same_rows(queries.QUERIES["op3_near_duplicates"](spark, SF), duck(SF), queries.ORACLE_SQL["op3_near_duplicates"])
+
+
 def test_families_without_a_common_pivot(spark):
     from tests.llm.conftest import edited, prose
 
