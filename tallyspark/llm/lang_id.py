@@ -156,20 +156,37 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
 
 
 class Model:
-    """Parse tables by language, in the order of the names."""
+    """Parse tables by language, in the order of the names.
+
+    A pickled model is its samples, at most TOTAL_CHARS of text; workers build the tables themselves.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.first, self.second = _codes_tables(samples)
-        self.width = _LOW + LOWS
+        self.samples = samples
+        first, second = _codes_tables(samples)
+        points = {k: [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in samples[k]] for k in sorted(samples)}
+        # Tables have columns for the classes of the samples; all others share the last column, which leads nowhere.
+        seen = np.zeros(_LOW + LOWS, bool)
+        for texts in points.values():
+            for t in texts:
+                seen[first[t]] = seen[second[t]] = True
+        used = [c for c in np.flatnonzero(seen).tolist() if c >= _FIRST]
+        self.width = _FIRST + len(used) + 1
+        column = np.full(_LOW + LOWS, self.width - 1, np.uint8)
+        column[:_FIRST] = np.arange(_FIRST)
+        column[used] = _FIRST + np.arange(len(used))
+        self.first, self.second = column[first], column[second]
         self.names, self.tables, self.bits = [], [], []
-        for name in sorted(samples):
-            points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in samples[name]]
-            codes = [c for t in points for c in [*squeeze(spelled(t, self.first, self.second)[0]).tolist(), _GAP]]
+        for name, texts in points.items():
+            codes = [c for t in texts for c in [*squeeze(spelled(t, self.first, self.second)[0]).tolist(), _GAP]]
             if len(codes) > 1:
                 self.names.append(name)
                 self.tables.append(automaton(codes, self.width))
                 self.bits.append(float(np.log2(len(codes) + 1)))
 
+    def __reduce__(self):
+        return Model, (self.samples,)
+
     def costs(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character under every language, (rows, languages), and whether a row has a letter."""
         data, offsets = raw_bytes(text)
