@@ -126,3 +126,8 @@ def csv_plain(cell: Column) -> Column:
 def snippet(cell: Column, limit: int = 120) -> Column:
     flat = F.trim(F.regexp_replace(cell, r"\s+", " "))
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+
+
+def canonical_json(*columns: str) -> Column:
+    """One object of text, integer, boolean, decimal, date and nested columns: keys in order, no spaces, nulls written."""
+    return F.to_json(F.struct(*sorted(columns, key=lambda c: c.encode("utf-16-be"))), {"ignoreNullFields": "false"})

@@ -17,6 +17,7 @@ from tallyspark.functions.text import clean_cell, money, parsed_amount
 #: Largest file that is read (fixed value).
 MAX_BYTES = 64 << 20
 BALANCE_ROW = r"(?i)\b(?:opening|closing|previous)\s+balance\b"
+WORDS = "array<struct<text:string,x0:double,top:double>>"
 RAW = "path string, physical_row int, logical_row int, cells map<string,string>"
 #: strptime codes and the patterns Spark reads (fixed values).
 DATE_CODES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%b": "MMM", "%B": "MMMM", "%y": "yy"}
@@ -88,12 +89,12 @@ def table_rows(found: DataFrame, header: list[str], row_regex: str | None = None
     return spread.select("path", "page", "table", "row", "line", named.alias("cells"))
 
 
-def word_lines(found: DataFrame, bounds: dict[str, tuple[float, float]], tolerance: float = 3.0) -> DataFrame:
-    """Words with coordinates ({pages: [[{text, x0, top}]]}) as lines: path, page, line and one cell per bound [l, r).
+def text_lines(found: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Words with coordinates ({pages: [[{text, x0, top}]]}) as lines: path, page, line, text and words from left to right.
 
     A line is anchored at its first word: words within tolerance of that word's top belong to it. A page is a bounded group.
     """
-    words = found.select("path", F.posexplode(F.from_json(F.col("content").cast("string"), "pages array<array<struct<text:string,x0:double,top:double>>>")["pages"]).alias("page", "w"))
+    words = found.select("path", F.posexplode(F.from_json(F.col("content").cast("string"), f"pages array<{WORDS}>")["pages"]).alias("page", "w"))
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -106,11 +107,63 @@ def word_lines(found: DataFrame, bounds: dict[str, tuple[float, float]], toleran
                     else:
                         groups.append([w])
                 for n, group in enumerate(groups):
-                    inside = lambda a, b, g=group: " ".join(w["text"] for w in sorted(g, key=lambda w: w["x0"]) if a <= w["x0"] < b)
-                    out.append((path, page, n, {k: inside(a, b) for k, (a, b) in bounds.items()}))
-            yield pd.DataFrame(out, columns=["path", "page", "line", "cells"])
+                    group.sort(key=lambda w: w["x0"])
+                    out.append((path, page, n, " ".join(w["text"] for w in group), group))
+            yield pd.DataFrame(out, columns=["path", "page", "line", "text", "words"])
 
-    return words.mapInPandas(lines, "path string, page int, line int, cells map<string,string>")
+    return words.mapInPandas(lines, f"path string, page int, line int, text string, words {WORDS}")
+
+
+def word_lines(found: DataFrame, bounds: dict[str, tuple[float, float]], tolerance: float = 3.0, amounts: dict[str, str] | None = None) -> DataFrame:
+    """The lines of text_lines with one cell per bound [l, r): path, page, line and cells.
+
+    A bound that amounts names takes the first word that its pattern matches, and '' without one.
+    """
+    def cell(name: str) -> Column:
+        low, high = bounds[name]
+        inside = F.transform(F.filter("words", lambda w: (w["x0"] >= low) & (w["x0"] < high)), lambda w: w["text"])
+        if name in (amounts or {}):
+            inside = F.slice(F.filter(inside, lambda t: t.rlike(amounts[name])), 1, 1)
+        return F.array_join(inside, " ")
+
+    cells = [x for name in bounds for x in (F.lit(name), cell(name))]
+    return text_lines(found, tolerance).select("path", "page", "line", F.create_map(*cells).alias("cells"))
+
+
+def required_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose cells of all these columns hold text; others are headings or remarks."""
+    held = [F.trim(F.coalesce(F.col("cells")[c], F.lit(""))) != "" for c in columns]
+    return rows.filter(F.forall(F.array(*held), lambda x: x)) if held else rows
+
+
+def joined_cells(rows: DataFrame, target: str, columns: list[str], separator: str = " ") -> DataFrame:
+    """One more cell: the texts of several columns that are not empty, joined."""
+    parts = F.filter(F.array(*(F.trim(F.col("cells")[c]) for c in columns)), lambda x: x.isNotNull() & (x != ""))
+    others = F.map_filter("cells", lambda k, _: k != target)
+    return rows.withColumn("cells", F.map_concat(others, F.create_map(F.lit(target), F.array_join(parts, separator))))
+
+
+def dated_rows(rows: DataFrame, profile: Profile, fields: tuple[str, ...] = ("date", "posting_date")) -> DataFrame:
+    """rows, where every text in a date column of the profile is a date and each row has one; otherwise an error at that row."""
+    cells = {f: clean_cell(F.col("cells")[profile.columns[f]]) for f in fields if f in profile.columns}
+    bad = [F.when((c != "") & _date(c, profile).isNull(), f) for f, c in cells.items()]
+    none = F.when(F.concat(*cells.values()) == "", next(iter(cells), fields[0])) if cells else F.lit(fields[0])
+    wrong = F.coalesce(*bad, none)
+    place = F.concat_ws("; ", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("path", "page", "line") if c in rows.columns), F.concat(F.lit("field="), wrong))
+    return rows.withColumn("cells", F.when(wrong.isNull(), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("invalid date: "), place))))
+
+
+def display_path(path: Column, root: str) -> Column:
+    """The path below root, or the file's name if it lies elsewhere."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def locator(path: Column, root: str) -> Column:
+    """Where an absolute path lies: kind (workspace or external) and its text, relative to root within the workspace."""
+    base = root.rstrip("/") + "/"
+    inside = path.startswith(base)
+    return F.struct(F.when(inside, "workspace").otherwise("external").alias("kind"), F.when(inside, F.substr(path, F.lit(len(base) + 1))).otherwise(path).alias("text"))
 
 
 def profile_for(header: set[str], profiles: list[Profile]) -> Profile:
