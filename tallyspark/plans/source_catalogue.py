@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import canonical_json
-from tallyspark.operators import statement_balances
+from tallyspark.operators import duplicates, statement_balances
 from tallyspark.plans.catalogue import query
 from tallyspark.plans.shapes import table
 from tallyspark.sources import sections, statements
@@ -77,3 +77,39 @@ def source_locators(spark, sf_dir):
 def manifest_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "CAST(s_acctbal AS DECIMAL(18,2)) AS amount", "CAST(NULL AS STRING) AS note")
     return rows.select(canonical_json("name", "id", "note", "amount").alias("line"))
+
+
+_LOOK = {
+    "provenance_status": "CASE WHEN group_id % 4 = 0 THEN 'single_source' ELSE 'ambiguous_count_mismatch' END",
+    "decision": "CASE group_id % 5 WHEN 0 THEN 'keep-all' WHEN 1 THEN 'same-event' END",
+    "choice": "CASE WHEN group_id % 7 = 0 THEN 'maybe' WHEN group_id % 2 = 0 THEN 'keep-all' ELSE 'same-event' END",
+}
+
+
+def _duplicates(spark, sf_dir):
+    """Line items by supplier as groups of occurrences, the groups now, and those before the seventh lines came."""
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS group_id", "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id", "l_linenumber", "l_returnflag AS source", "l_quantity AS amount")
+    now, before = duplicates.review_groups(items), duplicates.review_groups(items.filter("l_linenumber < 7"))
+    return items, now.selectExpr("group_id", "review_group_id", f"{_LOOK['provenance_status']} AS provenance_status", f"{_LOOK['decision']} AS decision"), before
+
+
+def _judged(groups, before):
+    old = before.select("group_id", F.col("review_group_id").alias("old"))
+    asked = groups.join(old, "group_id", "left").selectExpr("group_id AS asked", "CASE group_id % 3 WHEN 0 THEN review_group_id WHEN 1 THEN old ELSE concat('dup_', group_id) END AS review_group_id", f"{_LOOK['choice']} AS choice")
+    return duplicates.judged_decisions(asked, groups, before)
+
+
+_JUDGED = f"""g AS (SELECT l_suppkey AS group_id, count(*) FILTER (WHERE l_linenumber >= 7) AS late, count(*) AS n FROM lineitem GROUP BY 1), l AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _LOOK.items())}, CASE WHEN group_id % 3 = 0 OR (group_id % 3 = 1 AND late = 0) THEN 'now' WHEN group_id % 3 = 1 AND late < n THEN 'old' ELSE 'never' END AS seen FROM g),
+    j AS (SELECT *, CASE WHEN choice = 'maybe' THEN 'invalid' WHEN seen = 'never' THEN 'unknown' WHEN seen = 'old' OR provenance_status = 'single_source' THEN 'stale' WHEN decision IS NULL THEN 'applied' WHEN decision = choice THEN 'already' ELSE 'conflict' END AS outcome FROM l)"""
+
+
+@query(f"WITH {_JUDGED} SELECT group_id AS asked, choice, outcome FROM j")
+def duplicate_decisions(spark, sf_dir):
+    _, groups, before = _duplicates(spark, sf_dir)
+    return _judged(groups, before).select("asked", "choice", "outcome")
+
+
+@query(f"""WITH {_JUDGED} SELECT l_suppkey AS group_id, concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS occurrence_id, l_returnflag AS source FROM lineitem JOIN j ON group_id = l_suppkey WHERE provenance_status = 'ambiguous_count_mismatch' AND decision IS NULL AND outcome <> 'applied'""")
+def open_duplicates(spark, sf_dir):
+    items, groups, before = _duplicates(spark, sf_dir)
+    return duplicates.open_occurrences(duplicates.decided_groups(groups, _judged(groups, before)), items, ["source"]).drop("review_group_id")

@@ -125,3 +125,16 @@ def test_categories(spark, tmp_path):
 def test_canonical_json(spark):
     row = spark.createDataFrame([(1, "é\"", None, [Decimal("1.50")])], "b int, a string, c string, d array<decimal(5,2)>")
     assert row.select(canonical_json("b", "a", "c", "d").alias("j")).first().j == '{"a":"é\\"","b":1,"c":null,"d":[1.50]}'
+
+
+def test_duplicate_decisions(spark):
+    from tallyspark.operators import duplicates
+
+    members = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a"), ("k", "a"), ("k", "a")], "group_id string, id string")
+    ids = {r.group_id: r.review_group_id for r in duplicates.review_groups(members.repartition(3)).collect()}
+    assert len(set(ids.values())) == 3 and ids == {r.group_id: r.review_group_id for r in duplicates.review_groups(members.coalesce(1)).collect()}
+    groups = spark.createDataFrame([(g, ids[g], "ambiguous_count_mismatch", None) for g in "gh"], "group_id string, review_group_id string, provenance_status string, decision string")
+    asked = spark.createDataFrame([(ids["g"], "keep-all"), (ids["h"], "keep-all"), (ids["h"], "same-event"), (ids["k"], "keep-all"), ("x", "keep-all"), (ids["g"], None)], "review_group_id string, choice string")
+    judged = duplicates.judged_decisions(asked, groups, spark.createDataFrame([(ids["k"],)], "review_group_id string"))
+    assert sorted((r.group_id or "", r.outcome) for r in judged.collect()) == [("", "stale"), ("", "unknown"), ("g", "applied"), ("g", "invalid"), ("h", "applied"), ("h", "applied")]
+    assert {r.group_id: r.decision for r in duplicates.decided_groups(groups, judged).collect()} == {"g": "keep-all", "h": None}
