@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters that separate words everywhere in this package (fixed by the contracts).
@@ -66,6 +66,18 @@ def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFr
     return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), how)
 
 
+def range_chunks(rows: DataFrame, key: str, order: Sequence[str | Column], size: int) -> DataFrame:
+    """rows with slice, at and chunk: runs of up to `size` rows that follow each other by order within a key.
+
+    Rows are dealt by ranges of (key, order), so a key with very many rows lies in several slices, in order; no task and no
+    group holds all of it. (slice, chunk) orders the chunks of a key; at numbers its rows within a slice.
+    """
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), key, *order)
+    placed = staged(dealt.withColumn("slice", F.spark_partition_id()), "ranges")
+    at = F.row_number().over(Window.partitionBy(key, "slice").orderBy(*order))
+    return placed.withColumn("at", at).withColumn("chunk", F.floor((F.col("at") - 1) / size))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `limit` bytes of text each; a longer row stands alone."""
     text = batch.column(column)

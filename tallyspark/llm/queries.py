@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.attention_lm import score_texts
 from tallyspark.llm.common import documents_of, shared_dir, tokenizer_file
+from tallyspark.llm.conversations import repair
 from tallyspark.llm.decontam import contaminated
 from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.lang_id import identify
@@ -62,6 +63,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents_of(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op10_repeated_passages": op10_repeated_passages,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +128,87 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN g ON g.doc_id = w.doc_id
     """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(v ORDER BY i) AS of_byte
+            FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))
+        ),
+        raw AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS key
+            FROM conversations
+        ),
+        fated AS (
+            SELECT conv_id, turn, role, text,
+                   xor(list_reduce(list_prepend(4294967295, key), lambda x, b: xor(x >> 8, of_byte[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS fate
+            FROM raw, crc
+        ),
+        damaged AS (
+            SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM fated
+        ),
+        placed AS (
+            SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   right(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'), 1) AS last
+            FROM damaged
+        ),
+        marked AS (
+            SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior,
+                   CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+            FROM placed
+        ),
+        counted AS (
+            SELECT conv_id, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+                   count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                   count(*) FILTER (WHERE i > 1 AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM marked GROUP BY 1
+        ),
+        ways AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '0000000000' AS e, CAST(NULL AS VARCHAR) AS s, '0000000002I' AS u, '0000000004II' AS a FROM marked
+            UNION ALL
+            SELECT conv_id, i, e, s,
+                   least(u, add_e || 'I', add_s || 'I', add_a || 'I'), least(a, printf('%010d', CAST(left(least(u, add_e || 'I', add_s || 'I', add_a || 'I'), 10) AS BIGINT) + 2) || substr(least(u, add_e || 'I', add_s || 'I', add_a || 'I'), 11) || 'I')
+            FROM (
+                SELECT conv_id, i, e, s, u, a,
+                       printf('%010d', CAST(left(e, 10) AS BIGINT) + 2) || substr(e, 11) AS add_e,
+                       printf('%010d', CAST(left(s, 10) AS BIGINT) + 2) || substr(s, 11) AS add_s,
+                       printf('%010d', CAST(left(a, 10) AS BIGINT) + 2) || substr(a, 11) AS add_a
+                FROM (
+                    SELECT w.conv_id, m.i,
+                           printf('%010d', CAST(left(e, 10) AS BIGINT) + 3) || substr(e, 11) || 'D' AS e,
+                           least(printf('%010d', CAST(left(s, 10) AS BIGINT) + 3) || substr(s, 11) || 'D',
+                                 CASE WHEN fault IN ('', 'truncated') AND initial = 's' THEN printf('%010d', CAST(left(e, 10) AS BIGINT) + CAST(fault <> '' AS INTEGER)) || substr(e, 11) || 'K' END) AS s,
+                           least(printf('%010d', CAST(left(u, 10) AS BIGINT) + 3) || substr(u, 11) || 'D',
+                                 CASE WHEN fault IN ('', 'truncated') AND initial = 'u' THEN printf('%010d', CAST(left(least(e, s, a), 10) AS BIGINT) + CAST(fault <> '' AS INTEGER)) || substr(least(e, s, a), 11) || 'K' END,
+                                 CASE WHEN fault IN ('', 'truncated') THEN printf('%010d', CAST(left(least(e, s, a), 10) AS BIGINT) + 2 + CAST(fault <> '' AS INTEGER)) || substr(least(e, s, a), 11) || 'R' END) AS u,
+                           least(printf('%010d', CAST(left(a, 10) AS BIGINT) + 3) || substr(a, 11) || 'D',
+                                 CASE WHEN fault IN ('', 'truncated') AND initial = 'a' THEN printf('%010d', CAST(left(u, 10) AS BIGINT) + CAST(fault <> '' AS INTEGER)) || substr(u, 11) || 'K' END,
+                                 CASE WHEN fault IN ('', 'truncated') THEN printf('%010d', CAST(left(u, 10) AS BIGINT) + 2 + CAST(fault <> '' AS INTEGER)) || substr(u, 11) || 'R' END) AS a
+                    FROM ways w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+                )
+            )
+        ),
+        best AS (
+            SELECT w.conv_id, CAST(left(least(e, a), 10) AS BIGINT) AS cost, substr(least(e, a), 11) AS audit
+            FROM ways w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+        ),
+        letters AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS k, unnest(string_split(audit, '')) AS letter FROM best WHERE audit <> ''),
+        numbered AS (
+            SELECT conv_id, k, letter, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS j FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+        ),
+        turned AS (
+            SELECT n.conv_id, k, letter, j, m.role, m.text, max(CASE WHEN j = 1 AND letter = 'K' AND m.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS head
+            FROM numbered n LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM n.conv_id AND m.i = n.i AND letter <> 'I' WHERE letter <> 'D'
+        ),
+        hashed AS (
+            SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS h FROM turned GROUP BY 1
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
