@@ -105,10 +105,13 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the number of words before each row (rows + 1 entries)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the number of words before each row (rows + 1 entries).
+
+    between: which of the 256 bytes stand between words.
+    """
     solid = np.empty(len(data) + 1, bool)
-    np.logical_not(_IS_SPACE[data], out=solid[:-1])
+    np.logical_not(between[data], out=solid[:-1])
     solid[-1] = False
     first = solid[:-1].copy()
     first[1:] &= ~solid[:-2]
@@ -188,9 +191,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = _IS_SPACE) -> pa.Array:
     """The words as an Arrow string array."""
-    keep = ~_IS_SPACE[data]
+    keep = ~between[data]
     offsets = np.empty(len(starts) + 1, np.int32)
     offsets[0] = 0
     np.cumsum(ends - starts, out=offsets[1:])

@@ -11,6 +11,7 @@ from tallyspark.llm.attention_lm import score_texts
 from tallyspark.llm.common import documents_of, shared_dir, tokenizer_file
 from tallyspark.llm.conversations import repair
 from tallyspark.llm.decontam import contaminated
+from tallyspark.llm.divergence import divergence
 from tallyspark.llm.exact_dedup import exact_dedup
 from tallyspark.llm.lang_id import identify
 from tallyspark.llm.minhash import near_duplicates
@@ -63,6 +64,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents_of(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents_of(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_source_divergence": op11_source_divergence,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -128,6 +134,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN g ON g.doc_id = w.doc_id
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        w AS (
+            SELECT row AS doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT *, row_number() OVER () AS row FROM d)
+        ),
+        k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 10),
+        v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS n FROM k GROUP BY 1),
+        c AS (SELECT w.lang, source, w.term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+        p AS (
+            SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (t.n + 2 * v.v) AS p,
+                   1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q
+            FROM t JOIN k ON k.lang = t.lang JOIN v ON v.lang = t.lang
+            LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+        ),
+        s AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 4
+            UNION ALL
+            SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source WHERE a.lang NOT IN (SELECT lang FROM v)
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM s)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+    """,
     "op13_conversation_repair": r"""
         WITH RECURSIVE crc AS (
             SELECT list(v ORDER BY i) AS of_byte
