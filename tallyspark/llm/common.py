@@ -66,16 +66,17 @@ def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFr
     return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), how)
 
 
-def range_chunks(rows: DataFrame, key: str, order: Sequence[str | Column], size: int) -> DataFrame:
-    """rows with slice, at and chunk: runs of up to `size` rows that follow each other by order within a key.
+def range_chunks(rows: DataFrame, key: str, order: Sequence[str | Column], size: int, weight: Column | None = None) -> DataFrame:
+    """rows with slice, at and chunk: runs of up to `size` rows (or of that weight, about) that follow each other by order within a key.
 
     Rows are dealt by ranges of (key, order), so a key with very many rows lies in several slices, in order; no task and no
     group holds all of it. (slice, chunk) orders the chunks of a key; at numbers its rows within a slice.
     """
     dealt = rows.repartitionByRange(partitions(rows.sparkSession), key, *order)
     placed = staged(dealt.withColumn("slice", F.spark_partition_id()), "ranges")
-    at = F.row_number().over(Window.partitionBy(key, "slice").orderBy(*order))
-    return placed.withColumn("at", at).withColumn("chunk", F.floor((F.col("at") - 1) / size))
+    by = Window.partitionBy(key, "slice").orderBy(*order)
+    before = F.row_number().over(by) - 1 if weight is None else F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumns({"at": F.row_number().over(by), "chunk": F.floor(F.coalesce(before, F.lit(0)) / size)})
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyspark.llm.attention_lm import score_texts
 from tallyspark.llm.common import documents_of, shared_dir, tokenizer_file
 from tallyspark.llm.conversations import repair
+from tallyspark.llm.count_tree import jaccard_join
 from tallyspark.llm.decontam import contaminated
 from tallyspark.llm.divergence import divergence
 from tallyspark.llm.exact_dedup import exact_dedup
@@ -68,6 +69,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(documents_of(spark, sf_dir))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents_of(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_source_divergence": op11_source_divergence,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -246,3 +252,8 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
     """,
 }
+
+#: The links of op3 at 80 percent, without its column kept.
+ORACLE_SQL["op12_jaccard_join"] = (
+    ORACLE_SQL["op3_near_duplicates"].replace(">= 75 * (a.n", ">= 80 * (a.n").replace(", w.doc_id = coalesce(low, w.doc_id) AS kept", "")
+)
