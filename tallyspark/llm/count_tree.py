@@ -6,20 +6,23 @@ range of sizes below it, bounds so what any of its points can share with a point
 bound excludes are verified on the full sets.
 
 Points of unrelated documents of one size lie close together (every group holds its share of either), so a single tree
-over a corpus would compare all documents of a size. The corpus is therefore first cut into families that no link leaves:
+over a corpus would compare all documents of a size. The corpus is therefore first cut into families, such that linked
+documents have a family in common:
 
 * A link at 80 % changes at most a ninth of |x| + |y| shingles. Sets of one size level are cut into groups by hash, and a
   change spoils one group. A document with more than |x| / 4 groups that are not empty keeps at least one of them
   whole, and by the prefix filter one of its |x| / 4 + 1 smallest by content. These contents are its keys. Two documents
   that both have too few groups (by chance) meet by the prefix filter over single shingles. So linked documents share a key.
-* A family is a component of the documents that share keys. Keys of one text slice are put together before they are
-  dealt, so a family adds at most one entry a slice and key, and a key ties its documents by a star, not by pairs.
-
-Within a family, documents lie in an order that keeps near points together and is cut into blocks of bounded size, the
-upper nodes; a task holds one block, or two, with 16 points a leaf. Blocks are joined with themselves, then
-representatives of what is linked so far with each other; what is still apart from the main part of its family is joined with all
-blocks of the family whose bounds allow a link. Pairs already in one component are skipped, so copies cost one
-comparison each; only links that join components are written.
+* The smallest document of a text slice with some key is the key's hub there, and the smallest of these its hub in the
+  corpus. A family is what has one hub, or hubs in slices that have one hub in the corpus: all documents with a key
+  in common have the key's family in common. A key takes one entry a slice, and stars, not pairs, tie its documents.
+
+A document is first compared within the family of its smallest hub. Families that this leaves in more than one component
+are then taken whole; of those with two members only such as the bound leaves open. The members of a family lie in an order that keeps
+near points together and are cut into blocks of bounded size, the upper nodes; a task holds one block, or two, with 16
+points a leaf. Of a family of several blocks, representatives of what is linked so far are joined with each other, and what is
+still apart from its main part with all blocks whose bounds allow a link. Pairs already in one component are skipped, so
+copies cost one comparison each; only links that join components are written.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ PERCENT = 80
 #: Text that one pass takes.
 PASS_BYTES = 8 << 20
 #: Coordinates of the upper nodes (in SQL) and of the nodes and points of a task.
-COARSE = 8
+COARSE = 64
 GROUPS = 256
 LEAF = 16
 #: A block holds sets of so many shingles in all; a set counts as BLOCK_WEIGHT / BLOCK_MEMBERS shingles at least.
@@ -131,7 +134,7 @@ def scan_sets(buckets: int):
                 coarse, near = np.zeros((len(sets), COARSE), np.int64), np.zeros(len(sets), np.int64)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
-                    cell = np.repeat(full, sizes[full]) * COARSE + (mix(flat) >> np.uint64(61)).astype(np.int64)
+                    cell = np.repeat(full, sizes[full]) * COARSE + (mix(flat) >> np.uint64(58)).astype(np.int64)
                     coarse = np.bincount(cell, minlength=len(sets) * COARSE).reshape(len(sets), COARSE)
                     near[full] = _place_of(coarse[full], sizes[full])
                 yield _rows(len(sets), kind=np.full(len(sets), DOCUMENT), doc_id=part.column("doc_id"), key=part.column("key"), n=sizes, sid=pa.array(sids, mask=sizes == 0), near=near, coarse=list(coarse.astype(np.int32)))
@@ -146,9 +149,10 @@ def scan_sets(buckets: int):
 def _place_of(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where a point lies in the packing order: by size in steps of a twentieth, then by its first coordinates."""
     out = (np.log(sizes) / np.log(1.05)).astype(np.int64)
-    width = np.sqrt(sizes / COARSE) * 2 + 1
+    wide = coarse.reshape(len(sizes), 8, -1).sum(axis=2)
+    width = np.sqrt(sizes / 8) * 2 + 1
     for c in range(4):
-        out = out * 64 + np.clip((coarse[:, c] - sizes / COARSE) / width + 32, 0, 63).astype(np.int64)
+        out = out * 64 + np.clip((wide[:, c] - sizes / 8) / width + 32, 0, 63).astype(np.int64)
     return out
 
 
@@ -288,6 +292,24 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(members)
 
 
+def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
+    """(sid, family) from the hubs of documents within their slice and the hubs of those."""
+    own = lambda df, c: df.select(F.col(c).alias("sid"), F.col(c).alias("family"))
+    within = near_hub.select("sid", F.col("hub").alias("family")).union(own(near_hub, "hub"))
+    tied = near_hub.join(far_hub, "hub").select("sid", "family").union(far_hub.select("hub", "family")).union(own(far_hub, "family"))
+    return within.union(tied).distinct()
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of families with more than one label; a family of two only if its points may link."""
+    fields = ("sid", "n", "coarse", "label")
+    ends = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*fields)).alias("x"), F.max(F.struct(*fields)).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda t, v: t + v)
+    n, m = F.col("x.n"), F.col("y.n")
+    wanted = ends.filter((F.col("low") != F.col("high")) & ((F.col("size") > 2) | may_link(shared, n, m, n, m)))
+    return members.join(wanted.select("family"), "family", "left_semi")
+
+
 def _joined(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Links of rows(task, side, sides, place, sid, label), written to the shared folder."""
     ready = rows.join(texts, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
@@ -351,21 +373,28 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     scan = staged(rows.mapInArrow(scan_sets(n), SCANNED).withColumn("slice", F.spark_partition_id()), "sets")
     found = scan.filter(F.col("kind") == DOCUMENT)
     cells = scan.filter(F.col("kind") == CELLS).select("bucket", "keys", "at", "table").repartitionById(n, F.col("bucket"))
-    edges = staged(cells.mapInArrow(join_cells, EDGES).union(scan.filter(F.col("kind") == EDGE).select("sid", "other")).distinct(), "edges")
+    near_hub = scan.filter(F.col("kind") == EDGE).select("sid", F.col("other").alias("hub"))
+    far_hub = staged(cells.mapInArrow(join_cells, EDGES).distinct().select(F.col("a").alias("hub"), F.col("b").alias("family")), "hubs")
+    families = staged(_families(near_hub, far_hub), "families")
     firsts = found.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("coarse").alias("coarse"))
-    families = components(edges).select(F.col("id").alias("sid"), F.col("component").alias("family"))
-    members = staged(families.join(firsts, "sid"), "members")
+    members = staged(firsts.join(families.select("sid").distinct(), "sid", "left_semi"), "members")
     texts = staged(rows.select("key", "text").join(members.select("sid", "key"), "key").select("sid", "text"), "texts")
-
-    blocks = _blocks(members.drop("key").withColumn("label", F.col("sid")), "blocks")
-    links = _joined(_alone(blocks), texts, "links")
+    points = members.drop("key").withColumn("label", F.col("sid"))
+
+    # A document's smallest hub; the hub itself is of its own family.
+    own = families.groupBy("sid").agg(F.min("family").alias("family"))
+    hubs = own.select(F.col("family").alias("sid"), "family").distinct()
+    links = _joined(_alone(_blocks(own.union(hubs).distinct().join(points, "sid"), "blocks")), texts, "links")
+    known = _labelled(points, links)
+    open_ = _open(families.join(known, "sid"))
+    blocks = _blocks(open_, "blocks")
+    links = links.union(_joined(_alone(blocks), texts, "links"))
     several = blocks.groupBy("family").agg(F.min(F.struct("slice", "chunk")).alias("low"), F.max(F.struct("slice", "chunk")).alias("high")).filter("low <> high").select("family")
-    open_ = staged(_labelled(blocks.join(several, "family"), links), "open")
-    if not open_.isEmpty():
-        fields = ("near", "sid", "n", "coarse")
-        chosen = open_.groupBy("family", "label").agg(F.min(F.struct(*fields)).alias("x")).select("family", "label", "x.*")
+    large = staged(_labelled(blocks.join(several, "family"), links), "large")
+    if not large.isEmpty():
+        chosen = large.groupBy("family", "label").agg(F.min(F.struct("near", "sid", "n", "coarse")).alias("x")).select("family", "label", "x.*")
         links = links.union(_joined(_alone(_blocks(chosen, "chosen")), texts, "links"))
-        links = links.union(_across(staged(_labelled(open_, links), "open"), texts))
+        links = links.union(_across(staged(_labelled(large, links), "large"), texts))
 
     # Copies by slice: a group of copies adds one row per slice to either side of the join.
     final = components(links).select(F.col("id").alias("sid"), F.col("component").alias("label"))
