@@ -17,8 +17,8 @@ documents have a family in common:
   corpus. A family is what has one hub, or hubs in slices that have one hub in the corpus: all documents with a key
   in common have the key's family in common. A key takes one entry a slice, and stars, not pairs, tie its documents.
 
-A document is first compared within the family of its smallest hub. Families that this leaves in more than one component
-are then taken whole; of those with two members only such as the bound leaves open. The members of a family lie in an order that keeps
+A document is first compared within the family of its smallest hub. In families that this leaves in more than one
+component, the members whose points allow a link with a member of another component are then compared. The members of a family lie in an order that keeps
 near points together and are cut into blocks of bounded size, the upper nodes; a task holds one block, or two, with 16
 points a leaf. Of a family of several blocks, representatives of what is linked so far are joined with each other, and what is
 still apart from its main part with all blocks whose bounds allow a link. Pairs already in one component are skipped, so
@@ -203,19 +203,31 @@ def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Tree:
     """Points in packing order, LEAF a leaf: what a leaf holds is bounded by its largest counts and its sizes."""
 
-    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
-        self.sids, self.labels = [m[0] for m in members], [m[1] for m in members]
-        self.sets = [m[2] for m in members]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.points = np.stack([np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=GROUPS) for s in self.sets]).astype(np.int32)
-        self.firsts = np.arange(0, len(members), LEAF)
-        self.most = np.maximum.reduceat(self.points, self.firsts)
-        self.least_size = np.minimum.reduceat(self.sizes, self.firsts)
-        self.most_size = np.maximum.reduceat(self.sizes, self.firsts)
+    def __init__(self, sids: list[int], labels: list[int], sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None = None):
+        self.sids, self.labels, self.sizes, self.points, self.sets = sids, labels, sizes, points, sets
+        self.firsts = np.arange(0, len(sids), LEAF)
+        self.most = np.maximum.reduceat(points, self.firsts)
+        self.least_size = np.minimum.reduceat(sizes, self.firsts)
+        self.most_size = np.maximum.reduceat(sizes, self.firsts)
+
+    @classmethod
+    def of_sets(cls, members: list[tuple[int, int, np.ndarray]]) -> Tree:
+        sets = [m[2] for m in members]
+        points = np.stack([np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+        return cls([m[0] for m in members], [m[1] for m in members], np.array([len(s) for s in sets], np.int64), points, sets)
 
     def leaf(self, i: int) -> slice:
         return slice(int(self.firsts[i]), min(int(self.firsts[i]) + LEAF, len(self.sids)))
 
+    def open_leaves(self, i: int, other: Tree) -> list[int]:
+        """The leaves of other that may have a link with leaf i; with the same tree, those from i on."""
+        bound = np.minimum(self.most[i], other.most).sum(axis=1)
+        found = np.flatnonzero(may_link(bound, self.least_size[i], other.least_size, self.most_size[i], other.most_size))
+        return found[found >= i].tolist() if self is other else found.tolist()
+
+    def apart_from(self, other: Tree) -> bool:
+        return self is not other and not may_link(np.minimum(self.most.max(0), other.most.max(0)).sum(), self.sizes.min(), other.sizes.min(), self.sizes.max(), other.sizes.max())
+
 
 def may_link(shared, a, b, most_a, most_b):
     """Whether sets of sizes from a to most_a and from b to most_b can link if they share at most so many."""
@@ -234,15 +246,11 @@ def tree_links(left: Tree, right: Tree) -> list[tuple[int, int]]:
         return label
 
     links = []
-    if left is not right and not may_link(np.minimum(left.most.max(0), right.most.max(0)).sum(), left.sizes.min(), right.sizes.min(), left.sizes.max(), right.sizes.max()):
+    if left.apart_from(right):
         return links
     for i in range(len(left.firsts)):
         a = left.leaf(i)
-        bound = np.minimum(left.most[i], right.most).sum(axis=1)
-        open_ = may_link(bound, left.least_size[i], right.least_size, left.most_size[i], right.most_size)
-        for j in np.flatnonzero(open_).tolist():
-            if left is right and j < i:
-                continue
+        for j in left.open_leaves(i, right):
             b = right.leaf(j)
             mine, other = (np.array([find(x) for x in t.labels[s]]) for t, s in ((left, a), (right, b)))
             apart = mine[:, None] != other[None, :]
@@ -272,7 +280,7 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (task, side, place): the links of each task's block with itself, or of its two blocks."""
 
     def settle(members: dict[int, dict[int, tuple]]) -> pa.RecordBatch:
-        trees = [Tree(list(members[side].values())) for side in sorted(members)]
+        trees = [Tree.of_sets(list(members[side].values())) for side in sorted(members)]
         links = tree_links(trees[0], trees[-1]) if trees else []
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -301,18 +309,73 @@ def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of families with more than one label; a family of two only if its points may link."""
-    fields = ("sid", "n", "coarse", "label")
+    """The members of families with more than one label that may have a link there, by their points."""
+    fields = ("sid", "n", "coarse")
     ends = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*fields)).alias("x"), F.max(F.struct(*fields)).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
     shared = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda t, v: t + v)
     n, m = F.col("x.n"), F.col("y.n")
     wanted = ends.filter((F.col("low") != F.col("high")) & ((F.col("size") > 2) | may_link(shared, n, m, n, m)))
-    return members.join(wanted.select("family"), "family", "left_semi")
+    blocks = _blocks(members.join(wanted.select("family"), "family", "left_semi"), "points")
+    left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
+    later = F.struct("l_slice", "l_chunk") < F.struct("r_slice", "r_chunk")
+    one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
+    pairs = staged(left.join(right, "family").filter(later & ~one_label & _nodes_may_link()), "pairs")
+    fields = ("family", "place", "sid", "label", "n", "coarse")
+    alone = _alone(blocks).select("task", "side", "sides", *fields)
+    both = [_of(blocks, pairs, name, side).select("task", "side", "sides", *fields) for name, side in (("l", 0), ("r", 1))]
+    rows = alone.union(both[0]).union(both[1]).repartition(partitions(members.sparkSession), "task").sortWithinPartitions("task", "side", "place")
+    found = rows.mapInArrow(open_members, "family long, sid long").distinct()
+    return members.join(found, ["family", "sid"], "left_semi")
+
+
+def may_have_links(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of left and of right have a partner with another label that no bound excludes."""
+    mine, other = np.zeros(len(left.sids), bool), np.zeros(len(right.sids), bool)
+    if left.apart_from(right):
+        return mine, other
+    for i in range(len(left.firsts)):
+        a = left.leaf(i)
+        for j in left.open_leaves(i, right):
+            b = right.leaf(j)
+            shared = np.minimum(left.points[a][:, None, :], right.points[b][None, :, :]).sum(axis=2)
+            n, m = left.sizes[a][:, None], right.sizes[b][None, :]
+            found = may_link(shared, n, m, n, m) & (np.array(left.labels[a])[:, None] != np.array(right.labels[b])[None, :])
+            mine[a] |= found.any(axis=1)
+            other[b] |= found.any(axis=0)
+    return mine, other
+
+
+def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (points without texts) sorted by (task, side, place): the members that may have a link within their task."""
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        side, sides = rows.column("side").to_numpy(), rows.column("sides")[0].as_py()
+        points = rows.column("coarse").combine_chunks().flatten().to_numpy().reshape(len(side), COARSE)
+        sizes, sids, labels = (rows.column(c).to_numpy() for c in ("n", "sid", "label"))
+        trees = [Tree(sids[side == s].tolist(), labels[side == s].tolist(), sizes[side == s], points[side == s]) for s in range(sides)]
+        mine, other = may_have_links(trees[0], trees[-1])
+        keep = np.concatenate([mine, other]) if sides == 2 else mine | other
+        return rows.select(["family", "sid"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    task, held = None, []
+    for batch in batches:
+        tasks = batch.column("task").to_numpy()
+        edges = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if high > low:
+                if tasks[low] != task and held:
+                    yield from settle(held)
+                    held = []
+                task = tasks[low]
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield from settle(held)
 
 
 def _joined(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Links of rows(task, side, sides, place, sid, label), written to the shared folder."""
-    ready = rows.join(texts, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
+    ready = rows.select("task", "side", "sides", "place", "sid", "label").join(texts, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
     return staged(ready.select("task", "side", "sides", "sid", "label", "text").mapInArrow(join_blocks, EDGES), name)
 
 
@@ -323,7 +386,20 @@ def _blocks(members: DataFrame, name: str) -> DataFrame:
 
 
 def _alone(blocks: DataFrame) -> DataFrame:
-    return blocks.select(F.xxhash64("family", "slice", "chunk").alias("task"), F.lit(0).alias("side"), F.lit(1).alias("sides"), F.col("at").alias("place"), "sid", "label")
+    return blocks.select("*", F.xxhash64("family", "slice", "chunk").alias("task"), F.lit(0).alias("side"), F.lit(1).alias("sides"), F.col("at").alias("place"))
+
+
+def _of(blocks: DataFrame, pairs: DataFrame, name: str, side: int) -> DataFrame:
+    """The members of the blocks on one side of pairs of blocks, by task."""
+    key = ["family", f"{name}_slice", f"{name}_chunk"]
+    task = F.xxhash64("family", "l_slice", "l_chunk", "r_slice", "r_chunk").alias("task")
+    met = blocks.withColumnsRenamed({"slice": key[1], "chunk": key[2]}).join(pairs.select("family", "l_slice", "l_chunk", "r_slice", "r_chunk"), key)
+    return met.select("*", task, F.lit(side).alias("side"), F.lit(2).alias("sides"), F.col("at").alias("place"))
+
+
+def _nodes_may_link():
+    shared = F.aggregate(F.zip_with("l_most", "r_most", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    return may_link(shared, F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -335,7 +411,7 @@ def _nodes(blocks: DataFrame, side: str) -> DataFrame:
     """The upper nodes: (family, slice, chunk) with the range of sizes and the largest coarse counts."""
     most = F.array(*(F.max(F.get("coarse", F.lit(i))) for i in range(COARSE)))
     return blocks.groupBy("family", F.col("slice").alias(f"{side}_slice"), F.col("chunk").alias(f"{side}_chunk")).agg(
-        F.min("n").alias(f"{side}_least"), F.max("n").alias(f"{side}_size"), most.alias(f"{side}_most")
+        F.min("n").alias(f"{side}_least"), F.max("n").alias(f"{side}_size"), most.alias(f"{side}_most"), F.min("label").alias(f"{side}_low"), F.max("label").alias(f"{side}_high")
     )
 
 
@@ -345,17 +421,9 @@ def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
     main = sizes.groupBy("family").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     rest = members.join(main.select("family", F.col("main.label").alias("main")), "family").filter("label <> main")
     left = _blocks(rest.drop("main", "slice", "chunk", "at"), "rest")
-    shared = F.aggregate(F.zip_with("l_most", "r_most", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
-    may = may_link(shared, F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))
-    pairs = staged(_nodes(left, "l").join(_nodes(members, "r"), "family").filter(may), "nodes")
-    task = F.xxhash64("family", "l_slice", "l_chunk", "r_slice", "r_chunk").alias("task")
-
-    def of(blocks: DataFrame, name: str, side: int) -> DataFrame:
-        key = ["family", f"{name}_slice", f"{name}_chunk"]
-        own = blocks.withColumnsRenamed({"slice": key[1], "chunk": key[2]})
-        return own.join(pairs, key).select(task, F.lit(side).alias("side"), F.lit(2).alias("sides"), F.col("at").alias("place"), "sid", "label")
-
-    return _joined(of(left, "l", 0).union(of(members, "r", 1)), texts, "links")
+    pairs = staged(_nodes(left, "l").join(_nodes(members, "r"), "family").filter(_nodes_may_link()), "nodes")
+    fields = ("task", "side", "sides", "place", "sid", "label")
+    return _joined(_of(left, pairs, "l", 0).select(*fields).union(_of(members, pairs, "r", 1).select(*fields)), texts, "links")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

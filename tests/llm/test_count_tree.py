@@ -72,7 +72,7 @@ def test_bounds_never_exclude_a_link():
         sets += [np.unique(np.concatenate([base[r.random(len(base)) > 0.06], r.integers(0, 1 << 63, int(len(base) * 0.05), dtype=np.uint64)])) for _ in range(9)]
     sets = [s for s in sets if len(s)]
     r.shuffle(sets)
-    tree = count_tree.Tree([(i, i, s) for i, s in enumerate(sets)])
+    tree = count_tree.Tree.of_sets([(i, i, s) for i, s in enumerate(sets)])
     label = list(range(len(sets)))
     for a, b in count_tree.tree_links(tree, tree):
         label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
