@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import slots
+from tallyspark.operators import allocation, slots
 from tallyspark.plans.catalogue import query
 from tallyspark.plans.shapes import table
 
@@ -102,3 +102,55 @@ def tail_corrections(spark, sf_dir):
     verdicts, changes = slots.tail_corrections(rows, open_, patches, ["category"], ["category", "reason", "flags"])
     counted = changes.join(rows.select("slot_id", "fingerprint"), "slot_id").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("changes"))
     return verdicts.join(counted, "fingerprint", "left").na.fill(0, ["changes"])
+
+
+# Suppliers as sources: the stored state has some lines in another place, retired or missing. What has changed of a source
+# (nothing, the contract, the revision, or that it was never stored) follows its number.
+_CASE = "l_suppkey % 4"
+_LINES = "(SELECT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_suppkey, l_orderkey, l_linenumber) lines"
+_ARRIVING = f"""SELECT CAST(l_suppkey AS VARCHAR(20)) AS source_id, CASE WHEN {_CASE} = 2 THEN 'rev2' ELSE 'rev1' END AS revision, CASE WHEN {_CASE} = 1 THEN 'c2' ELSE 'c1' END AS contract,
+    CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS locator, concat(CAST(l_partkey AS VARCHAR(20)), '/', CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS fingerprint FROM {_LINES}"""
+_STORED = f"""SELECT CAST(l_suppkey AS VARCHAR(20)) AS source_id, concat('old_', CAST(l_suppkey AS VARCHAR(20)), '_', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR(20))) AS record_id,
+    concat(CAST(l_partkey AS VARCHAR(20)), '/', CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS fingerprint, CASE WHEN {_CASE} = 2 AND l_orderkey % 13 = 0 THEN 'retired' ELSE 'active' END AS state,
+    CAST(CASE WHEN {_CASE} = 2 AND l_orderkey % 13 = 0 THEN NULL WHEN {_CASE} = 1 AND l_orderkey % 11 = 0 THEN l_orderkey * 10 + l_linenumber + 1000000000 ELSE l_orderkey * 10 + l_linenumber END AS BIGINT) AS locator,
+    CASE WHEN l_orderkey % 3 = 0 AND {_CASE} = 2 THEN 'rev2' ELSE 'rev1' END AS origin_revision, 'c1' AS origin_contract, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS origin_locator, CAST(1 AS INT) AS ordinal
+    FROM {_LINES} WHERE {_CASE} <> 3"""
+_SOURCES = f"SELECT DISTINCT CAST(l_suppkey AS VARCHAR(20)) AS source_id, 'rev1' AS revision, 'c1' AS contract FROM lineitem WHERE {_CASE} <> 3"
+_ALLOCATED = f"""i AS (SELECT *, CAST(source_id AS BIGINT) % 4 AS kind FROM ({_ARRIVING})), r AS ({_STORED}),
+    e AS (SELECT i.source_id, i.fingerprint, i.locator, i.kind, a.record_id AS old_id, b.record_id AS retired_id FROM i
+        LEFT JOIN r a ON a.state = 'active' AND a.source_id = i.source_id AND a.fingerprint = i.fingerprint AND a.locator = i.locator AND i.kind IN (0, 1)
+        LEFT JOIN r b ON b.state = 'retired' AND b.source_id = i.source_id AND b.fingerprint = i.fingerprint AND b.origin_locator = i.locator AND b.origin_revision = i.revision),
+    x AS (SELECT source_id, fingerprint, count(*) AS n FROM e WHERE old_id IS NULL AND retired_id IS NULL GROUP BY 1, 2),
+    y AS (SELECT source_id, fingerprint, count(*) AS n, min(record_id) AS moved_id FROM r WHERE state = 'active' AND record_id NOT IN (SELECT old_id FROM e WHERE old_id IS NOT NULL) GROUP BY 1, 2),
+    bad AS (SELECT DISTINCT x.source_id FROM x JOIN y ON y.source_id = x.source_id AND y.fingerprint = x.fingerprint WHERE (x.n <> 1 OR y.n <> 1) AND CAST(x.source_id AS BIGINT) % 4 <> 1),
+    done AS (SELECT e.source_id, locator, e.fingerprint, CASE WHEN old_id IS NOT NULL THEN 'kept' WHEN retired_id IS NOT NULL THEN 'revived' WHEN x.n = 1 AND y.n = 1 THEN 'moved' ELSE 'new' END AS action,
+        coalesce(old_id, retired_id, CASE WHEN x.n = 1 AND y.n = 1 THEN moved_id END) AS known_id,
+        row_number() OVER (PARTITION BY e.source_id, e.fingerprint ORDER BY locator) AS ordinal
+        FROM e LEFT JOIN x ON x.source_id = e.source_id AND x.fingerprint = e.fingerprint LEFT JOIN y ON y.source_id = e.source_id AND y.fingerprint = e.fingerprint WHERE e.source_id NOT IN (SELECT source_id FROM bad))"""
+
+
+def _allocated(spark, sf_dir):
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return allocation.allocate(spark.sql(_ARRIVING), spark.sql(_STORED), spark.sql(_SOURCES), "replace", allow_upgrade=True)
+
+
+@query(f"""WITH {_ALLOCATED} SELECT source_id, locator, fingerprint, CAST(ordinal AS INT) AS ordinal, action, known_id FROM done
+    UNION ALL SELECT source_id, NULL, '', NULL, 'record_match_ambiguous', NULL FROM bad""")
+def identity_allocation(spark, sf_dir):
+    """Every line's id and how it came by it, and the sources that are refused."""
+    found = _allocated(spark, sf_dir)
+    known = F.when(F.col("action") != "new", F.col("record_id"))
+    rows = found.rows.select("source_id", "locator", "fingerprint", "ordinal", "action", known.alias("known_id"))
+    refused = found.problems.select("source_id", F.lit(None).cast("long").alias("locator"), F.lit("").alias("fingerprint"), F.lit(None).cast("int").alias("ordinal"), F.col("problem").alias("action"), F.lit(None).cast("string").alias("known_id"))
+    return rows.unionByName(refused)
+
+
+@query(f"""WITH {_ALLOCATED}, after_ AS (
+        SELECT record_id, state FROM r WHERE source_id IN (SELECT source_id FROM bad) UNION ALL
+        SELECT coalesce(known_id, 'new'), 'active' FROM done UNION ALL
+        SELECT record_id, 'retired' FROM r WHERE source_id NOT IN (SELECT source_id FROM bad) AND record_id NOT IN (SELECT known_id FROM done WHERE known_id IS NOT NULL))
+    SELECT record_id, state, count(*) AS n FROM after_ GROUP BY 1, 2""")
+def identity_records_after(spark, sf_dir):
+    """The stored records after it; new ids are counted together."""
+    named = F.when(F.col("record_id").startswith("rec_"), "new").otherwise(F.col("record_id"))
+    return _allocated(spark, sf_dir).records.groupBy(named.alias("record_id"), "state").agg(F.count(F.lit(1)).alias("n"))
