@@ -70,13 +70,18 @@ def range_chunks(rows: DataFrame, key: str, order: Sequence[str | Column], size:
     """rows with slice, at and chunk: runs of up to `size` rows (or of that weight, about) that follow each other by order within a key.
 
     Rows are dealt by ranges of (key, order), so a key with very many rows lies in several slices, in order; no task and no
-    group holds all of it. (slice, chunk) orders the chunks of a key; at numbers its rows within a slice.
+    group holds all of it. The slices' sums are added up to where each begins, so chunks are of one size however many slices
+    there are. chunk counts from 0 within a key; (slice, at) orders the rows of a key.
     """
     dealt = rows.repartitionByRange(partitions(rows.sparkSession), key, *order)
-    placed = staged(dealt.withColumn("slice", F.spark_partition_id()), "ranges")
+    placed = staged(dealt.withColumn("slice", F.spark_partition_id()).withColumn("__w", F.lit(1).cast("long") if weight is None else weight.cast("long")), "ranges")
+    sums = placed.groupBy(key, "slice").agg(F.sum("__w").alias("__sum"))
+    earlier = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(key, "slice", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__begin"))
     by = Window.partitionBy(key, "slice").orderBy(*order)
-    before = F.row_number().over(by) - 1 if weight is None else F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumns({"at": F.row_number().over(by), "chunk": F.floor(F.coalesce(before, F.lit(0)) / size)})
+    before = F.coalesce(F.sum("__w").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumns({"at": F.row_number().over(by), "__before": before})
+    return placed.join(begins, [key, "slice"]).withColumn("chunk", F.floor((F.col("__begin") + F.col("__before")) / size)).drop("__w", "__begin", "__before")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:

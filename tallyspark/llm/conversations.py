@@ -199,18 +199,18 @@ def repaired(turns: DataFrame, ids: DataFrame) -> DataFrame:
     rows = staged(turns.select(key, "turn", "role", "text").withColumn("row", F.monotonically_increasing_id()), "turns")
     marked = flagged(rows)
     placed = range_chunks(marked, "conv", (F.col("turn").asc_nulls_first(), "role", "text", "row"), CHUNK)
-    turn = F.struct("at", "turn", "role", "text", "fault")
+    turn = F.struct("slice", "at", "turn", "role", "text", "fault")
     count = lambda c, name: F.count(F.when(F.col("fault") == name, 1)).alias(c)
-    chunks = placed.groupBy("conv", "slice", "chunk").agg(F.sort_array(F.collect_list(turn)).alias("turns"), *(count(c, c) for c in ("blank", "duplicate", "truncated")))
+    chunks = placed.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(turn)).alias("turns"), *(count(c, c) for c in ("blank", "duplicate", "truncated")))
     initials = F.transform("turns", lambda t: F.substring(t["role"], 1, 1))
     chunks = staged(chunks.withColumn("initials", initials), "chunks")
-    firsts = chunks.groupBy("conv").agg(F.min(F.struct("slice", "chunk")).alias("first"))
+    firsts = chunks.groupBy("conv").agg(F.min("chunk").alias("first"))
     pairs = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: F.when(F.concat(x, y).isin("su", "ua", "au"), 0).otherwise(1)), lambda p: p == 1))
     initial = F.col("initials")
-    states = F.when(F.struct("slice", "chunk") == F.col("first"), F.array(F.lit(0))).otherwise(F.array(*(F.lit(i) for i in range(len(STATES)))))
+    states = F.when(F.col("chunk") == F.col("first"), F.array(F.lit(0))).otherwise(F.array(*(F.lit(i) for i in range(len(STATES)))))
     folded = staged(
         chunks.join(firsts, "conv").select(
-            "conv", "slice", "chunk", "blank", "duplicate", "truncated",
+            "conv", "chunk", "blank", "duplicate", "truncated",
             pairs(F.slice(initial, F.lit(1), F.size(initial) - 1), F.slice(initial, F.lit(2), F.size(initial))).alias("illegal"),
             F.get(initial, F.lit(0)).alias("head"), F.element_at(initial, -1).alias("tail"),
             F.transform(states, lambda s: F.aggregate("turns", _start(s), _step)).alias("ways"),
@@ -218,19 +218,19 @@ def repaired(turns: DataFrame, ids: DataFrame) -> DataFrame:
         "folded",
     )
     whole = folded.groupBy("conv").agg(
-        F.sort_array(F.collect_list(F.struct("slice", "chunk", "head", "tail", "ways"))).alias("chunks"),
+        F.sort_array(F.collect_list(F.struct("chunk", "head", "tail", "ways"))).alias("chunks"),
         *(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal")),
     )
     best = F.aggregate("chunks", _start(F.lit(0)), _through, _finished).alias("best")
     seams = pairs(F.transform(F.slice("chunks", F.lit(1), F.size("chunks") - 1), lambda c: c["tail"]), F.transform(F.slice("chunks", F.lit(2), F.size("chunks")), lambda c: c["head"]))
-    places = F.transform("chunks", lambda c: F.struct(c["slice"].alias("slice"), c["chunk"].alias("chunk"))).alias("places")
+    places = F.transform("chunks", lambda c: c["chunk"]).alias("places")
     solved = staged(whole.select("conv", "blank", "duplicate", "truncated", (F.col("illegal") + seams).alias("illegal"), best, places), "solved")
 
     edited = (
-        solved.select("conv", F.posexplode("places").alias("place", "at"), F.size("places").alias("places"), "best")
-        .select("conv", "at.slice", "at.chunk", "place", "places", F.get("best.entries", F.col("place")).alias("entry"), F.get("best.entries", F.col("place") + 1).alias("leave"), F.length(F.regexp_extract("best.audit", "I*$", 0)).alias("left"))
-        .join(folded.select("conv", "slice", "chunk", "ways"), ["conv", "slice", "chunk"])
-        .join(chunks.select("conv", "slice", "chunk", "turns"), ["conv", "slice", "chunk"])
+        solved.select("conv", F.posexplode("places").alias("place", "chunk"), F.size("places").alias("places"), "best")
+        .select("conv", "chunk", "place", "places", F.get("best.entries", F.col("place")).alias("entry"), F.get("best.entries", F.col("place") + 1).alias("leave"), F.length(F.regexp_extract("best.audit", "I*$", 0)).alias("left"))
+        .join(folded.select("conv", "chunk", "ways"), ["conv", "chunk"])
+        .join(chunks.select("conv", "chunk", "turns"), ["conv", "chunk"])
     )
     way = F.get("ways", F.col("entry"))
     letters = F.coalesce(*(F.when(F.col("leave") == i, way[s]["audit"]) for i, s in enumerate(STATES)))

@@ -17,12 +17,12 @@ documents have a family in common:
   corpus. A family is what has one hub, or hubs in slices that have one hub in the corpus: all documents with a key
   in common have the key's family in common. A key takes one entry a slice, and stars, not pairs, tie its documents.
 
-A document is first compared within the family of its smallest hub. In families that this leaves in more than one
-component, the members whose points allow a link with a member of another component are then compared. The members of a family lie in an order that keeps
-near points together and are cut into blocks of bounded size, the upper nodes; a task holds one block, or two, with 16
-points a leaf. Of a family of several blocks, representatives of what is linked so far are joined with each other, and what is
-still apart from its main part with all blocks whose bounds allow a link. Pairs already in one component are skipped, so
-copies cost one comparison each; only links that join components are written.
+A document is first compared within the family of its smallest hub, whose hub is in each of its blocks, and then
+representatives of what that links. Families that are still in more than one component are joined by their points alone:
+members in an order that keeps near points together, cut into blocks, the upper nodes; a task holds one block, or two
+whose bounds allow a link, with 16 points a leaf. Only members that have a partner in another component left there
+take their texts along and are verified. Pairs already in one component are skipped, so copies cost one comparison each;
+only links that join components are written.
 """
 
 from __future__ import annotations
@@ -44,11 +44,12 @@ PERCENT = 80
 PASS_BYTES = 8 << 20
 #: Coordinates of the upper nodes (in SQL) and of the nodes and points of a task.
 COARSE = 64
-GROUPS = 256
 LEAF = 16
 #: A block holds sets of so many shingles in all; a set counts as BLOCK_WEIGHT / BLOCK_MEMBERS shingles at least.
 BLOCK_WEIGHT = 400_000
 BLOCK_MEMBERS = 500
+#: Points that a task's block holds.
+POINTS = 4096
 
 #: Size levels: a level's largest set is 1.6 times its smallest, so a link reaches one level up at most.
 BOUNDS = [1, 2, 3, 4]
@@ -59,8 +60,8 @@ BOUNDS = np.array(BOUNDS, np.int64)
 LEVEL_GROUPS = np.append(-(-BOUNDS[1:] * 5 // 16), 1)
 _BASE = np.uint64(HASH_BASE)
 
-SCANNED = "kind int, doc_id long, key long, n long, sid long, other long, near long, coarse array<int>, bucket int, keys binary, at binary, table binary"
-SCANNED_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "key": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "other": pa.int64(), "near": pa.int64(), "coarse": pa.list_(pa.int32()), "bucket": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "table": pa.binary()}
+SCANNED = "kind int, doc_id long, key long, n long, sid long, other long, near long, coarse array<int>, fine binary, bucket int, keys binary, at binary, table binary"
+SCANNED_TYPES = {"kind": pa.int32(), "doc_id": pa.int64(), "key": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "other": pa.int64(), "near": pa.int64(), "coarse": pa.list_(pa.int32()), "fine": pa.binary(), "bucket": pa.int32(), "keys": pa.binary(), "at": pa.binary(), "table": pa.binary()}
 DOCUMENT, CELLS, EDGE = 0, 1, 2
 EDGES = "a long, b long"
 
@@ -137,7 +138,8 @@ def scan_sets(buckets: int):
                     cell = np.repeat(full, sizes[full]) * COARSE + (mix(flat) >> np.uint64(58)).astype(np.int64)
                     coarse = np.bincount(cell, minlength=len(sets) * COARSE).reshape(len(sets), COARSE)
                     near[full] = _place_of(coarse[full], sizes[full])
-                yield _rows(len(sets), kind=np.full(len(sets), DOCUMENT), doc_id=part.column("doc_id"), key=part.column("key"), n=sizes, sid=pa.array(sids, mask=sizes == 0), near=near, coarse=list(coarse.astype(np.int32)))
+                fine = [point_of(own).astype(np.uint16).tobytes() if len(own) else None for own in sets]
+                yield _rows(len(sets), kind=np.full(len(sets), DOCUMENT), doc_id=part.column("doc_id"), key=part.column("key"), n=sizes, sid=pa.array(sids, mask=sizes == 0), near=near, coarse=list(coarse.astype(np.int32)), fine=fine)
                 if len(full):
                     _, once = np.unique(sids[full], return_index=True)
                     full = full[np.sort(once)]
@@ -146,6 +148,15 @@ def scan_sets(buckets: int):
     return scan
 
 
+def point_of(own: np.ndarray) -> np.ndarray:
+    """The counts of a set's shingles by the leading bits of their hashes: about a group for every four, COARSE at least.
+
+    Points of different sizes are compared after groups of the finer one are added up.
+    """
+    bits = max(6, (len(own) - 1).bit_length() - 2)
+    return np.minimum(np.bincount((mix(own) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 0xFFFF)
+
+
 def _place_of(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where a point lies in the packing order: by size in steps of a twentieth, then by its first coordinates."""
     out = (np.log(sizes) / np.log(1.05)).astype(np.int64)
@@ -203,18 +214,22 @@ def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Tree:
     """Points in packing order, LEAF a leaf: what a leaf holds is bounded by its largest counts and its sizes."""
 
-    def __init__(self, sids: list[int], labels: list[int], sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None = None):
-        self.sids, self.labels, self.sizes, self.points, self.sets = sids, labels, sizes, points, sets
+    def __init__(self, sids: list[int], labels: list[int], sizes: np.ndarray, points: list[np.ndarray], sets: list[np.ndarray] | None = None):
+        self.sids, self.labels, self.sizes, self.sets = sids, labels, sizes, sets
         self.firsts = np.arange(0, len(sids), LEAF)
-        self.most = np.maximum.reduceat(points, self.firsts)
+        self.points = []
+        for low in self.firsts:
+            own = points[low : low + LEAF]
+            groups = min(len(x) for x in own)
+            self.points.append(np.stack([coarser(x[None, :], groups)[0] for x in own]).astype(np.int32))
+        self.most = np.stack([coarser(p, COARSE).max(axis=0) for p in self.points])
         self.least_size = np.minimum.reduceat(sizes, self.firsts)
         self.most_size = np.maximum.reduceat(sizes, self.firsts)
 
     @classmethod
     def of_sets(cls, members: list[tuple[int, int, np.ndarray]]) -> Tree:
         sets = [m[2] for m in members]
-        points = np.stack([np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
-        return cls([m[0] for m in members], [m[1] for m in members], np.array([len(s) for s in sets], np.int64), points, sets)
+        return cls([m[0] for m in members], [m[1] for m in members], np.array([len(s) for s in sets], np.int64), [point_of(s) for s in sets], sets)
 
     def leaf(self, i: int) -> slice:
         return slice(int(self.firsts[i]), min(int(self.firsts[i]) + LEAF, len(self.sids)))
@@ -228,6 +243,19 @@ class Tree:
     def apart_from(self, other: Tree) -> bool:
         return self is not other and not may_link(np.minimum(self.most.max(0), other.most.max(0)).sum(), self.sizes.min(), other.sizes.min(), self.sizes.max(), other.sizes.max())
 
+    def open_pairs(self, i: int, other: Tree, j: int) -> np.ndarray:
+        """Which members of leaf i and of other's leaf j no bound excludes."""
+        groups = min(self.points[i].shape[1], other.points[j].shape[1])
+        a, b = coarser(self.points[i], groups), coarser(other.points[j], groups)
+        shared = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2)
+        n, m = self.sizes[self.leaf(i)][:, None], other.sizes[other.leaf(j)][None, :]
+        return may_link(shared, n, m, n, m)
+
+
+def coarser(points: np.ndarray, groups: int) -> np.ndarray:
+    """The rows of points with groups added up to so many."""
+    return points if points.shape[1] == groups else points.reshape(len(points), groups, -1).sum(axis=2)
+
 
 def may_link(shared, a, b, most_a, most_b):
     """Whether sets of sizes from a to most_a and from b to most_b can link if they share at most so many."""
@@ -258,9 +286,7 @@ def tree_links(left: Tree, right: Tree) -> list[tuple[int, int]]:
                 apart = np.triu(apart, 1)
             if not apart.any():
                 continue
-            shared = np.minimum(left.points[a][:, None, :], right.points[b][None, :, :]).sum(axis=2)
-            n, m = left.sizes[a][:, None], right.sizes[b][None, :]
-            for x, y in np.argwhere(apart & may_link(shared, n, m, n, m)).tolist():
+            for x, y in np.argwhere(apart & left.open_pairs(i, right, j)).tolist():
                 x, y = x + a.start, y + b.start
                 p, q = find(left.labels[x]), find(right.labels[y])
                 if p != q and linked(left.sets[x], right.sets[y]):
@@ -300,34 +326,6 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(members)
 
 
-def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
-    """(sid, family) from the hubs of documents within their slice and the hubs of those."""
-    own = lambda df, c: df.select(F.col(c).alias("sid"), F.col(c).alias("family"))
-    within = near_hub.select("sid", F.col("hub").alias("family")).union(own(near_hub, "hub"))
-    tied = near_hub.join(far_hub, "hub").select("sid", "family").union(far_hub.select("hub", "family")).union(own(far_hub, "family"))
-    return within.union(tied).distinct()
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """The members of families with more than one label that may have a link there, by their points."""
-    fields = ("sid", "n", "coarse")
-    ends = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*fields)).alias("x"), F.max(F.struct(*fields)).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
-    shared = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda t, v: t + v)
-    n, m = F.col("x.n"), F.col("y.n")
-    wanted = ends.filter((F.col("low") != F.col("high")) & ((F.col("size") > 2) | may_link(shared, n, m, n, m)))
-    blocks = _blocks(members.join(wanted.select("family"), "family", "left_semi"), "points")
-    left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
-    later = F.struct("l_slice", "l_chunk") < F.struct("r_slice", "r_chunk")
-    one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
-    pairs = staged(left.join(right, "family").filter(later & ~one_label & _nodes_may_link()), "pairs")
-    fields = ("family", "place", "sid", "label", "n", "coarse")
-    alone = _alone(blocks).select("task", "side", "sides", *fields)
-    both = [_of(blocks, pairs, name, side).select("task", "side", "sides", *fields) for name, side in (("l", 0), ("r", 1))]
-    rows = alone.union(both[0]).union(both[1]).repartition(partitions(members.sparkSession), "task").sortWithinPartitions("task", "side", "place")
-    found = rows.mapInArrow(open_members, "family long, sid long").distinct()
-    return members.join(found, ["family", "sid"], "left_semi")
-
-
 def may_have_links(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Which members of left and of right have a partner with another label that no bound excludes."""
     mine, other = np.zeros(len(left.sids), bool), np.zeros(len(right.sids), bool)
@@ -337,26 +335,27 @@ def may_have_links(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
         a = left.leaf(i)
         for j in left.open_leaves(i, right):
             b = right.leaf(j)
-            shared = np.minimum(left.points[a][:, None, :], right.points[b][None, :, :]).sum(axis=2)
-            n, m = left.sizes[a][:, None], right.sizes[b][None, :]
-            found = may_link(shared, n, m, n, m) & (np.array(left.labels[a])[:, None] != np.array(right.labels[b])[None, :])
+            apart = np.array(left.labels[a])[:, None] != np.array(right.labels[b])[None, :]
+            if not apart.any():
+                continue
+            found = apart & left.open_pairs(i, right, j)
             mine[a] |= found.any(axis=1)
             other[b] |= found.any(axis=0)
     return mine, other
 
 
 def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (points without texts) sorted by (task, side, place): the members that may have a link within their task."""
+    """Rows (points without texts) sorted by (task, side, place): those that may have a link within their task."""
 
-    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def settle(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         side, sides = rows.column("side").to_numpy(), rows.column("sides")[0].as_py()
-        points = rows.column("coarse").combine_chunks().flatten().to_numpy().reshape(len(side), COARSE)
+        points = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in rows.column("fine")]
         sizes, sids, labels = (rows.column(c).to_numpy() for c in ("n", "sid", "label"))
-        trees = [Tree(sids[side == s].tolist(), labels[side == s].tolist(), sizes[side == s], points[side == s]) for s in range(sides)]
+        trees = [Tree(sids[side == s].tolist(), labels[side == s].tolist(), sizes[side == s], [points[i] for i in np.flatnonzero(side == s)]) for s in range(sides)]
         mine, other = may_have_links(trees[0], trees[-1])
         keep = np.concatenate([mine, other]) if sides == 2 else mine | other
-        return rows.select(["family", "sid"]).filter(pa.array(keep)).combine_chunks().to_batches()
+        return rows.select(["task", "side", "sides", "place", "sid", "label"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     task, held = None, []
     for batch in batches:
@@ -373,6 +372,34 @@ def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held)
 
 
+def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
+    """(sid, family) from the hubs of documents within their slice and the hubs of those."""
+    own = lambda df, c: df.select(F.col(c).alias("sid"), F.col(c).alias("family"))
+    within = near_hub.select("sid", F.col("hub").alias("family")).union(own(near_hub, "hub"))
+    tied = near_hub.join(far_hub, "hub").select("sid", "family").union(far_hub.select("hub", "family")).union(own(far_hub, "family"))
+    return within.union(tied).distinct()
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The rows (task, side, sides, place, sid, label) to be verified: what may have a link, by its points, in the tasks of
+    families with more than one label."""
+    spark = members.sparkSession
+    fields = ("sid", "n", "coarse")
+    ends = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*fields)).alias("x"), F.max(F.struct(*fields)).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
+    n, m = F.col("x.n"), F.col("y.n")
+    wanted = ends.filter((F.col("low") != F.col("high")) & ((F.col("size") > 2) | may_link(_shared("x.coarse", "y.coarse"), n, m, n, m)))
+    blocks = staged(range_chunks(members.join(wanted.select("family"), "family", "left_semi"), "family", ("near", "sid"), POINTS), "points")
+    left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
+    one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
+    may = may_link(_shared("l_most", "r_most"), F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))
+    pairs = staged(left.join(right, "family").filter((F.col("l_chunk") < F.col("r_chunk")) & ~one_label & may).select("family", "l_chunk", "r_chunk"), "pairs")
+    rows = ("task", "side", "sides", "place", "sid", "label", "n", "fine")
+    alone = _alone(blocks).select(*rows)
+    both = [_of(blocks, pairs, name, side).select(*rows) for name, side in (("l", 0), ("r", 1))]
+    ready = alone.union(both[0]).union(both[1]).repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "place")
+    return staged(ready.mapInArrow(open_members, "task long, side int, sides int, place long, sid long, label long"), "open")
+
+
 def _joined(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Links of rows(task, side, sides, place, sid, label), written to the shared folder."""
     ready = rows.select("task", "side", "sides", "place", "sid", "label").join(texts, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
@@ -380,26 +407,29 @@ def _joined(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
 
 
 def _blocks(members: DataFrame, name: str) -> DataFrame:
-    """members with block (slice, chunk) of their family."""
+    """members with the chunk of their family."""
     weight = F.greatest("n", F.lit(BLOCK_WEIGHT // BLOCK_MEMBERS))
     return staged(range_chunks(members, "family", ("near", "sid"), BLOCK_WEIGHT, weight), name)
 
 
+def _place():
+    """Where a row stands in its family: by slice, then within it."""
+    return (F.col("slice").cast("long") * (1 << 40) + F.col("at")).alias("place")
+
+
 def _alone(blocks: DataFrame) -> DataFrame:
-    return blocks.select("*", F.xxhash64("family", "slice", "chunk").alias("task"), F.lit(0).alias("side"), F.lit(1).alias("sides"), F.col("at").alias("place"))
+    return blocks.select("*", F.xxhash64("family", "chunk").alias("task"), F.lit(0).alias("side"), F.lit(1).alias("sides"), _place())
 
 
 def _of(blocks: DataFrame, pairs: DataFrame, name: str, side: int) -> DataFrame:
     """The members of the blocks on one side of pairs of blocks, by task."""
-    key = ["family", f"{name}_slice", f"{name}_chunk"]
-    task = F.xxhash64("family", "l_slice", "l_chunk", "r_slice", "r_chunk").alias("task")
-    met = blocks.withColumnsRenamed({"slice": key[1], "chunk": key[2]}).join(pairs.select("family", "l_slice", "l_chunk", "r_slice", "r_chunk"), key)
-    return met.select("*", task, F.lit(side).alias("side"), F.lit(2).alias("sides"), F.col("at").alias("place"))
+    met = blocks.withColumnRenamed("chunk", f"{name}_chunk").join(pairs, ["family", f"{name}_chunk"])
+    return met.select("*", F.xxhash64("family", "l_chunk", "r_chunk").alias("task"), F.lit(side).alias("side"), F.lit(2).alias("sides"), _place())
 
 
-def _nodes_may_link():
-    shared = F.aggregate(F.zip_with("l_most", "r_most", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
-    return may_link(shared, F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))
+def _shared(a: str, b: str):
+    """What points or nodes with these counts can share at most."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -408,24 +438,13 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _nodes(blocks: DataFrame, side: str) -> DataFrame:
-    """The upper nodes: (family, slice, chunk) with the range of sizes and the largest coarse counts."""
+    """The upper nodes: (family, chunk) with the range of sizes and of labels and the largest coarse counts."""
     most = F.array(*(F.max(F.get("coarse", F.lit(i))) for i in range(COARSE)))
-    return blocks.groupBy("family", F.col("slice").alias(f"{side}_slice"), F.col("chunk").alias(f"{side}_chunk")).agg(
+    return blocks.groupBy("family", F.col("chunk").alias(f"{side}_chunk")).agg(
         F.min("n").alias(f"{side}_least"), F.max("n").alias(f"{side}_size"), most.alias(f"{side}_most"), F.min("label").alias(f"{side}_low"), F.max("label").alias(f"{side}_high")
     )
 
 
-def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between what is apart from the main part of its family and all blocks of the family."""
-    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("family").agg(F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    rest = members.join(main.select("family", F.col("main.label").alias("main")), "family").filter("label <> main")
-    left = _blocks(rest.drop("main", "slice", "chunk", "at"), "rest")
-    pairs = staged(_nodes(left, "l").join(_nodes(members, "r"), "family").filter(_nodes_may_link()), "nodes")
-    fields = ("task", "side", "sides", "place", "sid", "label")
-    return _joined(_of(left, pairs, "l", 0).select(*fields).union(_of(members, pairs, "r", 1).select(*fields)), texts, "links")
-
-
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -444,25 +463,22 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     near_hub = scan.filter(F.col("kind") == EDGE).select("sid", F.col("other").alias("hub"))
     far_hub = staged(cells.mapInArrow(join_cells, EDGES).distinct().select(F.col("a").alias("hub"), F.col("b").alias("family")), "hubs")
     families = staged(_families(near_hub, far_hub), "families")
-    firsts = found.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("coarse").alias("coarse"))
+    firsts = found.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"))
     members = staged(firsts.join(families.select("sid").distinct(), "sid", "left_semi"), "members")
     texts = staged(rows.select("key", "text").join(members.select("sid", "key"), "key").select("sid", "text"), "texts")
     points = members.drop("key").withColumn("label", F.col("sid"))
 
-    # A document's smallest hub; the hub itself is of its own family.
-    own = families.groupBy("sid").agg(F.min("family").alias("family"))
-    hubs = own.select(F.col("family").alias("sid"), "family").distinct()
-    links = _joined(_alone(_blocks(own.union(hubs).distinct().join(points, "sid"), "blocks")), texts, "links")
-    known = _labelled(points, links)
-    open_ = _open(families.join(known, "sid"))
-    blocks = _blocks(open_, "blocks")
-    links = links.union(_joined(_alone(blocks), texts, "links"))
-    several = blocks.groupBy("family").agg(F.min(F.struct("slice", "chunk")).alias("low"), F.max(F.struct("slice", "chunk")).alias("high")).filter("low <> high").select("family")
-    large = staged(_labelled(blocks.join(several, "family"), links), "large")
-    if not large.isEmpty():
-        chosen = large.groupBy("family", "label").agg(F.min(F.struct("near", "sid", "n", "coarse")).alias("x")).select("family", "label", "x.*")
-        links = links.union(_joined(_alone(_blocks(chosen, "chosen")), texts, "links"))
-        links = links.union(_across(staged(_labelled(large, links), "large"), texts))
+    # A document in the family of its smallest hub; the hub itself in each block of its own.
+    own = families.groupBy("sid").agg(F.min("family").alias("family")).join(points.select("sid", "n", "near", "label"), "sid")
+    blocks = _blocks(own, "blocks")
+    heads = blocks.select("family", "chunk").distinct().withColumn("sid", F.col("family")).join(points.select("sid", "n", "near", "label"), "sid").withColumns({"slice": F.lit(0), "at": F.lit(0)})
+    met = blocks.filter("sid <> family").unionByName(heads)
+    links = _joined(_alone(met), texts, "links")
+    # One of each component that lies in several blocks of a family, or of several in one block's family.
+    several = blocks.groupBy("family").agg(F.max("chunk").alias("last"), F.min("chunk").alias("first")).filter("first < last").select("family")
+    parts = _labelled(own.join(several, "family", "left_semi"), links).groupBy("family", "label").agg(F.min(F.struct("near", "sid", "n")).alias("x")).select("family", "label", "x.*")
+    links = links.union(_joined(_alone(_blocks(parts, "parts")), texts, "links"))
+    links = links.union(_joined(_open(families.join(_labelled(points, links), "sid")), texts, "links"))
 
     # Copies by slice: a group of copies adds one row per slice to either side of the join.
     final = components(links).select(F.col("id").alias("sid"), F.col("component").alias("label"))
