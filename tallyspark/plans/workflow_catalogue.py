@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import allocation, slots
+from tallyspark.operators import allocation, reconcile, slots
 from tallyspark.plans.catalogue import query
-from tallyspark.plans.shapes import table
+from tallyspark.plans.shapes import legs, legs_sql, table
 
 KEY = b"tally-demonstration-key"
 
@@ -154,3 +154,60 @@ def identity_records_after(spark, sf_dir):
     """The stored records after it; new ids are counted together."""
     named = F.when(F.col("record_id").startswith("rec_"), "new").otherwise(F.col("record_id"))
     return _allocated(spark, sf_dir).records.groupBy(named.alias("record_id"), "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Legs of transfers with what earlier runs and reviews left on them; every tenth order is marked as a pair by hand, and of
+# these every second one no longer is one.
+_WORKED = """SELECT id, date, CASE WHEN marked AND key % 20 = 0 THEN 'acct_m' ELSE account_id END AS account_id, account_type, 'bank_0' AS institution, CASE WHEN key % 3 = 0 THEN 'Unknown' ELSE 'owner_a' END AS owner, 'Unknown' AS category,
+    amount_base AS posted_amount, 'HKD' AS posted_currency, amount_base, CASE WHEN again THEN 'internal_transfer' ELSE flow_type END AS flow_type, CASE WHEN again THEN 'reconciliation' ELSE flow_source END AS flow_source,
+    CASE WHEN marked THEN concat('mp_', CAST(key AS VARCHAR(20))) END AS marker, CASE WHEN key % 4 = 0 THEN 'noted; Ambiguous transfer candidates' ELSE '' END AS reason, key % 4 = 0 OR key % 3 = 0 AS needs_review,
+    concat_ws(';', CASE WHEN key % 4 = 0 THEN 'reconciliation_ambiguous' END, CASE WHEN key % 8 = 0 THEN 'reconciliation_ambiguous_prior_review' END) AS flags,
+    concat_ws(';', CASE WHEN key % 4 = 0 THEN 'accounting_flow;category_decision' END, CASE WHEN key % 3 = 0 THEN 'ownership' END) AS review_reasons, key
+    FROM (SELECT *, key % 10 = 0 AND id NOT LIKE 'd%' AS marked, key % 7 = 0 AND id LIKE 'o%' AS again FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS key FROM legs) a) b"""
+
+
+def _worked(spark, sf_dir):
+    legs(spark, sf_dir).createOrReplaceTempView("legs")
+    rows = spark.sql(_WORKED).drop("key")
+    return rows.withColumns({c: F.array_remove(F.split(c, ";"), "") for c in ("flags", "review_reasons")})
+
+
+def _reconciled(spark, sf_dir):
+    return reconcile.reconcile(_worked(spark, sf_dir), F.lit(True), F.lit(False))
+
+
+_RECONCILED_SQL = f"""WITH all_legs AS (WITH {legs_sql()} SELECT * FROM legs), w AS (SELECT * FROM ({_WORKED.replace('FROM legs)', 'FROM all_legs)')})),
+    n AS (SELECT *, CASE WHEN flow_source = 'rule' THEN flow_type ELSE 'unresolved' END AS flow, CASE WHEN flow_source = 'rule' THEN 'rule' ELSE 'deterministic' END AS source FROM w), f AS (SELECT * FROM n WHERE marker IS NULL),
+    cand AS (SELECT o.id AS out_id, i.id AS in_id, CAST(abs(i.date - o.date) AS INT) AS days,
+        CASE WHEN i.account_type = 'credit_card' THEN 'credit_card_payment' WHEN i.account_type = 'bank' THEN 'internal_transfer' ELSE 'investment_transfer' END AS flow, i.source, i.flow AS i_flow
+        FROM f o JOIN f i ON i.amount_base = -o.amount_base AND o.amount_base < 0 AND abs(i.date - o.date) <= 3 AND i.account_id <> o.account_id),
+    ok AS (SELECT out_id, in_id, days, flow FROM cand WHERE source <> 'rule' OR i_flow = flow),
+    best AS (SELECT *, min(days) OVER (PARTITION BY out_id) AS od, min(days) OVER (PARTITION BY in_id) AS idd FROM ok),
+    ob AS (SELECT out_id, min(in_id) AS in_id FROM best WHERE days = od GROUP BY out_id HAVING count(*) = 1),
+    ib AS (SELECT in_id, min(out_id) AS out_id FROM best WHERE days = idd GROUP BY in_id HAVING count(*) = 1),
+    p AS (SELECT ok.* FROM ok JOIN ob ON ob.out_id = ok.out_id AND ob.in_id = ok.in_id JOIN ib ON ib.out_id = ok.out_id AND ib.in_id = ok.in_id),
+    t AS (SELECT out_id AS id, in_id AS partner, flow AS pair_flow, days FROM p UNION ALL SELECT in_id, out_id, flow, days FROM p), had AS (SELECT out_id AS id FROM ok UNION SELECT in_id FROM ok),
+    s AS (SELECT n.*, t.partner, t.pair_flow, t.days, CASE WHEN marker IS NOT NULL THEN CASE WHEN key % 20 = 0 THEN 'manual' ELSE 'invalid' END WHEN t.id IS NOT NULL THEN 'transfer' WHEN had.id IS NOT NULL THEN 'ambiguous' ELSE '' END AS how
+        FROM n LEFT JOIN t ON t.id = n.id LEFT JOIN had ON had.id = n.id),
+    u AS (SELECT *, CASE WHEN how = 'manual' THEN 'internal_transfer' WHEN how = 'invalid' THEN 'unresolved' WHEN source = 'rule' THEN flow WHEN how = 'transfer' THEN pair_flow ELSE 'unresolved' END AS new_flow,
+        CASE WHEN how = 'manual' THEN key % 3 = 0 ELSE key % 4 = 0 OR key % 3 = 0 OR how IN ('ambiguous', 'invalid') END AS pending FROM s),
+    done AS (SELECT id, CASE WHEN how = 'manual' THEN 'Internal Transfer' ELSE 'Unknown' END AS category, new_flow AS flow_type, CASE WHEN how = 'manual' THEN 'correction' WHEN how = 'invalid' THEN 'reconciliation' WHEN source = 'rule' THEN 'rule' WHEN how = '' THEN 'deterministic' ELSE 'reconciliation' END AS flow_source,
+        CASE WHEN how = 'manual' THEN marker WHEN how = 'transfer' THEN 'xfer_' || substr(sha256(least(id, partner) || '|' || greatest(id, partner)), 1, 16) END AS transfer_group_id,
+        CASE WHEN how IN ('manual', 'transfer') THEN 'paired' WHEN how = 'ambiguous' THEN 'ambiguous' WHEN how = 'invalid' OR new_flow <> 'unresolved' THEN 'unmatched' ELSE 'not_applicable' END AS reconciliation_status,
+        CAST(CASE WHEN how = 'manual' OR days = 0 THEN 1 WHEN how = 'transfer' THEN 0.95 WHEN how <> '' THEN 0 END AS DECIMAL(4,2)) AS reconciliation_confidence,
+        concat_ws(';', CASE WHEN how = 'invalid' THEN 'manual_transfer_pair_invalid' END, CASE WHEN how = 'ambiguous' THEN 'reconciliation_ambiguous' END, CASE WHEN how = 'ambiguous' AND key % 8 <> 0 AND (key % 4 = 0 OR key % 3 = 0) THEN 'reconciliation_ambiguous_prior_review' END) AS flags,
+        concat_ws(';', CASE WHEN pending AND new_flow = 'unresolved' THEN 'accounting_flow' END, CASE WHEN pending AND how <> 'manual' THEN 'category_decision' END, CASE WHEN key % 3 = 0 THEN 'ownership' END) AS review_reasons, pending AS needs_review,
+        concat_ws('; ', CASE WHEN key % 4 = 0 THEN 'noted' END, CASE how WHEN 'invalid' THEN 'Manual transfer pair no longer matches current facts' WHEN 'ambiguous' THEN 'Ambiguous transfer candidates' END) AS reason FROM u)"""
+
+
+@query(_RECONCILED_SQL + " SELECT * FROM done")
+def ledger_reconciliation(spark, sf_dir):
+    """All rows after it: flow, status, pairs, review reasons, flags and reasons."""
+    rows = _reconciled(spark, sf_dir).rows.withColumns({c: F.array_join(F.array_sort(c), ";") for c in ("flags", "review_reasons")})
+    return rows.select("id", "category", "flow_type", "flow_source", "transfer_group_id", "reconciliation_status", "reconciliation_confidence", "flags", "review_reasons", "needs_review", "reason")
+
+
+@query(_RECONCILED_SQL + """ SELECT count(*) AS transactions, count(*) FILTER (WHERE reconciliation_status = 'paired') AS paired, count(DISTINCT transfer_group_id) AS groups, count(*) FILTER (WHERE reconciliation_status = 'ambiguous') AS ambiguous,
+    count(*) FILTER (WHERE reconciliation_status = 'unmatched') AS unmatched, count(*) FILTER (WHERE flow_type = 'unresolved') AS unresolved FROM done""")
+def ledger_reconciliation_counts(spark, sf_dir):
+    return _reconciled(spark, sf_dir).summary()
