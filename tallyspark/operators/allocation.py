@@ -12,8 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import framed_sha256
-from tallyspark.operators.slots import digest_sums
+from tallyspark.functions.text import digest_sums, framed_sha256
 
 INTENTS = ("import", "replace", "reset")
 RECORD = ("source_id", "record_id", "fingerprint", "state", "locator", "origin_revision", "origin_contract", "origin_locator", "ordinal")

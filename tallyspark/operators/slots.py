@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import add_token, drop_tokens, remove_reason
+from tallyspark.functions.text import add_token, digest_sums, drop_tokens, remove_reason
 from tallyspark.operators.annotations import COUNT_AMBIGUOUS, COUNT_REASON, HISTORY, PRIOR_REVIEW
 from tallyspark.operators.duplicates import AMBIGUOUS, CHOICES
 from tallyspark.operators.overlap import slot_id
@@ -50,12 +50,6 @@ class Canonical:
         return OverlapState(self.slots.select("fingerprint", "slot", "slot_id"), self.memberships, self.rows)
 
 
-def digest_sums(member: Column) -> list[Column]:
-    """Aggregates that identify a multiset of members: sums of parts of their digests, so partial sums travel."""
-    digest = F.sha2(member.cast("string"), 256)
-    return [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(4)]
-
-
 def overlap_groups(occurrences: DataFrame, state: OverlapState) -> DataFrame:
     """One row a record of the occurrences or the state: counts, status, membership, decision and how many slots are active.
 

@@ -1,9 +1,7 @@
-"""Ledger tables: spreadsheet-safe CSV, and versioned Parquet generations with a single pointer."""
+"""Ledger tables as spreadsheet-safe CSV."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,37 +25,3 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Those columns as text, decoded; missing columns and cells are ''."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return raw.select(*(F.coalesce(csv_plain(F.col(c)), F.lit("")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in columns))
-
-
-class Generations:
-    """Versions of a set of tables under one folder; a pointer table names the current one.
-
-    commit writes all tables of a version first and the pointer last, and refuses if another writer moved the pointer since
-    `expected` was read. A crash before the pointer leaves the old version in force; its files are never touched.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def current(self) -> str | None:
-        try:
-            rows = self.spark.read.schema("number long, version string").json(f"{self.path}/pointer/*").orderBy(F.desc("number"), "version").take(1)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return rows[0]["version"] if rows else None
-
-    def commit(self, tables: dict[str, DataFrame], expected: str | None) -> str:
-        number = int(expected.split("-")[0]) + 1 if expected else 1
-        version = f"{number}-{uuid.uuid4().hex}"
-        for name, rows in tables.items():
-            rows.write.parquet(f"{self.path}/v={version}/{name}")
-        if self.current() != expected:
-            raise RuntimeError("another generation was committed meanwhile")
-        # The folder of a number can be made once: of two writers of the same number the later one fails.
-        self.spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("errorifexists").json(f"{self.path}/pointer/{number:012d}")
-        return version
-
-    def read(self, name: str, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={version or self.current()}/{name}")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 from tallyspark.operators import classify, flows, overlap, review, valuation
 from tallyspark.sources import statements
-from tallyspark.sources.tables import Generations, read_csv, write_csv
+from tallyspark.sources.generations import Generations
+from tallyspark.sources.tables import read_csv, write_csv
 
 
 def one(spark, column, value=None, kind="string"):
