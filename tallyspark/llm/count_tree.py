@@ -41,14 +41,15 @@ from tallyspark.llm.minhash import shingle_sets
 #: Links need 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Text that one pass takes.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
 #: Coordinates of the upper nodes (in SQL) and of the nodes and points of a task.
 COARSE = 64
 LEAF = 16
 #: A block holds sets of so many shingles in all; a set counts as BLOCK_WEIGHT / BLOCK_MEMBERS shingles at least.
 BLOCK_WEIGHT = 400_000
 BLOCK_MEMBERS = 500
-#: Points that a task's block holds.
+#: A task's block of points holds sets of so many shingles in all; a set counts as POINTS_WEIGHT / POINTS at least.
+POINTS_WEIGHT = 2_000_000
 POINTS = 4096
 
 #: Size levels: a level's largest set is 1.6 times its smallest, so a link reaches one level up at most.
@@ -221,7 +222,7 @@ class Tree:
         for low in self.firsts:
             own = points[low : low + LEAF]
             groups = min(len(x) for x in own)
-            self.points.append(np.stack([coarser(x[None, :], groups)[0] for x in own]).astype(np.int32))
+            self.points.append(np.stack([coarser(x[None, :], groups)[0] for x in own]))
         self.most = np.stack([coarser(p, COARSE).max(axis=0) for p in self.points])
         self.least_size = np.minimum.reduceat(sizes, self.firsts)
         self.most_size = np.maximum.reduceat(sizes, self.firsts)
@@ -229,32 +230,32 @@ class Tree:
     @classmethod
     def of_sets(cls, members: list[tuple[int, int, np.ndarray]]) -> Tree:
         sets = [m[2] for m in members]
-        return cls([m[0] for m in members], [m[1] for m in members], np.array([len(s) for s in sets], np.int64), [point_of(s) for s in sets], sets)
+        return cls([m[0] for m in members], [m[1] for m in members], np.array([len(s) for s in sets], np.int64), [point_of(s).astype(np.uint16) for s in sets], sets)
 
     def leaf(self, i: int) -> slice:
         return slice(int(self.firsts[i]), min(int(self.firsts[i]) + LEAF, len(self.sids)))
 
     def open_leaves(self, i: int, other: Tree) -> list[int]:
         """The leaves of other that may have a link with leaf i; with the same tree, those from i on."""
-        bound = np.minimum(self.most[i], other.most).sum(axis=1)
+        bound = np.minimum(self.most[i], other.most).sum(axis=1, dtype=np.int64)
         found = np.flatnonzero(may_link(bound, self.least_size[i], other.least_size, self.most_size[i], other.most_size))
         return found[found >= i].tolist() if self is other else found.tolist()
 
     def apart_from(self, other: Tree) -> bool:
-        return self is not other and not may_link(np.minimum(self.most.max(0), other.most.max(0)).sum(), self.sizes.min(), other.sizes.min(), self.sizes.max(), other.sizes.max())
+        return self is not other and not may_link(int(np.minimum(self.most.max(0), other.most.max(0)).sum(dtype=np.int64)), self.sizes.min(), other.sizes.min(), self.sizes.max(), other.sizes.max())
 
     def open_pairs(self, i: int, other: Tree, j: int) -> np.ndarray:
         """Which members of leaf i and of other's leaf j no bound excludes."""
         groups = min(self.points[i].shape[1], other.points[j].shape[1])
         a, b = coarser(self.points[i], groups), coarser(other.points[j], groups)
-        shared = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2)
+        shared = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
         n, m = self.sizes[self.leaf(i)][:, None], other.sizes[other.leaf(j)][None, :]
         return may_link(shared, n, m, n, m)
 
 
 def coarser(points: np.ndarray, groups: int) -> np.ndarray:
     """The rows of points with groups added up to so many."""
-    return points if points.shape[1] == groups else points.reshape(len(points), groups, -1).sum(axis=2)
+    return points if points.shape[1] == groups else points.reshape(len(points), groups, -1).sum(axis=2, dtype=np.int32)
 
 
 def may_link(shared, a, b, most_a, most_b):
@@ -350,7 +351,7 @@ def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         side, sides = rows.column("side").to_numpy(), rows.column("sides")[0].as_py()
-        points = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in rows.column("fine")]
+        points = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("fine")]
         sizes, sids, labels = (rows.column(c).to_numpy() for c in ("n", "sid", "label"))
         trees = [Tree(sids[side == s].tolist(), labels[side == s].tolist(), sizes[side == s], [points[i] for i in np.flatnonzero(side == s)]) for s in range(sides)]
         mine, other = may_have_links(trees[0], trees[-1])
@@ -388,7 +389,7 @@ def _open(members: DataFrame) -> DataFrame:
     ends = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*fields)).alias("x"), F.max(F.struct(*fields)).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
     n, m = F.col("x.n"), F.col("y.n")
     wanted = ends.filter((F.col("low") != F.col("high")) & ((F.col("size") > 2) | may_link(_shared("x.coarse", "y.coarse"), n, m, n, m)))
-    blocks = staged(range_chunks(members.join(wanted.select("family"), "family", "left_semi"), "family", ("near", "sid"), POINTS), "points")
+    blocks = staged(range_chunks(members.join(wanted.select("family"), "family", "left_semi"), "family", ("near", "sid"), POINTS_WEIGHT, F.greatest("n", F.lit(POINTS_WEIGHT // POINTS))), "points")
     left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
     one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
     may = may_link(_shared("l_most", "r_most"), F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))

@@ -40,6 +40,7 @@ def test_blocks_change_nothing(spark, monkeypatch, members):
     rows = families(11)
     monkeypatch.setattr(count_tree, "BLOCK_WEIGHT", 800 * members)
     monkeypatch.setattr(count_tree, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(count_tree, "POINTS_WEIGHT", 500 * members)
     monkeypatch.setattr(count_tree, "POINTS", members)
     found = got(count_tree.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
     assert found == expected(rows, monkeypatch)
