@@ -21,18 +21,23 @@ COUNT_REASON = "Sources report different numbers of this record"
 IDENTITY = "identity_issue"
 
 
-def _reviewed(rows: DataFrame, reasons: Column, flags: Column, reason: Column) -> DataFrame:
-    """The rows with new state; needs_review follows the reasons."""
-    state = {"review_reasons": reasons, "flags": flags, "reason": reason, "needs_review": F.size(reasons) > 0}
+def _reviewed(rows: DataFrame, reasons: Column, flags: Column, reason: Column, touched: Column | None = None) -> DataFrame:
+    """The rows with new state; needs_review follows the reasons (of touched rows)."""
+    open_ = F.size(reasons) > 0
+    state = {"review_reasons": reasons, "flags": flags, "reason": reason, "needs_review": open_ if touched is None else F.when(touched, open_).otherwise(F.col("needs_review"))}
     return rows.select(*(state[c].alias(c) if c in state else F.col(c) for c in rows.columns))
 
 
+def _without_duplicate_reasons(reason: Column) -> Column:
+    return F.array_join(F.filter(F.split(reason, "; "), lambda x: (x != "") & (x != LEGACY_REASON) & ~x.startswith(DUPLICATE_REASON)), "; ")
+
+
 def clear_duplicates(rows: DataFrame) -> DataFrame:
     """Rows without anything that an earlier look for duplicates left; other identity flags keep their review reason."""
     flags = drop_tokens(F.col("flags"), DUPLICATE, PROMOTED)
-    items = F.filter(F.split(F.coalesce("reason", F.lit("")), "; "), lambda x: (x != "") & (x != LEGACY_REASON) & ~x.startswith(DUPLICATE_REASON))
+    reason = _without_duplicate_reasons(F.coalesce("reason", F.lit("")))
     reasons = with_reason(F.col("review_reasons"), IDENTITY, F.arrays_overlap(flags, F.array(*map(F.lit, IDENTITY_FLAGS))))
-    return _reviewed(rows, reasons, flags, F.array_join(items, "; "))
+    return _reviewed(rows, reasons, flags, reason)
 
 
 def annotate_duplicates(rows: DataFrame, members: DataFrame, final: DataFrame) -> DataFrame:
@@ -54,21 +59,26 @@ def annotate_duplicates(rows: DataFrame, members: DataFrame, final: DataFrame) -
 def enforce_overlap_review(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """Rows whose record is counted differently by its sources come to review, unless their group is in resolved(group_id).
 
-    rows also have group_id and provenance_status. Review that was open before is remembered and restored later.
+    rows also have group_id and provenance_status. Review that was open before is remembered and restored later. Rows
+    without a group lose what a look for duplicates left in flags and reason. Rows that no rule touches keep needs_review.
     """
     joined = rows.join(resolved.select("group_id", F.lit(True).alias("__resolved")), "group_id", "left")
     ambiguous = (F.coalesce("provenance_status", F.lit("")) == "ambiguous_count_mismatch") & F.col("__resolved").isNull()
     had, prior = F.array_contains("flags", COUNT_AMBIGUOUS), F.array_contains("flags", PRIOR_REVIEW)
     history, corrected = F.array_contains("flags", HISTORY), F.array_contains("flags", "manual_correction")
+    alone = F.coalesce("group_id", F.lit("")) == ""
     flags = drop_tokens(F.col("flags"), COUNT_AMBIGUOUS, PRIOR_REVIEW)
+    flags = F.when(alone, drop_tokens(flags, DUPLICATE, PROMOTED)).otherwise(flags)
     flags = add_token(flags, PRIOR_REVIEW, ambiguous & ((~had & F.col("needs_review")) | prior))
     flags = add_token(flags, COUNT_AMBIGUOUS, ambiguous)
     bare = remove_reason(F.col("reason"), COUNT_REASON)
+    bare = F.when(alone, _without_duplicate_reasons(bare)).otherwise(bare)
     reason = F.when(ambiguous, add_reason(bare, F.lit(COUNT_REASON))).otherwise(bare)
     wanted = ambiguous | history
     kept = F.when(had & ~corrected, with_reason(F.col("review_reasons"), IDENTITY, prior)).otherwise(F.col("review_reasons"))
     reasons = F.when(wanted, F.array_union("review_reasons", F.array(F.lit(IDENTITY)))).otherwise(kept)
-    return _reviewed(joined, reasons, flags, reason).drop("__resolved").select(*rows.columns)
+    touched = wanted | (had & ~corrected)
+    return _reviewed(joined, reasons, flags, reason, touched).drop("__resolved").select(*rows.columns)
 
 
 def is_source_data_token(token: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import safe_decimal
@@ -22,38 +21,32 @@ def merge_observations(observed: DataFrame) -> DataFrame:
     return merged.withColumn("pages", F.array_sort(F.array_distinct("pages")))
 
 
-def _rolled(rows: pd.DataFrame) -> pd.DataFrame:
-    """The observations of one target, or the first opening and last closing if all others carry over from page to page."""
-    rows = rows.sort_values(["page", "line"], kind="stable")
-    opening, closing = (rows[rows.kind == k] for k in ("opening", "closing"))
-    if opening.empty or closing.empty or (opening.value.nunique() <= 1 and closing.value.nunique() <= 1):
-        return rows
-    if any((side.groupby("page").value.nunique() > 1).any() for side in (opening, closing)):
-        return rows
-    starts, ends = (dict(zip(side.page, side.value, strict=True)) for side in (opening, closing))
-    first, last = min(starts), max(ends)
-    if last < max(starts):
-        return rows
-    free = sorted(set(ends) - {last})
-    for page in sorted(set(starts) - {first}):
-        carried = [p for p in free if p < page and ends[p] == starts[page]]
-        if not carried:
-            return rows
-        free.remove(carried[-1])
-    if free:
-        return rows
-    keep = ((rows.kind == "opening") & (rows.page == first)) | ((rows.kind == "closing") & (rows.page == last))
-    return rows[keep].drop_duplicates(["kind"])
-
-
 def reduce_over_pages(observed: DataFrame) -> DataFrame:
-    """Observations (TARGET, kind, value, page, line) of statements whose pages carry balances over.
+    """Observations (TARGET, kind, value, page, line, and reader if there is one) of statements whose pages carry balances over.
 
-    Several openings and closings of a target are one of each if every page states one value of a kind, each later opening
-    repeats an unused closing of an earlier page (the latest one), and all closings but the last are used. Otherwise all
+    Several openings and closings of a target, as one reader sees it, are one of each if every page states one value of a
+    kind, each later opening repeats a closing of an earlier page, and all closings but the last are used up so. Of the
+    openings and of the closings with one value, taken by page, the first then meets the first, and so on. Otherwise all
     stay and are in conflict. A target is one section of one statement file; the import bounds the pages of a file.
     """
-    return observed.select("file", "account_id", "section", "currency", "kind", "value", "page", "line").groupBy(*TARGET).applyInPandas(_rolled, OBSERVED)
+    key = [*TARGET, *(c for c in ("reader",) if c in observed.columns)]
+    is_opening = F.col("kind") == "opening"
+    page_of = lambda which, how: how(F.when(which, F.col("page")))
+    sides = observed.groupBy(*key, "kind", "page").agg(F.min("value").alias("value"), F.count_distinct("value").alias("values"))
+    whole = sides.groupBy(*key).agg(
+        (F.max("values") == 1).alias("single"), page_of(is_opening, F.min).alias("first"), page_of(is_opening, F.max).alias("last_opening"), page_of(~is_opening, F.max).alias("last"),
+        F.greatest(F.count_distinct(F.when(is_opening, F.col("value"))), F.count_distinct(F.when(~is_opening, F.col("value")))).alias("most"),
+    ).filter("single and first is not null and last is not null and most > 1 and last >= last_opening")
+    inner = sides.join(whole.select(*key, "first", "last"), key).filter((is_opening & (F.col("page") != F.col("first"))) | (~is_opening & (F.col("page") != F.col("last"))))
+    ranked = inner.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "kind", "value").orderBy("page")))
+    met = ranked.groupBy(*key, "value", "rank").agg(page_of(is_opening, F.max).alias("opens"), page_of(~is_opening, F.max).alias("closed"))
+    broken = met.filter(~F.coalesce(F.col("closed") < F.col("opens"), F.lit(False))).select(*key).distinct()
+    carried = whole.join(broken, key, "left_anti").select(*key, "first", "last")
+    joined = observed.join(carried, key, "left")
+    end = F.when(is_opening, F.col("first")).otherwise(F.col("last"))
+    # A page may state its value more than once.
+    joined = joined.withColumn("place", F.row_number().over(Window.partitionBy(*key, "kind", "page").orderBy("line")))
+    return joined.filter(F.col("first").isNull() | ((F.col("page") == end) & (F.col("place") == 1))).select(*observed.columns)
 
 
 def attach_balances(rows: DataFrame, balances: DataFrame) -> DataFrame:

@@ -40,18 +40,23 @@ def sectioned_statements(spark, sf_dir):
 
 
 _BALANCE = "CAST(abs(c_acctbal) AS DECIMAL(20,2))"
-_STATED = [sections.BalanceLine(*(rf"{kind} balance (?P<balance>[\d,.]+) (?P<balance_sign>CR|DR)" for kind in ("opening", "closing")), section="Savings", currency="hkd", closing_requires_opening=True)]
+_STATED = [sections.BalanceLine(*(rf"{kind} balance (?P<balance>[\d,.]+) (?P<balance_sign>CR|DR)" for kind in ("opening", "closing")), section="Savings", currency="hkd")]
 
 
-@query(f"""WITH b AS (SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS file, {_BALANCE} AS v, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END AS s FROM customer)
-    SELECT file, 'a1' AS account_id, 'Savings' AS section, 'HKD' AS currency, kind, CAST(value AS DECIMAL(20,2)) AS value, CAST(1 AS BIGINT) AS n, '0' AS pages FROM (SELECT file, 'opening' AS kind, v * s AS value FROM b UNION ALL SELECT file, 'closing', v + 100 FROM b) AS t""")
+# Two pages a customer: the second one goes on where the first ends, for every fifth customer it does not.
+@query(f"""WITH b AS (SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS file, {_BALANCE} * CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END AS opening, {_BALANCE} + 100 AS closing, {_BALANCE} + CASE WHEN c_custkey % 5 = 0 THEN 150 ELSE 100 END AS again, {_BALANCE} + 200 AS last, c_custkey % 5 = 0 AS broken FROM customer),
+    o AS (SELECT file, 'opening' AS kind, opening AS value, '0' AS pages FROM b UNION ALL SELECT file, 'closing', last, '1' FROM b UNION ALL SELECT file, 'closing', closing, '0' FROM b WHERE broken UNION ALL SELECT file, 'opening', again, '1' FROM b WHERE broken)
+    SELECT file, 'a1' AS account_id, 'Savings' AS section, 'HKD' AS currency, kind, CAST(value AS DECIMAL(20,2)) AS value, count(*) AS n, string_agg(pages, ',' ORDER BY pages) AS pages FROM o GROUP BY file, kind, value""")
 def stated_balances(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").selectExpr(
-        "concat('c', CAST(c_custkey AS STRING)) AS path", "0 AS page", f"concat('Opening balance ', {_BALANCE}, CASE WHEN c_acctbal < 0 THEN ' DR' ELSE ' CR' END) AS opening", f"concat('Closing balance ', {_BALANCE} + 100, ' CR') AS closing")
-    lines = rows.select("path", "page", F.posexplode(F.array(F.lit("Savings"), "opening", "closing", "closing")).alias("line", "text"))
-    pages = rows.select("path", "page", F.array(F.array(F.array(F.lit("Savings")), F.array(F.concat_ws("\n", "opening", "closing")))).alias("tables"))
-    merged = statement_balances.merge_observations(sections.balance_observations(sections.balance_lines(pages, lines), LAYOUT, _STATED))
-    return merged.withColumn("pages", F.array_join("pages", ","))
+        "concat('c', CAST(c_custkey AS STRING)) AS path", f"concat('Opening balance ', {_BALANCE}, CASE WHEN c_acctbal < 0 THEN ' DR' ELSE ' CR' END) AS opening", f"concat('Closing balance ', {_BALANCE} + 100, ' CR') AS closing",
+        f"concat('Opening balance ', {_BALANCE} + CASE WHEN c_custkey % 5 = 0 THEN 150 ELSE 100 END, ' CR') AS again", f"concat('Closing balance ', {_BALANCE} + 200, ' CR') AS last")
+    first, second = F.array(F.lit("Savings"), "opening", "closing"), F.array(F.lit("Savings"), "again", "last")
+    pages = rows.select("path", F.posexplode(F.array(first, second)).alias("page", "texts"))
+    lines = pages.select("path", "page", F.posexplode("texts").alias("line", "text"))
+    tables = pages.select("path", "page", F.array(F.transform("texts", lambda t: F.array(t))).alias("tables"))
+    seen = sections.balance_observations(sections.balance_lines(tables, lines), LAYOUT, _STATED)
+    return statement_balances.merge_observations(statement_balances.reduce_over_pages(seen)).withColumn("pages", F.array_join("pages", ","))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, concat_ws('/', o_orderpriority, nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, '')) AS description FROM orders WHERE o_orderkey % 5 <> 0""")

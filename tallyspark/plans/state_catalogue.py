@@ -168,13 +168,13 @@ def duplicate_annotation(spark, sf_dir):
 
 
 @query(f"""WITH {_STATE_SQL}, r AS (SELECT DISTINCT group_id FROM s WHERE id % 7 = 0 AND group_id IS NOT NULL), j AS (SELECT s.*, s.provenance_status = 'ambiguous_count_mismatch' AND r.group_id IS NULL AS amb, list_contains(flags, 'overlap_count_ambiguous') AS had, list_contains(flags, 'overlap_prior_review') AS prior_,
-    list_contains(flags, 'overlap_history_ambiguous') AS hist, list_contains(flags, 'manual_correction') AS corr, list_filter(flags, lambda x: x NOT IN ('overlap_count_ambiguous', 'overlap_prior_review')) AS bare, list_filter(reasons, lambda x: x <> 'identity_issue') AS calm FROM s LEFT JOIN r ON r.group_id = s.group_id),
+    list_contains(flags, 'overlap_history_ambiguous') AS hist, list_contains(flags, 'manual_correction') AS corr, list_filter(flags, lambda x: x NOT IN ('overlap_count_ambiguous', 'overlap_prior_review') AND (coalesce(s.group_id, '') <> '' OR x NOT IN ('duplicate_suspected', 'duplicate_review_promoted'))) AS bare, list_filter(reasons, lambda x: x <> 'identity_issue') AS calm FROM s LEFT JOIN r ON r.group_id = s.group_id),
     k AS (SELECT *, CASE WHEN amb OR hist THEN list_append(calm, 'identity_issue') WHEN had AND NOT corr THEN CASE WHEN prior_ THEN list_append(calm, 'identity_issue') ELSE calm END ELSE reasons END AS after FROM j)
-    SELECT id, {_LIST.format("list_concat(bare, list_filter([CASE WHEN amb AND ((NOT had AND needs_review) OR prior_) THEN 'overlap_prior_review' END, CASE WHEN amb THEN 'overlap_count_ambiguous' END], lambda x: x IS NOT NULL))")} AS flags, {_LIST.format('after')} AS review_reasons, len(after) > 0 AS needs_review FROM k""")
+    SELECT id, {_LIST.format("list_concat(bare, list_filter([CASE WHEN amb AND ((NOT had AND needs_review) OR prior_) THEN 'overlap_prior_review' END, CASE WHEN amb THEN 'overlap_count_ambiguous' END], lambda x: x IS NOT NULL))")} AS flags, {_LIST.format('after')} AS review_reasons, CASE WHEN amb OR hist OR (had AND NOT corr) THEN len(after) > 0 ELSE needs_review END AS needs_review, CASE WHEN coalesce(group_id, '') <> '' THEN reason ELSE array_to_string(list_filter(string_split(reason, '; '), lambda x: x <> '' AND x <> 'Possible duplicate transaction' AND NOT starts_with(x, 'Duplicate candidate [')), '; ') END || CASE WHEN amb THEN CASE WHEN reason = '' OR (coalesce(group_id, '') = '' AND reason = 'Duplicate candidate [old] of 2') THEN '' ELSE '; ' END || 'Sources report different numbers of this record' ELSE '' END AS reason FROM k""")
 def overlap_review(spark, sf_dir):
     rows = _state(spark, sf_dir)
     resolved = rows.filter("id % 7 = 0 and group_id is not null").select("group_id").distinct()
-    return _text(annotations.enforce_overlap_review(rows, resolved), "flags", "review_reasons").select("id", "flags", "review_reasons", "needs_review")
+    return _text(annotations.enforce_overlap_review(rows, resolved), "flags", "review_reasons").select("id", "flags", "review_reasons", "needs_review", "reason")
 
 
 @query(f"""WITH {_STATE_SQL}, ev AS (SELECT id, list_filter([CASE WHEN id % 3 = 0 THEN 'invalid_amount' END, CASE WHEN id % 6 = 0 THEN 'statement_closing_balance_conflict_page_12' END], lambda x: x IS NOT NULL) AS now_ FROM s),

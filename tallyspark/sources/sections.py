@@ -1,23 +1,19 @@
 """Statements of several accounts: transactions under section headings, and the balances that lines state.
 
-What a line is (a heading, a table header, an end) is told by columns; what it means depends on the lines before it in its
-file, so one file's lines pass a small ordered state in one task. Files are bounded (MAX_BYTES), and many run side by side.
+What a line is (a heading, a table header, an end) is told by columns. What it means depends on the lines before it: windows
+over a file's lines number the regions that headings begin, the tables that headers begin in them and the entries that
+amounts complete in those, and carry days and currencies on. Files are bounded (MAX_BYTES), and many run side by side.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass, field
-from datetime import date, datetime
-from decimal import Decimal, InvalidOperation
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = "path string, page int, line int, date date, description string, deposit string, withdrawal string, account_id string, account string, section string, currency string"
-OBSERVED = "reader string, file string, account_id string, section string, currency string, kind string, value decimal(20,2), page int, line int"
 
 
 @dataclass
@@ -85,16 +81,39 @@ def _heading(sections: Sections, fits) -> Column:
     return F.coalesce(*(F.when(fits(F.col("folded"), _plain(s)), s) for s in sections.accounts), F.lit(None).cast("string"))
 
 
-def _statement_day(found: re.Match) -> date:
-    parts = found.groupdict()
-    month, day = parts.get("statement_month") or "12", int(parts.get("statement_day") or 31)
-    if not month.isdigit():
-        month = datetime.strptime(month[:3], "%b").month
-    return date(int(parts["year"]), int(month), day)
+def _plain_groups(pattern: str) -> str:
+    """The pattern with plain groups: Spark's regular expressions take no names with an underscore."""
+    return re.sub(r"\(\?P<\w+>", "(", pattern)
+
+
+def _group(text: Column, pattern: str, *names: str) -> Column:
+    """What the first of the named groups that the pattern has holds in text; '' where it holds nothing or nothing matches."""
+    known = re.compile(pattern).groupindex
+    held = [F.nullif(F.regexp_extract(text, _plain_groups(pattern), known[n]), F.lit("")) for n in names if n in known]
+    return F.coalesce(*held, F.lit(""))
+
+
+def _month(text: Column) -> Column:
+    """The number of a month that is given as such or by a name that begins like the English one."""
+    name = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2)))
+    return F.coalesce(text.try_cast("int"), F.month(F.try_to_date(F.concat(F.lit("1 "), name, F.lit(" 2000")), "d MMM yyyy")))
+
+
+def _years(lines: DataFrame, sections: Sections) -> DataFrame:
+    """path with year and month in which its statement ends, from the first line that says so, or else from its name."""
+    said = F.min(F.when(F.col("text").rlike(_plain_groups(sections.year_regex)), F.struct("page", "line", "text")))["text"] if sections.year_regex else F.max(F.lit(None).cast("string"))
+    files = lines.groupBy("path").agg(said.alias("said"))
+    cell = lambda *names: F.when(F.col("said").isNotNull(), _group(F.col("said"), sections.year_regex, *names)) if sections.year_regex else F.lit(None)
+    name = F.element_at(F.split("path", "/"), -1)
+    other = (lambda *names: _group(name, sections.file_year_regex, *names)) if sections.file_year_regex else (lambda *names: F.lit(""))
+    year = F.nullif(F.coalesce(cell("year"), other("year")), F.lit("")).cast("int")
+    month = F.nullif(F.coalesce(cell("statement_month"), other("statement_month")), F.lit(""))
+    missing = F.raise_error(F.concat(F.lit("no statement year: "), F.col("path")))
+    return files.select("path", F.coalesce(year, missing.cast("int")).alias("year"), F.coalesce(_month(month), F.lit(12)).alias("month"))
 
 
 def section_rows(lines: DataFrame, sections: Sections) -> DataFrame:
-    """The transactions (ROWS) of lines (path, page, line, text, words) below the headings of their accounts.
+    """The transactions (path, page, line, date, description, deposit, withdrawal, account_id, account, section, currency) of lines (path, page, line, text, words) below the headings of their accounts.
 
     Below a heading the table begins after the line that holds every header marker. A line's description is kept until a
     line with an amount completes the transaction; a day holds until the next one, for each account, and so does a
@@ -104,58 +123,88 @@ def section_rows(lines: DataFrame, sections: Sections) -> DataFrame:
     inside = lambda c: F.filter("words", lambda w: (w["x0"] >= sections.columns[c][0]) & (w["x0"] < sections.columns[c][1])) if c in sections.columns else F.array().cast("array<struct<text:string,x0:double,top:double>>")
     texts = lambda c: F.transform(inside(c), lambda w: w["text"])
     amounts = lambda c: F.filter(texts(c), lambda t: t.rlike(sections.amount_regex))
+    dated = F.col("text").rlike(_plain_groups(sections.date_regex)) if sections.date_regex else F.lit(False)
     told = lines.withColumn("folded", _fold(F.col("text"))).select(
-        "path", "page", "line", "text",
+        "path", "page", "line",
         _heading(sections, lambda text, s: text.isin(s, f"account: {s}")).alias("heading"), _holds(sections.ends).alias("ends"), _holds(sections.header, every=True).alias("header"),
+        F.when(dated, _group(F.col("text"), sections.date_regex, "day")).alias("day"), F.when(dated, _group(F.col("text"), sections.date_regex, "month")).alias("month"),
         amounts("deposit").alias("deposits"), amounts("withdrawal").alias("withdrawals"), F.array_join(texts("description"), " ").alias("said"),
-        F.get(F.filter(F.transform(texts("currency"), F.upper), lambda t: t.rlike(sections.currency_regex)), F.lit(0)).alias("currency"),
+        F.get(F.filter(F.transform(texts("currency"), F.upper), lambda t: t.rlike(sections.currency_regex)), F.lit(0)).alias("own_currency"),
+    )
+    told = told.withColumn("amount", F.size("deposits") + F.size("withdrawals") > 0)
+    # An end among the lines of a table is only one if nothing else stands on it.
+    busy = F.col("day").isNotNull() | F.col("amount") | (F.col("said") != "")
+    told = told.withColumns({"bare_end": F.col("heading").isNull() & F.col("ends") & ~busy, "busy_end": F.col("heading").isNull() & F.col("ends") & busy})
+    live = _alive(_entries(_tables(told), sections))
+    return _completed(live, _years(lines, sections), sections)
+
+
+def _before(*keys: str):
+    return Window.partitionBy(*keys).orderBy("page", "line").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _until(*keys: str):
+    return Window.partitionBy(*keys).orderBy("page", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _tables(told: DataFrame) -> DataFrame:
+    """Lines below headings, with region (a heading or a bare end begins one), table (headers so far in it) and entry (the
+    amounts before the line in its table)."""
+    begins = F.col("heading").isNotNull() | F.col("bare_end")
+    rows = told.withColumn("region", F.sum(begins.cast("int")).over(_until("path"))).withColumn("section", F.first("heading", ignorenulls=True).over(_until("path", "region")))
+    rows = rows.filter(F.col("section").isNotNull() & ~begins)
+    rows = rows.withColumn("table", F.sum(F.col("header").cast("int")).over(_until("path", "region")))
+    return rows.withColumn("entry", F.coalesce(F.sum((F.col("amount") & ~F.col("header")).cast("int")).over(_before("path", "region", "table")), F.lit(0)))
+
+
+def _entries(rows: DataFrame, sections: Sections) -> DataFrame:
+    """rows with text (the description so far of its entry), skipped and closing (a skipped description that ends the table).
+
+    Words of an entry that hold a skipped description do not count for what follows in it.
+    """
+    so_far = F.collect_list(F.nullif(F.when(F.col("header"), "").otherwise(F.col("said")), F.lit(""))).over(_until("path", "region", "table", "entry"))
+    holds = lambda text, markers: reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(m.lower())) for m in markers), F.lit(False))
+    joined = lambda a, b: F.concat_ws(" ", F.nullif(a, F.lit("")), b)
+    rest = lambda parts: F.aggregate(parts, F.lit(""), lambda text, part: F.when(holds(joined(text, part), sections.skip), "").otherwise(joined(text, part)))
+    rows = rows.withColumn("parts", so_far)
+    own = F.when(F.col("header") | (F.col("said") == ""), F.lit(None)).otherwise(F.col("said"))
+    earlier = F.when(own.isNull(), F.col("parts")).otherwise(F.slice("parts", F.lit(1), F.size("parts") - 1))
+    rows = rows.withColumn("text", joined(rest(earlier), own)).drop("parts")
+    skipped = (F.col("table") > 0) & ~F.col("header") & holds(F.col("text"), sections.skip)
+    return rows.withColumns({"skipped": skipped, "closing": skipped & holds(F.col("text"), sections.table_ends)})
+
+
+def _alive(rows: DataFrame) -> DataFrame:
+    """The lines of tables that are open: a closing line is its table's last, and an end outside an open table is the last
+    of its region's tables."""
+    closed = F.coalesce(F.max(F.col("closing").cast("int")).over(_before("path", "region", "table")), F.lit(0)) == 1
+    rows = rows.withColumn("closed", closed)
+    ending = F.col("busy_end") & ((F.col("table") == 0) | F.col("closed"))
+    ended = F.coalesce(F.max(ending.cast("int")).over(_before("path", "region")), F.lit(0)) == 1
+    return rows.withColumn("ended", ended).filter((F.col("table") > 0) & ~F.col("header") & ~F.col("closed") & ~F.col("ended"))
+
+
+def _completed(rows: DataFrame, years: DataFrame, sections: Sections) -> DataFrame:
+    """A transaction for each line with an amount, with the day and the currency that hold there."""
+    of = lambda value: reduce(lambda rest, s: F.when(F.col("section") == s, F.lit(value(sections.accounts[s]))).otherwise(rest), sections.accounts, F.lit(None))
+    told = rows.withColumnRenamed("month", "month_name").join(years, "path").withColumns({"account_id": of(lambda a: a.account_id), "account": of(lambda a: a.account), "stated": of(lambda a: a.currency), "needs": of(lambda a: a.currency_from_row)})
+    month = _month(F.col("month_name"))
+    own_day = F.when(F.col("day").isNotNull(), F.make_date(F.col("year") - (month > F.col("month")).cast("int"), month, F.col("day").cast("int")))
+    carried = told.withColumn("own_day", own_day).withColumns({
+        "date": F.last("own_day", ignorenulls=True).over(_until("path", "account_id")), "currency": F.coalesce(F.last("own_currency", ignorenulls=True).over(_until("path", "account_id")), F.col("stated")),
+    })
+    done = carried.filter("amount and not skipped").withColumn("figure", F.coalesce(F.get("deposits", F.lit(0)), F.get("withdrawals", F.lit(0))))
+    where = F.concat(F.col("path"), F.lit(" page "), F.col("page").cast("string"), F.lit(" line "), F.col("line").cast("string"))
+    both = (F.size("deposits") > 0) & (F.size("withdrawals") > 0)
+    worth = F.regexp_replace("figure", ",", "").cast("decimal(30,2)") != 0
+    early = F.col("date").isNull() | (F.col("needs") & (F.col("currency") == ""))
+    problem = F.when(both, "deposit and withdrawal in one line: ").when(worth & early, "amount before its date or currency: ")
+    keep = F.when(problem.isNotNull(), F.raise_error(F.concat(problem, where)).cast("boolean")).otherwise(worth)
+    into = F.size("deposits") > 0
+    return done.filter(keep).select(
+        "path", "page", "line", "date", F.when(F.col("text") == "", "Bank transaction").otherwise(F.col("text")).alias("description"), F.when(into, F.col("figure")).otherwise("").alias("deposit"),
+        F.when(into, "").otherwise(F.col("figure")).alias("withdrawal"), "account_id", "account", "section", "currency",
     )
-    return told.groupBy("path").applyInPandas(lambda rows: _transactions(rows, sections), ROWS)
-
-
-def _transactions(rows: pd.DataFrame, sections: Sections) -> pd.DataFrame:
-    rows = rows.sort_values(["page", "line"])
-    path = rows.path.iloc[0]
-    years = (re.search(sections.year_regex, t) for t in rows.text) if sections.year_regex else iter(())
-    year = next((m for m in years if m), None) or (sections.file_year_regex and re.search(sections.file_year_regex, path.rsplit("/", 1)[-1]))
-    if not year:
-        raise ValueError(f"no statement year: {path}")
-    closed, day_of = _statement_day(year), re.compile(sections.date_regex)
-    days: dict[str, date] = {}
-    currencies: dict[str, str] = {}
-    heading, table, said, out = None, False, [], []
-    for r in rows.itertuples():
-        day = day_of.match(r.text) if sections.date_regex else None
-        has_amount = len(r.deposits) + len(r.withdrawals) > 0
-        if r.heading is not None:
-            heading, table, said = r.heading, False, []
-        elif r.ends and not (table and (day or has_amount or r.said)):
-            heading, table, said = None, False, []
-        elif heading is not None and r.header:
-            table, said = True, []
-        elif heading is not None and table:
-            account = sections.accounts[heading]
-            if r.currency is not None:
-                currencies[account.account_id] = r.currency
-            if day:
-                on = datetime.strptime(f"{day['day']} {day['month']} {closed.year}", "%d %b %Y").date()
-                days[account.account_id] = on.replace(year=on.year - 1) if on.month > closed.month else on
-            said += [r.said] * bool(r.said)
-            text = " ".join(said)
-            if any(s.lower() in text.lower() for s in sections.skip):
-                table, said = not any(s.lower() in text.lower() for s in sections.table_ends), []
-            elif has_amount:
-                at, currency = days.get(account.account_id), currencies.get(account.account_id, account.currency)
-                if len(r.deposits) and len(r.withdrawals):
-                    raise ValueError(f"deposit and withdrawal in one line: {path} page {r.page} line {r.line}")
-                amount = (*r.deposits, *r.withdrawals)[0]
-                if Decimal(amount.replace(",", "")) != 0:
-                    if at is None or (account.currency_from_row and not currency):
-                        raise ValueError(f"amount before its date or currency: {path} page {r.page} line {r.line}")
-                    into = len(r.deposits) > 0
-                    out.append((path, r.page, r.line, at, text or "Bank transaction", amount if into else "", "" if into else amount, account.account_id, account.account, heading, currency))
-                said = []
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
 
 
 def balance_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
@@ -172,66 +221,67 @@ def balance_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def balance_observations(lines: DataFrame, sections: Sections, mappings: list[BalanceLine]) -> DataFrame:
-    """Opening and closing balances (OBSERVED) that the lines of balance_lines state, for each reader.
+    """Opening and closing balances (reader, file, account_id, section, currency, kind, value, page, line) that the lines of balance_lines state, for each reader.
 
     A heading alone on its line always begins a section; within other text it does so, and an end marker ends one, only
-    outside a table of transactions and on lines without date or amount. An opening balance or the header begins such a
-    table, a closing balance or a table end ends it. Sections go on over pages for words, not for tables.
+    outside a table of transactions and on lines without date or amount. The header, or a line that states an opening
+    balance of whatever account, begins such a table; a table end, or a line that states a closing balance, ends it.
+    Sections go on over pages for words, not for tables.
     """
-    dated = re.sub(r"\(\?P<\w+>", "(", sections.date_regex)
+    dated = _plain_groups(sections.date_regex)
     shaped = F.exists(F.split(F.col("text"), r"\s+"), lambda t: t.rlike(sections.amount_regex.replace("^-?", "^[+-]?")))
     if dated:
         shaped = shaped | F.col("text").rlike(dated)
+    states = lambda kind: reduce(lambda a, b: a | b, (F.col("text").rlike(_any_case(p)) for m in mappings if (p := getattr(m, kind))), F.lit(False))
     told = lines.withColumn("folded", _fold(F.col("text"))).select(
         "reader", "path", "page", "line", "text", (F.col("continued") | shaped).alias("fixed"),
         _heading(sections, lambda text, s: text == s).alias("alone"), _heading(sections, lambda text, s: F.contains(text, F.lit(s))).alias("within"),
         _holds(sections.ends).alias("ends"), _holds(sections.header, every=True).alias("header"), _holds(sections.table_ends).alias("closes"),
+        states("opening").alias("opens"), states("closing").alias("shuts"),
     )
-    return told.groupBy("path", "reader").applyInPandas(lambda rows: _observed(rows, sections, mappings), OBSERVED)
-
-
-def _observed(rows: pd.DataFrame, sections: Sections, mappings: list[BalanceLine]) -> pd.DataFrame:
-    path, reader = rows.path.iloc[0], rows.reader.iloc[0]
-    section, table, page, out = "", False, None, []
-    seen: dict[tuple, set[str]] = defaultdict(set)
-    for r in rows.sort_values(["page", "line"]).itertuples():
-        if reader == "tables" and r.page != page:
-            section, table = "", False
-        page = r.page
-        moved = None if r.fixed else r.alone if r.alone is not None else None if table else r.within if r.within is not None else "" if r.ends else None
-        if moved is not None:
-            section, table = moved, False
-        stated = set()
-        for m in mappings:
-            if m.section and m.section != section:
-                continue
-            for kind, pattern in (("opening", m.opening), ("closing", m.closing)):
-                found = re.search(pattern, r.text, re.IGNORECASE) if pattern else None
-                if found is None:
-                    continue
-                target = _target(m, found, section, sections)
-                if kind == "closing" and m.closing_requires_opening and seen[target] != {"opening"}:
-                    continue
-                seen[target].add(kind)
-                stated.add(kind)
-                out.append((reader, path, *target, kind, _balance(found), r.page, r.line))
-        table = (table or r.header or "opening" in stated) and not ("closing" in stated or r.closes)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in OBSERVED.split(", ")])
-
-
-def _target(m: BalanceLine, found: re.Match, section: str, sections: Sections) -> tuple[str, str, str]:
-    """Account, section and currency of a stated balance; without a section of its own the current one counts if it is of the account."""
-    current = sections.accounts.get(section)
-    account_id = sections.accounts[m.section].account_id if m.section else m.account_id
-    named = m.section or (section if current and current.account_id == account_id else "")
-    return account_id, named, (found[m.currency_group] if m.currency_group else m.currency).upper()
-
-
-def _balance(found: re.Match) -> Decimal:
-    parts = found.groupdict()
-    try:
-        value = Decimal((parts.get("balance") or parts.get("total_balance") or "").replace(",", "").strip())
-    except InvalidOperation:
-        raise ValueError("a balance line without a balance") from None
-    sign = (parts.get("balance_sign") or "").lower()
-    return (abs(value) if sign == "cr" else -abs(value) if sign else value).quantize(Decimal("0.01"))
+    # Tables lose their section from page to page.
+    file = ["path", "reader", "part"]
+    told = told.withColumn("part", F.when(F.col("reader") == "tables", F.col("page")).otherwise(-1))
+    alone = F.col("alone").isNotNull() & ~F.col("fixed")
+    told = told.withColumn("region", F.sum(alone.cast("int")).over(_until(*file)))
+    turn = F.when(F.col("shuts") | F.col("closes"), 0).when(F.col("header") | F.col("opens"), 1)
+    in_table = F.coalesce(F.last(turn, ignorenulls=True).over(_before(*file, "region")), F.lit(0)) == 1
+    told = told.withColumn("in_table", in_table)
+    free = ~F.col("fixed") & ~F.col("in_table")
+    moved = F.when(alone, F.col("alone")).when(free & F.col("within").isNotNull(), F.col("within")).when(free & F.col("ends"), "")
+    told = told.withColumn("moved", moved).withColumn("current", F.coalesce(F.last("moved", ignorenulls=True).over(_until(*file)), F.lit("")))
+    return _observed(told, sections, mappings)
+
+
+def _any_case(pattern: str) -> str:
+    return "(?i)" + _plain_groups(pattern)
+
+
+def _observed(told: DataFrame, sections: Sections, mappings: list[BalanceLine]) -> DataFrame:
+    """The balances of lines whose current section is known: one projection for each pattern."""
+    parts = []
+    for n, m in enumerate(mappings):
+        account_id = sections.accounts[m.section].account_id if m.section else m.account_id
+        own = [s for s, a in sections.accounts.items() if a.account_id == account_id]
+        for k, kind in enumerate(("opening", "closing")):
+            if pattern := getattr(m, kind):
+                text, sought = F.col("text"), f"(?i){pattern}"
+                figure = F.trim(F.regexp_replace(_group(text, sought, "balance", "total_balance"), ",", ""))
+                value = F.coalesce(figure.try_cast("decimal(30,10)"), F.raise_error(F.lit("a balance line without a balance")).cast("decimal(30,10)"))
+                sign = F.lower(_group(text, sought, "balance_sign"))
+                signed = F.when(sign == "cr", F.abs(value)).when(sign != "", -F.abs(value)).otherwise(value)
+                currency = _group(text, sought, m.currency_group) if m.currency_group else F.lit(m.currency)
+                rows = told.filter(text.rlike(_any_case(pattern)) & (F.col("current") == m.section if m.section else F.lit(True)))
+                parts.append(rows.select(
+                    "reader", F.col("path").alias("file"), F.lit(account_id).alias("account_id"), (F.lit(m.section) if m.section else F.when(F.col("current").isin(*own), F.col("current")).otherwise("")).alias("section"),
+                    F.upper(currency).alias("currency"), F.lit(kind).alias("kind"), F.bround(signed, 2).cast("decimal(20,2)").alias("value"), "page", "line",
+                    F.struct("page", "line", F.lit(n).alias("mapping"), F.lit(k).alias("kind")).alias("at"), F.lit(kind == "closing" and m.closing_requires_opening).alias("bound"),
+                ))
+    found = reduce(DataFrame.unionByName, parts)
+    # A closing that needs an opening counts as the first after one, if no other closing came before.
+    target = Window.partitionBy("reader", "file", "account_id", "section", "currency")
+    at = lambda which: F.min(F.when(which, F.col("at"))).over(target)
+    found = found.withColumns({"opened": at(F.col("kind") == "opening"), "free": at((F.col("kind") == "closing") & ~F.col("bound"))})
+    found = found.withColumn("first_bound", at(F.col("bound") & (F.col("at") > F.col("opened"))))
+    counts = ~F.col("bound") | ((F.col("at") == F.col("first_bound")) & (F.col("free").isNull() | (F.col("free") > F.col("at"))))
+    return found.filter(counts).select("reader", "file", "account_id", "section", "currency", "kind", "value", "page", "line")
