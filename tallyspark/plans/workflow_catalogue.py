@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import allocation, reconcile, slots
+from tallyspark.operators import allocation, profiles, rates, reconcile, slots, valuation
 from tallyspark.plans.catalogue import query
-from tallyspark.plans.shapes import legs, legs_sql, table
+from tallyspark.plans.shapes import LEDGER_SQL, ledger, legs, legs_sql, table
+from tallyspark.sources import statements
 
 KEY = b"tally-demonstration-key"
 
@@ -211,3 +212,54 @@ def ledger_reconciliation(spark, sf_dir):
     count(*) FILTER (WHERE reconciliation_status = 'unmatched') AS unmatched, count(*) FILTER (WHERE flow_type = 'unresolved') AS unresolved FROM done""")
 def ledger_reconciliation_counts(spark, sf_dir):
     return _reconciled(spark, sf_dir).summary()
+
+
+# Parts as files whose header follows brand, type and size; profiles for the brands and types there are, and a wider one for some types.
+_HEADERS = "SELECT CAST(p_partkey AS VARCHAR(20)) AS path, array('date', 'amount', p_brand, p_type, concat('size', CAST(p_size % 5 AS VARCHAR(20)))) AS header FROM part"
+_PROFILES = """SELECT DISTINCT concat(p_brand, '/', p_type) AS profile, array('date', p_brand, p_type) AS required FROM part WHERE length(p_type) % 2 = 0
+    UNION ALL SELECT DISTINCT concat('any ', p_type), array('amount', p_type, 'size1') FROM part UNION ALL SELECT DISTINCT concat('none ', p_brand), array('date', 'nothing', p_brand) FROM part"""
+
+
+@query(f"""WITH h AS ({_HEADERS.replace("array('date'", "['date'").replace("VARCHAR(20)))) AS header", "VARCHAR(20)))] AS header")}), p AS ({_PROFILES.replace("array(", "[").replace(") AS required", "] AS required").replace("'size1')", "'size1']").replace("p_brand) FROM part", "p_brand] FROM part")}),
+    f AS (SELECT path, list(profile ORDER BY profile) AS c FROM h JOIN p ON list_has_all(header, required) GROUP BY 1)
+    SELECT h.path, CASE WHEN CAST(h.path AS BIGINT) % 11 = 0 THEN 'said' WHEN len(c) = 1 THEN c[1] END AS profile, CASE WHEN CAST(h.path AS BIGINT) % 11 = 0 THEN 'mapped' WHEN len(c) = 1 THEN 'matched' WHEN len(c) > 1 THEN 'ambiguous' ELSE 'undetected' END AS status,
+    coalesce(array_to_string(c, '|'), '') AS candidates FROM h LEFT JOIN f ON f.path = h.path""")
+def profile_selection(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    headers = spark.sql(_HEADERS)
+    mapped = headers.filter("CAST(path AS BIGINT) % 11 = 0").select("path", F.lit("said").alias("profile"))
+    return profiles.select_profiles(headers, spark.sql(_PROFILES), mapped).withColumn("candidates", F.array_join("candidates", "|"))
+
+
+# Rates of the days on which somebody ordered; every ninth day's rate is corrected, and some days in between get one.
+_CACHE = "SELECT DISTINCT posted_currency AS currency, date, CAST(7.7 + month(date) * 0.001 AS DECIMAL(17,8)) AS rate FROM ledger WHERE posted_currency <> 'HKD' AND day(date) % 4 = 1"
+_NEWS = "SELECT DISTINCT posted_currency AS currency, date, CAST(7.9 + day(date) * 0.001 AS DECIMAL(17,8)) AS rate FROM ledger WHERE posted_currency = 'USD' AND (day(date) % 9 = 0 OR day(date) = 13)"
+_DAYS = "SELECT DISTINCT posted_currency AS currency, date, CAST(7.5 AS DECIMAL(17,8)) AS rate FROM ledger WHERE posted_currency <> 'HKD' AND day(date) = 20"
+
+
+@query(f"""WITH {LEDGER_SQL}, cache AS ({_CACHE}), news AS ({_NEWS}), days AS ({_DAYS}), after_ AS (SELECT * FROM news UNION ALL SELECT c.* FROM cache c ANTI JOIN news n ON n.currency = c.currency AND n.date = c.date),
+    x AS (SELECT l.id, l.date, l.posted_amount, l.posted_currency, d.rate AS d_rate,
+        (SELECT max(c.date) FROM cache c WHERE c.currency = l.posted_currency AND c.date BETWEEN l.date - 7 AND l.date) AS was_date, (SELECT max(c.date) FROM after_ c WHERE c.currency = l.posted_currency AND c.date BETWEEN l.date - 7 AND l.date) AS now_date
+        FROM ledger l LEFT JOIN days d ON d.currency = l.posted_currency AND d.date = l.date),
+    y AS (SELECT x.*, w.rate AS was, n.rate AS now_ FROM x LEFT JOIN cache w ON w.currency = x.posted_currency AND w.date = x.was_date LEFT JOIN after_ n ON n.currency = x.posted_currency AND n.date = x.now_date)
+    SELECT id, CASE WHEN posted_currency = 'HKD' THEN 'same_currency' WHEN d_rate IS NOT NULL THEN 'dated' WHEN now_ IS NOT NULL THEN 'cached' ELSE 'missing' END AS valuation_source,
+        CAST(CASE WHEN posted_currency = 'HKD' THEN posted_amount ELSE round_even(CAST(posted_amount AS DECIMAL(18,2)) * coalesce(d_rate, now_), 2) END AS DECIMAL(20,2)) AS amount_base,
+        posted_currency <> 'HKD' AND d_rate IS NULL AND (was IS DISTINCT FROM now_ OR was_date IS DISTINCT FROM now_date) AS touched FROM y""")
+def rate_application(spark, sf_dir):
+    """The ledger after new rates, and which rows were valued again for it."""
+    rows = ledger(spark, sf_dir).withColumns({"amount_base": F.lit(None).cast("decimal(18,2)"), "valuation_source": F.lit(None).cast("string")})
+    rows.createOrReplaceTempView("ledger")
+    cache, news, dated = spark.sql(_CACHE), spark.sql(_NEWS), spark.sql(_DAYS)
+    fixed = dated.limit(0).select("currency", "rate")
+    done = rates.apply_observations(valuation.value_cascade(rows, dated, cache, fixed, "HKD"), dated, cache, news, fixed, "HKD")
+    touched = done.touched.withColumn("touched", F.lit(True))
+    return done.rows.join(touched, "id", "left").select("id", "valuation_source", "amount_base", F.coalesce("touched", F.lit(False)).alias("touched"))
+
+
+# Orders of a customer as pages of a file, one word a page.
+@query("""SELECT o_custkey, CASE WHEN count(*) > 12 THEN 'more than 12 pages' WHEN sum(length(o_orderpriority)) > 90 THEN 'more than 90 characters' END AS problem FROM orders GROUP BY 1""")
+def file_budgets(spark, sf_dir):
+    word = F.array(F.struct(F.col("o_orderpriority").alias("text"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("top")))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(word).alias("pages"))
+    found = pages.select("o_custkey", F.to_json(F.struct("pages")).cast("binary").alias("content"))
+    return found.select("o_custkey", statements.over_budget(found, 12, 90).alias("problem"))

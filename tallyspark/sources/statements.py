@@ -9,13 +9,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import clean_cell, money, parsed_amount
 
 #: Largest file that is read (fixed value).
 MAX_BYTES = 64 << 20
+#: Budget of one file of extracted pages (fixed values).
+MAX_PAGES, MAX_CHARS, MAX_ROWS = 500, 20_000_000, 100_000
 BALANCE_ROW = r"(?i)\b(?:opening|closing|previous)\s+balance\b"
 WORDS = "array<struct<text:string,x0:double,top:double>>"
 RAW = "path string, physical_row int, logical_row int, cells map<string,string>"
@@ -48,6 +50,42 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame
     return found.select("path", "length", guard.alias("content"))
 
 
+def over_budget(found: DataFrame, pages: int = MAX_PAGES, chars: int = MAX_CHARS) -> Column:
+    """What a file of extracted pages has too many of (pages, characters), or null; pages are counted before texts are parsed."""
+    text = F.col("content").cast("string")
+    many = F.coalesce(F.json_array_length(F.get_json_object(text, "$.pages")), F.lit(0)) > pages
+    # Word pages hold objects with a text, table pages hold rows of cells; a file as long as its budget is not parsed at all.
+    words = F.from_json(text, "pages array<array<struct<text:string>>>")["pages"]
+    cells = F.from_json(text, "pages array<struct<tables:array<array<array<string>>>>>")["pages"]
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)))
+    held = F.coalesce(total(F.flatten(F.flatten(F.flatten(F.transform(cells, lambda p: p["tables"]))))), F.coalesce(total(F.transform(F.flatten(words), lambda w: w["text"])), F.lit(0)))
+    return F.when(many, f"more than {pages} pages").when((F.length(text) > chars) & (held > chars), f"more than {chars} characters")
+
+
+def within_budget(found: DataFrame, pages: int = MAX_PAGES, chars: int = MAX_CHARS) -> DataFrame:
+    """found, refusing files over budget before their words or tables are parsed."""
+    problem = over_budget(found, pages, chars)
+    guard = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("file over budget: "), "path", F.lit(": "), problem))).otherwise(F.col("content"))
+    return found.withColumn("content", guard)
+
+
+def within_rows(rows: DataFrame, order: list[str], limit: int = MAX_ROWS) -> DataFrame:
+    """rows of files, refusing a file at the first row beyond the limit."""
+    n = F.row_number().over(Window.partitionBy("path").orderBy(*order))
+    return rows.withColumn("__n", n).filter(F.when(F.col("__n") > limit, F.raise_error(F.concat(F.lit("file over budget: "), "path", F.lit(f": more than {limit} rows"))).cast("boolean")).otherwise(True)).drop("__n")
+
+
+def csv_headers(found: DataFrame) -> DataFrame:
+    """path and header (names without white space around them) of CSV files; an empty file has an empty header."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            first = [next(csv.reader(io.StringIO(bytes(c).decode("utf-8-sig"), newline="")), []) for c in frame.content]
+            yield pd.DataFrame({"path": frame.path, "header": [[h.strip() for h in x] for x in first]})
+
+    return found.select("path", "content").mapInPandas(parse, "path string, header array<string>")
+
+
 def csv_rows(found: DataFrame) -> DataFrame:
     """One row per record, with the physical line it starts on (quoted cells may span lines) and its number in the file."""
 
@@ -74,7 +112,7 @@ def table_rows(found: DataFrame, header: list[str], row_regex: str | None = None
     named by header) the joined cells have to match and the groups become the cells.
     """
     schema = "pages array<struct<tables:array<array<array<string>>>>>"
-    pages = found.select("path", F.posexplode(F.from_json(F.col("content").cast("string"), schema)["pages"]).alias("page", "p"))
+    pages = within_budget(found).select("path", F.posexplode(F.from_json(F.col("content").cast("string"), schema)["pages"]).alias("page", "p"))
     rows = pages.select("path", "page", F.posexplode("p.tables").alias("table", "t")).select("path", "page", "table", F.posexplode("t").alias("row", "c"))
     lines = F.transform("c", lambda x: F.split(F.coalesce(x, F.lit("")), "\n"))
     count = F.array_max(F.transform("lines", lambda x: F.size(x)))
@@ -94,7 +132,7 @@ def text_lines(found: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
     A line is anchored at its first word: words within tolerance of that word's top belong to it. A page is a bounded group.
     """
-    words = found.select("path", F.posexplode(F.from_json(F.col("content").cast("string"), f"pages array<{WORDS}>")["pages"]).alias("page", "w"))
+    words = within_budget(found).select("path", F.posexplode(F.from_json(F.col("content").cast("string"), f"pages array<{WORDS}>")["pages"]).alias("page", "w"))
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
