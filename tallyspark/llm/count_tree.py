@@ -42,8 +42,9 @@ from tallyspark.llm.minhash import shingle_sets
 PERCENT = 80
 #: Text that one pass takes.
 PASS_BYTES = 4 << 20
-#: Coordinates of the upper nodes (in SQL) and of the nodes and points of a task.
-COARSE = 64
+#: Coordinates of the upper nodes (in SQL), and of the nodes of a task at least.
+COARSE = 16
+NODE = 64
 LEAF = 16
 #: A block holds sets of so many shingles in all; a set counts as BLOCK_WEIGHT / BLOCK_MEMBERS shingles at least.
 BLOCK_WEIGHT = 400_000
@@ -51,6 +52,8 @@ BLOCK_MEMBERS = 500
 #: A task's block of points holds sets of so many shingles in all; a set counts as POINTS_WEIGHT / POINTS at least.
 POINTS_WEIGHT = 2_000_000
 POINTS = 4096
+#: Up to so many rows (of six numbers) go to the texts by broadcast; more meet them in a shuffle.
+BROADCAST_ROWS = 200_000
 
 #: Size levels: a level's largest set is 1.6 times its smallest, so a link reaches one level up at most.
 BOUNDS = [1, 2, 3, 4]
@@ -136,7 +139,7 @@ def scan_sets(buckets: int):
                 coarse, near = np.zeros((len(sets), COARSE), np.int64), np.zeros(len(sets), np.int64)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
-                    cell = np.repeat(full, sizes[full]) * COARSE + (mix(flat) >> np.uint64(58)).astype(np.int64)
+                    cell = np.repeat(full, sizes[full]) * COARSE + (mix(flat) >> np.uint64(60)).astype(np.int64)
                     coarse = np.bincount(cell, minlength=len(sets) * COARSE).reshape(len(sets), COARSE)
                     near[full] = _place_of(coarse[full], sizes[full])
                 fine = [point_of(own).astype(np.uint16).tobytes() if len(own) else None for own in sets]
@@ -150,7 +153,7 @@ def scan_sets(buckets: int):
 
 
 def point_of(own: np.ndarray) -> np.ndarray:
-    """The counts of a set's shingles by the leading bits of their hashes: about a group for every four, COARSE at least.
+    """The counts of a set's shingles by the leading bits of their hashes: about a group for every four, NODE at least.
 
     Points of different sizes are compared after groups of the finer one are added up.
     """
@@ -223,7 +226,7 @@ class Tree:
             own = points[low : low + LEAF]
             groups = min(len(x) for x in own)
             self.points.append(np.stack([coarser(x[None, :], groups)[0] for x in own]))
-        self.most = np.stack([coarser(p, COARSE).max(axis=0) for p in self.points])
+        self.most = np.stack([coarser(p, NODE).max(axis=0) for p in self.points])
         self.least_size = np.minimum.reduceat(sizes, self.firsts)
         self.most_size = np.maximum.reduceat(sizes, self.firsts)
 
@@ -381,15 +384,14 @@ def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
     return within.union(tied).distinct()
 
 
-def _open(members: DataFrame) -> DataFrame:
+def _open(families: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
     """The rows (task, side, sides, place, sid, label) to be verified: what may have a link, by its points, in the tasks of
     families with more than one label."""
-    spark = members.sparkSession
-    fields = ("sid", "n", "coarse")
-    ends = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*fields)).alias("x"), F.max(F.struct(*fields)).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
-    n, m = F.col("x.n"), F.col("y.n")
-    wanted = ends.filter((F.col("low") != F.col("high")) & ((F.col("size") > 2) | may_link(_shared("x.coarse", "y.coarse"), n, m, n, m)))
-    blocks = staged(range_chunks(members.join(wanted.select("family"), "family", "left_semi"), "family", ("near", "sid"), POINTS_WEIGHT, F.greatest("n", F.lit(POINTS_WEIGHT // POINTS))), "points")
+    spark = families.sparkSession
+    named = staged(_labelled(families, labels), "labels")
+    apart = named.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("family")
+    members = named.join(apart, "family", "left_semi").join(points, "sid")
+    blocks = staged(range_chunks(members, "family", ("near", "sid"), POINTS_WEIGHT, F.greatest("n", F.lit(POINTS_WEIGHT // POINTS))), "points")
     left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
     one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
     may = may_link(_shared("l_most", "r_most"), F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))
@@ -403,7 +405,9 @@ def _open(members: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Links of rows(task, side, sides, place, sid, label), written to the shared folder."""
-    ready = rows.select("task", "side", "sides", "place", "sid", "label").join(texts, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
+    needed = staged(rows.select("task", "side", "sides", "place", "sid", "label"), "tasks")
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ready = texts.join(F.broadcast(needed) if few else needed, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
     return staged(ready.select("task", "side", "sides", "sid", "label", "text").mapInArrow(join_blocks, EDGES), name)
 
 
@@ -479,7 +483,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     several = blocks.groupBy("family").agg(F.max("chunk").alias("last"), F.min("chunk").alias("first")).filter("first < last").select("family")
     parts = _labelled(own.join(several, "family", "left_semi"), links).groupBy("family", "label").agg(F.min(F.struct("near", "sid", "n")).alias("x")).select("family", "label", "x.*")
     links = links.union(_joined(_alone(_blocks(parts, "parts")), texts, "links"))
-    links = links.union(_joined(_open(families.join(_labelled(points, links), "sid")), texts, "links"))
+    links = links.union(_joined(_open(families, links, points.drop("label")), texts, "links"))
 
     # Copies by slice: a group of copies adds one row per slice to either side of the join.
     final = components(links).select(F.col("id").alias("sid"), F.col("component").alias("label"))
