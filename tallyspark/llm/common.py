@@ -60,6 +60,25 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return rows.filter(F.col("doc_id").isNotNull())
 
 
+def every_row(docs: DataFrame) -> DataFrame:
+    """row, doc_id and text of all rows, null text as empty; row tells rows that share a doc_id, or have none, apart by their
+    texts. Rows with the same doc_id and text share it: what is found for one holds for the other."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(_row_of(doc_id, text).alias("row"), doc_id.alias("doc_id"), text.alias("text"))
+
+
+def _row_of(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, F.lit("/"), text)
+
+
+def keep_by_row(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose row of every_row is in rows (not in, for left_anti), with all columns, whatever their names."""
+    key = f"k{uuid.uuid4().hex}"
+    own = _row_of(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+    return docs.join(rows.select(F.col("row").alias(key)).distinct(), own == F.col(key), how)
+
+
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of docs whose doc_id is in ids (not in, for left_anti), with all columns, whatever their names."""
     key = f"k{uuid.uuid4().hex}"
