@@ -27,16 +27,15 @@ only links that join components are written.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import HASH_BASE, mix, partitions, range_chunks, signed, slices, staged
+from tallyspark.llm.common import HASH_BASE, every_row, mix, partitions, range_chunks, shingle_sets, signed, slices, staged
 from tallyspark.llm.graph import components
-from tallyspark.llm.minhash import shingle_sets
 
 #: Links need 100 * intersection >= 80 * union.
 PERCENT = 80
@@ -127,7 +126,11 @@ def filed_keys(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def scan_sets(buckets: int):
+#: From concatenated non-empty sets and their sizes to keys and the set of each.
+Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def scan_sets(buckets: int, keys_of: Keys):
     """Rows (doc_id, key, text) to documents, packed keys by bucket, and edges of keys that meet within the slice."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def scan_sets(buckets: int):
                 if len(full):
                     _, once = np.unique(sids[full], return_index=True)
                     full = full[np.sort(once)]
-                    yield from _filed(sets, full, sizes, sids, buckets)
+                    yield from _filed(sets, full, sizes, sids, buckets, keys_of)
 
     return scan
 
@@ -171,8 +174,8 @@ def _place_of(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _filed(sets: list[np.ndarray], full: np.ndarray, sizes: np.ndarray, sids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    keys, owners = filed_keys(np.concatenate([sets[i] for i in full]), sizes[full])
+def _filed(sets: list[np.ndarray], full: np.ndarray, sizes: np.ndarray, sids: np.ndarray, buckets: int, keys_of: Keys) -> Iterator[pa.RecordBatch]:
+    keys, owners = keys_of(np.concatenate([sets[i] for i in full]), sizes[full])
     sid = sids[full][owners]
     order = np.lexsort((sid, keys))
     keys, sid = keys[order], sid[order]
@@ -238,22 +241,22 @@ class Tree:
     def leaf(self, i: int) -> slice:
         return slice(int(self.firsts[i]), min(int(self.firsts[i]) + LEAF, len(self.sids)))
 
-    def open_leaves(self, i: int, other: Tree) -> list[int]:
+    def open_leaves(self, i: int, other: Tree, percent: int) -> list[int]:
         """The leaves of other that may have a link with leaf i; with the same tree, those from i on."""
         bound = np.minimum(self.most[i], other.most).sum(axis=1, dtype=np.int64)
-        found = np.flatnonzero(may_link(bound, self.least_size[i], other.least_size, self.most_size[i], other.most_size))
+        found = np.flatnonzero(may_link(bound, self.least_size[i], other.least_size, self.most_size[i], other.most_size, percent))
         return found[found >= i].tolist() if self is other else found.tolist()
 
-    def apart_from(self, other: Tree) -> bool:
-        return self is not other and not may_link(int(np.minimum(self.most.max(0), other.most.max(0)).sum(dtype=np.int64)), self.sizes.min(), other.sizes.min(), self.sizes.max(), other.sizes.max())
+    def apart_from(self, other: Tree, percent: int) -> bool:
+        return self is not other and not may_link(int(np.minimum(self.most.max(0), other.most.max(0)).sum(dtype=np.int64)), self.sizes.min(), other.sizes.min(), self.sizes.max(), other.sizes.max(), percent)
 
-    def open_pairs(self, i: int, other: Tree, j: int) -> np.ndarray:
+    def open_pairs(self, i: int, other: Tree, j: int, percent: int) -> np.ndarray:
         """Which members of leaf i and of other's leaf j no bound excludes."""
         groups = min(self.points[i].shape[1], other.points[j].shape[1])
         a, b = coarser(self.points[i], groups), coarser(other.points[j], groups)
         shared = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
         n, m = self.sizes[self.leaf(i)][:, None], other.sizes[other.leaf(j)][None, :]
-        return may_link(shared, n, m, n, m)
+        return may_link(shared, n, m, n, m, percent)
 
 
 def coarser(points: np.ndarray, groups: int) -> np.ndarray:
@@ -261,13 +264,13 @@ def coarser(points: np.ndarray, groups: int) -> np.ndarray:
     return points if points.shape[1] == groups else points.reshape(len(points), groups, -1).sum(axis=2, dtype=np.int32)
 
 
-def may_link(shared, a, b, most_a, most_b):
+def may_link(shared, a, b, most_a, most_b, percent):
     """Whether sets of sizes from a to most_a and from b to most_b can link if they share at most so many."""
-    # 100 i >= 80 u and u = |x| + |y| - i give 180 i >= 80 (|x| + |y|) and 100 |x| >= 80 |y|.
-    return ((100 + PERCENT) * shared >= PERCENT * (a + b)) & (100 * most_a >= PERCENT * b) & (100 * most_b >= PERCENT * a)
+    # 100 i >= p u and u = |x| + |y| - i give (100 + p) i >= p (|x| + |y|) and 100 |x| >= p |y|.
+    return ((100 + percent) * shared >= percent * (a + b)) & (100 * most_a >= percent * b) & (100 * most_b >= percent * a)
 
 
-def tree_links(left: Tree, right: Tree) -> list[tuple[int, int]]:
+def tree_links(left: Tree, right: Tree, percent: int) -> list[tuple[int, int]]:
     """Links of members of left with members of right (or of left, if it is the same tree) that join labels."""
     root: dict[int, int] = {}
 
@@ -278,11 +281,11 @@ def tree_links(left: Tree, right: Tree) -> list[tuple[int, int]]:
         return label
 
     links = []
-    if left.apart_from(right):
+    if left.apart_from(right, percent):
         return links
     for i in range(len(left.firsts)):
         a = left.leaf(i)
-        for j in left.open_leaves(i, right):
+        for j in left.open_leaves(i, right, percent):
             b = right.leaf(j)
             mine, other = (np.array([find(x) for x in t.labels[s]]) for t, s in ((left, a), (right, b)))
             apart = mine[:, None] != other[None, :]
@@ -290,90 +293,96 @@ def tree_links(left: Tree, right: Tree) -> list[tuple[int, int]]:
                 apart = np.triu(apart, 1)
             if not apart.any():
                 continue
-            for x, y in np.argwhere(apart & left.open_pairs(i, right, j)).tolist():
+            for x, y in np.argwhere(apart & left.open_pairs(i, right, j, percent)).tolist():
                 x, y = x + a.start, y + b.start
                 p, q = find(left.labels[x]), find(right.labels[y])
-                if p != q and linked(left.sets[x], right.sets[y]):
+                if p != q and linked(left.sets[x], right.sets[y], percent):
                     root[max(p, q)] = min(p, q)
                     links.append((left.sids[x], right.sids[y]))
     return links
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     common = int((y[at] == x).sum())
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (task, side, place): the links of each task's block with itself, or of its two blocks."""
+def join_blocks(percent: int):
+    """Rows sorted by (task, side, place) to the links of each task's block with itself, or of its two blocks."""
 
-    def settle(members: dict[int, dict[int, tuple]]) -> pa.RecordBatch:
-        trees = [Tree.of_sets(list(members[side].values())) for side in sorted(members)]
-        links = tree_links(trees[0], trees[-1]) if trees else []
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(members: dict[int, dict[int, tuple]]) -> pa.RecordBatch:
+            trees = [Tree.of_sets(list(members[side].values())) for side in sorted(members)]
+            links = tree_links(trees[0], trees[-1], percent) if trees else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    task, members = None, {}
-    for batch in batches:
-        for part in slices(batch):
-            sets = shingle_sets(part.column("text"))
-            columns = (part.column(c).to_pylist() for c in ("task", "side", "sid", "label", "sides"))
-            for t, side, sid, label, sides, own, found in zip(*columns, sets, set_ids(sets).tolist(), strict=True):
-                if t != task:
-                    if len(members) == (wanted if members else 0):
-                        yield settle(members)
-                    task, members, wanted = t, {}, sides
-                if found == sid:  # else another text of a repeated doc_id
-                    members.setdefault(side, {})[sid] = (sid, label, own)
-    if members and len(members) == wanted:
-        yield settle(members)
-
-
-def may_have_links(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
+        task, members = None, {}
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(part.column("text"))
+                columns = (part.column(c).to_pylist() for c in ("task", "side", "sid", "label", "sides"))
+                for t, side, sid, label, sides, own, found in zip(*columns, sets, set_ids(sets).tolist(), strict=True):
+                    if t != task:
+                        if len(members) == (wanted if members else 0):
+                            yield settle(members)
+                        task, members, wanted = t, {}, sides
+                    if found == sid:  # else another text of a repeated doc_id
+                        members.setdefault(side, {})[sid] = (sid, label, own)
+        if members and len(members) == wanted:
+            yield settle(members)
+
+    return join
+
+
+def may_have_links(left: Tree, right: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which members of left and of right have a partner with another label that no bound excludes."""
     mine, other = np.zeros(len(left.sids), bool), np.zeros(len(right.sids), bool)
-    if left.apart_from(right):
+    if left.apart_from(right, percent):
         return mine, other
     for i in range(len(left.firsts)):
         a = left.leaf(i)
-        for j in left.open_leaves(i, right):
+        for j in left.open_leaves(i, right, percent):
             b = right.leaf(j)
             apart = np.array(left.labels[a])[:, None] != np.array(right.labels[b])[None, :]
             if not apart.any():
                 continue
-            found = apart & left.open_pairs(i, right, j)
+            found = apart & left.open_pairs(i, right, j, percent)
             mine[a] |= found.any(axis=1)
             other[b] |= found.any(axis=0)
     return mine, other
 
 
-def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (points without texts) sorted by (task, side, place): those that may have a link within their task."""
+def open_members(percent: int):
+    """Rows (points without texts) sorted by (task, side, place) to those that may have a link within their task."""
 
-    def settle(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        side, sides = rows.column("side").to_numpy(), rows.column("sides")[0].as_py()
-        points = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("fine")]
-        sizes, sids, labels = (rows.column(c).to_numpy() for c in ("n", "sid", "label"))
-        trees = [Tree(sids[side == s].tolist(), labels[side == s].tolist(), sizes[side == s], [points[i] for i in np.flatnonzero(side == s)]) for s in range(sides)]
-        mine, other = may_have_links(trees[0], trees[-1])
-        keep = np.concatenate([mine, other]) if sides == 2 else mine | other
-        return rows.select(["task", "side", "sides", "place", "sid", "label"]).filter(pa.array(keep)).combine_chunks().to_batches()
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            side, sides = rows.column("side").to_numpy(), rows.column("sides")[0].as_py()
+            points = [np.frombuffer(x.as_buffer(), np.uint16) for x in rows.column("fine")]
+            sizes, sids, labels = (rows.column(c).to_numpy() for c in ("n", "sid", "label"))
+            trees = [Tree(sids[side == s].tolist(), labels[side == s].tolist(), sizes[side == s], [points[i] for i in np.flatnonzero(side == s)]) for s in range(sides)]
+            mine, other = may_have_links(trees[0], trees[-1], percent)
+            keep = np.concatenate([mine, other]) if sides == 2 else mine | other
+            return rows.select(["task", "side", "sides", "place", "sid", "label"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    task, held = None, []
-    for batch in batches:
-        tasks = batch.column("task").to_numpy()
-        edges = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            if high > low:
-                if tasks[low] != task and held:
-                    yield from settle(held)
-                    held = []
-                task = tasks[low]
-                held.append(batch.slice(low, high - low))
-    if held:
-        yield from settle(held)
+        task, held = None, []
+        for batch in batches:
+            tasks = batch.column("task").to_numpy()
+            edges = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if high > low:
+                    if tasks[low] != task and held:
+                        yield from settle(held)
+                        held = []
+                    task = tasks[low]
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from settle(held)
+
+    return members
 
 
 def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
@@ -384,7 +393,7 @@ def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
     return within.union(tied).distinct()
 
 
-def _open(families: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
+def _open(families: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The rows (task, side, sides, place, sid, label) to be verified: what may have a link, by its points, in the tasks of
     families with more than one label."""
     spark = families.sparkSession
@@ -394,21 +403,21 @@ def _open(families: DataFrame, labels: DataFrame, points: DataFrame) -> DataFram
     blocks = staged(range_chunks(members, "family", ("near", "sid"), POINTS_WEIGHT, F.greatest("n", F.lit(POINTS_WEIGHT // POINTS))), "points")
     left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
     one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
-    may = may_link(_shared("l_most", "r_most"), F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"))
+    may = may_link(_shared("l_most", "r_most"), F.col("l_least"), F.col("r_least"), F.col("l_size"), F.col("r_size"), percent)
     pairs = staged(left.join(right, "family").filter((F.col("l_chunk") < F.col("r_chunk")) & ~one_label & may).select("family", "l_chunk", "r_chunk"), "pairs")
     rows = ("task", "side", "sides", "place", "sid", "label", "n", "fine")
     alone = _alone(blocks).select(*rows)
     both = [_of(blocks, pairs, name, side).select(*rows) for name, side in (("l", 0), ("r", 1))]
     ready = alone.union(both[0]).union(both[1]).repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "place")
-    return staged(ready.mapInArrow(open_members, "task long, side int, sides int, place long, sid long, label long"), "open")
+    return staged(ready.mapInArrow(open_members(percent), "task long, side int, sides int, place long, sid long, label long"), "open")
 
 
-def _joined(rows: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def _joined(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of rows(task, side, sides, place, sid, label), written to the shared folder."""
     needed = staged(rows.select("task", "side", "sides", "place", "sid", "label"), "tasks")
     few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ready = texts.join(F.broadcast(needed) if few else needed, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
-    return staged(ready.select("task", "side", "sides", "sid", "label", "text").mapInArrow(join_blocks, EDGES), name)
+    return staged(ready.select("task", "side", "sides", "sid", "label", "text").mapInArrow(join_blocks(percent), EDGES), "links")
 
 
 def _blocks(members: DataFrame, name: str) -> DataFrame:
@@ -450,19 +459,16 @@ def _nodes(blocks: DataFrame, side: str) -> DataFrame:
     )
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
+def linked_documents(docs: DataFrame, keys_of: Keys, percent: int) -> DataFrame:
+    """row, doc_id (see every_row), n_shingles, component_id and first_row of every row of docs.
 
-    A-Z count as a-z. Shingles are five consecutive words; a text of one to four words is one shingle; null or wordless
-    texts have none and are linked with nothing. Equal sets always link. Rows that share a doc_id are told apart by their
-    texts; a row without a doc_id takes part, and component_id is the smallest doc_id there is (null if there is none). An
-    empty table gives an empty result; other columns are not read.
+    Pairs with a key in common link if 100 * intersection >= percent * union. component_id is the smallest doc_id of a
+    component, first_row the row of that document (of the smallest row, if none has a doc_id).
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
-    scan = staged(rows.mapInArrow(scan_sets(n), SCANNED).withColumn("slice", F.spark_partition_id()), "sets")
+    rows = every_row(docs).withColumnRenamed("row", "key")
+    scan = staged(rows.mapInArrow(scan_sets(n, keys_of), SCANNED).withColumn("slice", F.spark_partition_id()), "sets")
     found = scan.filter(F.col("kind") == DOCUMENT)
     cells = scan.filter(F.col("kind") == CELLS).select("bucket", "keys", "at", "table").repartitionById(n, F.col("bucket"))
     near_hub = scan.filter(F.col("kind") == EDGE).select("sid", F.col("other").alias("hub"))
@@ -478,18 +484,30 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     blocks = _blocks(own, "blocks")
     heads = blocks.select("family", "chunk").distinct().withColumn("sid", F.col("family")).join(points.select("sid", "n", "near", "label"), "sid").withColumns({"slice": F.lit(0), "at": F.lit(0)})
     met = blocks.filter("sid <> family").unionByName(heads)
-    links = _joined(_alone(met), texts, "links")
+    links = _joined(_alone(met), texts, percent)
     # One of each component that lies in several blocks of a family, or of several in one block's family.
     several = blocks.groupBy("family").agg(F.max("chunk").alias("last"), F.min("chunk").alias("first")).filter("first < last").select("family")
     parts = _labelled(own.join(several, "family", "left_semi"), links).groupBy("family", "label").agg(F.min(F.struct("near", "sid", "n")).alias("x")).select("family", "label", "x.*")
-    links = links.union(_joined(_alone(_blocks(parts, "parts")), texts, "links"))
-    links = links.union(_joined(_open(families, links, points.drop("label")), texts, "links"))
+    links = links.union(_joined(_alone(_blocks(parts, "parts")), texts, percent))
+    links = links.union(_joined(_open(families, links, points.drop("label"), percent), texts, percent))
 
     # Copies by slice: a group of copies adds one row per slice to either side of the join.
     final = components(links).select(F.col("id").alias("sid"), F.col("component").alias("label"))
-    runs = found.filter("n > 0").groupBy("slice", "sid").agg(F.min("doc_id").alias("low"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    runs = found.filter("n > 0").groupBy("slice", "sid").agg(first.alias("low"))
     named = staged(runs.join(final, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "named")
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_slice = named.join(lowest, "label").select("slice", "sid", "component_id")
+    lowest = named.groupBy("label").agg(F.min("low").alias("first"))
+    by_slice = named.join(lowest, "label").select("slice", "sid", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_row"))
     out = found.join(by_slice, ["slice", "sid"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(F.col("key").alias("row"), "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "first_row")
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
+
+    A-Z count as a-z. Shingles are five consecutive words; a text of one to four words is one shingle; null or wordless
+    texts have none and are linked with nothing. Equal sets always link. Rows that share a doc_id are told apart by their
+    texts; a row without a doc_id takes part, and component_id is the smallest doc_id there is (null if there is none). An
+    empty table gives an empty result; other columns are not read.
+    """
+    return linked_documents(docs, filed_keys, PERCENT).select("doc_id", "n_shingles", "component_id")

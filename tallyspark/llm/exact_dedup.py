@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACE_CLASS, id_and_text, partitions, staged
+from tallyspark.llm.common import SPACE_CLASS, partitions, staged
 
 #: Bits of the slice number that one round consumes: each merge takes 2**4 runs.
 ROUND_BITS = 4
@@ -32,12 +32,9 @@ KEY = ("text_sha256", "n_chars_norm", "check_hash")
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, row (a number of the input row), slice and the identifying columns of every row's normalised text."""
-    norm = F.regexp_replace(F.col("text"), SPACE_CLASS + "+", " ")
-    return (
-        id_and_text(docs)
-        .select("doc_id", norm.alias("norm"), F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("row"))
-        .select("doc_id", "row", "slice", *_identity(F.col("norm")))
-    )
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_CLASS + "+", " ")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("doc_id", "row", "slice", *_identity(F.col("norm")))
 
 
 def _identity(norm: F.Column) -> tuple[F.Column, ...]:
@@ -77,7 +74,7 @@ def merge_runs(entries: DataFrame, rounds: int) -> DataFrame:
     for r in range(rounds):
         lane = F.pmod(F.xxhash64(*KEY), F.lit(1 << (ROUND_BITS * (r + 1))))
         dealt = runs.withColumn("slice", F.shiftright("slice", ROUND_BITS)).withColumn("lane", lane)
-        ordered = dealt.repartition(n, "slice", "lane").sortWithinPartitions("slice", "lane", *KEY, "keep_id", *ties)
+        ordered = dealt.repartition(n, "slice", "lane").sortWithinPartitions("slice", "lane", *KEY, F.col("keep_id").asc_nulls_last(), *ties)
         runs = ordered.mapInArrow(_folded, ordered.schema)
     return runs.drop("lane")
 
@@ -86,7 +83,7 @@ def _merged(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The runs of the slices and the entries after all rounds, over digests()."""
     slices = (runs.agg(F.max("slice")).first()[0] or 0) + 1
     rounds = max(1, -(-(slices - 1).bit_length() // ROUND_BITS))
-    entries = runs.groupBy("slice", *KEY).agg(F.min(F.struct("doc_id", "row")).alias("low"), F.count(F.lit(1)).alias("group_size"))
+    entries = runs.groupBy("slice", *KEY).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low"), F.count(F.lit(1)).alias("group_size"))
     first = staged(entries.select("slice", *KEY, F.col("low.doc_id").alias("keep_id"), F.col("low.row").alias("keep_row"), "group_size"), "runs")
     return first, merge_runs(first, rounds)
 
@@ -94,27 +91,28 @@ def _merged(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null and empty texts are equal to each other; a text of white space only equals one space. Rows without a doc_id take
-    no part. Repeated doc_ids with equal texts count as separate rows of the group and are all marked as kept if their
-    doc_id is the smallest (doc_id cannot tell them apart; drop_copies leaves one). An empty table gives an empty result;
-    extra columns are not read.
+    Null and empty texts are equal to each other; a text of white space only equals one space. A row without a doc_id counts
+    like any other and comes after those that have one: where no row of a group has a doc_id, keep_id is null and the first
+    row in the order of the input is kept. Repeated doc_ids with equal texts count as separate rows of the group and are all
+    marked as kept if their doc_id is the smallest (doc_id cannot tell them apart; drop_copies leaves one). An empty table
+    gives an empty result; extra columns are not read.
     """
     runs = staged(digests(docs), "digests")
     first, merged = _merged(runs)
     # Winners go back by slice: the join has at most one row of each side per digest and slice, however many the copies.
-    winners = first.select("slice", *KEY).join(merged.drop("slice", "keep_row"), list(KEY))
-    return runs.join(winners, ["slice", *KEY]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    winners = first.select("slice", *KEY).join(merged.drop("slice"), list(KEY))
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("row") == F.col("keep_row"))
+    return runs.join(winners, ["slice", *KEY]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts one row, of the smallest doc_id.
 
-    Rows are told apart by a number that is written with them, so repeated doc_ids do no harm. Rows without a doc_id go.
+    Rows are told apart by a number that is written with them, so repeated doc_ids do no harm. Rows without a doc_id come
+    after those that have one.
     """
     key = f"k{uuid.uuid4().hex}"
-    rows = staged(docs.filter(F.col("doc_id").isNotNull()).withColumn(key, F.monotonically_increasing_id()), "rows")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_CLASS + "+", " ")
     mine = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("row"), F.spark_partition_id().alias("slice"), norm.alias("norm"))
     _, merged = _merged(staged(mine.select("doc_id", "row", "slice", *_identity(F.col("norm"))), "digests"))

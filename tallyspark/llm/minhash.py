@@ -4,79 +4,24 @@ Signatures follow C-MinHash: sigma permutes the shingle space once, and coordina
 pi, circularly shifted by k, over the permuted shingles: pi((sigma(x) - k) mod 2**32). The 128 coordinates form 32 bands
 of 4; at a similarity of 0.75 a pair misses all bands with probability 0.684**32, about 5e-6.
 
-Links are settled without listing the pairs of a bucket:
-
-1. Documents with equal shingle sets (128-bit set hash and size) collapse to their smallest doc_id.
-2. Every bucket gets a pivot: the most popular document (met most often over all buckets) that its members meet in any
-   bucket of theirs. Members are compared with the pivots of their buckets only, on full shingle sets, so a family of
-   copies costs about one comparison a member.
-3. Components of these links are computed. A pair (x, y) of one bucket that is still apart needs an overlap of
-   o = 3 (|x| + |y|) / 7, of which the pivot h can supply at most min(|x & h|, |y & h|). Either that is enough, or x and y
-   share shingles outside h, and then, by the prefix filter, one of the |x| / 4 + 1 first shingles of x outside h in a
-   fixed order. Members of two components that share such a shingle meet again: where up to MEET of them do, the pairs
-   that also share a band are compared; where more do, they are buckets of another round, with a member as the hub.
-
-This leaves nothing out: every pair that shares a band is linked, shown to be in one component, excluded by its overlap
-with the pivot, compared, or taken to the next round. Rows grow with the members, not with their pairs.
+The band values are a document's keys. Documents with a band in common are in one family (see count_tree), and every pair
+of a family is verified on full shingle sets, unless its members are in one component already or counts of their shingles
+by hash show that they share too few. Rows grow with the members of families and blocks, not with their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import (
-    HASH_BASE,
-    WORD_PATTERN,
-    gram_hashes,
-    id_and_text,
-    keep_rows,
-    mix,
-    partitions,
-    raw_bytes,
-    signed,
-    slices,
-    span_sums,
-    staged,
-    word_bounds,
-    word_hashes,
-)
-from tallyspark.llm.graph import components
+from tallyspark.llm.common import HASH_BASE, SHINGLE, WORD_PATTERN, keep_by_row, mix
+from tallyspark.llm.count_tree import linked_documents
 
-SHINGLE = 5
 BANDS = 32
 BAND_ROWS = 4
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Up to so many members that share a shingle outside their pivot are compared in pairs, if they share a band.
-MEET = 1024
-#: Members of a hub whose outside shingles one task groups; larger groups are split by shingle.
-OUTSIDE_MEMBERS = 4096
-#: Members that one task compares with the hubs of a group; larger groups are split, hubs repeated.
-GROUP_MEMBERS = 256
-
-
-def shingle_sets(text: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every row; empty without words."""
-    data, offsets = raw_bytes(text)
-    starts, ends, counts = word_bounds(data, offsets)
-    words = word_hashes(data, starts, ends, lower=True)
-    grams = gram_hashes(words, SHINGLE)
-    out = []
-    for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            g = np.sort(grams[a : b - SHINGLE + 1])
-            out.append(g[np.concatenate(([True], g[1:] != g[:-1]))])
-        elif b > a:
-            whole = span_sums(words[a:b], np.array([0]), np.array([b - a]))
-            out.append(mix(whole + np.uint64(b - a)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
 
 
 def signatures(sets: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -103,215 +48,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(keys)
 
 
-SIGNED = "doc_id long, n_shingles long, sum_hash long, xor_hash long, bands array<long>"
-
-
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            sets = shingle_sets(part.column("text"))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            sums, xors = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            bands: list = [None] * len(sets)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                flat = np.concatenate([sets[i] for i in full])
-                firsts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-                sums[full] = np.add.reduceat(mix(flat), firsts)
-                xors[full] = np.bitwise_xor.reduceat(mix(flat ^ np.uint64(HASH_BASE)), firsts)
-                for i, row in zip(full.tolist(), signed(band_keys(signatures(flat, firsts))), strict=True):
-                    bands[i] = row
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes), pa.array(signed(sums)), pa.array(signed(xors)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "sum_hash", "xor_hash", "bands"],
-            )
-
-
-COMPARED = "a long, b long, common long, size_a long, size_b long, outside binary"
-COMPARED_TYPES = (pa.int64(),) * 5 + (pa.binary(),)
-COMPARED_NAMES = ("a", "b", "common", "size_a", "size_b", "outside")
-
-
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, hubs first: every member's intersection with the hubs it names, and its prefix outside them."""
-    group, hubs = None, {}
-    for batch in batches:
-        for part in slices(batch):
-            sets = shingle_sets(part.column("text"))
-            rows = []
-            keys = zip(part.column("g").to_pylist(), part.column("salt").to_pylist(), strict=True)
-            for key, doc, named, own in zip(keys, part.column("doc_id").to_pylist(), part.column("hubs").to_pylist(), sets, strict=True):
-                if key != group:
-                    group, hubs = key, {}
-                if named is None:
-                    hubs[doc] = own
-                    continue
-                for h in named:
-                    at = np.searchsorted(hubs[h], own)
-                    at[at == len(hubs[h])] = 0
-                    inside = hubs[h][at] == own
-                    outside = np.sort((mix(own[~inside]) >> np.uint64(32)).astype(np.uint32))[: len(own) // 4 + 1]
-                    rows.append((doc, h, int(inside.sum()), len(own), len(hubs[h]), outside.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, COMPARED_TYPES, strict=True)], names=list(COMPARED_NAMES)
-            )
-
-
-def split_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deal the outside shingles of the members of large hubs to parts, by value."""
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("hub", "part", "rep", "size", "component", "outside")}
-        for r in batch.to_pylist():
-            values = np.frombuffer(r["outside"], np.uint32)
-            of = values % r["parts"]
-            for p in np.unique(of).tolist():
-                for k, v in (("hub", r["hub"]), ("part", p), ("rep", r["rep"]), ("size", r["size"]), ("component", r["component"]), ("outside", values[of == p].tobytes())):
-                    out[k].append(v)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
-
-
-def meet_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, part): the next buckets, one for each set of members of two components with a shingle in common."""
-
-    def buckets(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        values = [np.frombuffer(r[3], np.uint32) for r in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(v) for v in values])
-        flat = np.concatenate(values)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        firsts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        seen = set()
-        for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(flat)], strict=True):
-            if high - low > 1:
-                members = np.unique(owner[low:high])
-                if len({rows[i][2] for i in members}) > 1 and (mark := members.tobytes()) not in seen:
-                    seen.add(mark)
-                    yield from ((int(flat[low]), *rows[i][:3]) for i in members)
-
-    group, rows = None, []
-    for batch in batches:
-        out = []
-        for hub, part, rep, size, component, outside in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if (hub, part) != group:
-                if len(rows) > 1:
-                    out += [(group[0], *x) for x in buckets(rows)]
-                group, rows = (hub, part), []
-            rows.append((rep, size, component, outside))
-        yield _members(out)
-    if len(rows) > 1:
-        yield _members([(group[0], *x) for x in buckets(rows)])
-
-
-def _members(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["hub", "value", "rep", "n_shingles", "component"])
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact set sizes of pairs(a, b, weight): b is the hub side. Members meet under their heaviest hub, in bounded groups."""
-    spark = pairs.sparkSession
-    members = pairs.groupBy("a").agg(F.collect_set("b").alias("hubs"), F.max_by("b", F.struct("weight", "b")).alias("g"))
-    load = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS).alias("parts"))
-    placed = staged(
-        members.join(load, "g").select("g", F.pmod(F.xxhash64("a"), "parts").alias("salt"), F.col("a").alias("doc_id"), "hubs"), "members"
-    )
-    hubs = placed.select("g", "salt", F.explode("hubs").alias("doc_id")).distinct().withColumn("hubs", F.lit(None).cast("array<long>"))
-    rows = placed.unionByName(hubs).join(texts, "doc_id").select("g", "salt", "doc_id", "hubs", "text")
-    ready = rows.repartition(partitions(spark), "g", "salt").sortWithinPartitions("g", "salt", F.col("hubs").isNotNull())
-    return staged(ready.mapInArrow(compare, COMPARED), "compared")
-
-
-LINKED = "100 * common >= 75 * (size_a + size_b - common)"
-
-
-def stars(buckets: DataFrame, members_only: bool) -> DataFrame:
-    """Pairs (a, b, weight) of the members of buckets(band, rep, n_shingles, size) with the pivot b of each."""
-    weight = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
-    pivots = buckets.join(weight, "rep").groupBy("band").agg(F.max(F.struct("weight", "rep")).alias("hub"))
-    if not members_only:
-        best = buckets.join(pivots, "band").groupBy("rep").agg(F.max("hub").alias("hub"))
-        pivots = buckets.join(best, "rep").groupBy("band").agg(F.max("hub").alias("hub"))
-    starred = buckets.join(pivots, "band").filter("rep <> hub.rep")
-    return starred.groupBy(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).agg(F.max("hub.weight").alias("weight"))
-
-
-MAY_LINK = "component <> x_component and 100 * least(size, x_size) >= 75 * greatest(size, x_size)"
-
-
-def still_open(compared: DataFrame, labels: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a round leaves open: pairs(a, b, weight) and buckets(band, rep, n_shingles, size)."""
-    spark = compared.sparkSession
-    of = lambda name, out: labels.select(F.col("id").alias(name), F.col("component").alias(out))
-    state = staged(
-        compared.select(F.col("b").alias("hub"), F.col("a").alias("rep"), "common", F.col("size_a").alias("size"), "outside")
-        .join(of("rep", "component"), "rep", "left")
-        .join(of("hub", "hub_component"), "hub", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-        .withColumn("apart", F.col("component") != F.coalesce("hub_component", "hub")),
-        "state",
-    )
-    hubs = state.groupBy("hub").agg(F.max("apart").alias("open"), F.ceil(F.count(F.lit(1)) / OUTSIDE_MEMBERS).alias("parts")).filter("open")
-    rel = state.drop("hub_component").join(hubs.select("hub", "parts"), "hub")
-    pair = lambda df: df.select(F.greatest("rep", "x_rep").alias("a"), F.least("rep", "x_rep").alias("b"))
-    named = lambda df, key: df.select(key, *(F.col(k).alias(f"x_{k}") for k in df.columns if k != key))
-    # Pairs that may find all they need inside the pivot: x is apart from it, y smaller than it.
-    inside = rel.filter("common >= 0.75 * size").select("hub", "rep", "common", "size", "component", "apart")
-    x = named(inside.filter("apart").drop("apart"), "hub")
-    enough = pair(x.join(inside, "hub").filter(MAY_LINK + " and 7 * least(common, x_common) >= 3 * (size + x_size)"))
-    split = rel.select("hub", "rep", "size", "component", "outside", "parts").mapInArrow(split_outside, "hub long, part long, rep long, size long, component long, outside binary")
-    dealt = split.repartition(partitions(spark), "hub", "part").sortWithinPartitions("hub", "part")
-    met = dealt.mapInArrow(meet_outside, "hub long, value long, rep long, n_shingles long, component long")
-    met = staged(met.select(F.xxhash64("hub", "value").alias("band"), "rep", F.col("n_shingles").alias("size"), "component").distinct(), "met")
-    count = met.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = met.join(count, "band")
-    few = members.filter(F.col("members") <= MEET).drop("members").join(bands, "rep")
-    close = pair(few.join(named(few, "band"), "band").filter(MAY_LINK + " and rep > x_rep and arrays_overlap(bands, x_bands)"))
-    pairs = staged(enough.union(close).distinct().withColumn("weight", F.lit(1)), "pairs")
-    many = members.filter(F.col("members") > MEET).select("band", "rep", F.col("size").alias("n_shingles"), F.col("members").alias("size"))
-    return pairs, staged(many, "buckets")
+def banded(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band values of concatenated non-empty sets, and the set of each."""
+    keys = band_keys(signatures(flat, np.cumsum(sizes) - sizes))
+    return keys.ravel(), np.repeat(np.arange(len(sizes)), BANDS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     A-Z count as a-z. Shingles are five consecutive words; a text of one to four words is one shingle; null or wordless
-    texts have none and are linked with nothing. Documents with equal sets always link. doc_id has to be unique. An empty
-    table gives an empty result; other columns are not read.
+    texts have none and are linked with nothing. Documents with equal sets always link. Rows that share a doc_id are told
+    apart by their texts; a row without a doc_id takes part, and component_id is the smallest doc_id there is (null if
+    there is none). An empty table gives an empty result; other columns are not read.
     """
-    source = id_and_text(docs)
-    spark = docs.sparkSession
-    scan = staged(source.mapInArrow(sign, SIGNED).withColumn("slice", F.spark_partition_id()), "signatures")
-    key = ["n_shingles", "sum_hash", "xor_hash"]
-    # Equal sets, by slice first: a group of copies adds one row per slice to either side of the join.
-    runs = scan.filter("n_shingles > 0").groupBy("slice", *key).agg(F.min("doc_id").alias("low"))
-    lowest = runs.groupBy(*key).agg(F.min("low").alias("rep"))
-    by_slice = runs.join(lowest, key).select("slice", *key, "rep")
-    marked = staged(scan.join(by_slice, ["slice", *key], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands"), "sets")
-
-    filed = marked.filter("doc_id = rep and bands is not null").select("rep", "n_shingles", F.explode("bands").alias("band"))
-    shared = filed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = staged(filed.join(shared, "band"), "buckets")
-    texts = staged(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    bands = marked.filter("doc_id = rep and bands is not null").select("rep", "bands")
-    links = None
-    while True:
-        compared = verify(stars(buckets, links is not None), texts)
-        found = compared.filter(LINKED).select("a", "b")
-        links = found if links is None else links.union(found)
-        pairs, buckets = still_open(compared, components(links), bands)
-        links = links.union(verify(pairs, texts).filter(LINKED).select("a", "b"))
-        if buckets.isEmpty():
-            break
-    final = components(links)
-    named = final.select(F.col("id").alias("rep"), "component")
-    return marked.join(named, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")
-    )
+    found = linked_documents(docs, banded, PERCENT)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each component, with all its columns."""
-    return keep_rows(docs, near_duplicates(docs).filter("kept"))
+    """The rows of docs that stay: of each component the one with the smallest doc_id, with all its columns.
+
+    Rows with the same doc_id and text stay or go together; rows without a doc_id stay where no row of their component has one,
+    the one with the smallest hash of its text.
+    """
+    return keep_by_row(docs, linked_documents(docs, banded, PERCENT).filter("n_shingles = 0 or row = first_row"))
 
 
 def components_by_brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, int, bool]]:

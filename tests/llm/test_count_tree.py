@@ -59,7 +59,7 @@ def test_linked_sets_share_a_key():
         if new is None or not len(y):
             continue
         y = np.unique(np.concatenate([y, r.integers(0, 1 << 63, new, dtype=np.uint64)]))
-        assert count_tree.linked(x, y)
+        assert count_tree.linked(x, y, 80)
         keys, of = count_tree.filed_keys(np.concatenate([x, y]), np.array([len(x), len(y)]))
         assert set(keys[of == 0]) & set(keys[of == 1])
         few += 1
@@ -76,11 +76,11 @@ def test_bounds_never_exclude_a_link():
     r.shuffle(sets)
     tree = count_tree.Tree.of_sets([(i, i, s) for i, s in enumerate(sets)])
     label = list(range(len(sets)))
-    for a, b in count_tree.tree_links(tree, tree):
+    for a, b in count_tree.tree_links(tree, tree, 80):
         label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
     for i in range(len(sets)):
         for j in range(i):
-            assert label[i] == label[j] or not count_tree.linked(sets[i], sets[j])
+            assert label[i] == label[j] or not count_tree.linked(sets[i], sets[j], 80)
 
 
 def test_rows_that_share_or_lack_an_id(spark):
@@ -94,5 +94,23 @@ def test_no_documents(empty):
     assert count_tree.jaccard_join(empty).count() == 0
 
 
+def test_near_copies_that_share_or_lack_an_id(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, a + " z"), (None, prose(3, 50)), (None, prose(3, 50) + " w"), (None, None), (5, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True), (None, None, True), (5, 5, True), (5, 5, True)], key=str)
+    kept = [(r.doc_id, r.text) for r in minhash.drop_near_copies(docs).collect()]
+    assert len(kept) == 6 and (1, a) in kept and (1, b) in kept and sum(d is None and t is not None for d, t in kept) == 1
+
+
+def test_extracts_of_one_text(spark, monkeypatch):
+    words = prose(4, 900).split()
+    r = random.Random(9)
+    rows = [(i, " ".join(words[k : k + 300])) for i, k in enumerate(r.sample(range(600), 120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in minhash.near_duplicates(docs).collect()) == sorted(minhash.components_by_brute_force(rows))
+
+
 def test_join_matches_sql(spark):
     same_rows(queries.QUERIES["op12_jaccard_join"](spark, SF), duck(SF), queries.ORACLE_SQL["op12_jaccard_join"])
