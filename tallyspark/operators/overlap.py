@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import canonical_decimal, framed_hmac, framed_sha256
+from tallyspark.sources.staging import staged
 
 
 def record_fingerprint(*parts: Column) -> Column:
@@ -21,9 +22,11 @@ def ledger_fingerprint() -> Column:
 
 
 def duplicate_candidates(rows: DataFrame, fingerprint: list[str], source: str, member: str) -> DataFrame:
-    """Fingerprints that two or more sources report, with their members in order."""
-    groups = rows.groupBy(*fingerprint).agg(F.countDistinct(source).alias("sources"), F.array_sort(F.collect_list(member)).alias("members"))
-    return groups.filter("sources >= 2")
+    """Fingerprints that two or more sources report, with their members in order. Sources are counted before members meet."""
+    reported = rows.groupBy(*fingerprint, source).agg(F.count(F.lit(1)).alias("n")).groupBy(*fingerprint).agg(F.count(source).alias("sources"))
+    several = reported.filter("sources >= 2")
+    members = rows.join(several, fingerprint).groupBy(*fingerprint).agg(F.first("sources").alias("sources"), F.array_sort(F.collect_list(member)).alias("members"))
+    return members.select(*fingerprint, "sources", "members")
 
 
 def overlap_counts(rows: DataFrame, fingerprint: list[str], source: str) -> DataFrame:
@@ -91,17 +94,16 @@ def resolve_records(incoming: DataFrame, prior: DataFrame) -> DataFrame:
     Equal locator and fingerprint keep the id; then fingerprints that are single on both remaining sides; what is left is
     new, retired, or ambiguous where a fingerprint is left on both sides but not one to one.
     """
-    kept = incoming.join(prior, ["locator", "fingerprint"])
-    rest_in = incoming.join(kept, ["locator", "fingerprint"], "left_anti")
-    rest_out = prior.join(kept.select("record_id"), "record_id", "left_anti")
-    n_in = rest_in.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_in"))
-    n_out = rest_out.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_out"), F.min("record_id").alias("moved_id"))
-    found = rest_in.join(n_in, "fingerprint").join(n_out, "fingerprint", "left")
+    both = incoming.withColumn("arrives", F.lit(True)).join(prior, ["locator", "fingerprint"], "full_outer")
+    met = staged(both.select("locator", "fingerprint", "record_id", F.coalesce("arrives", F.lit(False)).alias("arrives")), "records")
+    apart = met.filter(~(F.col("arrives") & F.col("record_id").isNotNull()))
+    counts = apart.groupBy("fingerprint").agg(F.count_if("arrives").alias("n_in"), F.count_if(~F.col("arrives")).alias("n_out"), F.min("record_id").alias("moved_id"))
     one = (F.col("n_in") == 1) & (F.col("n_out") == 1)
-    arrived = found.select("locator", "fingerprint", F.when(one, F.col("moved_id")).alias("record_id"), F.when(one, "moved").when(F.col("n_out").isNull(), "new").otherwise("ambiguous").alias("action"))
-    left = rest_out.join(n_in, "fingerprint", "left").join(n_out.drop("moved_id"), "fingerprint")
-    gone = left.filter("n_in is null").select("locator", "fingerprint", "record_id", F.lit("retired").alias("action"))
-    return kept.select("locator", "fingerprint", "record_id", F.lit("same").alias("action")).unionByName(arrived).unionByName(gone)
+    found = apart.join(counts, "fingerprint")
+    action = F.when(F.col("arrives"), F.when(one, "moved").when(F.col("n_out") == 0, "new").otherwise("ambiguous")).when(F.col("n_in") == 0, "retired")
+    identity = F.when(~F.col("arrives"), F.col("record_id")).when(one, F.col("moved_id"))
+    rest = found.select("locator", "fingerprint", identity.alias("record_id"), action.alias("action")).filter("action is not null")
+    return met.filter(F.col("arrives") & F.col("record_id").isNotNull()).select("locator", "fingerprint", "record_id", F.lit("same").alias("action")).unionByName(rest)
 
 
 def agreement(ledger: DataFrame, manifest: DataFrame, key: str, compare: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import direction
@@ -119,9 +119,12 @@ def first_error(diagnostics: DataFrame) -> DataFrame:
 
 
 def top_details(details: DataFrame, key: list[str], k: int = 5) -> DataFrame:
-    """By key the first k distinct details in order, and how many more there are. Distinct details come before grouping."""
+    """By key the first k distinct details in order, and how many more there are: k rows of a key travel, and a count."""
     distinct = details.select(*key, "detail").distinct()
-    return distinct.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("detail")), 1, k).alias("shown"), F.greatest(F.count(F.lit(1)) - k, F.lit(0)).alias("more"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("detail"))
+    shown = distinct.withColumn("place", place).filter(F.col("place") <= k).groupBy(*key).agg(F.array_sort(F.collect_list("detail")).alias("shown"))
+    number = distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return shown.join(number, key).select(*key, "shown", F.greatest(F.col("n") - k, F.lit(0)).alias("more"))
 
 
 def owner_list(rows: DataFrame) -> DataFrame:

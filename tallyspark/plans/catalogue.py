@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import add_reason, csv_safe, direction, merchant_signature
 from tallyspark.operators import classify, flows, overlap, review, valuation
 from tallyspark.plans.shapes import LEDGER_SQL, ledger, legs, legs_sql, table
+from tallyspark.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,7 +128,7 @@ def transfer_pairs(spark, sf_dir):
 
 def _status(spark, sf_dir):
     rows = legs(spark, sf_dir)
-    candidates = flows.transfer_candidates(rows)
+    candidates = staged(flows.transfer_candidates(rows), "candidates")
     return flows.transfer_status(rows, candidates, flows.transfer_pairs(candidates))
 
 
