@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import id_and_text, raw_bytes, signed, slices, staged, word_bounds, word_hashes
+from tallyspark.llm.common import raw_bytes, signed, slices, staged, word_bounds, word_hashes
 from tallyspark.llm.rans import document_ids, word_ids
 
 CONTEXT = 16
@@ -70,7 +70,7 @@ _WORD, _TEXTS = 0, 1
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
 
 
 def _tokenized(path: str):
@@ -84,7 +84,7 @@ def _tokenized(path: str):
                 ids[np.cumsum(sizes) - 1] = END_ID
                 offsets = np.concatenate(([0], np.cumsum(sizes * 2))).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(np.uint16))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), packed], names=["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("text"), packed], names=["row", "doc_id", "text", "ids"])
 
     return run
 
@@ -428,9 +428,9 @@ def _scored(model, state: np.ndarray, heavy):
                 score = m.score(ids, sizes).astype(np.float64)
                 per_text = np.add.reduceat(score, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(before) + 1), pa.array(total(known)), pa.array(total(np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(words)))),
+                    [part.column("row"), part.column("doc_id"), pa.array(np.diff(before) + 1), pa.array(total(known)), pa.array(total(np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(words)))),
                      pa.array(per_text / np.log(10)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(tail)))],
-                    names=["doc_id", "n_tokens", "n_heavy", "heavy_logs", "score", "tail"],
+                    names=["row", "doc_id", "n_tokens", "n_heavy", "heavy_logs", "score", "tail"],
                 )
 
     return run
@@ -440,11 +440,11 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty: its one token is its end. Without training documents all counts are 0, the base is
-    log10(0.1 / 0.1) = 0 a token, and the untrained model scores. doc_id has to be unique. An empty table gives an empty
-    result; other columns are not read.
+    log10(0.1 / 0.1) = 0 a token, and the untrained model scores. Rows are told apart by a number, so repeated doc_ids do no
+    harm; a row without a doc_id is not held out. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    source = id_and_text(docs)
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counted = source.filter(~held_out()).mapInArrow(_counted, "kind int, key long, n long")
     counts = staged(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter(F.col("kind") == _WORD)
@@ -452,7 +452,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     texts = counts.filter(F.col("kind") == _TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     train_tokens, distinct = n_words + texts, kinds + (texts > 0)
     norm = float(np.log10(train_tokens + 0.1 * (distinct + 1)))
-    tokens = staged(source.mapInArrow(_tokenized(tokenizer_path), "doc_id long, text string, ids binary"), "subwords")
+    tokens = staged(source.mapInArrow(_tokenized(tokenizer_path), "row long, doc_id long, text string, ids binary"), "subwords")
     model, state = fitted(tokens.filter(~held_out()))
     # The most frequent words, by a histogram of quarter powers of two.
     level = F.floor(F.log2("n") * 4)
@@ -466,17 +466,17 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     order = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[order], amounts[order]))
     scored = staged(
-        tokens.mapInArrow(_scored(model, state, heavy), "doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
+        tokens.mapInArrow(_scored(model, state, heavy), "row long, doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
     )
-    tail = scored.select("doc_id", F.explode("tail").alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     rare = words.filter(level < floor) if floor is not None else words
     met = tail.join(rare.select("key", "n"), "key", "left")
-    by_doc = met.groupBy("doc_id").agg(
+    by_row = met.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_logs"),
     )
     end = (1, float(np.log10(texts + 0.1))) if texts else (0, -1.0)
-    return scored.drop("tail").join(by_doc, "doc_id", "left").select(
+    return scored.drop("tail").join(by_row, "row", "left").select(
         "doc_id", held_out().alias("held_out"), "n_tokens",
         (F.col("n_heavy") + F.coalesce("n_rare", F.lit(0)) + end[0]).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),

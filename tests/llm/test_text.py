@@ -151,7 +151,7 @@ def test_lm_learns_from_long_documents_and_counts_all(spark):
 
 
 def test_lm_subword_counts_are_whole(spark, docs, pairs):
-    tokens = docs.selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(attention_lm._tokenized(WORDS), "doc_id long, text string, ids binary")
+    tokens = docs.selectExpr("doc_id AS row", "doc_id", "coalesce(text, '') AS text").mapInArrow(attention_lm._tokenized(WORDS), "row long, doc_id long, text string, ids binary")
     n, windows = attention_lm.subword_counts(tokens)
     want = [np.append(_ids(t or "")[:-1], attention_lm.END_ID) for _, t in pairs]
     assert (n == np.bincount(np.concatenate(want), minlength=attention_lm.VOCABULARY)).all()
@@ -165,7 +165,45 @@ def test_lm_windows_score_every_token_once():
 
 def test_lm_empty(empty, lone):
     assert attention_lm.score_texts(empty, WORDS).count() == 0
-    assert attention_lm.score_texts(lone, WORDS).first().n_tokens == 1
+    assert {r.doc_id: (r.n_tokens, r.held_out) for r in attention_lm.score_texts(lone, WORDS).collect()} == {None: (3, False), 5: (1, False)}
+
+
+def test_lm_rows_that_share_an_id(spark):
+    texts = [(7, "one unknown"), (7, "three unknown words there"), (7, "three unknown words there"), (None, "one unknown")]
+    rows = spark.createDataFrame([*texts, *((100 + i, "some text to learn from") for i in range(20))], "doc_id long, text string")
+    got = sorted((r for r in attention_lm.score_texts(rows, WORDS).collect() if r.doc_id in (7, None)), key=lambda r: (r.n_tokens, r.doc_id is None))
+    assert [r.n_tokens for r in got] == [3, 3, 5, 5]
+    assert all(math.isclose(a.base_score, b.base_score) for a, b in (got[:2], got[2:])) and got[2].base_score < got[0].base_score - 0.5
+
+
+def test_lm_scores_match_plain_loops():
+    """Every probability again, key by key, from the distributions and weights of a fitted model."""
+    r = np.random.default_rng(3)
+    texts = [np.append(r.integers(0, 300, int(k)), attention_lm.END_ID) for k in (1, 5, 40, 70)]
+    ids, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    n = np.bincount(ids, minlength=attention_lm.VOCABULARY).astype(float)
+    m = attention_lm.Model(n, np.zeros((attention_lm.EMBEDDED - attention_lm.SINGLES) * (attention_lm.PROFILE + 1), np.int64))
+    cells = np.unique(r.integers(0, attention_lm.TABLES * attention_lm.EMBEDDED * attention_lm.CLASSES, 4000))
+    m.learn(cells, r.integers(1, 9, len(cells)))
+    m.p["bilinear"] = r.normal(0, 0.3, m.p["bilinear"].shape).astype(np.float32)
+    m.p["key"] = r.normal(0, 0.5, m.p["key"].shape).astype(np.float32)
+    value = m.value.reshape(attention_lm.TABLES, attention_lm.EMBEDDED + 1, attention_lm.CLASSES).astype(float)
+    got, at = m.score(ids, sizes), 0
+    for t in texts:
+        past = [attention_lm.EMBEDDED - 1, *m.row[t[:-1]]]
+        for i, token in enumerate(t):
+            block = i - i % attention_lm.QUERIES
+            keys = [(k, past[k], i - k) for k in range(max(0, block - attention_lm.CONTEXT), i + 1)] + [(None, attention_lm.EMBEDDED, None)]
+            # Places of the block that do not exist offer what all text does, as far as they lie before the query.
+            keys += [(None, attention_lm.EMBEDDED, i - k) for k in range(block - attention_lm.CONTEXT, 0)]
+            top = bottom = 0.0
+            for _, row, gap in keys:
+                near = attention_lm.CONTEXT + attention_lm.QUERIES if gap is None else gap
+                e = m.embedding[past[i]] @ m.p["bilinear"] @ m.embedding[row] + m.p["key"][row] + m.p["near"][near]
+                w = math.exp(min(float(e), 60.0))
+                top, bottom = top + w * value[min(near, attention_lm.TABLES - 1), row, m.classes[token]], bottom + w
+            assert abs(got[at] - (math.log(top / bottom) + m.within[token])) < 2e-3
+            at += 1
 
 
 def test_secrets_base_spans(docs, pairs, empty, lone):
