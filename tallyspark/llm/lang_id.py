@@ -7,8 +7,9 @@ by the bits that point into its sample (log2 of the sample length) and divided b
 Characters are lower-cased, runs of anything but letters are one gap character, and documents are parsed in blocks of
 BLOCK characters so that numpy can advance all blocks of a batch together; whole texts are parsed.
 
-Letters have classes of one byte. The FREQUENT most frequent letters of the samples have one each; every other letter is
-spelled by two classes, from its code point, so scripts with thousands of letters keep them apart.
+Letters have classes of one byte. The FREQUENT most frequent letters of the samples have one each; the other letters of the
+samples (SPELLED of them, the most frequent) are spelled by two classes, by their rank, so scripts with thousands of letters
+keep them apart. Letters that no sample holds have one class, which no automaton knows.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ SAMPLE_ROWS = 200
 LONG_ROW = 4_000
 BLOCK = 256
 UNDETERMINED = "und"
-#: Letters with a class of their own; the rest is spelled by one of HIGHS first and one of LOWS second classes.
+#: Languages that are learned, the most frequent labels.
+LANGUAGES = 1_000
+#: Letters with a class of their own; the rest is spelled by one of HIGHS - 1 first and one of LOWS second classes.
 FREQUENT = 61
 HIGHS, LOWS = 128, 64
+SPELLED = (HIGHS - 1) * LOWS
 
 _NONE, _GAP, _PAD, _FIRST = 0, 1, 2, 3
 _HIGH, _LOW = _FIRST + FREQUENT, _FIRST + FREQUENT + HIGHS
@@ -54,18 +58,18 @@ def held_out() -> F.Column:
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     """At most SAMPLE_CHARS of text for each language, from rows that are not held out, in the order of a hash of doc_id."""
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").count().collect()  # one row a language
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return {}
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_ROWS / r["count"])))))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
+    budget = min(SAMPLE_CHARS, TOTAL_CHARS // len(counts))
     drawn = (
         labelled.filter(F.pmod(order, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
         .select("lang", "text", order.alias("key"))
         .filter("text is not null")
-        .select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "key", (F.length("text") > LONG_ROW).alias("long"))
+        .select("lang", F.substring("text", 1, budget).alias("text"), "key", (F.length("text") > LONG_ROW).alias("long"))
     )
-    budget = min(SAMPLE_CHARS, TOTAL_CHARS // len(counts))
     out: dict[str, list[str]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["long"], r["key"], r["text"])):
         have = out.setdefault(r["lang"], [])
@@ -78,25 +82,20 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
 def _codes_tables(samples: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """First and second class of every code point: gap for what is no letter, one class a frequent letter (both cases).
 
-    Other letters have two classes, by the bits of their code point in lower case; where there is no second class it is 0.
+    Other letters of the samples have two classes; where there is no second class it is 0.
     """
     seen: dict[str, int] = {}
     for texts in samples.values():
         for ch in "".join(texts).lower():
             if ch.isalpha():
                 seen[ch] = seen.get(ch, 0) + 1
-    points = np.arange(0x110000)
-    rest = _is_letter()
-    for ch in map(chr, np.flatnonzero(rest & (points < 0x20000))):
-        low = ch.lower()
-        if low != ch and len(low) == 1:
-            points[ord(ch)] = ord(low)
-    first = np.where(rest, _HIGH + points // LOWS % HIGHS, _GAP).astype(np.uint8)
-    second = np.where(rest, _LOW + points % LOWS, _NONE).astype(np.uint8)
-    for i, ch in enumerate(sorted(seen, key=lambda ch: (-seen[ch], ch))[:FREQUENT]):
+    first = np.where(_is_letter(), _HIGH + HIGHS - 1, _GAP).astype(np.uint8)
+    second = np.full(len(first), _NONE, np.uint8)
+    for i, ch in enumerate(sorted(seen, key=lambda ch: (-seen[ch], ch))[: FREQUENT + SPELLED]):
+        codes = (_FIRST + i, _NONE) if i < FREQUENT else (_HIGH + (i - FREQUENT) // LOWS, _LOW + (i - FREQUENT) % LOWS)
         for form in {ch, ch.upper()}:
             if len(form) == 1:
-                first[ord(form)], second[ord(form)] = _FIRST + i, _NONE
+                first[ord(form)], second[ord(form)] = codes
     return first, second
 
 

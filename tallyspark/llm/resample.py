@@ -177,6 +177,10 @@ def top_k(keyed: DataFrame, k: int, bins: int = 4096) -> DataFrame:
     return keyed.withColumn("kept", (F.col("key") > high) | ((F.col("key") == high) & (F.col("doc_id") <= last)))
 
 
+#: The standard deviation of Gumbel noise.
+NOISE = float(np.pi / np.sqrt(6))
+
+
 def gumbel(doc_id: F.Column) -> F.Column:
     """Standard Gumbel noise as a fixed function of doc_id."""
     uniform = (F.pmod(F.xxhash64(doc_id, F.lit(41)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
@@ -187,11 +191,16 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, share: fl
     """One row per document: doc_id, log_weight, gumbel_key, kept.
 
     kept marks the k documents that are sampled; k defaults to a share of the number of documents that no rejected
-    component explains better than the target does. Null and empty texts weigh 0. Without labels every weight is 0 and everything
+    component explains better than the target does. Their weights are divided by what brings their standard deviation down
+    to that of the noise, where it is larger; those of rejected documents are not, so these are drawn last. Null and empty texts weigh 0. Without labels every weight is 0 and everything
     is kept. doc_id has to be unique. An empty table gives an empty result; other columns are not read.
     """
     weighed = staged(importance(docs, ratios(docs, labels)), "weights")
     if k is None:
         k = round(share * weighed.filter(F.col("evidence") > -EVIDENCE).count())
-    keyed = weighed.select("doc_id", "log_weight", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("key"))
+    open_ = F.col("evidence") > -EVIDENCE
+    # Weights of what is not rejected are tempered to the spread of the noise, so that the draw is one and no sort by weight.
+    spread = weighed.filter(open_).agg(F.stddev_pop("log_weight")).first()[0] or 0.0
+    temper = max(1.0, spread / NOISE)
+    keyed = weighed.select("doc_id", "log_weight", (F.when(open_, F.col("log_weight") / temper).otherwise(F.col("log_weight")) + gumbel(F.col("doc_id"))).alias("key"))
     return top_k(staged(keyed, "keys"), k).withColumnRenamed("key", "gumbel_key")

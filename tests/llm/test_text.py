@@ -45,6 +45,15 @@ def test_language_stage_parses_every_document(spark, docs, monkeypatch):
         cloudpickle.unregister_pickle_by_value(lang_id)
 
 
+def test_letters_far_apart_are_not_one(spark):
+    import pyarrow as pa
+
+    a, b = ("".join(chr(c) for c in range(lo, lo + 400)) for lo in (0x4E00, 0x6E00))
+    model = lang_id.Model({"a": [a], "b": [b]})
+    costs, _ = model.costs(pa.array([a[100:140], b[300:330], chr(0x8E00) * 20]))
+    assert costs[0, 0] < costs[0, 1] and costs[1, 1] < costs[1, 0] and abs(costs[2, 0] - costs[2, 1]) < 0.2
+
+
 def test_letters_beyond_the_frequent_ones_are_kept_apart(spark):
     a, b = ("".join(chr(c) for c in range(lo, lo + 400)) for lo in (0x4E00, 0x5E00))
     latin = "".join(chr(c) for c in range(0x61, 0x7B)) * 40
@@ -315,6 +324,16 @@ def test_resampling_weights_are_log_ratios(spark):
     assert all(r.kept for r in kept) and 0 < len(kept) < len(got)
 
 
+def test_noise_has_its_say(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = resample.resample(table, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), share=0.5).collect()
+    fine = [r for r in rows if r.log_weight > -resample.REJECTED]
+    kept = {r.doc_id for r in fine if r.kept}
+    heaviest = {r.doc_id for r in sorted(fine, key=lambda r: -r.log_weight)[: len(kept)]}
+    # A sort by weight would keep the heaviest alone, a draw without weights half of them.
+    assert 0.6 * len(kept) < len(kept & heaviest) < 0.9 * len(kept)
+
+
 def test_gumbel_noise_draws_in_proportion(spark):
     weight = {0: 0.0, 1: math.log(3.0)}
     drawn = spark.range(40_000).select((F.col("id") % 2).alias("kind"), (F.floor(F.col("id") / 2)).alias("pair"), resample.gumbel(F.col("id")).alias("g"))
