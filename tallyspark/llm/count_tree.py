@@ -412,11 +412,15 @@ def _open(families: DataFrame, labels: DataFrame, points: DataFrame, percent: in
     return staged(ready.mapInArrow(open_members(percent), "task long, side int, sides int, place long, sid long, label long"), "open")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Staged rows of a few numbers, to be joined with texts: by broadcast where they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _joined(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links of rows(task, side, sides, place, sid, label), written to the shared folder."""
     needed = staged(rows.select("task", "side", "sides", "place", "sid", "label"), "tasks")
-    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ready = texts.join(F.broadcast(needed) if few else needed, "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
+    ready = texts.join(_sent(needed), "sid").repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "place")
     return staged(ready.select("task", "side", "sides", "sid", "label", "text").mapInArrow(join_blocks(percent), EDGES), "links")
 
 
@@ -476,7 +480,7 @@ def linked_documents(docs: DataFrame, keys_of: Keys, percent: int) -> DataFrame:
     families = staged(_families(near_hub, far_hub), "families")
     firsts = found.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("near").alias("near"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"))
     members = staged(firsts.join(families.select("sid").distinct(), "sid", "left_semi"), "members")
-    texts = staged(rows.select("key", "text").join(members.select("sid", "key"), "key").select("sid", "text"), "texts")
+    texts = staged(rows.select("key", "text").join(_sent(members.select("sid", "key")), "key").select("sid", "text"), "texts")
     points = members.drop("key").withColumn("label", F.col("sid"))
 
     # A document in the family of its smallest hub; the hub itself in each block of its own.
