@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import id_and_text, raw_bytes, slices
+from tallyspark.llm.common import raw_bytes, slices
 from tallyspark.llm.rans import Remembered
 
 SPACE = "▁"
@@ -254,9 +254,11 @@ def encode_batch(part: pa.RecordBatch, vocabulary: Pieces) -> tuple[np.ndarray,
 ENCODED = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>"
 
 
-def encode(docs: DataFrame, model_path: str, ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_pieces, ids_crc32 (ids as little-endian uint32), round_trip, and with ids the ids.
 
+    carry names columns of docs that go along as text. Rows that share a doc_id or have none are rows like others.
+
     Null and empty texts have no pieces and round-trip. Decoding cannot tell the space mark U+2581 in a text from a space;
     round_trip compares with spaces in its place. An empty table gives an empty result; other columns are not read.
     """
@@ -273,11 +275,12 @@ def encode(docs: DataFrame, model_path: str, ids: bool = False) -> DataFrame:
                 else:
                     lists = pa.nulls(len(count), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(crcs, pa.int64()), pa.array(exact), lists],
-                    names=["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"],
+                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(crcs, pa.int64()), pa.array(exact), lists, *(part.column(f"__{c}") for c in carry)],
+                    names=["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids", *carry],
                 )
 
-    out = id_and_text(docs).mapInArrow(run, ENCODED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).cast("string").alias(f"__{c}") for c in carry))
+    out = rows.mapInArrow(run, ", ".join([ENCODED, *(f"`{c}` string" for c in carry)]))
     return out if ids else out.drop("ids")
 
 

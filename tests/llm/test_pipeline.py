@@ -29,3 +29,22 @@ def test_pipeline_matches_brute_force(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     want = {d: (len(ids := lib.encode(t)), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, t in left.items()}
     assert {r.doc_id: (r.n_pieces, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_stages_take_rows_of_every_kind(spark, docs, empty, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, extra columns with clashing names, an empty table."""
+    from tests.llm.conftest import prose
+
+    spark.createDataFrame([(1, prose(2, 60)), (2, "short"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, prose(61, 40), "en", "s", 1, "x", 2, "k"), (7, prose(62, 40), None, None, None, None, None, None), (7, prose(63, 40), "de", "s", 1, "x", 2, "k"), (8, prose(64, 120_000), "en", "s", 1, "x", 2, "k"), (None, None, None, None, None, None, None, None)]
+    table = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        if name != "sentencepiece":
+            assert out.columns == table.columns
+            table = spark.createDataFrame(out.collect(), table.schema)
+            assert stage(spark, empty, str(tmp_path)).count() == 0
+    left = out.collect()
+    texts = {r.doc_id: r for r in left}
+    assert sum(r.doc_id == 7 for r in left) == 2 and sum(r.doc_id is None for r in left) == 1 and texts[8].n_pieces > 120_000
+    assert all(r.round_trip for r in left) and out.columns == ["doc_id", "n_pieces", "ids_crc32", "round_trip", "source"]
