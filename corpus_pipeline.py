@@ -8,7 +8,6 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm.common import documents_of, staged, tokenizer_file
 from tallyspark.llm.decontam import drop_contaminated
@@ -40,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, ids_crc32 and round_trip of every document that is left."""
-    coded = encode(docs, tokenizer_file("piece_bpe_32k.model"))
-    return coded.join(docs.select(F.col("doc_id").alias("__doc"), "source"), F.col("doc_id") == F.col("__doc")).drop("__doc")
+    return encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=("source",))
 
 
 STAGES = [
