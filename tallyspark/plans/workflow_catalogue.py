@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tallyspark.operators import allocation, profiles, rates, reconcile, slots, valuation
+from tallyspark.operators import allocation, profiles, rates, reconcile, slots, transactions, valuation
 from tallyspark.plans.catalogue import query
 from tallyspark.plans.shapes import LEDGER_SQL, ledger, legs, legs_sql, table
 from tallyspark.sources import statements
+from tallyspark.sources.generations import GenerationConflict, Generations
+from tallyspark.sources.staging import shared_folder
 
 KEY = b"tally-demonstration-key"
 
@@ -177,11 +181,13 @@ def _reconciled(spark, sf_dir):
     return reconcile.reconcile(_worked(spark, sf_dir), F.lit(True), F.lit(False))
 
 
-_RECONCILED_SQL = f"""WITH all_legs AS (WITH {legs_sql()} SELECT * FROM legs), w AS (SELECT * FROM ({_WORKED.replace('FROM legs)', 'FROM all_legs)')})),
-    n AS (SELECT *, CASE WHEN flow_source = 'rule' THEN flow_type ELSE 'unresolved' END AS flow, CASE WHEN flow_source = 'rule' THEN 'rule' ELSE 'deterministic' END AS source FROM w), f AS (SELECT * FROM n WHERE marker IS NULL),
+def _reconciled_sql(corrected: str) -> str:
+    """What reconciliation makes of the worked legs, of which some (a condition) were corrected to an expense without review."""
+    return f"""WITH all_legs AS (WITH {legs_sql()} SELECT * FROM legs), w AS (SELECT * FROM ({_WORKED.replace('FROM legs)', 'FROM all_legs)')})),
+    n AS (SELECT *, CASE WHEN corr THEN 'expense' WHEN flow_source = 'rule' THEN flow_type ELSE 'unresolved' END AS flow, CASE WHEN corr THEN 'correction' WHEN flow_source = 'rule' THEN 'rule' ELSE 'deterministic' END AS source FROM (SELECT *, {corrected} AS corr FROM w)), f AS (SELECT * FROM n WHERE marker IS NULL),
     cand AS (SELECT o.id AS out_id, i.id AS in_id, CAST(abs(i.date - o.date) AS INT) AS days,
         CASE WHEN i.account_type = 'credit_card' THEN 'credit_card_payment' WHEN i.account_type = 'bank' THEN 'internal_transfer' ELSE 'investment_transfer' END AS flow, i.source, i.flow AS i_flow
-        FROM f o JOIN f i ON i.amount_base = -o.amount_base AND o.amount_base < 0 AND abs(i.date - o.date) <= 3 AND i.account_id <> o.account_id),
+        FROM f o JOIN f i ON i.amount_base = -o.amount_base AND o.amount_base < 0 AND abs(i.date - o.date) <= 3 AND i.account_id <> o.account_id AND NOT o.corr),
     ok AS (SELECT out_id, in_id, days, flow FROM cand WHERE source <> 'rule' OR i_flow = flow),
     best AS (SELECT *, min(days) OVER (PARTITION BY out_id) AS od, min(days) OVER (PARTITION BY in_id) AS idd FROM ok),
     ob AS (SELECT out_id, min(in_id) AS in_id FROM best WHERE days = od GROUP BY out_id HAVING count(*) = 1),
@@ -190,17 +196,20 @@ _RECONCILED_SQL = f"""WITH all_legs AS (WITH {legs_sql()} SELECT * FROM legs), w
     t AS (SELECT out_id AS id, in_id AS partner, flow AS pair_flow, days FROM p UNION ALL SELECT in_id, out_id, flow, days FROM p), had AS (SELECT out_id AS id FROM ok UNION SELECT in_id FROM ok),
     s AS (SELECT n.*, t.partner, t.pair_flow, t.days, CASE WHEN marker IS NOT NULL THEN CASE WHEN key % 20 = 0 THEN 'manual' ELSE 'invalid' END WHEN t.id IS NOT NULL THEN 'transfer' WHEN had.id IS NOT NULL THEN 'ambiguous' ELSE '' END AS how
         FROM n LEFT JOIN t ON t.id = n.id LEFT JOIN had ON had.id = n.id),
-    u AS (SELECT *, CASE WHEN how = 'manual' THEN 'internal_transfer' WHEN how = 'invalid' THEN 'unresolved' WHEN source = 'rule' THEN flow WHEN how = 'transfer' THEN pair_flow ELSE 'unresolved' END AS new_flow,
-        CASE WHEN how = 'manual' THEN key % 3 = 0 ELSE key % 4 = 0 OR key % 3 = 0 OR how IN ('ambiguous', 'invalid') END AS pending FROM s),
-    done AS (SELECT id, CASE WHEN how = 'manual' THEN 'Internal Transfer' ELSE 'Unknown' END AS category, new_flow AS flow_type, CASE WHEN how = 'manual' THEN 'correction' WHEN how = 'invalid' THEN 'reconciliation' WHEN source = 'rule' THEN 'rule' WHEN how = '' THEN 'deterministic' ELSE 'reconciliation' END AS flow_source,
+    u AS (SELECT *, CASE WHEN how = 'manual' THEN 'internal_transfer' WHEN how = 'invalid' THEN 'unresolved' WHEN corr OR source = 'rule' THEN flow WHEN how = 'transfer' THEN pair_flow ELSE 'unresolved' END AS new_flow,
+        CASE WHEN corr THEN false WHEN how = 'manual' THEN key % 3 = 0 ELSE key % 4 = 0 OR key % 3 = 0 OR how IN ('ambiguous', 'invalid') END AS pending FROM s),
+    done AS (SELECT id, CASE WHEN corr THEN 'Dining' WHEN how = 'manual' THEN 'Internal Transfer' ELSE 'Unknown' END AS category, new_flow AS flow_type, CASE WHEN corr OR how = 'manual' THEN 'correction' WHEN how = 'invalid' THEN 'reconciliation' WHEN source = 'rule' THEN 'rule' WHEN how = '' THEN 'deterministic' ELSE 'reconciliation' END AS flow_source,
         CASE WHEN how = 'manual' THEN marker WHEN how = 'transfer' THEN 'xfer_' || substr(sha256(least(id, partner) || '|' || greatest(id, partner)), 1, 16) END AS transfer_group_id,
-        CASE WHEN how IN ('manual', 'transfer') THEN 'paired' WHEN how = 'ambiguous' THEN 'ambiguous' WHEN how = 'invalid' OR new_flow <> 'unresolved' THEN 'unmatched' ELSE 'not_applicable' END AS reconciliation_status,
+        CASE WHEN how IN ('manual', 'transfer') THEN 'paired' WHEN how = 'ambiguous' THEN 'ambiguous' WHEN how = 'invalid' OR new_flow NOT IN ('unresolved', 'expense') THEN 'unmatched' ELSE 'not_applicable' END AS reconciliation_status,
         CAST(CASE WHEN how = 'manual' OR days = 0 THEN 1 WHEN how = 'transfer' THEN 0.95 WHEN how <> '' THEN 0 END AS DECIMAL(4,2)) AS reconciliation_confidence,
-        concat_ws(';', CASE WHEN how = 'invalid' THEN 'manual_transfer_pair_invalid' END, CASE WHEN how = 'ambiguous' THEN 'reconciliation_ambiguous' END, CASE WHEN how = 'ambiguous' AND key % 8 <> 0 AND (key % 4 = 0 OR key % 3 = 0) THEN 'reconciliation_ambiguous_prior_review' END) AS flags,
-        concat_ws(';', CASE WHEN pending AND new_flow = 'unresolved' THEN 'accounting_flow' END, CASE WHEN pending AND how <> 'manual' THEN 'category_decision' END, CASE WHEN key % 3 = 0 THEN 'ownership' END) AS review_reasons, pending AS needs_review,
+        concat_ws(';', CASE WHEN corr THEN 'manual_correction' END, CASE WHEN how = 'invalid' THEN 'manual_transfer_pair_invalid' END, CASE WHEN how = 'ambiguous' THEN 'reconciliation_ambiguous' END, CASE WHEN how = 'ambiguous' AND key % 8 <> 0 AND (key % 4 = 0 OR key % 3 = 0) THEN 'reconciliation_ambiguous_prior_review' END) AS flags,
+        concat_ws(';', CASE WHEN pending AND new_flow = 'unresolved' THEN 'accounting_flow' END, CASE WHEN pending AND how <> 'manual' THEN 'category_decision' END, CASE WHEN key % 3 = 0 AND NOT corr THEN 'ownership' END) AS review_reasons, pending AS needs_review,
         concat_ws('; ', CASE WHEN key % 4 = 0 THEN 'noted' END, CASE how WHEN 'invalid' THEN 'Manual transfer pair no longer matches current facts' WHEN 'ambiguous' THEN 'Ambiguous transfer candidates' END) AS reason FROM u)"""
 
 
+_RECONCILED_SQL = _reconciled_sql("false")
+
+
 @query(_RECONCILED_SQL + " SELECT * FROM done")
 def ledger_reconciliation(spark, sf_dir):
     """All rows after it: flow, status, pairs, review reasons, flags and reasons."""
@@ -263,3 +272,32 @@ def file_budgets(spark, sf_dir):
     pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(word).alias("pages"))
     found = pages.select("o_custkey", F.to_json(F.struct("pages")).cast("binary").alias("content"))
     return found.select("o_custkey", statements.over_budget(found, 12, 90).alias("problem"))
+
+
+_CORRECTED = "key % 11 = 0 AND marker IS NULL AND id LIKE 'o%'"
+_STATE = ("category", "flow_type", "flow_source", "transfer_group_id", "reconciliation_status", "reconciliation_confidence", "flags", "review_reasons", "needs_review", "reason")
+
+
+@query(f"""WITH before_ AS ({_reconciled_sql('false')} SELECT * FROM done), after_ AS ({_reconciled_sql(_CORRECTED)} SELECT * FROM done), legs_ AS ({legs_sql().replace('legs AS (', 'WITH legs AS (', 1)} SELECT * FROM legs),
+    stored AS (SELECT id, category, flow_type, flow_source, CAST(NULL AS VARCHAR) AS transfer_group_id, CAST(NULL AS VARCHAR) AS reconciliation_status, CAST(NULL AS DECIMAL(4,2)) AS reconciliation_confidence,
+        array_to_string(list_sort(list_filter(string_split(flags, ';'), lambda x: x <> '')), ';') AS flags, array_to_string(list_sort(list_filter(string_split(review_reasons, ';'), lambda x: x <> '')), ';') AS review_reasons, needs_review, reason, {_CORRECTED} AS corr FROM ({_WORKED.replace('FROM legs)', 'FROM legs_)')}))
+    SELECT s.id, {', '.join(f'CASE WHEN NOT s.corr AND b = a THEN s.{c} ELSE a.{c} END AS {c}' for c in _STATE)} FROM stored s JOIN before_ b ON b.id = s.id JOIN after_ a ON a.id = s.id""")
+def correction_transaction(spark, sf_dir):
+    """The ledger after a batch of corrections was committed; a second batch against the same base is refused, a replay
+    changes nothing, and rows that the batch neither names nor changes are as they were stored."""
+    legs(spark, sf_dir).createOrReplaceTempView("legs")
+    keyed = spark.sql(_WORKED).withColumns({c: F.array_remove(F.split(c, ";"), "") for c in ("flags", "review_reasons")})
+    none = {c: F.lit(None).cast("decimal(4,2)" if c == "reconciliation_confidence" else "string") for c in reconcile.RESULT}
+    batch = keyed.filter(_CORRECTED).select("id", F.lit("Dining").alias("category"), F.lit(None).cast("string").alias("owner"), F.lit("expense").alias("flow_type"), F.lit(False).alias("needs_review"))
+    store = Generations(spark, f"{shared_folder(spark)}/transactions-{uuid.uuid4().hex}")
+    base = store.commit({"ledger": keyed.drop("key").withColumns(none), "corrections": batch.limit(0)}, None)
+    done = transactions.apply_corrections(store, batch, base, F.lit(True), F.lit(False))
+    try:
+        transactions.apply_corrections(store, batch.withColumn("category", F.lit("Gifts")), base, F.lit(True), F.lit(False))
+        raise AssertionError("a second batch against one base was taken")
+    except GenerationConflict:
+        pass
+    if transactions.apply_corrections(store, batch, done.version, F.lit(True), F.lit(False)).changed:
+        raise AssertionError("a replay made a generation")
+    rows = store.read("ledger").withColumns({c: F.array_join(F.array_sort(c), ";") for c in ("flags", "review_reasons")})
+    return rows.select("id", *_STATE)
