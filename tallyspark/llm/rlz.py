@@ -8,8 +8,8 @@ block of the index, which has the anchor as its key; blocks of other anchors hav
 * A block that equals a reference block elsewhere is one factor as a whole: all its windows repeat.
 * A block with other versions under its anchor is parsed against all of them: from the first word on, words without a
   match of WINDOW words are literals; the first match is extended word by word to the longest one that any reference
-  block supplies, which is the factor. Windows inside the factor repeat. Windows that cross its end are checked by
-  themselves. (A block has fewer than WINDOW window starts, so one factor is all that it can hold.)
+  block supplies, which is the factor. At its boundary the parse goes on with the first window that crosses its end: if a
+  reference block holds that, the next factor begins there. Windows repeat that lie inside a factor, and no others.
 * A block that is alone under its anchor is literal.
 
 One instance of each distinct block takes part, so a passage with any number of copies is indexed once. Blocks travel as
@@ -197,8 +197,8 @@ def _classes(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
 def parse_factors(words: np.ndarray, firsts: np.ndarray, n: np.ndarray, starts: np.ndarray, groups: np.ndarray, own: np.ndarray, window: int):
     """The greedy parse of the blocks that are own against all blocks of their group.
 
-    Returns over starts: whether its window occurs in another block of the group (matched), and the length of the factor
-    that begins there (0 where none does).
+    Returns over starts: whether a match begins there, that is, another block of the group holds its window (the index that
+    factors are looked up in), and the length of the factor that begins there (0 where none does).
     """
     block = np.repeat(np.arange(len(firsts)), n)
     ends = (firsts + n + window - 1)[block]
@@ -206,14 +206,31 @@ def parse_factors(words: np.ndarray, firsts: np.ndarray, n: np.ndarray, starts:
     salted = mix(group.astype(np.uint64) + np.uint64(1))
     seen = _classes(mix(span_sums(words, starts, starts + window) ^ salted), group)
     matched = np.bincount(seen)[seen] > 1
-    # Factors begin at the first match of a block.
+    # From the first word on, words where no match begins are literals. After a factor the parse goes on with the window
+    # that crosses the factor's end first: if that has a match, the next factor begins there.
     hits = np.flatnonzero(matched & own[block])
-    begins = hits[np.concatenate(([True], block[hits][1:] != block[hits][:-1]))] if len(hits) else hits
+    factor = np.zeros(len(starts), np.int64)
+    at, last = np.cumsum(n) - n, np.cumsum(n)
+    while True:
+        place = np.searchsorted(hits, at)
+        open_ = place < len(hits)
+        begins = hits[np.minimum(place, len(hits) - 1)] if len(hits) else np.empty(0, np.int64)
+        open_ &= begins < last if len(hits) else False
+        if not open_.any():
+            return matched, factor
+        begins = begins[open_]
+        factor[begins] = extended(words, starts, ends, matched, seen, begins, window)
+        at = last.copy()
+        at[open_] = begins + factor[begins] - window + 1
+
+
+def extended(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, matched: np.ndarray, seen: np.ndarray, begins: np.ndarray, window: int) -> np.ndarray:
+    """The length of the longest match of each factor that begins at begins: word by word, among the reference places that
+    agree so far with the start of some factor."""
     begun = np.zeros(len(starts), bool)
     begun[begins] = True
-    factor = np.zeros(len(starts), np.int64)
-    factor[begins] = window
-    # Extend by one word at a time, among the reference places that agree so far with the start of some factor.
+    length_of = np.zeros(len(starts), np.int64)
+    length_of[begins] = window
     live, length = np.flatnonzero(matched), window
     classes = seen[live]
     while len(live):
@@ -226,8 +243,8 @@ def parse_factors(words: np.ndarray, firsts: np.ndarray, n: np.ndarray, starts:
         classes = _classes(grown, classes)
         keep = np.bincount(classes)[classes] > 1
         live, classes, length = live[keep], classes[keep], length + 1
-        factor[live[begun[live]]] = length
-    return matched, factor
+        length_of[live[begun[live]]] = length
+    return length_of[begins]
 
 
 def parse_blocks(window: int):
@@ -239,14 +256,12 @@ def parse_blocks(window: int):
             anchor = rows.column("anchor").to_numpy()
             groups = np.concatenate(([0], np.cumsum(anchor[1:] != anchor[:-1])))
             own = rows.column("own").to_numpy(zero_copy_only=False)
-            matched, factor = parse_factors(words, firsts, n, starts, groups, own, window)
+            _, factor = parse_factors(words, firsts, n, starts, groups, own, window)
             block = np.repeat(np.arange(len(firsts)), n)
+            # What lies within a factor repeats, and nothing else does.
             begins = np.flatnonzero(factor)
-            begin_of, end_of = np.full(len(firsts), len(words)), np.zeros(len(firsts), np.int64)
-            begin_of[block[begins]], end_of[block[begins]] = starts[begins], starts[begins] + factor[begins]
-            covered = (starts >= begin_of[block]) & (starts + window <= end_of[block])
-            crossing = (starts >= begin_of[block]) & (starts + window > end_of[block])
-            found = np.flatnonzero(own[block] & (covered | (crossing & matched)))
+            edge = np.bincount(begins, minlength=len(starts) + 1) - np.bincount(begins + factor[begins] - window + 1, minlength=len(starts) + 1)
+            found = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             new = np.ones(len(found), bool)
             new[1:] = (found[1:] != found[:-1] + 1) | (block[found[1:]] != block[found[:-1]])
             first = np.flatnonzero(new)

@@ -85,6 +85,33 @@ def test_factor_is_the_longest_match():
     assert not apart.any() and not none.any()
 
 
+def test_factors_alone_decide(monkeypatch):
+    """One block meets two others in turn: its second factor crosses the end of the first. A parse that is cut short loses it."""
+    import numpy as np
+    import pyarrow as pa
+
+    bodies = [[1, 2, 3, 4, 5, 6, 7, 8], [50, 1, 2, 3, 4, 5, 51, 52], [60, 61, 3, 4, 5, 6, 7, 62]]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([9, 9, 9]), pa.array([0, 1, 2]), pa.array([i << rlz.TAG_AT for i in range(3)]), pa.array([True, False, False]), pa.array([np.array(b, np.uint64).tobytes() for b in bodies], pa.binary())],
+        names=["anchor", "doc_id", "place", "own", "words"],
+    )
+
+    def windows():
+        out = set()
+        for batch in rlz.parse_blocks(4)(iter([rows])):
+            for place in batch.column("place").to_pylist():
+                low = place & rlz.LOW_MASK
+                out |= set(range(low, low + (place >> rlz.COUNT_AT & rlz.COUNT_MASK)))
+        return out
+
+    assert windows() == {0, 1, 2, 3}
+    whole = rlz.extended
+    monkeypatch.setattr(rlz, "extended", lambda *a: np.full(len(a[5]), 5))
+    assert windows() == {0, 1, 2, 3}  # as long as the longest match
+    monkeypatch.setattr(rlz, "extended", lambda *a: np.where(np.arange(len(a[5])) == 0, 8, whole(*a)))
+    assert windows() == {0, 1, 2, 3, 4}  # a factor that is too long takes a window along that no block repeats
+
+
 def test_texts_that_share_an_id(spark):
     from tests.llm.conftest import prose
 
