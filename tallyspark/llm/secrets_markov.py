@@ -9,8 +9,9 @@ character pairs exceeds THRESHOLD. The table of ratios has a fixed size (the alp
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import id_and_text
@@ -93,69 +94,53 @@ def train(docs: DataFrame) -> list[float]:
     return [a - b for a, b in zip(random_model, ordinary_model, strict=True)]
 
 
-def _hits(text: F.Column, pattern: str, kind: int, group: int, least: int, scored: F.Column | None = None) -> F.Column:
-    """The leftmost non-overlapping matches of pattern: gap before, length and whether the match counts.
+SPAN = "struct<start:int,kind:int,end:int>"
 
-    Matches and the gaps between them alternate, so that positions are running sums of lengths, in code points.
+
+def _spans(text: F.Column, pattern: str, kind: int, group: int, counts: Callable[[F.Column], F.Column]) -> F.Column:
+    """The leftmost non-overlapping matches of pattern that count, as spans in code points.
+
+    Matches and the gaps between them alternate, so positions are running sums of lengths; only spans that count are kept.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), value.alias("value"))
-    rows = F.transform(
-        F.filter(zipped, lambda z: z["hit"].isNotNull()),
-        lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("size"), (F.length(z["value"]) >= least).alias("ok"), (z["hit"] if kind == 3 else F.lit(None).cast("string")).alias("token")),
-    )
-    empty = F.array().cast("array<struct<gap:int,size:int,ok:boolean,token:string>>")
-    return F.struct(F.lit(kind).alias("kind"), F.when(text.rlike(pattern), rows).otherwise(empty).alias("hits"))
+    zipped = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), value.alias("value")), lambda z: z["hit"].isNotNull())
+    none = F.array().cast(f"array<{SPAN}>")
 
+    def step(done: F.Column, z: F.Column) -> F.Column:
+        start = done["at"] + F.length(z["gap"])
+        end = start + F.length(z["hit"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(counts(z["value"]), F.concat(done["found"], F.array(span))).otherwise(done["found"]).alias("found"))
 
-def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """One row per span: row (a number of the input row), doc_id, kind, start, end (code points, end exclusive).
-
-    Every document has a row, spans may be null. Candidates of the model are runs of at least 12 characters: shorter ones
-    hold too few character pairs to pass THRESHOLD reliably.
-    """
-    text = F.col("text")
-    hits = F.array(
-        _hits(text, ASSIGN, 0, 2, ASSIGN_MIN),
-        _hits(text, ACCESS, 1, 0, ACCESS_MIN),
-        _hits(text, HEX, 2, 0, HEX_MIN),
-        _hits(text, CANDIDATE, 3, 0, 0),
-    )
-    some = F.filter(F.col("found"), lambda k: F.size(k["hits"]) > 0)
-    by_kind = id_and_text(docs).select("doc_id", hits.alias("found"), F.monotonically_increasing_id().alias("row")).select("row", "doc_id", F.explode_outer(some).alias("k"))
-    by_hit = by_kind.select("row", "doc_id", "k.kind", F.posexplode_outer("k.hits").alias("at", "h")).select("row", "doc_id", "kind", "at", "h.*")
-    order = Window.partitionBy("row", "kind").orderBy("at")
-    end = F.sum(F.col("gap") + F.col("size")).over(order)
-    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # a constant of SIDE * SIDE numbers
-    score = F.aggregate(_pairs(F.col("token")), F.lit(0.0), lambda acc, cell: acc + F.element_at(weights, cell + 1))
-    found = by_hit.select("row", "doc_id", "kind", (end - F.col("size")).alias("start"), end.alias("end"), F.when(F.col("kind") == 3, score > THRESHOLD).otherwise(F.col("ok")).alias("ok"))
-    # The model adds spans only where no base span is.
-    base_end = F.when(F.col("ok") & (F.col("kind") < 3), F.col("end"))
-    base_start = F.when(F.col("ok") & (F.col("kind") < 3), F.col("start"))
-    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("row").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    clash = F.coalesce(F.max(base_end).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(base_start).over(after) < F.col("end"), F.lit(False))
-    return found.withColumn("ok", F.col("ok") & ((F.col("kind") < 3) | ~clash))
+    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda done: done["found"])
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model.
 
-    Null text has no spans; the digest of no spans is that of the empty string. Rows that repeat a doc_id are
-    scanned each for itself; rows without one take no part. An empty table gives an empty result; other columns are not read.
+    Null text has no spans; the digest of no spans is that of the empty string. Every row is scanned for itself, whatever its
+    doc_id; no row leaves its task. The model adds spans only where no base span is; its candidates are runs of at least 12
+    characters: shorter ones hold too few character pairs to pass THRESHOLD reliably. An empty table gives an empty result;
+    other columns are not read.
     """
-    spans = scan(docs, train(docs))
+    weights = F.split(F.lit(",".join(map(repr, train(docs)))), ",").cast("array<double>")  # a constant of SIDE * SIDE numbers
+    score = lambda token: F.aggregate(_pairs(token), F.lit(0.0), lambda acc, cell: acc + F.element_at(weights, cell + 1))
+    at_least = lambda n: lambda value: F.length(value) >= n
+    text = F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = F.concat(_spans(text, ASSIGN, 0, 2, at_least(ASSIGN_MIN)), _spans(text, ACCESS, 1, 0, at_least(ACCESS_MIN)), _spans(text, HEX, 2, 0, at_least(HEX_MIN)))
+    found = rows.select("doc_id", F.array_sort(base).alias("base"), _spans(text, CANDIDATE, 3, 0, lambda value: score(value) > THRESHOLD).alias("model"))
+    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+    found = found.withColumn("model", F.filter("model", apart))
     names = F.array(*(F.lit(k) for k in KINDS))
-    listed = lambda keep: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("start", "kind", "end")))), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
-    ok = F.coalesce(F.col("ok"), F.lit(False))
-    count = lambda k: F.sum((ok & (F.col("kind") == k)).cast("long"))
-    grouped = spans.groupBy("row", "doc_id").agg(
-        *(F.coalesce(count(i), F.lit(0)).alias(f"n_{k}") for i, k in enumerate(KINDS)),
-        listed(ok & (F.col("kind") < 3)).alias("base"),
-        listed(ok).alias("spans"),
-    )
-    return grouped.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_model")
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
+    count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])), F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("base", "model"))).alias("spans"), F.size("model").cast("long").alias("n_model"),
+    )
 
 
 def base_spans_by_brute_force(text: str | None) -> list[tuple[str, int, int]]:

@@ -228,6 +228,25 @@ def test_secrets_base_spans(docs, pairs, empty, lone):
     assert secrets_markov.find_secrets(empty).count() == 0 and secrets_markov.find_secrets(lone).first().spans == ""
 
 
+def test_secrets_model_spans_match_plain_scores(spark, docs, pairs):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    weights = secrets_markov.train(table)
+    plan = secrets_markov.find_secrets(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+    found = 0
+    for r, text in zip(secrets_markov.find_secrets(table.orderBy("doc_id")).collect(), [x.text or "" for x in table.orderBy("doc_id").collect()], strict=True):
+        base, want = secrets_markov.base_spans_by_brute_force(text), []
+        for m in re.finditer(secrets_markov.CANDIDATE, text):
+            codes = [0, *(secrets_markov.ALPHABET.index(c) + 1 for c in m[0])]
+            score = sum(weights[a * secrets_markov.SIDE + b] for a, b in zip(codes, codes[1:], strict=False))
+            if score > secrets_markov.THRESHOLD and not any(a < m.end() and b > m.start() for _, a, b in base):
+                want.append(("model", m.start(), m.end()))
+        spans = sorted((a, secrets_markov.KINDS.index(k), b) for k, a, b in base + want)
+        assert r.spans == ",".join(f"{secrets_markov.KINDS[k]}:{a}:{b}" for a, k, b in spans) and r.n_model == len(want)
+        found += len(want)
+    assert found > 0
+
+
 def test_secrets_of_repeated_ids_and_short_tokens(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     more = [(90_001, "password: hunter22"), (90_001, "password: hunter22"), (None, "password: hunter22"), (90_002, "the x7Kq9ZbW2mVt4RpL8 key")]
