@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import add_token, digest_sums, drop_tokens, remove_reason
+from tallyspark.functions.text import add_token, digest_sums, drop_tokens, remove_reason, snippet
 from tallyspark.operators.annotations import COUNT_AMBIGUOUS, COUNT_REASON, HISTORY, PRIOR_REVIEW
 from tallyspark.operators.duplicates import AMBIGUOUS, CHOICES
 from tallyspark.operators.overlap import slot_id
@@ -129,6 +129,20 @@ def canonicalize(occurrences: DataFrame, state: OverlapState, key: bytes, immuta
     return Canonical(groups, slots, memberships, rows.drop("differ"))
 
 
+def listing(canonical: Canonical, occurrences: DataFrame, evidence: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a user is shown of the ambiguous records without a decision: (groups, occurrences).
+
+    groups: membership, source_counts, keep_all, same_event and the ids of the active slots, in order; occurrences: one
+    row each, with bounded evidence, so that no record's occurrences have to fit in one row.
+    """
+    open_ = canonical.groups.filter((F.col("provenance_status") == AMBIGUOUS) & F.col("decision").isNull())
+    active = canonical.slots.filter("state = 'active'").join(open_.select("fingerprint"), "fingerprint", "left_semi")
+    ids = active.groupBy("fingerprint").agg(F.array_sort(F.collect_list("slot_id")).alias("slot_ids"))
+    groups = open_.join(ids, "fingerprint").select("fingerprint", "membership", "source_counts", "keep_all", "same_event", "slot_ids")
+    shown = [snippet(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in evidence]
+    return groups, occurrences.join(open_.select("fingerprint", "membership"), "fingerprint").select("membership", F.col("id").alias("occurrence_id"), *shown)
+
+
 def decided(memberships: DataFrame, decisions: DataFrame) -> DataFrame:
     """memberships with decisions(membership, choice); what is decided stays, and two different choices leave it open."""
     chosen = decisions.filter(F.col("choice").isin(*CHOICES)).groupBy("membership").agg(F.min("choice").alias("lo"), F.max("choice").alias("hi"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators import allocation, profiles, rates, reconcile, slots, transactions, valuation
 from tallyspark.plans.catalogue import query
 from tallyspark.plans.shapes import LEDGER_SQL, ledger, legs, legs_sql, table
-from tallyspark.sources import statements
+from tallyspark.sources import documents, statements
 from tallyspark.sources.generations import GenerationConflict, Generations
 from tallyspark.sources.staging import shared_folder
 
@@ -301,3 +302,49 @@ def correction_transaction(spark, sf_dir):
         raise AssertionError("a replay made a generation")
     rows = store.read("ledger").withColumns({c: F.array_join(F.array_sort(c), ";") for c in ("flags", "review_reasons")})
     return rows.select("id", *_STATE)
+
+
+@query(f"""WITH r AS ({_STORED}), s AS ({_SOURCES}),
+    l AS (SELECT source_id, 0 AS kind, '' AS record_id, '{{"contract":"' || contract || '","revision":"' || revision || '","source_id":"' || source_id || '"}}' AS line FROM s UNION ALL
+        SELECT source_id, 1, record_id, '{{"fingerprint":"' || fingerprint || '","locator":' || coalesce(CAST(locator AS VARCHAR), 'null') || ',"ordinal":1,"origin_contract":"' || origin_contract || '","origin_locator":' || CAST(origin_locator AS VARCHAR) || ',"origin_revision":"' || origin_revision || '","record_id":"' || record_id || '","source_id":"' || source_id || '","state":"' || state || '"}}' FROM r)
+    SELECT line, row_number() OVER (PARTITION BY source_id ORDER BY kind, record_id) AS place FROM l""")
+def manifest_order(spark, sf_dir):
+    """The lines of a manifest, read back from its files, with their place within their source."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    documents.write_manifest(spark.sql(_SOURCES), spark.sql(_STORED), path)
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.get_json_object("value", "$.source_id").alias("source_id"), F.coalesce(F.get_json_object("value", "$.record_id"), F.lit("")).alias("record_id"))
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("record_id"))).select("line", "place")
+
+
+@query(f"""WITH {LEDGER_SQL}, c AS ({_CACHE}), n AS ({_NEWS}), u AS (SELECT currency, date, rate, 'a' AS p FROM c UNION ALL SELECT currency, date, rate, 'b' FROM n)
+    SELECT currency, date, CAST(min(rate) AS DECIMAL(17,8)) AS rate, string_agg(DISTINCT p, ',' ORDER BY p) AS providers FROM u GROUP BY 1, 2""")
+def rate_cache(spark, sf_dir):
+    """The merged cache after it was written as lines and read back."""
+    ledger(spark, sf_dir).createOrReplaceTempView("ledger")
+    cache = valuation.merge_rates(spark.sql(_CACHE).withColumn("provider", F.lit("a")), spark.sql(_NEWS).withColumn("provider", F.lit("b")))
+    path = f"{shared_folder(spark)}/rates-{uuid.uuid4().hex}"
+    documents.write_rates(cache, path)
+    return documents.read_rates(spark, path).withColumn("providers", F.array_join("providers", ","))
+
+
+@query("""WITH f AS (SELECT o_custkey, CASE WHEN count(*) > 12 THEN 'refused' WHEN o_custkey % 4 = 0 THEN 'skipped' ELSE 'imported' END AS status, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS w, concat('c', CAST(o_custkey AS VARCHAR)) AS path FROM orders GROUP BY o_custkey)
+    SELECT status, count(*) AS files, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(w) AS BIGINT) AS warnings, array_to_string(list(path ORDER BY path)[1:5], ',') AS examples FROM f GROUP BY 1
+    UNION ALL SELECT 'total', count(*), CAST(sum(n) AS BIGINT), CAST(sum(w) AS BIGINT), '' FROM f""")
+def import_report(spark, sf_dir):
+    n, urgent = F.count(F.lit(1)), F.collect_list(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey").cast("string")))
+    files = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(n.alias("rows"), urgent.alias("warnings"))
+    status = F.when(F.col("rows") > 12, "refused").when(F.col("o_custkey") % 4 == 0, "skipped").otherwise("imported")
+    done = documents.import_report(files.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("path"), status.alias("status"), "rows", "warnings"))
+    return done.withColumn("examples", F.array_join("examples", ",")).withColumn("warnings", F.col("warnings").cast("long"))
+
+
+@query(f"""WITH {_RECORDS}, k AS (SELECT CAST(f AS VARCHAR) AS fingerprint, keep, same FROM g WHERE ambiguous)
+    SELECT fingerprint, CAST(keep AS INT) AS keep_all, CAST(same AS INT) AS same_event, CAST(keep AS INT) AS slots, concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS occurrence_id, l_returnflag = 'R' AS processed, count(*) AS times
+    FROM k JOIN lineitem ON l_partkey * 10 + l_linenumber = CAST(fingerprint AS BIGINT) GROUP BY ALL""")
+def duplicate_listing(spark, sf_dir):
+    """What is shown of ambiguous records, with the occurrences behind them."""
+    rows = _occurrences(spark, sf_dir)
+    groups, shown = slots.listing(_imported(spark, rows), rows, ["processed"])
+    met = groups.join(shown, "membership").select("fingerprint", "keep_all", "same_event", F.size("slot_ids").alias("slots"), "occurrence_id", F.col("processed").cast("boolean").alias("processed"))
+    return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))

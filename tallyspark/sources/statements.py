@@ -50,6 +50,18 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame
     return found.select("path", "length", guard.alias("content"))
 
 
+def snapshot(found: DataFrame) -> DataFrame:
+    """path, length and sha256 of what was read."""
+    return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path and problem of the files of two snapshots that differ: missing, new, or changed."""
+    a, b = before.select("path", F.struct("length", "sha256").alias("was")), after.select("path", F.struct("length", "sha256").alias("now"))
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "new").when(F.col("was") != F.col("now"), "changed")
+    return a.join(b, "path", "full_outer").select("path", problem.alias("problem")).filter("problem is not null")
+
+
 def over_budget(found: DataFrame, pages: int = MAX_PAGES, chars: int = MAX_CHARS) -> Column:
     """What a file of extracted pages has too many of (pages, characters), or null; pages are counted before texts are parsed."""
     text = F.col("content").cast("string")

@@ -75,3 +75,29 @@ def test_budgets_refuse_before_the_parse(spark, tmp_path):
     assert statements.within_rows(rows, ["page", "line"], 3).count() == 3
     with pytest.raises(Exception, match="more than 2 rows"):
         statements.within_rows(rows, ["page", "line"], 2).collect()
+
+
+def test_documents_are_read_back_and_in_order(spark, tmp_path):
+    from tallyspark.sources import documents
+
+    sources = spark.createDataFrame([(f"s{i}", "n", "r", "c") for i in (2, 1)], "source_id string, namespace string, revision string, contract string")
+    records = spark.createDataFrame([(f"s{i % 2 + 1}", f"rec{99 - i}", "f\"ü", "active", i if i % 3 else None, "r", "c", i, 1) for i in range(40)], ", ".join(f"{c} {'long' if 'locator' in c else 'int' if c == 'ordinal' else 'string'}" for c in documents.RECORD))
+    documents.write_manifest(sources, records, str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    keys = [(x["source_id"], x.get("record_id", "")) for p in parts for x in map(json.loads, p.read_text().splitlines())]
+    assert keys == sorted(keys) and len(keys) == 42
+    a, b = documents.read_manifest(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, sources.collect()))
+    assert sorted(map(str, b.select(*documents.RECORD).collect())) == sorted(map(str, records.select(*documents.RECORD).collect()))
+
+
+def test_files_that_change_under_an_import(spark, tmp_path):
+    for name, text in (("a.csv", "x"), ("b.csv", "y"), ("c.csv", "z")):
+        (tmp_path / name).write_text(text)
+    before = spark.createDataFrame(statements.snapshot(statements.files(spark, str(tmp_path))).collect())
+    assert statements.changed_files(before, statements.snapshot(statements.files(spark, str(tmp_path)))).count() == 0
+    (tmp_path / "a.csv").write_text("w")
+    (tmp_path / "b.csv").unlink()
+    (tmp_path / "d.csv").write_text("v")
+    got = {r.path.rsplit("/", 1)[1]: r.problem for r in statements.changed_files(before, statements.snapshot(statements.files(spark, str(tmp_path)))).collect()}
+    assert got == {"a.csv": "changed", "b.csv": "missing", "d.csv": "new"}
