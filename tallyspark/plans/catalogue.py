@@ -413,7 +413,15 @@ def manual_pairs(spark, sf_dir):
     return flows.manual_pairs(spark.sql(_MARKED)).withColumn("ids", F.array_join("ids", ","))
 
 
-@query()
+# Every perfect matching of a day and user is spelled out, one outflow after the other; few have more than two of them.
+@query("""WITH RECURSIVE l AS (SELECT event_id AS id, user_id AS inst, CAST(ts AS DATE) AS day, event_type = 'purchase' AS base, CAST(CAST(abs(value) AS DECIMAL(18,2)) AS DOUBLE) AS x FROM events WHERE event_type IN ('purchase', 'view')),
+    c AS (SELECT inst, day, count(*) FILTER (WHERE base) AS n FROM l GROUP BY 1, 2 HAVING count(*) FILTER (WHERE base) = count(*) FILTER (WHERE NOT base)),
+    o AS (SELECT l.*, c.n, row_number() OVER (PARTITION BY l.inst, l.day ORDER BY id) AS k FROM l JOIN c ON c.inst = l.inst AND c.day = l.day WHERE base),
+    e AS (SELECT o.inst, o.day, o.n, o.k, o.id AS out_id, i.id AS in_id FROM o JOIN l i ON i.inst = o.inst AND i.day = o.day AND NOT i.base WHERE abs(o.x / i.x - 1.0) <= 0.25),
+    m AS (SELECT inst, day, n, k, [in_id] AS used, [out_id] AS outs FROM e WHERE k = 1
+        UNION ALL SELECT e.inst, e.day, e.n, e.k, list_append(used, e.in_id), list_append(outs, e.out_id) FROM m JOIN e ON e.inst = m.inst AND e.day = m.day AND e.k = m.k + 1 AND NOT list_contains(used, e.in_id)),
+    f AS (SELECT *, count(*) OVER (PARTITION BY inst, day) AS times FROM m WHERE k = n)
+    SELECT CAST(unnest(outs) AS VARCHAR) AS out_id, CAST(unnest(used) AS VARCHAR) AS in_id FROM f WHERE times = 1""")
 def cross_currency_pairs(spark, sf_dir):
     base = F.col("event_type") == "purchase"
     rows = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'view')").select(
