@@ -40,7 +40,7 @@ from tallyspark.llm.graph import components
 #: Links need 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Text that one pass takes.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 #: Coordinates of the upper nodes (in SQL), and of the nodes of a task at least.
 COARSE = 16
 NODE = 64
@@ -151,6 +151,7 @@ def scan_sets(buckets: int, keys_of: Keys):
                     _, once = np.unique(sids[full], return_index=True)
                     full = full[np.sort(once)]
                     yield from _filed(sets, full, sizes, sids, buckets, keys_of)
+        pa.default_memory_pool().release_unused()  # the worker stays, beside the JVM
 
     return scan
 
@@ -216,6 +217,7 @@ def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = _edges(sid, hubs)
     for low in range(0, len(a), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(a[low : low + 100_000]), pa.array(b[low : low + 100_000])], names=["a", "b"])
+    pa.default_memory_pool().release_unused()
 
 
 class Tree:
@@ -332,6 +334,7 @@ def join_blocks(percent: int):
                         members.setdefault(side, {})[sid] = (sid, label, own)
         if members and len(members) == wanted:
             yield settle(members)
+        pa.default_memory_pool().release_unused()
 
     return join
 
@@ -381,6 +384,7 @@ def open_members(percent: int):
                     held.append(batch.slice(low, high - low))
         if held:
             yield from settle(held)
+        pa.default_memory_pool().release_unused()
 
     return members
 
