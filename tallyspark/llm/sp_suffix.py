@@ -68,7 +68,7 @@ class Pieces(Remembered):
         width = 1
         while width < self.depth:
             after = np.zeros(n, np.int64)
-            after[: n - width] = rank[width:] + 1
+            after[: max(n - width, 0)] = rank[width:] + 1
             key = rank * (n + 2) + after
             suffixes = np.argsort(key, kind="stable")
             step = np.concatenate(([False], key[suffixes][1:] != key[suffixes][:-1]))

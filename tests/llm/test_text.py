@@ -108,6 +108,16 @@ def test_frames_round_trip_and_checkpoints(empty, spark, tmp_path):
     assert rans.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_short_texts_alone():
+    """Texts of a few characters, each in a vocabulary that has met nothing before."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ("a", "ab", "abc", "abcd", "one t", "two wor", "tiny one", "x y z w"):
+        ids = np.concatenate(sp_suffix.Pieces(PIECES)._relaxed([text]))
+        assert len(ids) > 0 and lib.decode([int(i) for i in ids]).strip() == text
+
+
 def test_pieces_match_the_library(docs, pairs, empty, lone):
     import sentencepiece
 
