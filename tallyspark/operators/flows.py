@@ -111,25 +111,29 @@ def exchange_pairs(legs: DataFrame, tolerance: float = 0.10) -> DataFrame:
         F.count_if(F.col("is_base")).alias("n_out"), F.count_if(~F.col("is_base")).alias("n_in"), F.countDistinct(F.when(~F.col("is_base"), F.col("currency"))).alias("kinds"),
         F.sum(F.when(F.col("is_base"), F.abs("amount"))).alias("out_sum"), F.sum(F.when(~F.col("is_base"), F.abs("amount"))).alias("in_sum"),
         F.max(F.when(~F.col("is_base"), F.col("currency"))).alias("kind"), F.max("reference").alias("given"),
-    ).filter("n_out = n_in and n_out > 0 and kinds = 1").withColumn("rate", F.col("out_sum") / F.col("in_sum"))
+    ).filter("n_out = n_in and n_out > 0 and kinds = 1 and in_sum > 0").withColumn("rate", F.try_divide("out_sum", "in_sum"))
     mean = cell.groupBy("institution", "kind").agg(F.avg("rate").alias("mean"), F.count(F.lit(1)).alias("events"), F.min("rate").alias("low"), F.max("rate").alias("high"))
     usable = mean.filter((F.col("events") >= 2) & (F.col("high") <= F.col("mean") * (1 + tolerance)) & (F.col("low") >= F.col("mean") * (1 - tolerance)))
     known = cell.join(usable.select("institution", "kind", "mean"), ["institution", "kind"], "left").withColumn("rate_ref", F.coalesce("given", "mean")).filter("rate_ref is not null")
-    rows = legs.join(known.select("date", "institution", "rate_ref"), ["date", "institution"]).select("date", "institution", F.col("id").cast("string").alias("id"), F.abs("amount").cast("double").alias("amount"), "is_base", F.col("rate_ref").cast("double").alias("rate"))
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        out, inn = group[group.is_base], group[~group.is_base].sort_values("amount", kind="stable")
-        rate = group.rate.iloc[0]
-        # What an outflow may have bought is a range of the sorted inflows.
-        low = np.searchsorted(inn.amount, out.amount / (rate * (1 + tolerance)) * (1 - 1e-12))
-        high = np.searchsorted(inn.amount, out.amount / (rate * (1 - tolerance)) * (1 + 1e-12), side="right") if tolerance < 1 else np.full(len(out), len(inn))
-        amounts = inn.amount.to_numpy()
-        edges = [{j for j in range(a, b) if abs(x / amounts[j] - rate) <= tolerance * rate} for x, a, b in zip(out.amount, low, high, strict=True)]
-        found = only_matching(edges, len(inn))
-        pairs = [(out.id.iloc[i], inn.id.iloc[j]) for i, j in enumerate(found)] if found is not None else []
-        return pd.DataFrame(pairs, columns=["out_id", "in_id"])
-
-    return rows.groupBy("date", "institution").applyInPandas(match, "out_id string, in_id string")
+    rows = legs.join(known.select("date", "institution", "rate_ref"), ["date", "institution"]).withColumn("leg", F.struct(F.abs("amount").cast("double").alias("amount"), F.col("id").cast("string").alias("id")))
+    side = lambda of: F.array_sort(F.collect_list(F.when(of, F.col("leg"))))
+    cells = rows.groupBy("date", "institution").agg(side(F.col("is_base")).alias("out"), side(~F.col("is_base")).alias("in"), F.max(F.col("rate_ref").cast("double")).alias("rate"))
+
+    def match(batches):
+        for batch in batches:
+            pairs = []
+            for out, inn, out_ids, in_ids, rate in zip(*(batch[c] for c in ("out", "in", "out_ids", "in_ids", "rate")), strict=True):
+                # What an outflow may have bought is a range of the sorted inflows.
+                low = np.searchsorted(inn, out / (rate * (1 + tolerance)) * (1 - 1e-12))
+                high = np.searchsorted(inn, out / (rate * (1 - tolerance)) * (1 + 1e-12), side="right") if tolerance < 1 else np.full(len(out), len(inn))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    edges = [set((a + np.flatnonzero(np.abs(x / inn[a:b] - rate) <= tolerance * rate)).tolist()) for x, a, b in zip(out, low, high, strict=True)]
+                found = only_matching(edges, len(inn))
+                pairs += [(out_ids[i], in_ids[j]) for i, j in enumerate(found)] if found is not None else []
+            yield pd.DataFrame(pairs, columns=["out_id", "in_id"])
+
+    lists = cells.select(F.col("out.amount").alias("out"), F.col("in.amount").alias("in"), F.col("out.id").alias("out_ids"), F.col("in.id").alias("in_ids"), "rate")
+    return lists.mapInPandas(match, "out_id string, in_id string")
 
 
 def only_matching(edges: list[set[int]], n: int) -> list[int] | None:

@@ -59,6 +59,16 @@ def test_exchange_needs_one_matching(spark):
     assert [(r.out_id, r.in_id) for r in flows.exchange_pairs(legs).collect()] == [("a", "b")]
 
 
+def test_exchange_without_inflow_has_no_rate(spark):
+    """Where all inflows of a day are 0 there is no rate: no pair and no division by zero."""
+    def leg(i, day, base, amount):
+        return (i, day, "bank", "HKD" if base else "USD", Decimal(amount), base, 1.0)
+
+    rows = [leg("a", "d1", True, "-5.00"), leg("b", "d1", False, "0.00"), leg("c", "d2", True, "-4.00"), leg("d", "d2", False, "4.00"), leg("e", "d3", True, "0.00"), leg("f", "d3", True, "-2.00"), leg("g", "d3", False, "0.00"), leg("h", "d3", False, "2.00")]
+    legs = spark.createDataFrame(rows, "id string, date string, institution string, currency string, amount decimal(18,2), is_base boolean, reference double")
+    assert [(r.out_id, r.in_id) for r in flows.exchange_pairs(legs).collect()] == [("c", "d")]
+
+
 def test_overlap_and_slots(spark):
     rows = spark.createDataFrame([("f", "s1")] * 2 + [("f", "s2")] + [("g", "s1")], "fp string, source string")
     counts = overlap.overlap_counts(rows, ["fp"], "source")
