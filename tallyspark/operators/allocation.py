@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import digest_sums, framed_sha256
+from tallyspark.sources.staging import staged
 
 INTENTS = ("import", "replace", "reset")
 RECORD = ("source_id", "record_id", "fingerprint", "state", "locator", "origin_revision", "origin_contract", "origin_locator", "ordinal")
@@ -79,42 +80,56 @@ def allocate(incoming: DataFrame, records: DataFrame, sources: DataFrame, intent
     if intent == "import":
         stored = sources.select("source_id").distinct().withColumn("stored", F.lit(True))
         modes = modes.join(stored, "source_id", "left").withColumn("problem", F.when(F.col("stored"), "already_imported").otherwise(F.col("problem"))).drop("stored")
-    ranked = incoming.withColumn("ordinal", F.row_number().over(Window.partitionBy("source_id", "fingerprint").orderBy("locator")))
-    arriving = ranked.join(modes.filter("problem is null").drop("revision", "contract", "problem"), "source_id")
-
-    # One outer join finds what is still in its place; what is left on either side goes on.
-    old = records.filter("state = 'active'").join(arriving.select("source_id", "by_locator", "safe").distinct(), "source_id")
-    place = F.when(F.col("by_locator"), F.col("locator"))
-    here = arriving.select("*", place.alias("place"))
-    there = old.select("source_id", "fingerprint", place.alias("place"), F.col("record_id").alias("old_id"), F.lit(True).alias("stored"))
-    met = here.withColumn("arrives", F.lit(True)).join(there, ["source_id", "fingerprint", "place"], "full_outer")
-    came, left = met.filter("arrives"), met.filter("arrives is null").select("source_id", "fingerprint", "old_id")
-    retired = records.filter("state = 'retired'").select("source_id", "fingerprint", F.col("origin_revision").alias("revision"), F.col("origin_contract").alias("contract"), F.col("origin_locator").alias("locator"), F.col("record_id").alias("retired_id"))
-    came = came.join(retired, ["source_id", "fingerprint", "revision", "contract", "locator"], "left")
-    placed = F.when(F.col("old_id").isNotNull(), "kept").when(F.col("retired_id").isNotNull(), "revived")
-    came = came.withColumn("action", placed)
-    n_in = came.filter("action is null").groupBy("source_id", "fingerprint").agg(F.count(F.lit(1)).alias("n_in"))
-    n_out = left.groupBy("source_id", "fingerprint").agg(F.count(F.lit(1)).alias("n_out"), F.min("old_id").alias("moved_id"))
-    counts = n_in.join(n_out, ["source_id", "fingerprint"], "full_outer")
+    # Arriving and stored rows go together, once, to their source and fingerprint; each place there is one window.
+    plan = modes.select("source_id", "revision", "contract", "safe", "by_locator", F.col("problem").isNull().alias("live"))
+    came = incoming.select("source_id", "fingerprint", "locator", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("record_id"), *(F.lit(None).cast(records.schema[c].dataType).alias(c) for c in RECORD[5:]), F.lit(True).alias("arrives"))
+    both = came.unionByName(records.select(*RECORD, F.lit(False).alias("arrives"))).join(plan, "source_id", "left").filter(F.col("live") | ~F.col("arrives"))
+    live, arrives, active = F.coalesce("live", F.lit(False)), F.col("arrives"), F.coalesce(F.col("state") == "active", F.lit(False))
+    revivable = (F.col("state") == "retired") & (F.col("origin_revision") == F.col("revision")) & (F.col("origin_contract") == F.col("contract"))
+    record = F.struct("record_id", *RECORD[5:])
+    spot = F.when(F.col("state") == "retired", F.col("origin_locator")).otherwise(F.col("locator"))
+    place = Window.partitionBy("source_id", "fingerprint", "spot")
+    group = Window.partitionBy("source_id", "fingerprint")
+    placed = live & F.col("spot").isNotNull()
+    met = both.withColumn("spot", spot).select(
+        "*",
+        F.max(F.when(placed & active & F.col("by_locator"), record)).over(place).alias("old"), F.max(F.when(placed & revivable, record)).over(place).alias("back"),
+        F.max(placed & arrives).over(place).alias("met"),
+    )
+    left_in = arrives & F.col("old").isNull() & F.col("back").isNull()
+    left_out = live & active & ~(F.col("met") & F.col("by_locator"))
+    counts = met.select(
+        "*",
+        F.sum(arrives.cast("int")).over(group.orderBy(F.col("spot")).rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("nth"),
+        F.count(F.when(left_in, F.lit(1))).over(group).alias("n_in"), F.count(F.when(left_out, F.lit(1))).over(group).alias("n_out"), F.min(F.when(left_out, record)).over(group).alias("left"),
+    )
     one = (F.col("n_in") == 1) & (F.col("n_out") == 1)
-    counts = counts.withColumn("one", F.coalesce(one, F.lit(False))).withColumn("ambiguous", F.col("n_in").isNotNull() & F.col("n_out").isNotNull() & ~F.coalesce(one, F.lit(False)))
-    refused = counts.filter("ambiguous").select("source_id").distinct().join(modes.filter("not safe"), "source_id", "left_semi").select("source_id", F.lit("record_match_ambiguous").alias("problem"))
-    problems = modes.filter("problem is not null").select("source_id", "problem").unionByName(refused)
-
-    settled = came.join(counts.select("source_id", "fingerprint", "one", "moved_id"), ["source_id", "fingerprint"], "left").join(refused, "source_id", "left_anti")
-    moves = F.col("action").isNull() & F.coalesce("one", F.lit(False))
-    new_id = framed_sha256("rec_", "record", *(F.col(c).cast("string") for c in ("source_id", "revision", "contract", "locator", "ordinal", "fingerprint")))
-    settled = settled.withColumn("record_id", F.coalesce("old_id", "retired_id", F.when(moves, F.col("moved_id")), new_id)).withColumn("action", F.when(moves, "moved").otherwise(F.coalesce("action", F.lit("new"))))
-    rows = settled.select("source_id", "locator", "fingerprint", "ordinal", "record_id", "action")
-
-    taken = settled.select("source_id").distinct()
-    stays = records.join(taken, "source_id", "left_anti").select(*RECORD)
-    origin = records.select("record_id", *(F.col(c).alias(f"was_{c}") for c in ("origin_revision", "origin_contract", "origin_locator", "ordinal")))
-    present = settled.join(origin, "record_id", "left").select(
-        "source_id", "record_id", "fingerprint", F.lit("active").alias("state"), "locator", F.coalesce("was_origin_revision", "revision").alias("origin_revision"),
-        F.coalesce("was_origin_contract", "contract").alias("origin_contract"), F.coalesce("was_origin_locator", "locator").alias("origin_locator"), F.coalesce("was_ordinal", "ordinal").alias("ordinal"),
+    own = F.when(arrives, F.when(F.col("old").isNotNull(), "kept").when(F.col("back").isNotNull(), "revived").when(one, "moved").otherwise("new"))
+    taken_id = F.when(F.col("met") & F.col("old").isNotNull(), F.col("old.record_id")).when(F.col("met"), F.col("back.record_id"))
+    claimed = F.coalesce(F.col("record_id") == taken_id, F.lit(False)) | (left_out & one)
+    found = staged(counts.select(
+        "source_id", "fingerprint", "locator", "state", "record_id", *RECORD[5:], "arrives", "revision", "contract", live.alias("live"), F.coalesce("safe", F.lit(False)).alias("safe"), "nth", own.alias("action"),
+        F.when(arrives, F.coalesce("old", "back", F.when(one, F.col("left")))).alias("was"), (~arrives & claimed).alias("claimed"),
+        ((F.col("n_in") > 0) & (F.col("n_out") > 0) & ~one).alias("ambiguous"), ((F.col("n_in") > 0) & ~one).alias("renewed"),
+    ), "allocation")
+    refused = found.filter("live and ambiguous and not safe").select("source_id").distinct()
+    problems = modes.filter("problem is not null").select("source_id", "problem").unionByName(refused.select("source_id", F.lit("record_match_ambiguous").alias("problem")))
+
+    taken = found.join(refused.withColumn("refused", F.lit(True)), "source_id", "left").withColumn("live", F.col("live") & F.col("refused").isNull())
+    new_id = framed_sha256("rec_", "record", *(F.col(c).cast("string") for c in ("source_id", "revision", "contract", "locator", "nth", "fingerprint")))
+    settled = taken.filter("arrives and live").withColumn("record_id", F.coalesce("was.record_id", new_id))
+    rows = settled.select("source_id", "locator", "fingerprint", F.col("nth").alias("ordinal"), "record_id", "action")
+
+    present = settled.select(
+        "source_id", "record_id", "fingerprint", F.lit("active").alias("state"), "locator", F.coalesce("was.origin_revision", "revision").alias("origin_revision"),
+        F.coalesce("was.origin_contract", "contract").alias("origin_contract"), F.coalesce("was.origin_locator", "locator").alias("origin_locator"), F.coalesce("was.ordinal", "nth").alias("ordinal"),
     )
-    gone = records.join(taken, "source_id").join(present.select("record_id"), "record_id", "left_anti").withColumn("state", F.lit("retired")).withColumn("locator", F.lit(None).cast(records.schema["locator"].dataType)).select(*RECORD)
+    known = taken.filter("not arrives")
+    stays = known.filter("not live").select(*RECORD)
+    gone = known.filter("live and not claimed").withColumns({"state": F.lit("retired"), "locator": F.lit(None).cast(records.schema["locator"].dataType)})
+    # A new id names its source and fingerprint, so only where such a group got one it may be that of a record that goes.
+    renewed = settled.filter("action = 'new'").select("record_id")
+    gone = gone.filter("not renewed").select(*RECORD).unionByName(gone.filter("renewed").join(renewed, "record_id", "left_anti").select(*RECORD))
     after = stays.unionByName(present).unionByName(gone)
-    reset = records.join(taken, "source_id").select("record_id") if intent == "reset" else records.limit(0).select("record_id")
+    reset = known.filter("live").select("record_id") if intent == "reset" else records.limit(0).select("record_id")
     return Allocation(rows, after, problems, reset)

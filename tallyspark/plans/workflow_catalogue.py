@@ -12,7 +12,7 @@ from tallyspark.plans.catalogue import query
 from tallyspark.plans.shapes import LEDGER_SQL, ledger, legs, legs_sql, table
 from tallyspark.sources import documents, statements
 from tallyspark.sources.generations import GenerationConflict, Generations
-from tallyspark.sources.staging import shared_folder
+from tallyspark.sources.staging import shared_folder, staged
 
 KEY = b"tally-demonstration-key"
 
@@ -114,13 +114,15 @@ def tail_corrections(spark, sf_dir):
 # (nothing, the contract, the revision, or that it was never stored) follows its number.
 _CASE = "l_suppkey % 4"
 _LINES = "(SELECT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_suppkey, l_orderkey, l_linenumber) lines"
-_ARRIVING = f"""SELECT CAST(l_suppkey AS VARCHAR(20)) AS source_id, CASE WHEN {_CASE} = 2 THEN 'rev2' ELSE 'rev1' END AS revision, CASE WHEN {_CASE} = 1 THEN 'c2' ELSE 'c1' END AS contract,
-    CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS locator, concat(CAST(l_partkey AS VARCHAR(20)), '/', CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS fingerprint FROM {_LINES}"""
-_STORED = f"""SELECT CAST(l_suppkey AS VARCHAR(20)) AS source_id, concat('old_', CAST(l_suppkey AS VARCHAR(20)), '_', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR(20))) AS record_id,
+_ARRIVING_OF = f"""SELECT CAST(l_suppkey AS VARCHAR(20)) AS source_id, CASE WHEN {_CASE} = 2 THEN 'rev2' ELSE 'rev1' END AS revision, CASE WHEN {_CASE} = 1 THEN 'c2' ELSE 'c1' END AS contract,
+    CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS locator, concat(CAST(l_partkey AS VARCHAR(20)), '/', CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS fingerprint FROM """
+_ARRIVING = _ARRIVING_OF + _LINES
+_STORED_OF = f"""SELECT CAST(l_suppkey AS VARCHAR(20)) AS source_id, concat('old_', CAST(l_suppkey AS VARCHAR(20)), '_', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR(20))) AS record_id,
     concat(CAST(l_partkey AS VARCHAR(20)), '/', CAST(CAST(l_quantity AS INT) AS VARCHAR(20))) AS fingerprint, CASE WHEN {_CASE} = 2 AND l_orderkey % 13 = 0 THEN 'retired' ELSE 'active' END AS state,
     CAST(CASE WHEN {_CASE} = 2 AND l_orderkey % 13 = 0 THEN NULL WHEN {_CASE} = 1 AND l_orderkey % 11 = 0 THEN l_orderkey * 10 + l_linenumber + 1000000000 ELSE l_orderkey * 10 + l_linenumber END AS BIGINT) AS locator,
     CASE WHEN l_orderkey % 3 = 0 AND {_CASE} = 2 THEN 'rev2' ELSE 'rev1' END AS origin_revision, 'c1' AS origin_contract, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS origin_locator, CAST(1 AS INT) AS ordinal
-    FROM {_LINES} WHERE {_CASE} <> 3"""
+    FROM %s WHERE {_CASE} <> 3"""
+_STORED = _STORED_OF.replace("%s", _LINES)
 _SOURCES = f"SELECT DISTINCT CAST(l_suppkey AS VARCHAR(20)) AS source_id, 'rev1' AS revision, 'c1' AS contract FROM lineitem WHERE {_CASE} <> 3"
 _ALLOCATED = f"""i AS (SELECT *, CAST(source_id AS BIGINT) % 4 AS kind FROM ({_ARRIVING})), r AS ({_STORED}),
     e AS (SELECT i.source_id, i.fingerprint, i.locator, i.kind, a.record_id AS old_id, b.record_id AS retired_id FROM i
@@ -136,8 +138,12 @@ _ALLOCATED = f"""i AS (SELECT *, CAST(source_id AS BIGINT) % 4 AS kind FROM ({_A
 
 
 def _allocated(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return allocation.allocate(spark.sql(_ARRIVING), spark.sql(_STORED), spark.sql(_SOURCES), "replace", allow_upgrade=True)
+    # Dealt by source once, each line once; arriving and stored rows are then read without another shuffle.
+    lines = table(spark, sf_dir, "lineitem").repartition("l_suppkey").groupBy("l_suppkey", "l_orderkey", "l_linenumber")
+    lines = staged(lines.agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity")), "lines")
+    lines.createOrReplaceTempView("lineitem")
+    arriving, stored = spark.sql(_ARRIVING_OF + "lineitem"), spark.sql(_STORED_OF.replace("%s", "lineitem"))
+    return allocation.allocate(arriving, stored, spark.sql(_SOURCES), "replace", allow_upgrade=True)
 
 
 @query(f"""WITH {_ALLOCATED} SELECT source_id, locator, fingerprint, CAST(ordinal AS INT) AS ordinal, action, known_id FROM done

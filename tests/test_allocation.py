@@ -85,3 +85,21 @@ def test_an_import_takes_new_sources_only(spark):
     old = first(spark, [(2, "x")])
     assert [r.problem for r in run(spark, [(3, "x")], old, "r2", intent="import").problems.collect()] == ["already_imported"]
     assert run(spark, [(3, "x")], intent="import").rows.filter(F.col("action") == "new").count() == 1
+
+
+def test_rows_are_dealt_to_their_fingerprint_once(spark):
+    """Arriving and stored rows meet in one shuffle, and what follows reads the result."""
+    old = first(spark, [(2, "x"), (3, "y")])
+    found = run(spark, [(2, "x"), (7, "y")], old, "r2")
+    assert {r.action for r in found.rows.collect()} == {"moved"}
+    for frame in (found.rows, found.records):
+        assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
+
+
+def test_a_new_id_that_a_leaving_record_has_stays_one_record(spark):
+    """Reallocated under the same origin, a record gets the id it had and does not retire as well."""
+    old = [(*r[:4], r[4] + 100, *r[5:]) for r in first(spark, [(2, "x"), (3, "x")])]
+    found = run(spark, [(2, "x"), (3, "x"), (4, "x")], old, "r1", "c1", stored=("r0", "c1"), allow_unmatched=True)
+    assert len(states(found)) == found.records.count() == 3 and set(states(found).values()) == {"active"}
+    assert {r.action for r in found.rows.collect()} == {"new"} and set(ids(found).values()) >= {r[1] for r in old}
