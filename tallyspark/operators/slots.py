@@ -17,6 +17,7 @@ from tallyspark.functions.text import add_token, digest_sums, drop_tokens, remov
 from tallyspark.operators.annotations import COUNT_AMBIGUOUS, COUNT_REASON, HISTORY, PRIOR_REVIEW
 from tallyspark.operators.duplicates import AMBIGUOUS, CHOICES
 from tallyspark.operators.overlap import slot_id
+from tallyspark.sources.staging import staged
 
 SAME_EVENT, KEEP_ALL = CHOICES
 OPEN = "unresolved"
@@ -50,16 +51,23 @@ class Canonical:
         return OverlapState(self.slots.select("fingerprint", "slot", "slot_id"), self.memberships, self.rows)
 
 
-def overlap_groups(occurrences: DataFrame, state: OverlapState) -> DataFrame:
+def overlap_groups(occurrences: DataFrame, state: OverlapState, least: dict[str, Column] | None = None, most: dict[str, Column] | None = None) -> DataFrame:
     """One row a record of the occurrences or the state: counts, status, membership, decision and how many slots are active.
 
-    changed marks an open ambiguous record for which another membership was decided before.
+    changed marks an open ambiguous record for which another membership was decided before. least and most: what else is
+    wanted of a record's occurrences, the smallest and largest values by name. The narrow occurrences travel once, to their
+    record; digests and extremes, which are wider than what they are made of, are made there.
     """
     names = [f"d{i}" for i in range(4)]
-    per = occurrences.groupBy("fingerprint", "source").agg(F.count(F.lit(1)).alias("n"), *(x.alias(d) for x, d in zip(digest_sums(F.col("id")), names, strict=True)))
-    now = per.groupBy("fingerprint").agg(F.array_sort(F.collect_list("n")).alias("source_counts"), F.sum("n").alias("source_occurrence_count"), *(F.sum(d).alias(d) for d in names))
+    least, most = least or {}, most or {}
+    extra = [*least, *most]
+    extremes = lambda of: [*(F.min(of(c, x)).alias(c) for c, x in least.items()), *(F.max(of(c, x)).alias(c) for c, x in most.items())]
+    dealt = occurrences.repartition("fingerprint")
+    per = dealt.groupBy("fingerprint", "source").agg(F.count(F.lit(1)).alias("n"), *(x.alias(d) for x, d in zip(digest_sums(F.col("id")), names, strict=True)), *extremes(lambda c, x: x))
+    now = per.groupBy("fingerprint").agg(F.array_sort(F.collect_list("n")).alias("source_counts"), F.sum("n").alias("source_occurrence_count"), *(F.sum(d).alias(d) for d in names), *extremes(lambda c, x: F.col(c)))
     before = state.slots.groupBy("fingerprint").agg(F.max("slot").alias("known_slots"))
-    seen = state.memberships.groupBy("fingerprint").agg(F.bool_or(F.col("resolution") != OPEN).alias("decided_before"))
+    # A record has as many memberships as imports saw it change.
+    seen = state.memberships.groupBy("fingerprint").agg(F.bool_or(F.col("resolution") != OPEN).alias("decided_before"), F.collect_list(F.struct("membership", "resolution")).alias("seen"))
     rows = now.join(before, "fingerprint", "full_outer").join(seen, "fingerprint", "left")
     c = F.col("source_counts")
     keep_all = F.coalesce(F.element_at(c, -1), F.lit(0))
@@ -68,14 +76,15 @@ def overlap_groups(occurrences: DataFrame, state: OverlapState) -> DataFrame:
     rows = rows.select("*", keep_all.cast("int").alias("keep_all"), same_event.cast("int").alias("same_event"), status.alias("provenance_status"))
     frame = F.concat_ws(":", "fingerprint", F.array_join(F.transform(c, lambda n: n.cast("string")), ","), "keep_all", "same_event", *(F.col(d).cast("string") for d in names))
     rows = rows.withColumn("membership", F.when(c.isNotNull(), F.concat(F.lit("dup_"), F.sha2(frame, 256)))).drop(*names)
-    found = rows.join(state.memberships, ["fingerprint", "membership"], "left")
+    same = F.filter("seen", lambda m: m["membership"] == F.col("membership"))
+    found = rows.withColumn("resolution", F.try_element_at(same, F.lit(1))["resolution"])
     decision = F.when(F.col("resolution").isin(*CHOICES), F.col("resolution"))
     active = F.when(decision == SAME_EVENT, F.col("same_event")).otherwise(F.col("keep_all"))
     open_ = (F.col("provenance_status") == AMBIGUOUS) & decision.isNull()
     return found.select(
         "fingerprint", "source_counts", F.coalesce("source_occurrence_count", F.lit(0)).alias("source_occurrence_count"), "keep_all", "same_event", "provenance_status", "membership",
         F.col("resolution").isNotNull().alias("known"), decision.alias("decision"), active.alias("active"), F.greatest("keep_all", F.coalesce("known_slots", F.lit(0))).alias("slots"),
-        F.coalesce(open_ & F.col("decided_before"), F.lit(False)).alias("changed"),
+        F.coalesce(open_ & F.col("decided_before"), F.lit(False)).alias("changed"), *extra,
     )
 
 
@@ -86,36 +95,36 @@ def canonicalize(occurrences: DataFrame, state: OverlapState, key: bytes, immuta
     value of the slot's row so far; for a new slot the one value of the occurrences that were processed (or of all, if none
     was), else the default that `mutable` gives. New slots of records whose occurrences differ in that get the history flag.
     """
-    groups = overlap_groups(occurrences, state)
-    slots = (
-        groups.filter("slots > 0")
-        .select("fingerprint", "active", F.explode(F.sequence(F.lit(1), "slots")).alias("slot"))
-        .join(state.slots, ["fingerprint", "slot"], "left")
-        .withColumn("group_id", F.col("fingerprint"))
-        .withColumn("slot_id", F.coalesce("slot_id", slot_id(key)))
-        .select("fingerprint", "slot", "slot_id", F.when(F.col("slot") <= F.col("active"), "active").otherwise("retired").alias("state"))
-    )
-    fresh = groups.filter((F.col("provenance_status") == AMBIGUOUS) & ~F.col("known")).select("fingerprint", "membership", F.lit(OPEN).alias("resolution"))
-    memberships = state.memberships.unionByName(fresh)
-    template = occurrences.groupBy("fingerprint").agg(
-        F.bool_or("processed").alias("any_processed"),
-        *(F.min(F.struct(c)).alias(f"lo_{c}") for c in (*immutable, *mutable)), *(F.max(F.struct(c)).alias(f"hi_{c}") for c in (*immutable, *mutable)),
-        *(F.min(F.when(F.col("processed"), F.struct(c))).alias(f"plo_{c}") for c in mutable), *(F.max(F.when(F.col("processed"), F.struct(c))).alias(f"phi_{c}") for c in mutable),
-    )
+    every, processed = (*immutable, *mutable), F.col("processed")
+    least = {f"lo_{c}": F.struct(c) for c in every} | {f"plo_{c}": F.when(processed, F.struct(c)) for c in mutable}
+    most = {f"hi_{c}": F.struct(c) for c in every} | {f"phi_{c}": F.when(processed, F.struct(c)) for c in mutable} | {"any_processed": processed}
+    facts = overlap_groups(occurrences, state, least, most)
     low = {c: F.when(F.col("any_processed"), F.col(f"plo_{c}")).otherwise(F.col(f"lo_{c}")) for c in mutable}
     high = {c: F.when(F.col("any_processed"), F.col(f"phi_{c}")).otherwise(F.col(f"hi_{c}")) for c in mutable}
     agreed = {c: low[c] == high[c] for c in mutable}
     differ = F.lit(False)
     for c in mutable:
         differ = differ | ~agreed[c]
-    template = template.select(
-        "fingerprint",
+    # Written once: slots, memberships and rows are all read from a record's row.
+    given = [c for c in facts.columns if c not in least and c not in most]
+    facts = staged(facts.select(
+        *given,
         differ.alias("differ"),
         *(F.when(F.col(f"lo_{c}") == F.col(f"hi_{c}"), F.col(f"lo_{c}.{c}")).alias(c) for c in immutable),
         *(F.when(agreed[c], low[c][c]).otherwise(default).alias(c) for c, default in mutable.items()),
+    ), "records")
+    groups = facts.select(*given)
+    numbered = facts.filter("slots > 0").withColumn("resolved", F.col("decision").isNotNull()).withColumn("slot", F.explode(F.sequence(F.lit(1), "slots")))
+    numbered = (
+        numbered.join(state.slots, ["fingerprint", "slot"], "left")
+        .withColumn("group_id", F.col("fingerprint"))
+        .withColumn("slot_id", F.coalesce("slot_id", slot_id(key)))
+        .withColumn("state", F.when(F.col("slot") <= F.col("active"), "active").otherwise("retired"))
     )
-    active = slots.filter("state = 'active'").join(groups.select("fingerprint", "provenance_status", "source_occurrence_count", F.col("decision").isNotNull().alias("resolved")), "fingerprint")
-    rows = active.join(template, "fingerprint").select("slot_id", "fingerprint", "slot", "provenance_status", "source_occurrence_count", "resolved", "differ", *immutable, *mutable)
+    slots = numbered.select("fingerprint", "slot", "slot_id", "state")
+    fresh = groups.filter((F.col("provenance_status") == AMBIGUOUS) & ~F.col("known")).select("fingerprint", "membership", F.lit(OPEN).alias("resolution"))
+    memberships = state.memberships.unionByName(fresh)
+    rows = numbered.filter("state = 'active' and source_counts is not null").select("slot_id", "fingerprint", "slot", "provenance_status", "source_occurrence_count", "resolved", "differ", *immutable, *mutable)
     if state.rows is None:
         rows = rows.withColumn("flags", add_token(F.col("flags"), HISTORY, F.col("differ"))) if "flags" in mutable else rows
     else:
@@ -202,12 +211,13 @@ def agreement(stored: OverlapState, occurrences: DataFrame, key: bytes, immutabl
     """
     want = canonicalize(occurrences, OverlapState(stored.slots, stored.memberships), key, immutable, mutable)
     compared = ["fingerprint", "slot", "provenance_status", "source_occurrence_count", *immutable]
-    have = stored.rows.groupBy("slot_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*compared)).alias("have"), F.max(F.struct(*compared)).alias("also"))
+    # Rows travel once, before their smallest and largest form make two of them.
+    have = stored.rows.select("slot_id", *compared).repartition("slot_id").groupBy("slot_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*compared)).alias("have"), F.max(F.struct(*compared)).alias("also"))
     both = have.join(want.rows.select("slot_id", F.struct(*compared).alias("want")), "slot_id", "full_outer")
     problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "excess").when(F.col("times") > 1, "repeated").when(F.col("have") != F.col("want"), "altered")
-    slots = stored.slots.groupBy("fingerprint", "slot").agg(F.min("slot_id").alias("had"), F.max("slot_id").alias("also"))
+    slots = stored.slots.select("fingerprint", "slot", "slot_id").repartition("fingerprint", "slot").groupBy("fingerprint", "slot").agg(F.min("slot_id").alias("had"), F.max("slot_id").alias("also"))
     # Slots that the key and the record alone give, for those that the state should hold.
-    own = slots.select("fingerprint", "slot", "had", "also").join(want.slots.select("fingerprint", "slot", "slot_id", "state"), ["fingerprint", "slot"], "full_outer")
+    own = slots.select("fingerprint", "slot", "had", "also").join(want.slots.select("fingerprint", "slot", "slot_id"), ["fingerprint", "slot"], "full_outer")
     made = own.withColumn("group_id", F.col("fingerprint")).withColumn("made", slot_id(key))
     slot_problem = F.when(F.col("slot_id").isNull(), "slot_excess").when(F.col("had").isNull(), "slot_missing").when((F.col("had") != F.col("made")) | (F.col("also") != F.col("made")), "slot_altered")
     rows = both.select("slot_id", problem.alias("problem")).union(made.select(F.coalesce("had", "slot_id").alias("slot_id"), slot_problem.alias("problem")))

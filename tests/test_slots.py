@@ -96,3 +96,10 @@ def test_agreement_of_an_untouched_state(spark):
     assert slots.agreement(state, *args).count() == 0
     forged = slots.OverlapState(state.slots.withColumn("slot_id", F.concat("slot_id", F.lit("x"))), state.memberships, state.rows)
     assert {r.problem for r in slots.agreement(forged, *args).collect()} >= {"slot_altered"}
+
+
+def test_slots_and_rows_are_read_from_one_pass_over_the_occurrences(spark):
+    done = run(spark, occurrences(spark, 3, 2))
+    for frame in (done.groups, done.slots, done.memberships, done.rows):
+        assert "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert (done.groups.count(), done.slots.count(), done.memberships.count(), done.rows.count()) == (1, 3, 1, 3)
