@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import direction
 from tallyspark.operators.policy import is_unknown
+from tallyspark.sources.staging import staged
 
 # What a reviewer is asked for by each review reason, and how valuation sources are called.
 REVIEW_LABELS = {
@@ -89,7 +90,10 @@ def missing_valuations(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rows without a value, each with the sources that support it (as many as it has, in order): id, evidence."""
     missing = rows.filter("amount_base is null").select("id", "group_id")
     support = evidence.join(missing.select("group_id").distinct(), "group_id", "left_semi").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("source_file", "source_row"))).alias("evidence"))
-    return missing.join(support, "group_id", "left").select("id", F.coalesce(F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["source_file"], e["source_row"].cast("string"))), ","), F.lit("")).alias("evidence"))
+    # A group's text is made once and stored, not made for each of its rows.
+    text = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["source_file"], e["source_row"].cast("string"))), ",")
+    texts = staged(support.select("group_id", text.alias("evidence")), "evidence")
+    return missing.join(texts, "group_id", "left").select("id", F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 def touching_groups(members: DataFrame, canonical: DataFrame, selected: DataFrame) -> DataFrame:

@@ -114,3 +114,12 @@ def test_no_diagnostics_no_first_error(spark):
 
 def test_fingerprint_matches_sql_on_all_bytes(spark):
     same_rows(catalogue.QUERIES["record_fingerprint"](spark, SF), duck(SF), catalogue.ORACLE_SQL["record_fingerprint"])
+
+
+def test_the_evidence_of_a_group_is_written_out_once(spark):
+    """Rows of a group share its text; it is not made anew for each of them after the join."""
+    rows = spark.createDataFrame([(1, "g", None), (2, "g", None), (3, "g", 5), (4, None, None), (5, "h", None)], "id long, group_id string, amount_base int")
+    evidence = spark.createDataFrame([("g", "f2", 1), ("g", "f1", 9), ("g", "f1", 10)], "group_id string, source_file string, source_row long")
+    found = reports.missing_valuations(rows, evidence)
+    assert {r.id: r.evidence for r in found.collect()} == {1: "f1:9,f1:10,f2:1", 2: "f1:9,f1:10,f2:1", 4: "", 5: ""}
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
