@@ -72,6 +72,12 @@ def add_token(tokens: Column, token: Column | str, when: Column) -> Column:
     return F.when(when, F.array_union(tokens, F.array(F.lit(token) if isinstance(token, str) else token))).otherwise(tokens)
 
 
+def add_tokens(tokens: Column, wanted: dict[str, Column]) -> Column:
+    """Several tokens, each where its condition holds, in their order: the expression is named once, not once more for each."""
+    new = F.array_compact(F.array(*(F.when(when, token) for token, when in wanted.items())))
+    return F.when(reduce(lambda a, b: a | b, wanted.values()), F.array_union(tokens, new)).otherwise(tokens)
+
+
 def drop_tokens(tokens: Column, *gone: str) -> Column:
     return F.array_except(tokens, F.array(*map(F.lit, gone)))
 

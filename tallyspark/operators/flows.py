@@ -38,30 +38,35 @@ def flow_type(category: Column, amount: Column, account_type: Column, trusted: C
 def transfer_candidates(ledger: DataFrame, window: int = 3) -> DataFrame:
     """(out_id, in_id, days, flow) of opposite amounts at most window days apart in different accounts.
 
-    ledger: id, date, account_id, account_type, amount_base, flow_type, flow_source. Days fall into buckets of window + 1;
-    the inflow side is offered to its own and both neighbouring buckets, so the join is by equality on amount and bucket
-    and a common amount is spread over time.
+    ledger: id, date, account_id, account_type, amount_base, flow_type, flow_source. Days fall into buckets of 2 * (window + 1)
+    days; an inflow is offered to the buckets of the days in its reach (two at most), so the join is by equality on amount
+    and bucket and a common amount is spread over time.
     """
-    bucket = F.floor(F.datediff("date", F.lit("1970-01-01")) / F.lit(window + 1)).cast("long")
-    usable = ledger.filter("amount_base <> 0 and account_id is not null and account_type in ('bank', 'credit_card', 'investment')").withColumn("bucket", bucket)
-    side = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "date", "account_id", "account_type", "flow_type", "flow_source")), F.abs("amount_base").alias("amount"), "bucket")
-    out = side(usable.filter("amount_base < 0"), "out")
-    inn = side(usable.filter("amount_base > 0"), "in").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    days = F.abs(F.datediff("out_date", "in_date"))
-    kinds = F.concat_ws(">", "out_account_type", "in_account_type")
-    flow = F.when(kinds == "bank>credit_card", "credit_card_payment").when(kinds == "bank>bank", "internal_transfer").when(kinds.isin("bank>investment", "investment>bank"), "investment_transfer")
-    fixed = lambda p: F.coalesce(F.col(f"{p}_flow_source").isin("rule", "correction"), F.lit(False))
-    agrees = lambda p: ~fixed(p) | (F.col(f"{p}_flow_type") == F.col("flow"))
-    external = lambda p: F.coalesce(F.col(f"{p}_flow_type").isin(*EXTERNAL) & (F.col(f"{p}_flow_source") == "deterministic"), F.lit(False))
+    bucket = lambda days: F.floor(days / F.lit(2 * (window + 1))).cast("int")
+    day = F.datediff("date", F.lit("1970-01-01"))
+    usable = ledger.filter("amount_base <> 0 and account_id is not null and account_type in ('bank', 'credit_card', 'investment') and date is not null")
+    # A flow that a rule or a person set has to be the pair's; two flows that the rows alone make external do not pair.
+    fixed = F.when(F.coalesce(F.col("flow_source").isin("rule", "correction"), F.lit(False)), F.coalesce("flow_type", F.lit("")))
+    external = F.coalesce(F.col("flow_type").isin(*EXTERNAL) & (F.col("flow_source") == "deterministic"), F.lit(False))
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), day.alias(f"{p}_day"), F.col("account_id").alias(f"{p}_account_id"), F.substring("account_type", 1, 1).alias(f"{p}_kind"), fixed.alias(f"{p}_fixed"), external.alias(f"{p}_external"), F.abs("amount_base").alias("amount"))
+    out = side(usable.filter("amount_base < 0"), "out").withColumn("bucket", bucket(F.col("out_day")))
+    reach = F.array_distinct(F.array(bucket(F.col("in_day") - window), bucket(F.col("in_day") + window)))
+    inn = side(usable.filter("amount_base > 0"), "in").withColumn("bucket", F.explode(reach))
+    days = F.abs(F.col("out_day") - F.col("in_day"))
+    kinds = F.concat("out_kind", "in_kind")
+    flow = F.when(kinds == "bc", "credit_card_payment").when(kinds == "bb", "internal_transfer").when(kinds.isin("bi", "ib"), "investment_transfer")
+    agrees = lambda p: F.coalesce(F.col(f"{p}_fixed") == F.col("flow"), F.lit(True))
     pairs = out.join(inn, ["amount", "bucket"]).filter((days <= window) & (F.col("out_account_id") != F.col("in_account_id"))).withColumn("flow", flow)
-    return pairs.filter(F.col("flow").isNotNull() & agrees("out") & agrees("in") & ~(external("out") & external("in"))).select("out_id", "in_id", days.alias("days"), "flow")
+    return pairs.filter(F.col("flow").isNotNull() & agrees("out") & agrees("in") & ~(F.col("out_external") & F.col("in_external"))).select("out_id", "in_id", days.alias("days"), "flow")
 
 
 def _nearest(candidates: DataFrame, own: str, other: str) -> DataFrame:
-    """The partner at the smallest distance of every row, and how many share that distance."""
-    by_distance = candidates.groupBy(own, "days").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(other, "flow")).alias("best"))
-    nearest = by_distance.groupBy(own).agg(F.min(F.struct("days", "n", "best")).alias("x"))
-    return nearest.select(own, F.col("x.days").alias("days"), (F.col("x.n") == 1).alias("unique"), F.col(f"x.best.{other}").alias(other), F.col("x.best.flow").alias("flow"))
+    """The partner at the smallest distance of every row, and whether no other shares that distance.
+
+    The first and the last partner at the smallest distance tell that, so one aggregate serves.
+    """
+    found = candidates.groupBy(own).agg(F.min(F.struct("days", other, "flow")).alias("low"), F.max(F.struct((-F.col("days")).alias("days"), other)).alias("high"))
+    return found.select(own, F.col("low.days").alias("days"), (F.col(f"low.{other}") == F.col(f"high.{other}")).alias("unique"), F.col(f"low.{other}").alias(other), F.col("low.flow").alias("flow"))
 
 
 def transfer_pairs(candidates: DataFrame) -> DataFrame:
@@ -90,12 +95,13 @@ def manual_pairs(ledger: DataFrame) -> DataFrame:
     Valid are exactly two rows of one account and currency, opposite and equal, with compatible owners.
     """
     loose = F.coalesce("owner", F.lit("")).isin("", "Unknown", "Household")
-    strict = F.collect_set(F.when(~loose, F.col("owner")))
+    strict = F.when(~loose, F.col("owner"))
+    one = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))
     return ledger.filter("marker is not null").groupBy("marker").agg(
         F.when(F.count(F.lit(1)) == 2, F.array(F.min("id"), F.max("id"))).alias("ids"),
         (
-            (F.count(F.lit(1)) == 2) & (F.countDistinct("account_id") == 1) & (F.countDistinct("posted_currency") == 1)
-            & (F.sum("posted_amount") == 0) & (F.max("posted_amount") > 0) & (F.size(strict) <= 1)
+            (F.count(F.lit(1)) == 2) & one("account_id") & one("posted_currency")
+            & (F.sum("posted_amount") == 0) & (F.max("posted_amount") > 0) & F.min(strict).eqNullSafe(F.max(strict))
         ).alias("valid"),
     )
 

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import reconcile
+from tallyspark.operators import flows, reconcile
 
 SCHEMA = """id string, date date, account_id string, account_type string, institution string, owner string, category string, posted_amount decimal(18,2), posted_currency string, amount_base decimal(18,2),
     flow_type string, flow_source string, marker string, reason string, needs_review boolean, flags array<string>, review_reasons array<string>"""
@@ -67,3 +67,18 @@ def test_explicit_flows_stay(spark):
     rows = spark.createDataFrame([row("o", 1, "x", "-5", flow_type="internal_transfer", flow_source="rule"), row("i", 1, "y", "5"), row("u", 9, "x", "-6", flow_type="internal_transfer", flow_source="correction")], SCHEMA)
     got = by_id(run(rows).rows)
     assert (got["o"].flow_source, got["i"].flow_source, got["u"].reconciliation_status) == ("rule", "reconciliation", "unmatched")
+
+
+def test_only_candidates_are_written_on_the_way(spark, monkeypatch):
+    """Wide rows are not staged: they travel once, to what was found on narrow columns."""
+    names, kept = [], reconcile.staged
+    monkeypatch.setattr(reconcile, "staged", lambda rows, name: (names.append(name), kept(rows, name))[1])
+    rows = spark.createDataFrame([row("a", 1, "x", "-5", marker="m"), row("b", 1, "x", "5", marker="m"), row("c", 1, "y", "5"), row("d", 2, "z", "-5")], SCHEMA)
+    assert by_id(run(rows).rows)["c"].paired_id == "d" and names == ["candidates"]
+
+
+def test_candidates_over_all_edges_of_buckets(spark):
+    days = range(1, 29)
+    rows = spark.createDataFrame([row(f"o{d}", d, "x", "-5") for d in days] + [row(f"i{d}", d, "y", "5") for d in days], SCHEMA)
+    got = sorted((r.out_id, r.in_id, r.days) for r in flows.transfer_candidates(rows).collect())
+    assert got == sorted((f"o{a}", f"i{b}", abs(a - b)) for a in days for b in days if abs(a - b) <= 3)
