@@ -14,11 +14,13 @@ OBSERVED = "file string, account_id string, section string, currency string, kin
 def merge_observations(observed: DataFrame) -> DataFrame:
     """Values that several readers of a statement saw: TARGET, kind, value, n (the most that one reader saw), pages.
 
-    observed: reader, TARGET, kind, value, page. Counts come first by reader, so a value that pages repeat costs one row.
+    observed: reader, TARGET, kind, value, page. Observations travel once, to their target, and one aggregate lists what saw
+    a value: the import bounds the pages of a file. The currency, often one for all, does not deal them.
     """
-    by_reader = observed.groupBy(*TARGET, "kind", "value", "reader").agg(F.count(F.lit(1)).alias("n"), F.collect_set("page").alias("pages"))
-    merged = by_reader.groupBy(*TARGET, "kind", "value").agg(F.max("n").alias("n"), F.flatten(F.collect_list("pages")).alias("pages"))
-    return merged.withColumn("pages", F.array_sort(F.array_distinct("pages")))
+    seen = observed.repartition(*TARGET[:3]).groupBy(*TARGET, "kind", "value").agg(F.collect_list(F.struct("reader", "page")).alias("seen"))
+    by = F.col("seen.reader")
+    times = F.transform(F.array_distinct(by), lambda r: F.size(F.filter(by, lambda x: x.eqNullSafe(r))))
+    return seen.select(*TARGET, "kind", "value", F.array_max(times).cast("long").alias("n"), F.array_sort(F.array_distinct(F.array_compact("seen.page"))).alias("pages"))
 
 
 def reduce_over_pages(observed: DataFrame) -> DataFrame:
@@ -62,16 +64,18 @@ def attach_balances(rows: DataFrame, balances: DataFrame) -> DataFrame:
     stated = balances.groupBy(*TARGET, "kind").agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages")
     )
-    placed = stated.join(ends, TARGET, "left").join(lone, whole, "left")
-    pick = lambda kind: F.coalesce(F.col(kind), F.when(F.col("section") == "", F.col(f"lone_{kind}")))
+    # Only what has no section may go elsewhere; the texts of flags are made where they are put on a row.
     conflict = F.col("low") != F.col("high")
-    mark = F.concat(F.lit("statement_"), F.col("kind"), F.lit("_balance_conflict"))
-    flags = F.when(conflict, F.concat(F.array(mark), F.transform("pages", lambda p: F.concat(mark, F.lit("_page_"), p.cast("string"))))).otherwise(F.array().cast("array<string>"))
-    at = placed.select(F.when(F.col("kind") == "opening", pick("opening")).otherwise(pick("closing")).alias("id"), "kind", F.when(~conflict, F.col("low")).alias("value"), flags.alias("more")).filter("id is not null")
-    by_row = at.groupBy("id").agg(
-        *(F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("opening", "closing")), F.array_sort(F.flatten(F.collect_list("more"))).alias("more")
-    )
-    joined = rows.join(by_row, "id", "left")
+    at = lambda placed, pick: placed.select(pick.alias("id"), "kind", F.when(~conflict, F.col("low")).alias("value"), F.when(conflict, F.struct("kind", "pages")).alias("mark"))
+    own = F.when(F.col("kind") == "opening", F.col("opening")).otherwise(F.col("closing"))
+    elsewhere = F.when(F.col("kind") == "opening", F.col("lone_opening")).otherwise(F.col("lone_closing"))
+    named = at(stated.filter("section <> ''").join(ends, TARGET), own)
+    bare = at(stated.filter("section = ''").join(ends, TARGET, "left").join(lone, whole, "left"), F.coalesce(own, elsewhere))
+    found = named.union(bare).filter("id is not null")
+    by_row = found.groupBy("id").agg(*(F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k) for k in ("opening", "closing")), F.collect_list("mark").alias("marks"))
+    name = lambda m: F.concat(F.lit("statement_"), m["kind"], F.lit("_balance_conflict"))
+    flags = F.transform("marks", lambda m: F.concat(F.array(name(m)), F.transform(m["pages"], lambda p: F.concat(name(m), F.lit("_page_"), p.cast("string")))))
+    joined = rows.join(by_row.withColumn("more", F.array_sort(F.flatten(flags))).drop("marks"), "id", "left")
     return joined.withColumn("flags", F.when(F.col("more").isNotNull(), F.array_union("flags", "more")).otherwise(F.col("flags"))).drop("more")
 
 

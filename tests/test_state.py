@@ -123,3 +123,12 @@ def test_the_evidence_of_a_group_is_written_out_once(spark):
     found = reports.missing_valuations(rows, evidence)
     assert {r.id: r.evidence for r in found.collect()} == {1: "f1:9,f1:10,f2:1", 2: "f1:9,f1:10,f2:1", 4: "", 5: ""}
     assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_observations_travel_once(spark):
+    rows = [(reader, "f", "a", "s", "HKD", "opening", Decimal(v), p) for reader, v, p in (("r", 1, 3), ("r", 1, 1), ("w", 1, 1), ("w", 2, None), (None, 2, 5), (None, 2, 5))]
+    merged = statement_balances.merge_observations(spark.createDataFrame(rows, "reader string, file string, account_id string, section string, currency string, kind string, value decimal(20,2), page int"))
+    assert sorted((int(r.value), r.n, r.pages) for r in merged.collect()) == [(1, 2, [1, 3]), (2, 2, [5])]
+    # As many exchanges as there are tables: none before or after the one to the target.
+    stated = merged.groupBy(*statement_balances.TARGET, "kind").count()
+    assert stated._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
