@@ -318,7 +318,7 @@ def manifest_order(spark, sf_dir):
     """The lines of a manifest, read back from its files, with their place within their source."""
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
-    documents.write_manifest(spark.sql(_SOURCES), spark.sql(_STORED), path)
+    documents.write_manifest(spark.sql(_SOURCES), spark.sql(_STORED), path, "gzip")
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.get_json_object("value", "$.source_id").alias("source_id"), F.coalesce(F.get_json_object("value", "$.record_id"), F.lit("")).alias("record_id"))
     return lines.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("record_id"))).select("line", "place")
 

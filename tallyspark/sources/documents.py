@@ -17,10 +17,10 @@ RECORD = ("source_id", "record_id", "fingerprint", "state", "locator", "origin_r
 RATE = ("currency", "date", "rate", "providers")
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
-    """lines(line, order columns) as text files, in order within and across files."""
+def write_lines(lines: DataFrame, path: str, order: list[str], compression: str = "none") -> None:
+    """lines(line, order columns) as text files, in order within and across files; Spark reads compressed ones by their names."""
     ordered = lines.repartitionByRange(max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    ordered.select("line").write.text(path)
+    ordered.select("line").write.text(path, compression=compression)
 
 
 def manifest_lines(sources: DataFrame, records: DataFrame) -> DataFrame:
@@ -30,8 +30,9 @@ def manifest_lines(sources: DataFrame, records: DataFrame) -> DataFrame:
     return heads.unionByName(rest)
 
 
-def write_manifest(sources: DataFrame, records: DataFrame, path: str) -> None:
-    write_lines(manifest_lines(sources, records), path, ["source_id", "kind", "record_id"])
+def write_manifest(sources: DataFrame, records: DataFrame, path: str, compression: str = "none") -> None:
+    """Lines repeat their keys and sources, so compressed files are a fraction of plain ones; read_manifest takes either."""
+    write_lines(manifest_lines(sources, records), path, ["source_id", "kind", "record_id"], compression)
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

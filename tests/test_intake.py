@@ -101,3 +101,13 @@ def test_files_that_change_under_an_import(spark, tmp_path):
     (tmp_path / "d.csv").write_text("v")
     got = {r.path.rsplit("/", 1)[1]: r.problem for r in statements.changed_files(before, statements.snapshot(statements.files(spark, str(tmp_path)))).collect()}
     assert got == {"a.csv": "changed", "b.csv": "missing", "d.csv": "new"}
+
+
+def test_manifest_files_are_compressed(spark, tmp_path):
+    from tallyspark.sources import documents
+
+    sources = spark.createDataFrame([("s", "r1", "c1")], "source_id string, revision string, contract string")
+    records = spark.createDataFrame([("s", "x", "fp", "active", 1, "r1", "c1", 1, 1)], "source_id string, record_id string, fingerprint string, state string, locator long, origin_revision string, origin_contract string, origin_locator long, ordinal int")
+    documents.write_manifest(sources, records, str(tmp_path / "m"), "gzip")
+    assert all(f.name.endswith(".gz") for f in (tmp_path / "m").glob("part-*"))
+    assert [f.count() for f in documents.read_manifest(spark, str(tmp_path / "m"))] == [1, 1]
