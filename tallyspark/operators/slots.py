@@ -142,14 +142,15 @@ def listing(canonical: Canonical, occurrences: DataFrame, evidence: list[str]) -
     """What a user is shown of the ambiguous records without a decision: (groups, occurrences).
 
     groups: membership, source_counts, keep_all, same_event and the ids of the active slots, in order; occurrences: one
-    row each, with bounded evidence, so that no record's occurrences have to fit in one row.
+    row each, with bounded evidence, so that no record's occurrences have to fit in one row. Both are dealt by fingerprint,
+    so they meet by it without another shuffle.
     """
     open_ = canonical.groups.filter((F.col("provenance_status") == AMBIGUOUS) & F.col("decision").isNull())
     active = canonical.slots.filter("state = 'active'").join(open_.select("fingerprint"), "fingerprint", "left_semi")
     ids = active.groupBy("fingerprint").agg(F.array_sort(F.collect_list("slot_id")).alias("slot_ids"))
     groups = open_.join(ids, "fingerprint").select("fingerprint", "membership", "source_counts", "keep_all", "same_event", "slot_ids")
     shown = [snippet(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in evidence]
-    return groups, occurrences.join(open_.select("fingerprint", "membership"), "fingerprint").select("membership", F.col("id").alias("occurrence_id"), *shown)
+    return groups, occurrences.join(open_.select("fingerprint", "membership"), "fingerprint").select("fingerprint", "membership", F.col("id").alias("occurrence_id"), *shown)
 
 
 def decided(memberships: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -352,5 +352,5 @@ def duplicate_listing(spark, sf_dir):
     """What is shown of ambiguous records, with the occurrences behind them."""
     rows = _occurrences(spark, sf_dir)
     groups, shown = slots.listing(_imported(spark, rows), rows, ["processed"])
-    met = groups.join(shown, "membership").select("fingerprint", "keep_all", "same_event", F.size("slot_ids").alias("slots"), "occurrence_id", F.col("processed").cast("boolean").alias("processed"))
+    met = groups.join(shown.drop("membership"), "fingerprint").select("fingerprint", "keep_all", "same_event", F.size("slot_ids").alias("slots"), "occurrence_id", F.col("processed").cast("boolean").alias("processed"))
     return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))

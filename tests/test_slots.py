@@ -103,3 +103,13 @@ def test_slots_and_rows_are_read_from_one_pass_over_the_occurrences(spark):
     for frame in (done.groups, done.slots, done.memberships, done.rows):
         assert "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString()
     assert (done.groups.count(), done.slots.count(), done.memberships.count(), done.rows.count()) == (1, 3, 1, 3)
+
+
+def test_a_listing_meets_by_fingerprint(spark):
+    from tallyspark.operators import slots
+
+    groups = spark.createDataFrame([("f", "dup_1", [1, 2], 2, 1, slots.AMBIGUOUS, None)], "fingerprint string, membership string, source_counts array<long>, keep_all int, same_event int, provenance_status string, decision string")
+    given = spark.createDataFrame([("f", 1, "x", "active"), ("f", 2, "y", "active")], "fingerprint string, slot int, slot_id string, state string")
+    found, shown = slots.listing(slots.Canonical(groups, given, None, None), spark.createDataFrame([("a", "f", "t"), ("b", "g", "t")], "id string, fingerprint string, text string"), ["text"])
+    met = found.join(shown.drop("membership"), "fingerprint").collect()
+    assert [(r.membership, r.slot_ids, r.occurrence_id, r.text) for r in met] == [("dup_1", ["x", "y"], "a", "t")]
