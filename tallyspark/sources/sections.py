@@ -99,17 +99,22 @@ def _month(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.month(F.try_to_date(F.concat(F.lit("1 "), name, F.lit(" 2000")), "d MMM yyyy")))
 
 
-def _years(lines: DataFrame, sections: Sections) -> DataFrame:
-    """path with year and month in which its statement ends, from the first line that says so, or else from its name."""
-    said = F.min(F.when(F.col("text").rlike(_plain_groups(sections.year_regex)), F.struct("page", "line", "text")))["text"] if sections.year_regex else F.max(F.lit(None).cast("string"))
-    files = lines.groupBy("path").agg(said.alias("said"))
-    cell = lambda *names: F.when(F.col("said").isNotNull(), _group(F.col("said"), sections.year_regex, *names)) if sections.year_regex else F.lit(None)
-    name = F.element_at(F.split("path", "/"), -1)
+def _stated_year(sections: Sections) -> Column:
+    """The year as text and the number of the month that the line states for its statement, after page and line; null on other lines."""
+    if not sections.year_regex:
+        return F.lit(None).cast("struct<page:int,line:int,year:string,month:int>")
+    text = F.col("text")
+    month = _month(F.nullif(_group(text, sections.year_regex, "statement_month"), F.lit("")))
+    return F.when(text.rlike(_plain_groups(sections.year_regex)), F.struct("page", "line", _group(text, sections.year_regex, "year").alias("year"), month.alias("month")))
+
+
+def _statement_ends(sections: Sections) -> tuple[Column, Column]:
+    """Year and month in which a line's statement ends, from what its file says first (said), or else from the file's name."""
+    name, said = F.element_at(F.split("path", "/"), -1), F.col("said")
     other = (lambda *names: _group(name, sections.file_year_regex, *names)) if sections.file_year_regex else (lambda *names: F.lit(""))
-    year = F.nullif(F.coalesce(cell("year"), other("year")), F.lit("")).cast("int")
-    month = F.nullif(F.coalesce(cell("statement_month"), other("statement_month")), F.lit(""))
-    missing = F.raise_error(F.concat(F.lit("no statement year: "), F.col("path")))
-    return files.select("path", F.coalesce(year, missing.cast("int")).alias("year"), F.coalesce(_month(month), F.lit(12)).alias("month"))
+    year = F.nullif(F.coalesce(said["year"], other("year")), F.lit("")).cast("int")
+    month = F.when(said.isNotNull(), said["month"]).otherwise(_month(F.nullif(other("statement_month"), F.lit(""))))
+    return year, F.coalesce(month, F.lit(12))
 
 
 def section_rows(lines: DataFrame, sections: Sections) -> DataFrame:
@@ -128,15 +133,15 @@ def section_rows(lines: DataFrame, sections: Sections) -> DataFrame:
         "path", "page", "line",
         _heading(sections, lambda text, s: text.isin(s, f"account: {s}")).alias("heading"), _holds(sections.ends).alias("ends"), _holds(sections.header, every=True).alias("header"),
         F.when(dated, _group(F.col("text"), sections.date_regex, "day")).alias("day"), F.when(dated, _group(F.col("text"), sections.date_regex, "month")).alias("month"),
-        amounts("deposit").alias("deposits"), amounts("withdrawal").alias("withdrawals"), F.array_join(texts("description"), " ").alias("said"),
+        amounts("deposit").alias("deposits"), amounts("withdrawal").alias("withdrawals"), F.array_join(texts("description"), " ").alias("own_text"), _stated_year(sections).alias("stated_year"),
         F.get(F.filter(F.transform(texts("currency"), F.upper), lambda t: t.rlike(sections.currency_regex)), F.lit(0)).alias("own_currency"),
     )
-    told = told.withColumn("amount", F.size("deposits") + F.size("withdrawals") > 0)
+    into, out = F.size("deposits") > 0, F.size("withdrawals") > 0
+    told = told.withColumns({"amount": into | out, "into": into, "both": into & out, "figure": F.coalesce(F.get("deposits", F.lit(0)), F.get("withdrawals", F.lit(0)))}).drop("deposits", "withdrawals")
     # An end among the lines of a table is only one if nothing else stands on it.
-    busy = F.col("day").isNotNull() | F.col("amount") | (F.col("said") != "")
-    told = told.withColumns({"bare_end": F.col("heading").isNull() & F.col("ends") & ~busy, "busy_end": F.col("heading").isNull() & F.col("ends") & busy})
-    live = _alive(_entries(_tables(told), sections))
-    return _completed(live, _years(lines, sections), sections)
+    busy = F.col("day").isNotNull() | F.col("amount") | (F.col("own_text") != "")
+    told = told.withColumns({"bare_end": F.col("heading").isNull() & F.col("ends") & ~busy, "busy_end": F.col("heading").isNull() & F.col("ends") & busy}).drop("ends")
+    return _completed(_alive(_entries(_tables(told, sections), sections)), sections)
 
 
 def _before(*keys: str):
@@ -147,14 +152,33 @@ def _until(*keys: str):
     return Window.partitionBy(*keys).orderBy("page", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _tables(told: DataFrame) -> DataFrame:
-    """Lines below headings, with region (a heading or a bare end begins one), table (headers so far in it) and entry (the
-    amounts before the line in its table)."""
+def _in_runs(frame_end: int):
+    """A file's lines in the order of _entries: that of pages and lines, with the run before them."""
+    return Window.partitionBy("path").orderBy("run", "page", "line").rowsBetween(Window.unboundedPreceding, frame_end)
+
+
+def _tables(told: DataFrame, sections: Sections) -> DataFrame:
+    """Lines below headings, with region (a heading or a bare end begins one), table (a number that each region and each
+    header in it raises), opened (whether a header came in the region), run (a number that each table and each amount before
+    the line raises) and the statement's year and month.
+
+    The numbers only grow over a file, so lines with the same one stand together and need no sort by it.
+    """
     begins = F.col("heading").isNotNull() | F.col("bare_end")
-    rows = told.withColumn("region", F.sum(begins.cast("int")).over(_until("path"))).withColumn("section", F.first("heading", ignorenulls=True).over(_until("path", "region")))
-    rows = rows.filter(F.col("section").isNotNull() & ~begins)
-    rows = rows.withColumn("table", F.sum(F.col("header").cast("int")).over(_until("path", "region")))
-    return rows.withColumn("entry", F.coalesce(F.sum((F.col("amount") & ~F.col("header")).cast("int")).over(_before("path", "region", "table")), F.lit(0)))
+    count = lambda which: F.coalesce(F.sum(which.cast("int")).over(_until("path")), F.lit(0))
+    before = F.coalesce(F.sum((F.col("amount") & ~F.col("header")).cast("int")).over(_before("path")), F.lit(0))
+    whole = Window.partitionBy("path").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = told.withColumns({
+        "region": count(begins), "headers": count(F.col("header")), "amounts": before, "said": F.min("stated_year").over(whole),
+        "section": F.last(F.when(begins, F.struct("heading")), ignorenulls=True).over(_until("path"))["heading"],
+        "opened": F.last(F.when(begins, False).when(F.col("header"), True), ignorenulls=True).over(_until("path")),
+    })
+    year, month = _statement_ends(sections)
+    missing = F.raise_error(F.concat(F.lit("no statement year: "), F.col("path"))).cast("boolean")
+    rows = rows.filter(F.when(year.isNull(), missing).otherwise(F.col("section").isNotNull() & ~begins))
+    table = F.col("region") + F.col("headers")
+    rows = rows.withColumns({"opened": F.coalesce("opened", F.lit(False)), "table": table, "run": table + F.col("amounts"), "year": year, "last_month": month})
+    return rows.drop("headers", "amounts", "said", "stated_year", "heading", "bare_end")
 
 
 def _entries(rows: DataFrame, sections: Sections) -> DataFrame:
@@ -162,48 +186,47 @@ def _entries(rows: DataFrame, sections: Sections) -> DataFrame:
 
     Words of an entry that hold a skipped description do not count for what follows in it.
     """
-    so_far = F.collect_list(F.nullif(F.when(F.col("header"), "").otherwise(F.col("said")), F.lit(""))).over(_until("path", "region", "table", "entry"))
+    so_far = F.collect_list(F.nullif(F.when(F.col("header"), "").otherwise(F.col("own_text")), F.lit(""))).over(_until("path", "run"))
     holds = lambda text, markers: reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(m.lower())) for m in markers), F.lit(False))
     joined = lambda a, b: F.concat_ws(" ", F.nullif(a, F.lit("")), b)
     rest = lambda parts: F.aggregate(parts, F.lit(""), lambda text, part: F.when(holds(joined(text, part), sections.skip), "").otherwise(joined(text, part)))
     rows = rows.withColumn("parts", so_far)
-    own = F.when(F.col("header") | (F.col("said") == ""), F.lit(None)).otherwise(F.col("said"))
+    own = F.when(F.col("header") | (F.col("own_text") == ""), F.lit(None)).otherwise(F.col("own_text"))
     earlier = F.when(own.isNull(), F.col("parts")).otherwise(F.slice("parts", F.lit(1), F.size("parts") - 1))
-    rows = rows.withColumn("text", joined(rest(earlier), own)).drop("parts")
-    skipped = (F.col("table") > 0) & ~F.col("header") & holds(F.col("text"), sections.skip)
+    rows = rows.withColumn("text", joined(rest(earlier), own)).drop("parts", "own_text")
+    skipped = F.col("opened") & ~F.col("header") & holds(F.col("text"), sections.skip)
     return rows.withColumns({"skipped": skipped, "closing": skipped & holds(F.col("text"), sections.table_ends)})
 
 
 def _alive(rows: DataFrame) -> DataFrame:
     """The lines of tables that are open: a closing line is its table's last, and an end outside an open table is the last
     of its region's tables."""
-    closed = F.coalesce(F.max(F.col("closing").cast("int")).over(_before("path", "region", "table")), F.lit(0)) == 1
-    rows = rows.withColumn("closed", closed)
-    ending = F.col("busy_end") & ((F.col("table") == 0) | F.col("closed"))
-    ended = F.coalesce(F.max(ending.cast("int")).over(_before("path", "region")), F.lit(0)) == 1
-    return rows.withColumn("ended", ended).filter((F.col("table") > 0) & ~F.col("header") & ~F.col("closed") & ~F.col("ended"))
+    last = lambda which, number: F.coalesce(F.last(F.when(which, F.col(number)), ignorenulls=True).over(_in_runs(-1)) == F.col(number), F.lit(False))
+    rows = rows.withColumn("closed", last(F.col("closing"), "table"))
+    rows = rows.withColumn("ended", last(F.col("busy_end") & (~F.col("opened") | F.col("closed")), "region"))
+    return rows.filter(F.col("opened") & ~F.col("header") & ~F.col("closed") & ~F.col("ended"))
 
 
-def _completed(rows: DataFrame, years: DataFrame, sections: Sections) -> DataFrame:
+def _completed(rows: DataFrame, sections: Sections) -> DataFrame:
     """A transaction for each line with an amount, with the day and the currency that hold there."""
     of = lambda value: reduce(lambda rest, s: F.when(F.col("section") == s, F.lit(value(sections.accounts[s]))).otherwise(rest), sections.accounts, F.lit(None))
-    told = rows.withColumnRenamed("month", "month_name").join(years, "path").withColumns({"account_id": of(lambda a: a.account_id), "account": of(lambda a: a.account), "stated": of(lambda a: a.currency), "needs": of(lambda a: a.currency_from_row)})
-    month = _month(F.col("month_name"))
-    own_day = F.when(F.col("day").isNotNull(), F.make_date(F.col("year") - (month > F.col("month")).cast("int"), month, F.col("day").cast("int")))
-    carried = told.withColumn("own_day", own_day).withColumns({
-        "date": F.last("own_day", ignorenulls=True).over(_until("path", "account_id")), "currency": F.coalesce(F.last("own_currency", ignorenulls=True).over(_until("path", "account_id")), F.col("stated")),
-    })
-    done = carried.filter("amount and not skipped").withColumn("figure", F.coalesce(F.get("deposits", F.lit(0)), F.get("withdrawals", F.lit(0))))
+    told = rows.withColumns({"account_id": of(lambda a: a.account_id), "account": of(lambda a: a.account), "stated": of(lambda a: a.currency), "needs": of(lambda a: a.currency_from_row)})
+    month = _month(F.col("month"))
+    told = told.withColumn("own_day", F.when(F.col("day").isNotNull(), F.make_date(F.col("year") - (month > F.col("last_month")).cast("int"), month, F.col("day").cast("int"))))
+    ids = sorted({a.account_id for a in sections.accounts.values()})
+    # One window for each account keeps the order of the file.
+    held = lambda c, a: F.last(F.when(F.col("account_id") == a, F.col(c)), ignorenulls=True).over(_in_runs(Window.currentRow))
+    kept = told.withColumns({f"{c}_{i}": held(c, a) for c in ("own_day", "own_currency") for i, a in enumerate(ids)})
+    here = lambda c: F.coalesce(*(F.when(F.col("account_id") == a, F.col(f"{c}_{i}")) for i, a in enumerate(ids)), F.lit(None))
+    done = kept.filter("amount and not skipped").withColumns({"date": here("own_day"), "currency": F.coalesce(here("own_currency"), F.col("stated"))})
     where = F.concat(F.col("path"), F.lit(" page "), F.col("page").cast("string"), F.lit(" line "), F.col("line").cast("string"))
-    both = (F.size("deposits") > 0) & (F.size("withdrawals") > 0)
     worth = F.regexp_replace("figure", ",", "").cast("decimal(30,2)") != 0
     early = F.col("date").isNull() | (F.col("needs") & (F.col("currency") == ""))
-    problem = F.when(both, "deposit and withdrawal in one line: ").when(worth & early, "amount before its date or currency: ")
+    problem = F.when(F.col("both"), "deposit and withdrawal in one line: ").when(worth & early, "amount before its date or currency: ")
     keep = F.when(problem.isNotNull(), F.raise_error(F.concat(problem, where)).cast("boolean")).otherwise(worth)
-    into = F.size("deposits") > 0
     return done.filter(keep).select(
-        "path", "page", "line", "date", F.when(F.col("text") == "", "Bank transaction").otherwise(F.col("text")).alias("description"), F.when(into, F.col("figure")).otherwise("").alias("deposit"),
-        F.when(into, "").otherwise(F.col("figure")).alias("withdrawal"), "account_id", "account", "section", "currency",
+        "path", "page", "line", "date", F.when(F.col("text") == "", "Bank transaction").otherwise(F.col("text")).alias("description"), F.when(F.col("into"), F.col("figure")).otherwise("").alias("deposit"),
+        F.when(F.col("into"), "").otherwise(F.col("figure")).alias("withdrawal"), "account_id", "account", "section", "currency",
     )
 
 

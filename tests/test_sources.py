@@ -45,6 +45,23 @@ def test_section_rows_refuse(spark, page):
         sections.section_rows(_lines(spark, page), SAVINGS).collect()
 
 
+def test_section_rows_sort_twice(spark):
+    """What a task sorts at once does not grow with the windows: one order of lines, one of runs, and the lines are read once."""
+    rows = sections.section_rows(_lines(spark, ["Statement 31 March 2024@0", "Savings@0", "Date@0|Deposit@210", "30 Dec@0|Salary@60|5.00@210"]), SAVINGS)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_section_rows_interleaved(spark):
+    """Days and currencies go on by account, also where two sections are one account's and the other's lines stand between."""
+    layout = sections.Sections(**{**vars(SAVINGS), "accounts": {"Savings": sections.Account("a1", "One", "HKD"), "Foreign": sections.Account("a2", "Two", "EUR"), "Time": sections.Account("a1", "One", "HKD")}})
+    head, page = ["Date@0|Deposit@210"], ["Statement 31 March 2024@0", "Savings@0"]
+    page += [*head, "1 Jan@0|USD@410|a@60|1.00@210", "Foreign@0", *head, "2 Feb@0|b@60|2.00@210", "Time@0", *head, "c@60|3.00@210", *head, "closing balance@60", "d@60|4.00@210", *head, "e@60|5.00@210", "Foreign@0", *head, "f@60|6.00@310"]
+    got = [(r.description, r.date, r.currency, r.account_id) for r in sections.section_rows(_lines(spark, page), layout).orderBy("line").collect()]
+    first, second = (date(2024, 1, 1), "USD", "a1"), (date(2024, 2, 2), "EUR", "a2")
+    assert got == [("a", *first), ("b", *second), ("c", *first), ("e", *first), ("f", *second)]
+
+
 def test_balance_observations(spark):
     lines = _lines(spark, ["Savings@0", "Opening balance 10.00@0", "Foreign Currency fee@0", "Closing balance 1,250.5 DR@0", "Closing balance 3.00@0", "Now Foreign Currency@0", "USD total 5.00@0"], ["EUR total 6.00 cr@0", "Total summary@0", "Opening balance 9.00@0"])
     pages = spark.createDataFrame([("f", 0, [[["Savings\nOpening balance 10.00", "\nx"]]]), ("f", 1, [[["Opening balance 8.00"]]])], "path string, page int, tables array<array<array<string>>>")
