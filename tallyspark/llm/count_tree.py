@@ -390,9 +390,15 @@ def open_members(percent: int):
 
 
 def _families(near_hub: DataFrame, far_hub: DataFrame) -> DataFrame:
-    """(sid, family) from the hubs of documents within their slice and the hubs of those."""
+    """(sid, family) from the hubs of documents within their slice and the hubs of those.
+
+    All documents of a hub are in each family that the hub has in the corpus, so the hub is a family of its own only if it
+    has none there or is one for others.
+    """
     own = lambda df, c: df.select(F.col(c).alias("sid"), F.col(c).alias("family"))
-    within = near_hub.select("sid", F.col("hub").alias("family")).union(own(near_hub, "hub"))
+    held = far_hub.select("hub").join(far_hub.select(F.col("family").alias("hub")), "hub", "left_anti").distinct()
+    alone = near_hub.join(held, "hub", "left_anti")
+    within = alone.select("sid", F.col("hub").alias("family")).union(own(alone, "hub"))
     tied = near_hub.join(far_hub, "hub").select("sid", "family").union(far_hub.select("hub", "family")).union(own(far_hub, "family"))
     return within.union(tied).distinct()
 
@@ -403,7 +409,8 @@ def _open(families: DataFrame, labels: DataFrame, points: DataFrame, percent: in
     spark = families.sparkSession
     named = staged(_labelled(families, labels), "labels")
     apart = named.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("family")
-    members = named.join(apart, "family", "left_semi").join(points, "sid")
+    # Staged, since a range shuffle reads its rows twice.
+    members = staged(named.join(apart, "family", "left_semi").join(points, "sid"), "members")
     blocks = staged(range_chunks(members, "family", ("near", "sid"), POINTS_WEIGHT, F.greatest("n", F.lit(POINTS_WEIGHT // POINTS))), "points")
     left, right = _nodes(blocks, "l"), _nodes(blocks, "r")
     one_label = (F.col("l_low") == F.col("l_high")) & (F.col("r_low") == F.col("r_high")) & (F.col("l_low") == F.col("r_low"))
@@ -488,7 +495,7 @@ def linked_documents(docs: DataFrame, keys_of: Keys, percent: int) -> DataFrame:
     points = members.drop("key").withColumn("label", F.col("sid"))
 
     # A document in the family of its smallest hub; the hub itself in each block of its own.
-    own = families.groupBy("sid").agg(F.min("family").alias("family")).join(points.select("sid", "n", "near", "label"), "sid")
+    own = staged(families.groupBy("sid").agg(F.min("family").alias("family")).join(points.select("sid", "n", "near", "label"), "sid"), "own")
     blocks = _blocks(own, "blocks")
     heads = blocks.select("family", "chunk").distinct().withColumn("sid", F.col("family")).join(points.select("sid", "n", "near", "label"), "sid").withColumns({"slice": F.lit(0), "at": F.lit(0)})
     met = blocks.filter("sid <> family").unionByName(heads)

@@ -3,7 +3,7 @@ import re
 
 from tests.conftest import duck, same_rows
 
-from tallyspark.llm import exact_dedup, minhash, queries, rlz
+from tallyspark.llm import count_tree, exact_dedup, minhash, queries, rlz
 from tallyspark.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,23 @@ def test_families_without_a_common_pivot(spark):
     assert got == sorted(minhash.components_by_brute_force(rows))
 
 
+def test_families_hold_each_pair_once(spark):
+    """A hub with a family in the corpus is no family beside it; one that is a family for others, or has none, stays."""
+    near = spark.createDataFrame([(11, 1), (12, 1), (13, 2), (14, 3)], "sid long, hub long")
+    far = spark.createDataFrame([(1, 0), (4, 2)], "hub long, family long")
+    found = sorted(tuple(r) for r in count_tree._families(near, far).collect())
+    assert found == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 2), (11, 0), (12, 0), (13, 2), (14, 3)]
+
+
+def test_members_of_families_are_joined_once(docs, monkeypatch):
+    """The range shuffle reads its rows twice, so the joins before it are written first."""
+    plans, chunks = [], count_tree.range_chunks
+    monkeypatch.setattr(count_tree, "range_chunks", lambda rows, *a: plans.append((rows.columns, rows._jdf.queryExecution().executedPlan().toString())) or chunks(rows, *a))
+    minhash.near_duplicates(docs).collect()
+    # Only representatives of blocks are grouped on the way.
+    assert sum("Join" in plan for columns, plan in plans if "fine" in columns) == 0 and sum("Join" in plan for _, plan in plans) <= 1
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "a long, b long")
     found = dict(map(tuple, components(edges).collect()))
