@@ -111,9 +111,10 @@ def supporting_rows(members: DataFrame, canonical: DataFrame, selected: DataFram
 
 def duplicate_counts(members: DataFrame, canonical: DataFrame) -> DataFrame:
     """One row: groups with more source rows than canonical rows, and their source rows."""
-    n = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_source"))
-    slots = canonical.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_canonical"))
-    more = n.join(slots, "group_id", "left").filter(F.col("n_source") > F.coalesce("n_canonical", F.lit(0)))
+    # One aggregate over both: a task holds one table of groups instead of two and the sorts of their join. A null is no canonical group.
+    sides = members.selectExpr("group_id", "1L AS source", "0L AS slot").union(canonical.filter("group_id IS NOT NULL").selectExpr("group_id", "0L", "1L"))
+    counted = sides.groupBy("group_id").agg(F.sum("source").alias("n_source"), F.sum("slot").alias("n_canonical"))
+    more = counted.filter("n_source > n_canonical")
     return more.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n_source"), F.lit(0)).alias("occurrences"))
 
 

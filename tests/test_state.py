@@ -132,3 +132,13 @@ def test_observations_travel_once(spark):
     # As many exchanges as there are tables: none before or after the one to the target.
     stated = merged.groupBy(*statement_balances.TARGET, "kind").count()
     assert stated._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_duplicate_counts_in_one_aggregate(spark):
+    """Groups with more source rows than canonical ones, without a join of two tables of groups; a null is no canonical group."""
+    members = spark.createDataFrame([(i, g) for i, g in enumerate([1, 1, 1, 2, 3, 3, None, None])], "id long, group_id long")
+    canonical = spark.createDataFrame([(1, -1), (1, -2), (2, -3), (4, -4), (None, -5), (None, -6)], "group_id long, canonical_id long")
+    counts = reports.duplicate_counts(members, canonical)
+    assert [tuple(r) for r in counts.collect()] == [(3, 7)]
+    assert "Join" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in reports.duplicate_counts(members.limit(0), canonical).collect()] == [(0, 0)]
