@@ -19,12 +19,12 @@ document's words meet their counts in a join.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +57,14 @@ ROUNDS = 8
 #: A corpus with fewer training windows than this is gone through several times.
 LEAST_WINDOWS = 40_000
 BATCH_WINDOWS = 128
-SCORE_WINDOWS = 64
+#: Blocks whose weights and values are at hand at once (they stay in a core's cache), and windows whose places are looked up at once.
+PASS_BLOCKS, PLACED_WINDOWS = 256, 4096
 HEAVY_WORDS = 1 << 18
 #: Bytes of text that one pass counts; a larger pass sends fewer partial counts.
 COUNT_BYTES = 4 << 20
 #: Entries of a vector that travel in one row, and the fixed point of averaged weights (sums then do not depend on order).
 CHUNK = 4096
+PACKED = "chunk int, at binary, v binary"
 FIXED = float(1 << 48)
 BEGIN_ID, END_ID = 49406, 49407
 VOCABULARY = 49408
@@ -102,30 +104,37 @@ def _chunks(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1) for x in chunks.values()], pa.binary())], names=["chunk", "v"])
+    """Where the entries that are not 0 stand (two bytes each), and these in as few bytes each as the largest needs."""
+    places = [np.flatnonzero(x) for x in chunks.values()]
+    entries = [x[at] for x, at in zip(chunks.values(), places, strict=True)]
+    kinds = [np.min_scalar_type(min(x.min(initial=0), -1 - x.max(initial=0))) for x in entries]
+    columns = [pa.array([at.astype(np.uint16).tobytes() for at in places], pa.binary()), pa.array([x.astype(k).tobytes() for x, k in zip(entries, kinds, strict=True)], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), *columns], names=["chunk", "at", "v"])
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for chunk, v in zip(batch.column("chunk").to_pylist(), batch.column("v").to_pylist(), strict=True):
-        yield chunk, np.frombuffer(zlib.decompress(v), np.int64)
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for chunk, at, v in zip(*(batch.column(name).to_pylist() for name in ("chunk", "at", "v")), strict=True):
+        yield chunk, np.frombuffer(at, np.uint16), np.frombuffer(v, f"i{len(v) * 2 // max(len(at), 1) or 1}")
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for chunk, x in _unpacked(batch):
-            total[chunk] = total[chunk] + x if chunk in total else x
+        for chunk, at, x in _unpacked(batch):
+            if chunk not in total:
+                total[chunk] = np.zeros(CHUNK, np.int64)
+            total[chunk][at] += x
     if total:
         yield _packed(total)
 
 
 def vector_sum(rows: DataFrame, of: Callable, size: int) -> np.ndarray:
     """The sum over all partitions of the integer vector that of() makes of a partition's rows; only the sum reaches the driver."""
-    made = rows.mapInArrow(of, "chunk int, v binary").repartition("chunk").mapInArrow(_added, "chunk int, v binary")
+    made = rows.mapInArrow(of, PACKED).repartition("chunk").mapInArrow(_added, PACKED)
     out = np.zeros(size, np.int64)
     for batch in made.toArrow().to_batches():
-        for chunk, x in _unpacked(batch):
-            out[chunk * CHUNK : (chunk + 1) * CHUNK] = x
+        for chunk, at, x in _unpacked(batch):
+            out[chunk * CHUNK + at.astype(np.int64)] = x
     return out
 
 
@@ -231,9 +240,9 @@ def _followed(rows: np.ndarray, classes: np.ndarray):
                 ids, sizes = sequences(part)
                 cell, target = inputs(rows, ids, sizes) * CLASSES, classes[ids]
                 left = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # ids of the same text before
-                for distance in (0, 1, *LATER):
-                    ok = np.flatnonzero(left >= distance)
-                    total[min(distance, TABLES - 1)] += np.bincount(cell[ok - distance] + target[ok], minlength=EMBEDDED * CLASSES)
+                for table, distances in enumerate((*((d,) for d in range(TABLES - 1)), LATER)):
+                    met = [(cell[: max(len(cell) - d, 0)] + target[d:])[left[d:] >= d] for d in distances]
+                    total[table] += np.bincount(np.concatenate(met), minlength=EMBEDDED * CLASSES)
         yield from _chunks(total.ravel())
 
     return run
@@ -256,11 +265,10 @@ class Model:
         share = np.bincount(self.classes, weights=weight, minlength=CLASSES)
         self.within = np.log(weight / np.maximum(share, 1e-12)[self.classes]).astype(np.float32)
         self.share = share / share.sum()
-        # The key after the last stands for all text; it has a place of its own among the distances.
-        query, key = np.arange(QUERIES)[:, None] + CONTEXT, np.arange(CONTEXT + QUERIES + 1)[None, :]
-        self.gap = np.where(key < CONTEXT + QUERIES, np.clip(query - key, 0, None), CONTEXT + QUERIES)
-        self.causal = np.where((key <= query) | (key == CONTEXT + QUERIES), 0, -1e9).astype(np.float32)
-        self.table = (np.minimum(self.gap, TABLES - 1) * (EMBEDDED + 1) * CLASSES).astype(np.int32)
+        # All text is a key of its own, whose distance comes after all others.
+        query, key = np.arange(QUERIES)[:, None] + CONTEXT, np.arange(CONTEXT + QUERIES)[None, :]
+        self.gap = np.clip(query - key, 0, None)
+        self.causal = np.where(key <= query, 0, -1e9).astype(np.float32)
         self.p = {"bilinear": np.zeros((WIDTH, WIDTH), np.float32), "key": np.zeros(EMBEDDED + 1, np.float32), "near": -np.log1p(np.arange(CONTEXT + QUERIES + 1)).astype(np.float32)}
         self.m, self.w = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.steps = 0.0
@@ -270,25 +278,31 @@ class Model:
         """Take the counts (all that are not 0) of classes after each embedding row: distributions and embeddings."""
         self.cells, self.counts = cells.astype(np.int32), counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)
         self._spread()
-        profile = np.sqrt(self.value[: (EMBEDDED + 1) * CLASSES].reshape(-1, CLASSES)) - np.sqrt(self.share)
+        profile = np.sqrt(np.ascontiguousarray(self.offered[0].reshape(CLASSES, -1).T)) - np.sqrt(self.share)
         main = np.linalg.eigh(profile.T @ profile)[1][:, -WIDTH:]
         spread = profile @ main
         self.embedding = (spread / np.maximum(spread.std(axis=0), 1e-9)).clip(-4, 4).astype(np.float32)
 
     def _spread(self) -> None:
-        """The distributions from the counts; the last row of each table is all text."""
-        value = np.zeros((TABLES, EMBEDDED + 1, CLASSES), np.float32)
-        table, cell = np.divmod(self.cells, EMBEDDED * CLASSES)
-        value.ravel()[table * (EMBEDDED + 1) * CLASSES + cell] = self.counts
-        total = value.sum(axis=2, keepdims=True) + np.float32(PRIOR)
-        value += (PRIOR * self.share).astype(np.float32)
-        value /= total
-        value[:, EMBEDDED] = self.share
-        self.value = value.ravel()
+        """The distributions from the counts, by table, class and row, so that keys of one query lie near each other; the last row is all text."""
+        offered = np.zeros((TABLES, CLASSES, EMBEDDED + 1), np.float32)
+        row, target = np.divmod(self.cells, CLASSES)
+        table, row = np.divmod(row, EMBEDDED)
+        offered[table, target, row] = self.counts
+        total = offered.sum(axis=1, keepdims=True) + np.float32(PRIOR)
+        offered += (PRIOR * self.share).astype(np.float32)[:, None]
+        offered /= total
+        offered[:, :, EMBEDDED] = self.share
+        self.offered = offered.reshape(TABLES, -1)
+
+    @property
+    def value(self) -> np.ndarray:
+        """The distributions by table, row and class."""
+        return self.offered.reshape(TABLES, CLASSES, -1).transpose(0, 2, 1).ravel()
 
     def __getstate__(self) -> dict:
         """Counts travel, distributions are made of them where they are used."""
-        return {k: v for k, v in self.__dict__.items() if k != "value"}
+        return {k: v for k, v in self.__dict__.items() if k != "offered"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -309,65 +323,98 @@ class Model:
         out.steps = float(state[at])
         return out
 
-    def attended(self, begin: np.ndarray, first: np.ndarray, last: np.ndarray, past: np.ndarray, target: np.ndarray):
-        """Of windows' blocks: key rows, queries that exist, keys and last subwords as vectors, weights, values at the targets."""
+    def placed(self, ids: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of windows' blocks: key rows, classes of the queries, which queries exist and their places in ids."""
         begin = begin[:, None] + np.arange(0, STRIDE, QUERIES)
-        some = begin < last[:, None]
-        first, last, begin = (np.broadcast_to(x, some.shape)[some][:, None] for x in (first[:, None], last[:, None], begin))
-        at = begin + np.arange(-CONTEXT, QUERIES)
-        exists = (at >= first) & (at < last)
-        x = np.full((len(begin), CONTEXT + QUERIES + 1), EMBEDDED, np.int32)  # what does not exist offers what all text does
-        near = np.clip(at, 0, len(past) - 1)
-        x[:, :-1] = np.where(exists, past[near], EMBEDDED)
-        keys = self.embedding.take(x, axis=0)
-        ask = np.ascontiguousarray(keys[:, CONTEXT:-1])
-        weight = (ask.reshape(-1, WIDTH) @ self.p["bilinear"]).reshape(ask.shape) @ keys.transpose(0, 2, 1)
+        window, block = np.nonzero(begin < last[:, None])
+        at = begin[window, block][:, None] + np.arange(-CONTEXT, QUERIES)
+        first, last = first[window][:, None], last[window][:, None]
+        inside = (at >= first) & (at < last)
+        x = self.row[ids[np.where(inside, at - 1, 0)]]
+        x[at == first] = EMBEDDED - 1  # a sequence begins with the begin mark
+        x[~inside] = EMBEDDED  # what does not exist offers what all text does
+        at, exists = at[:, CONTEXT:], inside[:, CONTEXT:]
+        return x.astype(np.int32), self.classes[ids[np.where(exists, at, 0)]].astype(np.int32), exists, at
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """What every embedding row asks of a key, with a one for the key's bias; every row as a key, with its bias."""
+        ask = np.column_stack((self.embedding @ self.p["bilinear"], np.ones(EMBEDDED + 1, np.float32)))
+        return ask, np.column_stack((self.embedding, self.p["key"]))
+
+    def attended(self, x: np.ndarray, target: np.ndarray, asked: tuple[np.ndarray, np.ndarray]):
+        """Of blocks: vectors of the keys, weights of the keys and of all text for every query, and their values at the target."""
+        keys, ask = asked[1].take(x, axis=0), asked[0].take(x[:, CONTEXT:], axis=0)
+        weight = ask @ keys.transpose(0, 2, 1)
         weight += self.p["near"][self.gap] + self.causal
-        weight += self.p["key"][x][:, None, :]
-        np.minimum(weight, MOST, out=weight)
+        if weight.max(initial=0) > MOST:
+            np.minimum(weight, MOST, out=weight)
         np.exp(weight, out=weight)
-        cell = (x * np.int32(CLASSES))[:, None, :] + self.table
-        cell += target[near[:, CONTEXT:]].astype(np.int32)[:, :, None]
-        return x, exists[:, CONTEXT:], keys, ask, weight, self.value.take(cell), at[:, CONTEXT:]
+        whole = np.exp(np.minimum((ask.reshape(-1, WIDTH + 1) @ asked[1][EMBEDDED]).reshape(target.shape) + self.p["near"][-1], MOST))
+        # Most keys are far enough for the last table; the nearest, on diagonals, are put in after.
+        cell = target * np.int32(EMBEDDED + 1)
+        value = _taken(self.offered[-1], x[:, None, :] + cell[:, :, None])
+        flat = value.reshape(len(x), -1)
+        for gap in range(TABLES - 1):
+            flat[:, CONTEXT - gap :: CONTEXT + QUERIES + 1] = _taken(self.offered[gap], x[:, CONTEXT - gap : CONTEXT - gap + QUERIES] + cell)
+        return keys, weight, whole, value, self.share.astype(np.float32).take(target)
+
+    def gradients(self, x: np.ndarray, target: np.ndarray, share: np.ndarray, asked: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+        """Of the sum over the queries of share * -log(sum(weight * value) / sum(weight)), by the parameters of the exponents."""
+        keys, weight, whole, value, offer = self.attended(x, target, asked)
+        top, bottom = share / (np.vecdot(weight, value) + whole * offer), share / (_summed(weight) + whole)
+        value *= -top[:, :, None]
+        value += bottom[:, :, None]
+        value *= weight
+        whole *= bottom - offer * top
+        ask = self.embedding.take(x[:, CONTEXT:].ravel(), axis=0).T
+        bilinear = (ask @ (value @ keys).reshape(-1, WIDTH + 1))[:, :WIDTH] + np.outer(ask @ whole.ravel(), self.embedding[EMBEDDED])
+        key = np.bincount(x.ravel(), weights=(np.ones(QUERIES, np.float32) @ value).ravel(), minlength=EMBEDDED + 1)
+        near = np.bincount(self.gap.ravel(), weights=value.sum(axis=0).ravel(), minlength=CONTEXT + QUERIES + 1)
+        key[EMBEDDED] += whole.sum()
+        near[-1] += whole.sum()
+        return {"bilinear": bilinear, "key": key, "near": near}
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, rate: float) -> None:
         """Gradient steps over the chosen windows, BATCH_WINDOWS at most in each."""
-        past, target = inputs(self.row, ids, sizes), self.classes[ids]
         begin, row = windows(sizes)
         low = np.cumsum(sizes) - sizes
         for pick in np.array_split(chosen, -(-len(chosen) // BATCH_WINDOWS)) if len(chosen) else []:
-            x, exists, keys, ask, weight, value, _ = self.attended(begin[pick], low[row[pick]], (low + sizes)[row[pick]], past, target)
-            share = exists / np.float32(max(exists.sum(), 1))
-            # The derivative of -log(sum(weight * value) / sum(weight)) by the exponents.
-            value *= weight
-            value *= (share / value.sum(axis=2))[:, :, None]
-            weight *= (share / weight.sum(axis=2))[:, :, None]
-            weight -= value
-            grad = {
-                "bilinear": ask.reshape(-1, WIDTH).T @ (weight @ keys).reshape(-1, WIDTH),
-                "key": np.bincount(x.ravel(), weights=weight.sum(axis=1).ravel(), minlength=EMBEDDED + 1),
-                "near": np.bincount(self.gap.ravel(), weights=weight.sum(axis=0).ravel(), minlength=CONTEXT + QUERIES + 1),
-            }
+            x, target, exists, _ = self.placed(ids, begin[pick], low[row[pick]], (low + sizes)[row[pick]])
+            share, asked = exists / np.float32(max(exists.sum(), 1)), self.asked()
+            parts = [self.gradients(x[i : i + PASS_BLOCKS], target[i : i + PASS_BLOCKS], share[i : i + PASS_BLOCKS], asked) for i in range(0, len(x), PASS_BLOCKS)]
             self.steps += 1
-            for name, g in grad.items():
-                m, w = self.m[name], self.w[name]
+            for name in self.p:
+                g, m, w = sum(part[name] for part in parts), self.m[name], self.w[name]
                 m += 0.1 * (g - m)
                 w += 0.01 * (g * g - w)
                 step = rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(w / (1 - 0.99**self.steps)) + 1e-8)
                 self.p[name] = np.clip(self.p[name] - step, -REACH, REACH).astype(np.float32)
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        past, target = inputs(self.row, ids, sizes), self.classes[ids]
         begin, row = windows(sizes)
         low = np.cumsum(sizes) - sizes
-        first, last = low[row], (low + sizes)[row]
-        out = np.zeros(len(ids), np.float32)
-        for i in range(0, len(begin), SCORE_WINDOWS):
-            take = slice(i, i + SCORE_WINDOWS)
-            _, exists, _, _, weight, value, at = self.attended(begin[take], first[take], last[take], past, target)
-            value *= weight
-            out[at[exists]] = np.log(value.sum(axis=2) / weight.sum(axis=2))[exists]
-        return out + self.within[ids]
+        first, last, asked = low[row], (low + sizes)[row], self.asked()
+        out = np.ones(len(ids), np.float32)
+        for i in range(0, len(begin), PLACED_WINDOWS):
+            some = slice(i, i + PLACED_WINDOWS)
+            x, target, exists, at = self.placed(ids, begin[some], first[some], last[some])
+            mean = np.empty(target.shape, np.float32)
+            for j in range(0, len(x), PASS_BLOCKS):
+                _, weight, whole, value, offer = self.attended(x[j : j + PASS_BLOCKS], target[j : j + PASS_BLOCKS], asked)
+                mean[j : j + PASS_BLOCKS] = (np.vecdot(weight, value) + whole * offer) / (_summed(weight) + whole)
+            out[at[exists]] = mean[exists]
+        return np.log(out) + self.within[ids]
+
+
+def _summed(weight: np.ndarray) -> np.ndarray:
+    """Sums over the keys."""
+    return (weight.reshape(-1, weight.shape[2]) @ np.ones(weight.shape[2], np.float32)).reshape(weight.shape[:2])
+
+
+def _taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A new array of the table's entries at int32 places; Arrow's kernel takes them without a wider copy of the places."""
+    made = pc.take(pa.Array.from_buffers(pa.float32(), len(table), [None, pa.py_buffer(table)]), pa.Array.from_buffers(pa.int32(), at.size, [None, pa.py_buffer(at)]), boundscheck=False)
+    return np.frombuffer(made.buffers()[1], np.float32, at.size).reshape(at.shape)
 
 
 def _trained(model, state: np.ndarray, turn: int, repeats: int, total: int):
@@ -409,19 +456,35 @@ def fitted(tokens: DataFrame):
     return sent, state
 
 
+def _finder(keys: np.ndarray) -> Callable:
+    """Looks hashes up in sorted, distinct keys: the place of each, and whether it is there (place 0 where not)."""
+    bits = len(keys).bit_length() + 2
+    begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    ended = np.append(keys, np.uint64(2**64 - 1))
+
+    def find(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = begin[(words >> np.uint64(64 - bits)).astype(np.int64)]
+        less = np.flatnonzero(ended[at] < words)
+        while len(less):  # few: hashes are spread evenly
+            at[less] += 1
+            less = less[ended[at[less]] < words[less]]
+        known = (ended[at] == words) & (at < len(keys))
+        return np.where(known, at, 0), known
+
+    return find
+
+
 def _scored(model, state: np.ndarray, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (keys, counts) = model.value.restored(state), heavy.value
-        logs = np.log10(counts + 0.1)
+        logs, find = np.log10(counts + 0.1), _finder(keys)
         for batch in batches:
             for part in slices(batch):
                 data, offsets = raw_bytes(part.column("text"))
                 starts, ends, before = word_bounds(data, offsets)
                 words = word_hashes(data, starts, ends, lower=True)
                 ids, sizes = sequences(part)
-                at = np.searchsorted(keys, words)
-                at[at == len(keys)] = 0
-                known = keys[at] == words if len(keys) else np.zeros(len(words), bool)
+                at, known = find(words)
                 total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[before])
                 tail = words[~known]
                 cuts = np.concatenate(([0], np.cumsum(~known)))[before].astype(np.int32)
@@ -468,12 +531,12 @@ def score_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     scored = staged(
         tokens.mapInArrow(_scored(model, state, heavy), "row long, doc_id long, n_tokens long, n_heavy long, heavy_logs double, score double, tail array<long>"), "scored"
     )
-    tail = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
+    tail = scored.select("row", F.explode("tail").alias("key"))
     rare = words.filter(level < floor) if floor is not None else words
     met = tail.join(rare.select("key", "n"), "key", "left")
     by_row = met.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_logs"),
+        F.count("n").alias("n_rare"),
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_logs"),
     )
     end = (1, float(np.log10(texts + 0.1))) if texts else (0, -1.0)
     return scored.drop("tail").join(by_row, "row", "left").select(

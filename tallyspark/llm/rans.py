@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -187,11 +188,13 @@ class Remembered:
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and the number of ids of each."""
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         if len(self.place) + len(distinct) > CACHED_WORDS:
             self.renew(distinct)
-        fresh = [w for w in distinct if w not in self.place]
-        if fresh:
+        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [distinct[i] for i in new.tolist()]
             found = self.fresh(fresh)
             sizes = np.array([len(x) for x in found], np.int64)
             base, n = len(self.place), int(sizes.sum())
@@ -201,7 +204,8 @@ class Remembered:
             self._room("count", base + len(fresh))[base : base + len(fresh)] = sizes
             self.used += n
             self.place.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-        at = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
+            at[new] = np.arange(base, base + len(fresh))
+        at = at[coded.indices.to_numpy()]
         count = self.count[at]
         ends = np.cumsum(count)
         take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[at] - (ends - count), count)

@@ -225,6 +225,62 @@ def test_lm_scores_match_plain_loops():
             at += 1
 
 
+def test_lm_gradients_are_slopes():
+    """The slope of the mean loss by each kind of parameter, against differences of the score."""
+    r = np.random.default_rng(4)
+    sizes = np.array([40, 7, 33])
+    ids = r.integers(0, 200, int(sizes.sum()))
+    m = attention_lm.Model(np.bincount(ids, minlength=attention_lm.VOCABULARY).astype(float), np.zeros((attention_lm.EMBEDDED - attention_lm.SINGLES) * (attention_lm.PROFILE + 1), np.int64))
+    cells = np.unique(r.integers(0, attention_lm.TABLES * attention_lm.EMBEDDED * attention_lm.CLASSES, 4000))
+    m.learn(cells, r.integers(1, 9, len(cells)))
+    m.p["bilinear"] = r.normal(0, 0.1, m.p["bilinear"].shape).astype(np.float32)
+    begin, row = attention_lm.windows(sizes)
+    low = np.cumsum(sizes) - sizes
+    x, target, exists, _ = m.placed(ids, begin, low[row], (low + sizes)[row])
+    grad = m.gradients(x, target, exists / np.float32(len(ids)), m.asked())
+    loss = lambda: -float((m.score(ids, sizes) - m.within[ids]).astype(float).mean())
+    for name, at in (("bilinear", (2, 5)), ("key", int(x[0, -1])), ("key", attention_lm.EMBEDDED), ("near", 1), ("near", -1)):
+        kept, around = m.p[name][at], []
+        for step in (0.05, -0.05):
+            m.p[name][at] = kept + step
+            around.append(loss())
+        m.p[name][at] = kept
+        assert abs((around[0] - around[1]) / 0.1 - grad[name][at]) < 1e-3 + 0.02 * abs(grad[name][at])
+
+
+def test_lm_counts_of_what_follows_are_whole():
+    """Short rows too; what travels holds entries that are not 0 alone, whatever their size."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    rows, classes = r.integers(0, attention_lm.EMBEDDED, attention_lm.VOCABULARY), r.integers(0, attention_lm.CLASSES, attention_lm.VOCABULARY)
+    for lengths in ((1,), (2,), (1, 3, 2), (9, 1, 40)):
+        texts = [r.integers(0, attention_lm.VOCABULARY, k) for k in lengths]
+        want: Counter = Counter()
+        for t in texts:
+            past = [attention_lm.EMBEDDED - 1, *rows[t[:-1]]]
+            for i in range(len(t)):
+                for d in (0, 1, *attention_lm.LATER):
+                    if d <= i:
+                        want[(min(d, attention_lm.TABLES - 1) * attention_lm.EMBEDDED + int(past[i - d])) * attention_lm.CLASSES + int(classes[t[i]])] += 1
+        batch = pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in texts], pa.binary())], names=["ids"])
+        got = {c * attention_lm.CHUNK + int(a): int(v) for b in attention_lm._followed(rows, classes)(iter([batch])) for c, at, x in attention_lm._unpacked(b) for a, v in zip(at, x, strict=True)}
+        assert got == dict(want)
+    for few in ([3], [127, -128], [128], [-129], [2**40, -(2**62)]):
+        whole = np.zeros(attention_lm.CHUNK, np.int64)
+        whole[5 : 5 + len(few)] = few
+        ((chunk, at, x),) = attention_lm._unpacked(attention_lm._packed({7: whole}))
+        assert (chunk, at.tolist(), x.tolist()) == (7, list(range(5, 5 + len(few))), few)
+
+
+def test_lm_heavy_words_are_found():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 3000, dtype=np.uint64))
+    for some in (keys, keys[:1], keys[:0], np.array([0, 1, 2, 3, 2**64 - 1], np.uint64)):
+        words = np.concatenate((some, keys[::7] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)))
+        at, known = attention_lm._finder(some)(words)
+        assert (known == np.isin(words, some)).all() and (some[at[known]] == words[known]).all()
+
+
 def test_secrets_base_spans(docs, pairs, empty, lone):
     texts = dict(pairs)
     rows = {r.doc_id: r for r in secrets_markov.find_secrets(docs).collect()}
