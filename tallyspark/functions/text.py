@@ -120,6 +120,18 @@ def framed_hmac(key: bytes, prefix: str, domain: str, *parts: Column, magic: byt
     return F.concat(F.lit(prefix), F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256))
 
 
+def packed(identifier: Column) -> Column:
+    """An id as bytes, to travel: of three letters, `_` and a digest the digest's bytes, which halves it; any other text is kept as it is."""
+    named = F.concat(F.lit(b"\1"), F.substring(identifier, 1, 4).cast("binary"), F.unhex(F.substring(identifier, 5, 64)))
+    return F.when(identifier.rlike(r"^[a-z]{3}_[0-9a-f]{64}\z"), named).otherwise(F.concat(F.lit(b"\0"), identifier.cast("binary")))
+
+
+def unpacked(raw: Column) -> Column:
+    """The id that packed() made raw of."""
+    named = F.concat(F.substring(raw, 2, 4).cast("string"), F.lower(F.hex(F.substring(raw, 6, 32))))
+    return F.when(F.substring(raw, 1, 1) == F.lit(b"\1"), named).otherwise(F.substr(raw, F.lit(2)).cast("string"))
+
+
 def csv_safe(cell: Column) -> Column:
     """Text that a spreadsheet would run as a formula (or that looks encoded already) gets a reversible marker."""
     return F.when(cell.rlike(FORMULA_START) | cell.startswith(SAFE_PREFIX), F.concat(F.lit(SAFE_PREFIX), cell)).otherwise(cell)

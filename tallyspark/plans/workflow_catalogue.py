@@ -100,13 +100,14 @@ def tail_corrections(spark, sf_dir):
     """What becomes of stored corrections if every ambiguous record is decided to be one event."""
     done = _imported(spark, _occurrences(spark, sf_dir))
     f = F.col("fingerprint").cast("long")
-    open_ = done.groups.filter(F.col("provenance_status") == slots.AMBIGUOUS).select("fingerprint", "same_event", "keep_all")
-    rows = done.rows.join(open_.select("fingerprint", "keep_all"), "fingerprint").withColumn("category", F.when((f % 7 == 0) & (F.col("slot") == F.col("keep_all")), "Odd").otherwise(F.col("category")))
+    ambiguous = F.col("provenance_status") == slots.AMBIGUOUS
+    open_ = done.groups.filter(ambiguous).select("fingerprint", "same_event")
+    rows = done.rows.filter(ambiguous).withColumn("category", F.when((f % 7 == 0) & (F.col("slot") == F.col("keep_all")), "Odd").otherwise(F.col("category")))
     last, name = F.col("slot") == F.col("keep_all"), F.concat(F.lit("C"), F.col("slot").cast("string"))
     given = F.when(f % 5 == 0, "X").when((f % 5 == 1) & last, "Y").when(f % 5 == 2, name).when((f % 5 == 3) & (F.col("slot") == 1), "Z")
     patches = rows.select("slot_id", given.alias("category")).filter("category is not null")
     verdicts, changes = slots.tail_corrections(rows, open_, patches, ["category"], ["category", "reason", "flags"])
-    counted = changes.join(rows.select("slot_id", "fingerprint"), "slot_id").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("changes"))
+    counted = changes.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("changes"))
     return verdicts.join(counted, "fingerprint", "left").na.fill(0, ["changes"])
 
 

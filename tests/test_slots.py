@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import packed, unpacked
 from tallyspark.operators import slots
 
 SCHEMA = "id string, fingerprint string, source string, processed boolean, amount int, category string, flags array<string>"
@@ -113,3 +116,30 @@ def test_a_listing_meets_by_fingerprint(spark):
     found, shown = slots.listing(slots.Canonical(groups, given, None, None), spark.createDataFrame([("a", "f", "t"), ("b", "g", "t")], "id string, fingerprint string, text string"), ["text"])
     met = found.join(shown.drop("membership"), "fingerprint").collect()
     assert [(r.membership, r.slot_ids, r.occurrence_id, r.text) for r in met] == [("dup_1", ["x", "y"], "a", "t")]
+
+
+def test_verdicts_and_changes_are_read_from_one_pass_over_the_rows(spark):
+    """Rows and corrections are joined once and written; before, each of both results joined and dealt them several times anew."""
+    made = {f"{f}{i}": "txn_" + f"{i}{ord(f):x}".ljust(64, "0") for f in "fg" for i in (1, 2)}
+    rows = spark.createDataFrame([(k[0], int(k[1]), v, "a", []) for k, v in made.items()], "fingerprint string, slot int, slot_id string, category string, flags array<string>")
+    groups = spark.createDataFrame([("f", 1), ("g", 1), ("h", 1)], "fingerprint string, same_event int")
+    given = spark.createDataFrame([(made["f2"], "P"), (made["g1"], "P"), (made["g2"], "Q"), ("elsewhere", "R")], "slot_id string, category string")
+    verdicts, changes = slots.tail_corrections(rows, groups, given, ["category"], ["category", "flags"])
+    for frame in (verdicts, changes):
+        assert not {"Join", "Aggregate", "Window"} & set(re.findall("Join|Aggregate|Window", frame._jdf.queryExecution().optimizedPlan().toString()))
+    assert {tuple(r) for r in verdicts.collect()} == {("f", "moved"), ("g", "conflict")}
+    assert {tuple(r) for r in changes.collect()} == {("f", made["f1"], "set", "P"), ("f", made["f2"], "delete", None)}
+
+
+def test_ids_travel_packed(spark):
+    digest = "0123456789abcdef" * 4
+    ids = [f"txn_{digest}", f"dup_{digest}", f"txn_{digest}\n", f"txn_{digest.upper()}", f"txn_{digest[:-1]}", f"Txn_{digest}", "", "t1", "\x01txn_", "ü_", None]
+    got = spark.createDataFrame([(i,) for i in ids], "i string").select("i", packed(F.col("i")).alias("p")).select("*", unpacked(F.col("p")).alias("u")).collect()
+    assert [r.u for r in got] == ids and len({bytes(r.p) for r in got if r.p is not None}) == len(ids) - 1
+    assert [len(r.p) for r in got[:2]] == [37, 37]
+
+
+def test_a_first_import_joins_no_state(spark):
+    groups = slots.overlap_groups(occurrences(spark, 3, 2), slots.OverlapState.empty(spark))
+    assert "Join" not in groups._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.slots, r.known, r.changed) for r in groups.collect()] == [(3, False, False)]
