@@ -123,7 +123,7 @@ def test_verdicts_and_changes_are_read_from_one_pass_over_the_rows(spark):
     made = {f"{f}{i}": "txn_" + f"{i}{ord(f):x}".ljust(64, "0") for f in "fg" for i in (1, 2)}
     rows = spark.createDataFrame([(k[0], int(k[1]), v, "a", []) for k, v in made.items()], "fingerprint string, slot int, slot_id string, category string, flags array<string>")
     groups = spark.createDataFrame([("f", 1), ("g", 1), ("h", 1)], "fingerprint string, same_event int")
-    given = spark.createDataFrame([(made["f2"], "P"), (made["g1"], "P"), (made["g2"], "Q"), ("elsewhere", "R")], "slot_id string, category string")
+    given = spark.createDataFrame([(made["f2"], "P"), (made["g1"], "P"), (made["g2"], "Q"), ("elsewhere", "R"), (None, "S")], "slot_id string, category string")
     verdicts, changes = slots.tail_corrections(rows, groups, given, ["category"], ["category", "flags"])
     for frame in (verdicts, changes):
         assert not {"Join", "Aggregate", "Window"} & set(re.findall("Join|Aggregate|Window", frame._jdf.queryExecution().optimizedPlan().toString()))
@@ -143,3 +143,13 @@ def test_a_first_import_joins_no_state(spark):
     groups = slots.overlap_groups(occurrences(spark, 3, 2), slots.OverlapState.empty(spark))
     assert "Join" not in groups._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.slots, r.known, r.changed) for r in groups.collect()] == [(3, False, False)]
+
+
+def test_occurrences_of_a_record_are_sorted_once(spark):
+    """Counts, digests and extremes of a record are taken from rows that lie together: one sort, no list aggregate that sorts wide rows again (and spills them)."""
+    extremes = {"lo": F.struct("category")}, {"hi": F.struct("category")}
+    rows = [("a", "f", "s0", False, 5, "Dining", []), ("b", "f", "s1", False, 5, "Travel", []), ("c", "f", "s1", False, 5, None, []), ("d", None, None, False, 5, "Gifts", [])]
+    groups = slots.overlap_groups(spark.createDataFrame(rows, SCHEMA), slots.OverlapState.empty(spark), *extremes)
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and len(re.findall(r"[^a-zA-Z]Sort \[", plan)) == 1
+    assert {(r.fingerprint, tuple(r.source_counts), r.source_occurrence_count, r.lo.category, r.hi.category) for r in groups.collect()} == {("f", (1, 2), 3, None, "Travel"), (None, (1,), 1, "Gifts", "Gifts")}
