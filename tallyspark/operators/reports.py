@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import direction
 from tallyspark.operators.policy import is_unknown
-from tallyspark.sources.staging import staged
 
 # What a reviewer is asked for by each review reason, and how valuation sources are called.
 REVIEW_LABELS = {
@@ -28,6 +27,8 @@ VALUATION_LABELS = {
     "missing": "Missing",
 }
 DECIDED = ("category", "flow_type", "owner", "payment_method")
+#: Sources in a piece of evidence, bytes of evidence for a task on average, and tasks at most. None is a limit of what is listed.
+PIECE, TEXT_OF_TASK, MOST_TASKS = 1024, 1 << 17, 10_000
 
 
 def _labels(names: dict[str, str]) -> Column:
@@ -87,13 +88,29 @@ def status_summary(rows: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def missing_valuations(rows: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Rows without a value, each with the sources that support it (as many as it has, in order): id, evidence."""
+    """Rows without a value, each with the sources that support it (as many as it has, in order): id, evidence.
+
+    A group's text is made once, from pieces of PIECE sources, and its rows come to it. Groups are dealt to so many tasks that
+    the texts of one stay well under what a Parquet writer keeps as a dictionary (1 MB): it then holds and writes each once.
+    """
+    context, source = rows.sparkSession.sparkContext, lambda file, row: F.concat_ws(":", file, row.cast("string"))
+    size = evidence.agg(F.sum(F.octet_length(source(F.col("source_file"), F.col("source_row"))) + 1)).first()[0] or 0
+    tasks = max(context.defaultParallelism, min(1 + size // TEXT_OF_TASK, MOST_TASKS))
     missing = rows.filter("amount_base is null").select("id", "group_id")
-    support = evidence.join(missing.select("group_id").distinct(), "group_id", "left_semi").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("source_file", "source_row"))).alias("evidence"))
-    # A group's text is made once and stored, not made for each of its rows.
-    text = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["source_file"], e["source_row"].cast("string"))), ",")
-    texts = staged(support.select("group_id", text.alias("evidence")), "evidence")
-    return missing.join(texts, "group_id", "left").select("id", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    grouped = missing.filter("group_id is not null")
+    order = Window.partitionBy("group_id").orderBy("source_file", "source_row")
+    piece = F.floor((F.row_number().over(order) - 1) / PIECE)
+    wanted = evidence.join(grouped.select("group_id").distinct(), "group_id", "left_semi").repartition(tasks, "group_id")
+    support = wanted.select("group_id", "source_file", "source_row", piece.alias("piece"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("source_file", "source_row"))), lambda e: source(e["source_file"], e["source_row"]))
+    pieces = support.groupBy("group_id", "piece").agg(F.concat_ws(",", named).alias("text"))
+    texts = pieces.groupBy("group_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"])).alias("evidence"))
+    # Neighbours are of different groups. Where texts outgrow the dictionary after all, the writer finds out at once and not after
+    # thousands of rows of one group, each of which it would then hold in full. (The filter lets all rows pass; below a join
+    # Spark leaves out a sort unless something that is not deterministic lies between.)
+    mixed = grouped.repartition(tasks, "group_id").sortWithinPartitions(F.xxhash64("id")).filter(F.monotonically_increasing_id() >= 0)
+    found = mixed.join(texts.hint("shuffle_hash"), "group_id", "left").select("id", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    return found.unionByName(missing.filter("group_id is null").select("id", F.lit("").alias("evidence")))
 
 
 def touching_groups(members: DataFrame, canonical: DataFrame, selected: DataFrame) -> DataFrame:
