@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import packed
 from tallyspark.operators import allocation, profiles, rates, reconcile, slots, transactions, valuation
 from tallyspark.plans.catalogue import query
 from tallyspark.plans.shapes import LEDGER_SQL, ledger, legs, legs_sql, table
@@ -63,7 +64,7 @@ def overlap_slots_over_imports(spark, sf_dir):
     state = first.state()
     second = _imported(spark, rows.filter("not processed"), slots.OverlapState(state.slots, slots.decided(state.memberships, decisions), state.rows))
     third = _imported(spark, rows, second.state())
-    named = lambda c, name: c.slots.select("fingerprint", "slot", F.col("slot_id").alias(f"{name}_id"), F.col("state").alias(name))
+    named = lambda c, name: c.slots.select("fingerprint", "slot", packed(F.col("slot_id")).alias(f"{name}_id"), F.col("state").alias(name))
     joined = named(first, "first").join(named(second, "second"), ["fingerprint", "slot"], "full_outer").join(named(third, "third"), ["fingerprint", "slot"], "full_outer")
     same = (F.col("first_id") == F.col("second_id")) & (F.col("second_id") == F.col("third_id"))
     return joined.join(second.groups.select("fingerprint", "changed"), "fingerprint").select("fingerprint", "slot", "second", "third", same.alias("same_id"), "changed")
